@@ -40,3 +40,221 @@ def in_elapsed_order(df: DataFrame, keys: Sequence[str] = SITE) -> DataFrame:
     keyed = clocks.ordering_key(df.where(F.col("ts").isNotNull()).select(*keys, "ts", "fold", "seq"), keys)
     return scan(keyed, keys, hour_slice("ord_ts"), ORDER,
                 lags={"prev_ord": F.col("ord_ts"), "prev_ts": F.col("ts")})
+
+
+def gap_threshold(interval_s: Column) -> Column:
+    return F.greatest(2.0 * interval_s, F.lit(MIN_GAP_S))
+
+
+def _steps(df: DataFrame, zone: str, keys: Sequence[str]) -> tuple[DataFrame, DataFrame]:
+    """Ordered readings with real step, clock shift and gap flags; and the interval per site."""
+    ordered = in_elapsed_order(df, keys).withColumn("step_s", ck.seconds_between("prev_ord", "ord_ts"))
+    interval = modal_step(ordered, keys)
+    elapsed, shift = clocks.clock_change_shift(zone)
+    wall_step = ck.seconds_between("prev_ts", "ts")
+    i = F.col("interval_s")
+    wide = F.col("step_s") > gap_threshold(i)
+    # zone arithmetic only on the few steps wide enough to hold a clock change
+    changed = (wall_step > gap_threshold(i)) & (F.when(wall_step > gap_threshold(i), shift) >= 3600.0 - i)
+    s = (ordered.join(interval, list(keys)).withColumn("_wide", F.coalesce(wide, F.lit(False)))
+         .withColumn("clock_change", F.coalesce(changed, F.lit(False)))
+         .withColumn("shift_s", F.when(F.col("clock_change"), shift))
+         .withColumn("step_s", F.when(F.col("clock_change"), elapsed).otherwise(F.col("step_s")))
+         .withColumn("is_gap", F.coalesce(F.col("step_s") > gap_threshold(i), F.lit(False))))
+    return s, interval
+
+
+def _split_exclusions(steps: DataFrame, exclusions: DataFrame | None, keys: Sequence[str]) -> DataFrame:
+    """Gap rows, marked with the exclusion window that explains each, if one does.
+
+    Windows are matched on the dates they touch, so the range test runs inside an equi-join.
+    """
+    gaps = steps.where("is_gap")
+    if exclusions is None:
+        return gaps.withColumn("excl_start", F.lit(None).cast("timestamp_ntz")).withColumn(
+            "excl_end", F.lit(None).cast("timestamp_ntz"))
+    x = exclusions.select(*keys, F.col("start").alias("excl_start"), F.col("end").alias("excl_end"))
+    # a gap inside a window (give or take one step) overlaps it, so it starts on or before a date of the window
+    span = F.sequence(F.to_date("excl_start"), F.to_date("excl_end"))
+    dated = x.withColumn("_d", F.explode(span))
+    tol = F.col("interval_s")
+    hit = ((F.col("prev_ts") >= ck.plus_seconds("excl_start", -tol)) & (F.col("ts") <= ck.plus_seconds("excl_end", tol))
+           & (F.col("prev_ts") < F.col("excl_end")) & (F.col("ts") > F.col("excl_start")))
+    first_day, last_day = F.to_date("prev_ts"), F.to_date("ts")
+    reach = F.least(last_day, F.date_add(first_day, F.ceil(tol / 86400.0).cast("int")))
+    probes = gaps.withColumn("_d", F.explode(F.array_union(F.sequence(first_day, reach), F.array(last_day))))
+    found = (probes.join(dated, [*keys, "_d"]).where(hit)
+             .groupBy(*keys, "ord_ts", "fold", "seq").agg(F.min(F.struct("excl_start", "excl_end")).alias("_x")))
+    return gaps.join(found, [*keys, "ord_ts", "fold", "seq"], "left").withColumn(
+        "excl_start", F.col("_x.excl_start")).withColumn("excl_end", F.col("_x.excl_end")).drop("_x")
+
+
+def gaps(df: DataFrame, zone: str = DEFAULT_ZONE, exclusions: DataFrame | None = None,
+         keys: Sequence[str] = SITE) -> DataFrame:
+    """Every step longer than twice the interval, with what is missing in it and why it is not a clock change."""
+    steps, _ = _steps(df, zone, keys)
+    open_gaps = _split_exclusions(steps, exclusions, keys).where(F.col("excl_start").isNull())
+    missing = F.greatest(F.lit(0.0), F.col("step_s") - F.col("interval_s"))
+    stamp = "yyyy-MM-dd HH:mm:ss"
+    return open_gaps.select(
+        *keys, F.col("prev_ts").alias("gap_start"), F.col("ts").alias("gap_end"), F.col("step_s").alias("duration_seconds"),
+        missing.alias("missing_seconds"), text.format_duration(missing).alias("duration_human"),
+        F.when(missing / 60.0 < MINOR_GAP_MIN, "Minor").otherwise("Major").alias("category"),
+        F.concat(F.lit("No readings between "), F.date_format("prev_ts", stamp), F.lit(" and "), F.date_format("ts", stamp),
+                 F.lit(" ("), text.format_duration(missing), F.lit(").")).alias("label"))
+
+
+def clock_changes(df: DataFrame, zone: str = DEFAULT_ZONE, keys: Sequence[str] = SITE) -> DataFrame:
+    steps, _ = _steps(df, zone, keys)
+    return steps.where("clock_change").select(
+        *keys, F.col("prev_ts").alias("before"), F.col("ts").alias("after"), F.col("shift_s").alias("shift_seconds"),
+        F.col("step_s").alias("elapsed_seconds"))
+
+
+def excluded_gaps(df: DataFrame, exclusions: DataFrame, zone: str = DEFAULT_ZONE, keys: Sequence[str] = SITE) -> DataFrame:
+    """Gaps that an analyst's exclusion window explains."""
+    steps, _ = _steps(df, zone, keys)
+    return _split_exclusions(steps, exclusions, keys).where(F.col("excl_start").isNotNull()).select(
+        *keys, F.col("excl_start").alias("start"), F.col("excl_end").alias("end"), F.col("step_s").alias("step_seconds"))
+
+
+def gap_summary(df: DataFrame, zone: str = DEFAULT_ZONE, exclusions: DataFrame | None = None,
+                keys: Sequence[str] = SITE) -> DataFrame:
+    """Expected readings, completeness and gap counts per site; clock changes and exclusions are not data loss."""
+    steps, interval = _steps(df, zone, keys)
+    i = F.col("interval_s")
+    base = steps.groupBy(*keys).agg(
+        F.count(F.lit(1)).alias("total_rows"), F.min("ord_ts").alias("_a"), F.max("ord_ts").alias("_b"),
+        F.coalesce(F.sum("shift_s"), F.lit(0.0)).alias("_shift"), F.count_if("clock_change").alias("n_clock_changes"))
+    marked = _split_exclusions(steps, exclusions, keys)
+    out = F.col("excl_start").isNotNull()
+    missing = F.greatest(F.lit(0.0), F.col("step_s") - i)
+    minor = (F.col("step_s") - i) / 60.0 < MINOR_GAP_MIN
+    g = marked.groupBy(*keys).agg(
+        F.count_if(~out).alias("_gaps"), F.count_if(~out & minor).alias("_minor"),
+        F.sum(F.when(~out, missing)).alias("_missing"), F.sum(F.when(out, missing)).alias("_excluded"))
+
+    def zero(c: str, v=0) -> Column:
+        return F.coalesce(c, F.lit(v))
+
+    span = ck.seconds_between("_a", "_b")
+    measured = span - F.col("_shift") - zero("_excluded", 0.0)
+    rows = F.col("total_rows")
+    expected = F.when(rows >= 2, F.greatest(F.bround(measured / i, 0).cast("long") + 1, rows)).otherwise(0)
+    exact = F.when(rows >= 2, F.least(F.lit(100.0), rows / expected * 100.0)).otherwise(100.0)
+    return base.join(interval, list(keys)).join(g, list(keys), "left").select(
+        *keys, "total_rows", i.alias("logging_interval_seconds"), span.alias("actual_span_seconds"),
+        expected.alias("expected_rows"), exact.alias("completeness_exact"), text.floor_pct(exact, 2).alias("uptime_pct"),
+        zero("_gaps").alias("gap_count"), zero("_minor").alias("minor_gap_count"),
+        (zero("_gaps") - zero("_minor")).alias("major_gap_count"), zero("_missing", 0.0).alias("missing_seconds"),
+        "n_clock_changes", (zero("_gaps") == 0).alias("continuous"))
+
+
+def completeness(df: DataFrame, zone: str = DEFAULT_ZONE, keys: Sequence[str] = SITE) -> DataFrame:
+    """Data completeness (%) against the unrounded number of expected readings."""
+    steps, interval = _steps(df, zone, keys)
+    g = steps.groupBy(*keys).agg(F.min("ord_ts").alias("_a"), F.max("ord_ts").alias("_b"),
+                                 F.coalesce(F.sum("shift_s"), F.lit(0.0)).alias("_shift"))
+    rows = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("n_rows"))
+    span = ck.seconds_between("_a", "_b")
+    expected = F.greatest(F.lit(1.0), (span - F.col("_shift")) / F.col("interval_s") + 1.0)
+    return rows.join(g, list(keys), "left").join(interval, list(keys), "left").select(
+        *keys, "n_rows", F.when(span > 0, F.least(F.lit(100.0), 100.0 * F.col("n_rows") / expected)).alias("completeness_pct"))
+
+
+def merge_files(df: DataFrame, keys: Sequence[str] = SITE) -> tuple[DataFrame, DataFrame]:
+    """One record per site from overlapping files, and notes on what was left out.
+
+    Of readings with one (time, fold) the earliest file wins. It is a minimum by file and position
+    with a map-side partial, so any number of copies of a reading collapses before the shuffle.
+    """
+    rest = [c for c in df.columns if c not in (*keys, "ts", "fold")]
+    best = F.struct(F.col("file_seq"), F.col("seq"), *[F.col(c) for c in rest if c not in ("file_seq", "seq")])
+    merged = (df.where(F.col("ts").isNotNull()).groupBy(*keys, "ts", "fold")
+              .agg(F.min_by(best, F.struct("file_seq", "seq")).alias("_b"), F.count(F.lit(1)).alias("_n")))
+    notes = merge_notes(df, keys)
+    return merged.select(*[F.col(c) if c in (*keys, "ts", "fold") else F.col(f"_b.{c}").alias(c) for c in df.columns]), notes
+
+
+def merge_notes(df: DataFrame, keys: Sequence[str] = SITE) -> DataFrame:
+    """Counts of unreadable and repeated readings per site, with their text."""
+    times = df.groupBy(*keys, "ts", "fold").agg(F.count(F.lit(1)).alias("_n"))
+    dead = F.col("ts").isNull()
+    g = times.groupBy(*keys).agg(
+        F.sum("_n").alias("n_rows"), F.coalesce(F.sum(F.when(dead, F.col("_n"))), F.lit(0)).alias("unreadable"),
+        F.coalesce(F.sum(F.when(~dead, F.col("_n") - 1)), F.lit(0)).alias("duplicates"))
+    unread = F.struct(F.lit("unreadable_time").alias("code"), F.col("unreadable").alias("n"), F.concat(
+        F.format_number("unreadable", 0), F.lit(" of "), F.format_number("n_rows", 0),
+        F.lit(" readings had a date/time that could not be read and were left out of the merged record.")).alias("text"))
+    twice = F.struct(F.lit("duplicate_time").alias("code"), F.col("duplicates").alias("n"), F.concat(
+        F.format_number("duplicates", 0), F.lit(" readings had the same time as a reading in another file "
+        "(overlapping files); the reading from the earlier file was kept.")).alias("text"))
+    return (g.select(*keys, F.explode(F.array(unread, twice)).alias("note")).select(*keys, "note.*").where(F.col("n") > 0))
+
+
+def file_details(df: DataFrame, keys: Sequence[str] = SITE) -> DataFrame:
+    return df.groupBy(*keys, "file_seq").agg(F.count(F.lit(1)).alias("rows"), F.min("ts").alias("start"), F.max("ts").alias("end"))
+
+
+# Fixed values of the event rules.
+EVENT_PERCENTILE, EVENT_BRIDGE_STEPS, EVENT_BRIDGE_MIN_S = 0.90, 3.0, 3.0
+TOP_EVENTS, EVENT_SEPARATION_S = 10, 300
+
+
+def noise_events(df: DataFrame, keys: Sequence[str] = SITE) -> DataFrame:
+    """Runs of readings at or above the 90th percentile, joined over short steps."""
+    timed = df.where(F.col("ts").isNotNull() & F.col("leq").isNotNull())
+    keyed = clocks.ordering_key(timed.select(*keys, "ts", "fold", "seq", "leq"), keys)
+    threshold = ranks.percentiles(timed, keys, "leq", {"threshold": EVENT_PERCENTILE})
+    s = scan(keyed, keys, hour_slice("ord_ts"), ORDER, keep_slice=True,
+             lags={"prev_ord": F.col("ord_ts"), "prev_leq": F.col("leq")})
+    s = s.withColumn("step_s", ck.seconds_between("prev_ord", "ord_ts"))
+    # the typical step is taken in whole seconds
+    typical = ranks.percentiles(s.withColumn("_w", F.floor("step_s").cast("double")), keys, "_w", {"typical_s": 0.5})
+    j = s.join(threshold, list(keys)).join(typical, list(keys))
+    above = F.col("leq") >= F.col("threshold")
+    bridge = F.greatest(EVENT_BRIDGE_STEPS * F.col("typical_s"), F.lit(EVENT_BRIDGE_MIN_S))
+    begins = above & ~F.coalesce((F.col("prev_leq") >= F.col("threshold")) & (F.col("step_s") <= bridge), F.lit(False))
+    runs = islands(j, keys, None, ORDER, begins, "event_id").where(above)
+    loudest = F.struct(F.col("leq").alias("peak"), (-F.unix_micros(F.col("ord_ts").cast("timestamp"))).alias("_k"),
+                       (-F.col("seq")).alias("_s"))
+    g = runs.groupBy(*keys, "event_id").agg(
+        F.min_by("ts", F.struct(*ORDER)).alias("start"), F.max_by("ts", F.struct(*ORDER)).alias("end"),
+        F.min("ord_ts").alias("_a"), F.max("ord_ts").alias("_b"), F.max_by(F.struct("ts", "ord_ts"), loudest).alias("_p"),
+        F.max("leq").alias("peak"), F.max("typical_s").alias("_i"), F.count(F.lit(1)).alias("n_readings"))
+    return g.select(*keys, "event_id", "start", "end", F.col("_p.ts").alias("peak_time"), F.col("_p.ord_ts").alias("peak_key"),
+                    "peak", (ck.seconds_between("_a", "_b") + F.col("_i")).alias("duration_s"), "n_readings")
+
+
+def top_events(events: DataFrame, keys: Sequence[str] = SITE, top_n: int = TOP_EVENTS,
+               separation_s: int = EVENT_SEPARATION_S) -> DataFrame:
+    """The ``top_n`` loudest events whose peaks lie more than ``separation_s`` apart, loudest first.
+
+    Picking is greedy, so only a bounded set of events can matter: cut time into cells as wide as the
+    separation. One pick rules out events in at most three cells, so among the 3·(top_n-1)+1 cells with
+    the best peaks one is always free before the last pick. Events worse than the best of that last
+    cell are never picked; the rest (a fixed number of cells per site) is folded in order.
+    """
+    cells = 3 * (top_n - 1) + 1
+    micros = F.unix_micros(F.col("peak_key").cast("timestamp"))
+    # ascending order of `at` is: loudest first, then earliest
+    e = events.withColumn("_at", F.struct((-F.col("peak")).alias("p"), micros.alias("t"), F.col("event_id").alias("i")))
+    e = e.withColumn("_cell", F.floor(micros / (separation_s * 1_000_000)))
+    best = e.groupBy(*keys, "_cell").agg(F.min("_at").alias("_best"))
+    coarse = F.floor(F.col("_cell") / 4096)
+    near = Window.partitionBy(*keys, coarse).orderBy("_best")
+    kept = best.withColumn("_r", F.row_number().over(near)).where(F.col("_r") <= cells)
+    ranked = kept.withColumn("_r", F.row_number().over(Window.partitionBy(*keys).orderBy("_best"))).where(F.col("_r") <= cells)
+    last = ranked.groupBy(*keys).agg(F.max("_best").alias("_last"))
+    some = (e.join(ranked.select(*keys, "_cell"), [*keys, "_cell"], "left_semi").join(last, list(keys))
+            .where(F.col("_at") <= F.col("_last")))
+    listed = some.groupBy(*keys).agg(F.array_sort(F.collect_list("_at")).alias("_all"))
+    none = F.array().cast("array<struct<p:double,t:bigint,i:bigint>>")
+
+    def pick(got: Column, x: Column) -> Column:
+        clear = ~F.exists(got, lambda g: F.abs(g["t"] - x["t"]) <= F.lit(separation_s * 1_000_000))
+        return F.when((F.size(got) < top_n) & clear, F.concat(got, F.array(x))).otherwise(got)
+
+    chosen = listed.select(*keys, F.posexplode(F.aggregate("_all", none, pick)).alias("_i", "_at"))
+    return (events.join(chosen.select(*keys, (F.col("_i") + 1).alias("rank"), F.col("_at.i").alias("event_id")), [*keys, "event_id"])
+            .drop("peak_key"))

@@ -107,3 +107,11 @@ def islands(df: DataFrame, keys: Sequence[str], slice_by: Column, order: Sequenc
             name: str = "island") -> DataFrame:
     """Number consecutive runs: ``starts`` is true on the first row of each run."""
     return scan(df, keys, slice_by, order, sums={name: F.when(starts, 1).otherwise(0)})
+
+
+def top_rows(df: DataFrame, keys: Sequence[str], bucket: Column, order: Sequence[Column], k: int, rank: str = "rank") -> DataFrame:
+    """The first ``k`` rows per key in ``order``: cut to ``k`` inside every bucket, then across buckets."""
+    inside = Window.partitionBy(*keys, "_bucket").orderBy(*order)
+    cut = df.withColumn("_bucket", bucket).withColumn("_k", F.row_number().over(inside)).where(F.col("_k") <= k)
+    ranked = cut.withColumn(rank, F.row_number().over(Window.partitionBy(*keys).orderBy(*order)))
+    return ranked.where(F.col(rank) <= k).drop("_bucket", "_k")

@@ -44,8 +44,11 @@ VIEWS = {
 NEEDS = {"channels": ["reading"]}
 
 
-def oracle(body: str, *views: str) -> str:
-    """``body`` with the named views as leading common table expressions."""
+def oracle(body: str, *views: str, dates: tuple[str, ...] = ()) -> str:
+    """``body`` with the named views as leading common table expressions, and dates as text."""
+    if dates:
+        cast = ", ".join(f"CAST({c} AS VARCHAR) AS {c}" for c in dates)
+        return f"SELECT * REPLACE ({cast}) FROM ({oracle(body, *views)})"
     names: list[str] = []
     for v in views:
         for n in (*NEEDS.get(v, []), v):

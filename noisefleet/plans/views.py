@@ -62,3 +62,10 @@ def view(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     for source in SOURCES[name]:
         table(spark, sf_dir, source).createOrReplaceTempView(source)
     return spark.sql(SQL[name])
+
+
+def exclusions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One excluded day per site, four days after its first reading."""
+    table(spark, sf_dir, "events").createOrReplaceTempView("events")
+    return spark.sql("""SELECT event_type AS site_id, CAST(date_trunc('DAY', min(ts)) + INTERVAL 4 DAYS AS TIMESTAMP_NTZ) AS start,
+        CAST(date_trunc('DAY', min(ts)) + INTERVAL 5 DAYS - INTERVAL 1 SECOND AS TIMESTAMP_NTZ) AS end FROM events GROUP BY event_type""")
