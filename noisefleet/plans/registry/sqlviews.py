@@ -38,10 +38,18 @@ VIEWS = {
         leq, lmax, lmin FROM (SELECT event_type AS site_id, time_bucket(INTERVAL '15 minutes', ts) AS ts,
         10 * log10(avg(pow(10::DOUBLE, (35 + value/8)/10))) AS leq, max(35 + value/8 + ({K} % 10)/2.0::DOUBLE) AS lmax,
         min(35 + value/8 - ({K} % 7)/2.0::DOUBLE) AS lmin FROM events GROUP BY ALL)""",
+    "reading_march": """SELECT event_type AS site_id, event_id AS seq, date_trunc('minute', ts) + INTERVAL 60 DAY AS ts,
+        CAST(0 AS TINYINT) AS fold, 35 + value/8 AS leq FROM events""",
+    "reading_october": """SELECT event_type AS site_id, event_id AS seq, date_trunc('minute', ts) + INTERVAL 300 DAY AS ts,
+        CAST(event_id % 2 AS TINYINT) AS fold, 35 + value/8 AS leq FROM events""",
+    "spring_15m": """SELECT site_id, seq, CASE WHEN u < TIMESTAMP '2024-03-10 07:00:00' THEN u - INTERVAL 5 HOUR ELSE u - INTERVAL 4 HOUR END AS ts,
+        fold, leq, lmax, lmin FROM (SELECT *, ts + INTERVAL 60 DAY AS u FROM reading_15m)""",
+    "autumn_15m": """SELECT site_id, seq, CASE WHEN u < TIMESTAMP '2024-11-03 06:00:00' THEN u - INTERVAL 4 HOUR ELSE u - INTERVAL 5 HOUR END AS ts,
+        fold, leq, lmax, lmin FROM (SELECT *, ts + INTERVAL 300 DAY AS u FROM reading_15m)""",
     "channels": """SELECT site_id, file_seq, seq, ts, channel, level FROM reading
         UNPIVOT (level FOR channel IN (leq, lmax, lmin))""",
 }
-NEEDS = {"channels": ["reading"]}
+NEEDS = {"channels": ["reading"], "spring_15m": ["reading_15m"], "autumn_15m": ["reading_15m"]}
 
 
 def oracle(body: str, *views: str, dates: tuple[str, ...] = ()) -> str:
@@ -54,6 +62,8 @@ def oracle(body: str, *views: str, dates: tuple[str, ...] = ()) -> str:
         for n in (*NEEDS.get(v, []), v):
             if n not in names:
                 names.append(n)
+    if not names:
+        return body.strip()
     ctes = ", ".join(f"{n} AS ({VIEWS[n]})" for n in names)
     body = body.strip()
     if body[:5].upper() == "WITH ":

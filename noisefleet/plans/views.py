@@ -48,8 +48,19 @@ SQL = {
         SELECT event_type AS site_id, CAST(window(ts, '15 minutes').start AS TIMESTAMP_NTZ) AS ts,
         10 * log10(avg(pow(10D, (35 + value/8)/10))) AS leq, max(35 + value/8 + ({K} % 10)/2D) AS lmax,
         min(35 + value/8 - ({K} % 7)/2D) AS lmin FROM events GROUP BY event_type, window(ts, '15 minutes'))""",
+    # V1 moved to a daylight-saving month: March (+60 days) and late October (+300 days)
+    "reading_march": f"""SELECT event_type AS site_id, event_id AS seq, CAST(date_trunc('MINUTE', ts) AS TIMESTAMP_NTZ) + INTERVAL 60 DAYS AS ts,
+        CAST(0 AS TINYINT) AS fold, 35 + value/8 AS leq FROM events""",
+    "reading_october": f"""SELECT event_type AS site_id, event_id AS seq, CAST(date_trunc('MINUTE', ts) AS TIMESTAMP_NTZ) + INTERVAL 300 DAYS AS ts,
+        CAST(event_id % 2 AS TINYINT) AS fold, 35 + value/8 AS leq FROM events""",
 }
-SOURCES = {"reading": ["events"], "metar": ["events"], "onemin": ["events"], "snow_daily": ["orders"],
+# the regular grid as a New York logger shows it, across the spring and the autumn change of 2024
+SQL["spring_15m"] = f"""SELECT site_id, seq, CASE WHEN u < TIMESTAMP_NTZ '2024-03-10 07:00:00' THEN u - INTERVAL 5 HOURS ELSE u - INTERVAL 4 HOURS END AS ts,
+    fold, leq, lmax, lmin FROM (SELECT *, ts + INTERVAL 60 DAYS AS u FROM ({SQL['reading_15m']}))"""
+SQL["autumn_15m"] = f"""SELECT site_id, seq, CASE WHEN u < TIMESTAMP_NTZ '2024-11-03 06:00:00' THEN u - INTERVAL 4 HOURS ELSE u - INTERVAL 5 HOURS END AS ts,
+    fold, leq, lmax, lmin FROM (SELECT *, ts + INTERVAL 300 DAYS AS u FROM ({SQL['reading_15m']}))"""
+SOURCES = {"reading_march": ["events"], "reading_october": ["events"], "spring_15m": ["events"], "autumn_15m": ["events"],
+           "reading": ["events"], "metar": ["events"], "onemin": ["events"], "snow_daily": ["orders"],
            "station": ["supplier"], "site": ["customer"], "raw_text": ["events"], "reading_15m": ["events"]}
 
 
