@@ -4,14 +4,16 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from noisefleet.functions import clock as ck
-from noisefleet.operators.scans import SITE, hour_slice, row_slice, scan
+from noisefleet.operators.scans import SITE, row_slice, scan
+from noisefleet.session import cut_lineage
 
 # Fixed values of the clock rules, in seconds.
 FALL_BACK_TOLERANCE_S = 5.0
+FAR_FUTURE = "9999-01-01"
 HOUR_S = 3600.0
 
 
@@ -23,18 +25,32 @@ def mark_repeated_hour(df: DataFrame, keys: Sequence[str] = SITE) -> DataFrame:
     """
     from noisefleet.operators.continuity import modal_step
 
-    stepped = scan(df.drop("fold"), keys, row_slice("seq"), ["seq"], keep_slice=True,
-                   lags={"_prev": F.col("ts")}).withColumn("_step", ck.seconds_between("_prev", "ts"))
-    interval = modal_step(stepped, keys, "_step")
-    tolerance = F.greatest(F.lit(FALL_BACK_TOLERANCE_S), 2.0 * F.col("interval_s"))
-    jump = F.abs(F.col("_step") + HOUR_S) <= tolerance
-    jumped = scan(stepped.join(interval, list(keys)), keys, None, ["seq"], keep_slice=True,
-                  lasts={"_peak": F.when(jump, F.col("_prev")), "_jump": F.when(jump, F.col("seq"))})
-    over = F.col("_jump").isNotNull() & (F.col("ts").isNull() | (F.col("ts") > F.col("_peak")))
-    ended = scan(jumped, keys, None, ["seq"], lasts={"_over": F.when(over, F.col("seq"))})
-    fold = F.col("_jump").isNotNull() & (F.col("_over").isNull() | (F.col("_over") < F.col("_jump")))
     kept = [c for c in df.columns if c != "fold"]
-    return ended.select(*kept, F.when(fold, 1).otherwise(0).cast("tinyint").alias("fold"))
+    stepped = scan(df.select(kept), keys, row_slice("seq"), ["seq"], keep_slice=True, lags={"_prev": F.col("ts")})
+    stepped = cut_lineage(stepped.withColumn("_step", ck.seconds_between("_prev", "ts")))
+    tolerance = F.greatest(F.lit(FALL_BACK_TOLERANCE_S), 2.0 * F.coalesce("interval_s", F.lit(1.0)))
+    jump = F.coalesce(F.abs(F.col("_step") + HOUR_S) <= tolerance, F.lit(False))
+    # inside a slice: the last step back so far, and the latest time since it
+    part = [*keys, "_slice"]
+    run = Window.partitionBy(*part).orderBy("seq").rowsBetween(Window.unboundedPreceding, 0)
+    since = Window.partitionBy(*part, "_jumps").orderBy("seq").rowsBetween(Window.unboundedPreceding, 0)
+    late = F.coalesce(F.col("ts"), F.lit(FAR_FUTURE).cast("timestamp_ntz"))
+    local = (stepped.join(modal_step(stepped, keys, "_step"), list(keys), "left").withColumn("_jump", jump)
+             .withColumn("_jumps", F.sum(F.when(F.col("_jump"), 1).otherwise(0)).over(run))
+             .withColumn("_peak", F.last(F.when(F.col("_jump"), F.col("_prev")), ignorenulls=True).over(run))
+             .withColumn("_latest", F.max(late).over(since)))
+    # a slice hands on the pass that is open at its end; a slice without a step back only extends it
+    ends = local.groupBy(*part).agg(F.max_by(F.struct("_jumps", "_peak", "_latest"), "seq").alias("e")).select(
+        *part, F.when(F.col("e._jumps") > 0, F.col("e._peak")).alias("_p"), F.col("e._latest").alias("_m"))
+    across = Window.partitionBy(*keys).orderBy("_slice")
+    numbered = ends.withColumn("_open", F.count("_p").over(across.rowsBetween(Window.unboundedPreceding, 0)))
+    opened = Window.partitionBy(*keys, "_open").orderBy("_slice").rowsBetween(Window.unboundedPreceding, 0)
+    state = numbered.withColumn("_p", F.max("_p").over(opened)).withColumn("_m", F.max("_m").over(opened))
+    carry = state.select(*part, F.lag("_p").over(across).alias("_peak_in"), F.lag("_m").over(across).alias("_latest_in"))
+    inherited = (F.col("_jumps") == 0) & (F.greatest("_latest", "_latest_in") <= F.col("_peak_in"))
+    second = inherited | ((F.col("_jumps") > 0) & (F.col("_latest") <= F.col("_peak")))
+    fold = F.when(F.coalesce(second, F.lit(False)), 1).otherwise(0).cast("tinyint")
+    return local.join(carry, part, "left").select(*kept, fold.alias("fold"))
 
 
 def ordering_key(df: DataFrame, keys: Sequence[str] = SITE) -> DataFrame:
@@ -81,23 +97,14 @@ def clock_change_shift(zone: str) -> tuple[Column, Column]:
     return elapsed, ck.seconds_between("prev_ts", "ts") - elapsed
 
 
-def find_clock_changes(ordered: DataFrame, interval: DataFrame, zone: str, keys: Sequence[str] = SITE) -> DataFrame:
-    """Spring-forward jumps: the wall step exceeds the real one by an hour, less one interval."""
-    elapsed, shift = clock_change_shift(zone)
-    wall_step = ck.seconds_between("prev_ts", "ts")
-    return (ordered.join(interval, list(keys))
-            .where(wall_step > F.greatest(2.0 * F.col("interval_s"), F.lit(2.0)))
-            .where(shift >= HOUR_S - F.col("interval_s"))
-            .select(*keys, F.col("prev_ts").alias("before"), F.col("ts").alias("after"),
-                    shift.alias("shift_seconds"), elapsed.alias("elapsed_seconds")))
-
-
-def describe_logger_clock(ordered: DataFrame, interval: DataFrame, zone: str, keys: Sequence[str] = SITE) -> DataFrame:
+def describe_logger_clock(df: DataFrame, zone: str, keys: Sequence[str] = SITE) -> DataFrame:
     """Whether each logger follows daylight saving, with the evidence."""
+    from noisefleet.operators.continuity import clock_changes
+
     day, time = "dd MMM yyyy", "HH:mm:ss"
-    jumps = find_clock_changes(ordered, interval, zone, keys).groupBy(*keys).agg(
+    jumps = clock_changes(df, zone, keys).groupBy(*keys).agg(
         F.sort_array(F.collect_list(F.struct("before", "after"))).alias("jumps"))
-    span = ordered.groupBy(*keys).agg(
+    span = df.groupBy(*keys).agg(
         F.min("ts").alias("start"), F.max("ts").alias("end"), F.count("ts").alias("n"),
         F.min(F.when(F.col("fold") == 1, F.col("ts"))).alias("first_fold"))
     changes = F.expr("array(" + ", ".join(f"TIMESTAMP_NTZ '{t}'" for t, _ in ck.offset_changes(zone))

@@ -4,13 +4,14 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from noisefleet.functions import clock as ck
 from noisefleet.functions import text
 from noisefleet.operators import clocks, ranks
-from noisefleet.operators.scans import SITE, hour_slice, islands, scan
+from noisefleet.operators.scans import SITE, hour_slice, islands, pairs, scan, top_rows
+from noisefleet.session import cut_lineage
 
 # Fixed values of the gap rules.
 MIN_GAP_S = 2.0
@@ -30,73 +31,78 @@ def modal_step(steps: DataFrame, keys: Sequence[str], step: str = "step_s") -> D
 
 def modal_interval(df: DataFrame, keys: Sequence[str] = SITE, ts: str = "ts") -> DataFrame:
     """Logging interval of every site: the mode of its steps in time order."""
-    timed = df.where(F.col(ts).isNotNull())
-    stepped = scan(timed.select(*keys, ts, "seq"), keys, hour_slice(ts), [ts, "seq"], lags={"prev_ts": F.col(ts)})
-    return modal_step(stepped.select(*keys, ck.seconds_between("prev_ts", ts).alias("step_s")), keys)
+    timed = df.where(F.col(ts).isNotNull()).select(*keys, ts, "seq")
+    p = pairs(timed, keys, hour_slice(ts), [ts, "seq"])
+    steps = p.select(*keys, ck.seconds_between(f"prev.{ts}", f"cur.{ts}").alias("step_s"))
+    found = modal_step(steps, keys)
+    return timed.select(*keys).distinct().join(found, list(keys), "left").select(
+        *keys, F.coalesce("interval_s", F.lit(1.0)).alias("interval_s"))
 
 
-def in_elapsed_order(df: DataFrame, keys: Sequence[str] = SITE) -> DataFrame:
-    """Timed readings with the ordering key and the previous reading's times."""
-    keyed = clocks.ordering_key(df.where(F.col("ts").isNotNull()).select(*keys, "ts", "fold", "seq"), keys)
-    return scan(keyed, keys, hour_slice("ord_ts"), ORDER,
-                lags={"prev_ord": F.col("ord_ts"), "prev_ts": F.col("ts")})
+def elapsed_keyed(df: DataFrame, keys: Sequence[str] = SITE) -> DataFrame:
+    """Timed readings with the ordering key."""
+    return clocks.ordering_key(df.where(F.col("ts").isNotNull()).select(*keys, "ts", "fold", "seq"), keys)
+
+
+def edges(keyed: DataFrame, keys: Sequence[str] = SITE) -> DataFrame:
+    """Steps between neighbouring readings in elapsed order: both wall times and the elapsed step."""
+    p = pairs(keyed, keys, hour_slice("ord_ts"), ORDER)
+    return p.select(*keys, F.col("prev.ts").alias("prev_ts"), F.col("cur.ts").alias("ts"),
+                    ck.seconds_between("prev.ord_ts", "cur.ord_ts").alias("step_s"))
 
 
 def gap_threshold(interval_s: Column) -> Column:
     return F.greatest(2.0 * interval_s, F.lit(MIN_GAP_S))
 
 
-def _steps(df: DataFrame, zone: str, keys: Sequence[str]) -> tuple[DataFrame, DataFrame]:
-    """Ordered readings with real step, clock shift and gap flags; and the interval per site."""
-    ordered = in_elapsed_order(df, keys).withColumn("step_s", ck.seconds_between("prev_ord", "ord_ts"))
-    interval = modal_step(ordered, keys)
-    elapsed, shift = clocks.clock_change_shift(zone)
-    wall_step = ck.seconds_between("prev_ts", "ts")
+def wide_steps(steps: DataFrame, zone: str, keys: Sequence[str] = SITE) -> DataFrame:
+    """The few steps longer than the gap threshold, with the clock change in them taken out.
+
+    Zone arithmetic runs only on these rows.
+    """
     i = F.col("interval_s")
-    wide = F.col("step_s") > gap_threshold(i)
-    # zone arithmetic only on the few steps wide enough to hold a clock change
-    changed = (wall_step > gap_threshold(i)) & (F.when(wall_step > gap_threshold(i), shift) >= 3600.0 - i)
-    s = (ordered.join(interval, list(keys)).withColumn("_wide", F.coalesce(wide, F.lit(False)))
-         .withColumn("clock_change", F.coalesce(changed, F.lit(False)))
-         .withColumn("shift_s", F.when(F.col("clock_change"), shift))
-         .withColumn("step_s", F.when(F.col("clock_change"), elapsed).otherwise(F.col("step_s")))
-         .withColumn("is_gap", F.coalesce(F.col("step_s") > gap_threshold(i), F.lit(False))))
-    return s, interval
+    elapsed, shift = clocks.clock_change_shift(zone)
+    wall_wide = ck.seconds_between("prev_ts", "ts") > gap_threshold(i)
+    return (steps.join(modal_step(steps, keys), list(keys))
+            .where((F.col("step_s") > gap_threshold(i)) | wall_wide)
+            .withColumn("shift_s", F.when(wall_wide & (shift >= 3600.0 - i), shift))
+            .withColumn("step_s", F.when(F.col("shift_s").isNotNull(), elapsed).otherwise(F.col("step_s")))
+            .withColumn("is_gap", F.col("step_s") > gap_threshold(i)))
 
 
-def _split_exclusions(steps: DataFrame, exclusions: DataFrame | None, keys: Sequence[str]) -> DataFrame:
-    """Gap rows, marked with the exclusion window that explains each, if one does.
+def _explain_by_exclusions(wide: DataFrame, exclusions: DataFrame | None, keys: Sequence[str]) -> DataFrame:
+    """Mark the gaps that an exclusion window explains.
 
     Windows are matched on the dates they touch, so the range test runs inside an equi-join.
     """
-    gaps = steps.where("is_gap")
     if exclusions is None:
-        return gaps.withColumn("excl_start", F.lit(None).cast("timestamp_ntz")).withColumn(
-            "excl_end", F.lit(None).cast("timestamp_ntz"))
-    x = exclusions.select(*keys, F.col("start").alias("excl_start"), F.col("end").alias("excl_end"))
-    # a gap inside a window (give or take one step) overlaps it, so it starts on or before a date of the window
-    span = F.sequence(F.to_date("excl_start"), F.to_date("excl_end"))
-    dated = x.withColumn("_d", F.explode(span))
+        none = F.lit(None).cast("timestamp_ntz")
+        return wide.withColumn("excl_start", none).withColumn("excl_end", none)
+    dated = (exclusions.select(*keys, F.col("start").alias("_a"), F.col("end").alias("_b"))
+             .withColumn("_d", F.explode(F.sequence(F.to_date("_a"), F.to_date("_b")))))
     tol = F.col("interval_s")
-    hit = ((F.col("prev_ts") >= ck.plus_seconds("excl_start", -tol)) & (F.col("ts") <= ck.plus_seconds("excl_end", tol))
-           & (F.col("prev_ts") < F.col("excl_end")) & (F.col("ts") > F.col("excl_start")))
+    hit = (F.col("is_gap") & (F.col("prev_ts") >= ck.plus_seconds("_a", -tol)) & (F.col("ts") <= ck.plus_seconds("_b", tol))
+           & (F.col("prev_ts") < F.col("_b")) & (F.col("ts") > F.col("_a")))
+    # the window's first date lies within one step of the gap, or the gap ends inside the window
     first_day, last_day = F.to_date("prev_ts"), F.to_date("ts")
     reach = F.least(last_day, F.date_add(first_day, F.ceil(tol / 86400.0).cast("int")))
-    probes = gaps.withColumn("_d", F.explode(F.array_union(F.sequence(first_day, reach), F.array(last_day))))
-    found = (probes.join(dated, [*keys, "_d"]).where(hit)
-             .groupBy(*keys, "ord_ts", "fold", "seq").agg(F.min(F.struct("excl_start", "excl_end")).alias("_x")))
-    return gaps.join(found, [*keys, "ord_ts", "fold", "seq"], "left").withColumn(
-        "excl_start", F.col("_x.excl_start")).withColumn("excl_end", F.col("_x.excl_end")).drop("_x")
+    probes = wide.withColumn("_d", F.explode(F.array_union(F.sequence(first_day, reach), F.array(last_day))))
+    found = (probes.join(dated, [*keys, "_d"], "left").groupBy(*wide.columns)
+             .agg(F.min(F.when(hit, F.struct("_a", "_b"))).alias("_x")))
+    return found.select(*wide.columns, F.col("_x._a").alias("excl_start"), F.col("_x._b").alias("excl_end"))
+
+
+def _gaps_marked(df: DataFrame, zone: str, exclusions: DataFrame | None, keys: Sequence[str]) -> DataFrame:
+    return _explain_by_exclusions(wide_steps(edges(elapsed_keyed(df, keys), keys), zone, keys), exclusions, keys)
 
 
 def gaps(df: DataFrame, zone: str = DEFAULT_ZONE, exclusions: DataFrame | None = None,
          keys: Sequence[str] = SITE) -> DataFrame:
     """Every step longer than twice the interval, with what is missing in it and why it is not a clock change."""
-    steps, _ = _steps(df, zone, keys)
-    open_gaps = _split_exclusions(steps, exclusions, keys).where(F.col("excl_start").isNull())
+    found = _gaps_marked(df, zone, exclusions, keys).where(F.col("is_gap") & F.col("excl_start").isNull())
     missing = F.greatest(F.lit(0.0), F.col("step_s") - F.col("interval_s"))
     stamp = "yyyy-MM-dd HH:mm:ss"
-    return open_gaps.select(
+    return found.select(
         *keys, F.col("prev_ts").alias("gap_start"), F.col("ts").alias("gap_end"), F.col("step_s").alias("duration_seconds"),
         missing.alias("missing_seconds"), text.format_duration(missing).alias("duration_human"),
         F.when(missing / 60.0 < MINOR_GAP_MIN, "Minor").otherwise("Major").alias("category"),
@@ -105,61 +111,61 @@ def gaps(df: DataFrame, zone: str = DEFAULT_ZONE, exclusions: DataFrame | None =
 
 
 def clock_changes(df: DataFrame, zone: str = DEFAULT_ZONE, keys: Sequence[str] = SITE) -> DataFrame:
-    steps, _ = _steps(df, zone, keys)
-    return steps.where("clock_change").select(
+    """Spring-forward jumps: the wall step exceeds the real one by an hour, less one interval."""
+    wide = wide_steps(edges(elapsed_keyed(df, keys), keys), zone, keys)
+    return wide.where(F.col("shift_s").isNotNull()).select(
         *keys, F.col("prev_ts").alias("before"), F.col("ts").alias("after"), F.col("shift_s").alias("shift_seconds"),
         F.col("step_s").alias("elapsed_seconds"))
 
 
 def excluded_gaps(df: DataFrame, exclusions: DataFrame, zone: str = DEFAULT_ZONE, keys: Sequence[str] = SITE) -> DataFrame:
     """Gaps that an analyst's exclusion window explains."""
-    steps, _ = _steps(df, zone, keys)
-    return _split_exclusions(steps, exclusions, keys).where(F.col("excl_start").isNotNull()).select(
+    return _gaps_marked(df, zone, exclusions, keys).where(F.col("excl_start").isNotNull()).select(
         *keys, F.col("excl_start").alias("start"), F.col("excl_end").alias("end"), F.col("step_s").alias("step_seconds"))
 
 
 def gap_summary(df: DataFrame, zone: str = DEFAULT_ZONE, exclusions: DataFrame | None = None,
                 keys: Sequence[str] = SITE) -> DataFrame:
     """Expected readings, completeness and gap counts per site; clock changes and exclusions are not data loss."""
-    steps, interval = _steps(df, zone, keys)
-    i = F.col("interval_s")
-    base = steps.groupBy(*keys).agg(
-        F.count(F.lit(1)).alias("total_rows"), F.min("ord_ts").alias("_a"), F.max("ord_ts").alias("_b"),
-        F.coalesce(F.sum("shift_s"), F.lit(0.0)).alias("_shift"), F.count_if("clock_change").alias("n_clock_changes"))
-    marked = _split_exclusions(steps, exclusions, keys)
-    out = F.col("excl_start").isNotNull()
-    missing = F.greatest(F.lit(0.0), F.col("step_s") - i)
-    minor = (F.col("step_s") - i) / 60.0 < MINOR_GAP_MIN
+    keyed = elapsed_keyed(df, keys)
+    steps = edges(keyed, keys)
+    base = keyed.groupBy(*keys).agg(F.count(F.lit(1)).alias("total_rows"), F.min("ord_ts").alias("_a"), F.max("ord_ts").alias("_b"))
+    marked = _explain_by_exclusions(wide_steps(steps, zone, keys), exclusions, keys)
+    out, gap = F.col("excl_start").isNotNull(), F.col("is_gap")
+    missing = F.greatest(F.lit(0.0), F.col("step_s") - F.col("interval_s"))
+    minor = (F.col("step_s") - F.col("interval_s")) / 60.0 < MINOR_GAP_MIN
     g = marked.groupBy(*keys).agg(
-        F.count_if(~out).alias("_gaps"), F.count_if(~out & minor).alias("_minor"),
-        F.sum(F.when(~out, missing)).alias("_missing"), F.sum(F.when(out, missing)).alias("_excluded"))
+        F.count_if(gap & ~out).alias("_gaps"), F.count_if(gap & ~out & minor).alias("_minor"),
+        F.sum(F.when(gap & ~out, missing)).alias("_missing"), F.sum(F.when(out, missing)).alias("_excluded"),
+        F.sum("shift_s").alias("_shift"), F.count("shift_s").alias("_changes"))
 
     def zero(c: str, v=0) -> Column:
         return F.coalesce(c, F.lit(v))
 
+    i = zero("interval_s", 1.0)
     span = ck.seconds_between("_a", "_b")
-    measured = span - F.col("_shift") - zero("_excluded", 0.0)
+    measured = span - zero("_shift", 0.0) - zero("_excluded", 0.0)
     rows = F.col("total_rows")
     expected = F.when(rows >= 2, F.greatest(F.bround(measured / i, 0).cast("long") + 1, rows)).otherwise(0)
     exact = F.when(rows >= 2, F.least(F.lit(100.0), rows / expected * 100.0)).otherwise(100.0)
-    return base.join(interval, list(keys)).join(g, list(keys), "left").select(
+    return base.join(modal_step(steps, keys), list(keys), "left").join(g, list(keys), "left").select(
         *keys, "total_rows", i.alias("logging_interval_seconds"), span.alias("actual_span_seconds"),
         expected.alias("expected_rows"), exact.alias("completeness_exact"), text.floor_pct(exact, 2).alias("uptime_pct"),
         zero("_gaps").alias("gap_count"), zero("_minor").alias("minor_gap_count"),
         (zero("_gaps") - zero("_minor")).alias("major_gap_count"), zero("_missing", 0.0).alias("missing_seconds"),
-        "n_clock_changes", (zero("_gaps") == 0).alias("continuous"))
+        zero("_changes").alias("n_clock_changes"), (zero("_gaps") == 0).alias("continuous"))
 
 
 def completeness(df: DataFrame, zone: str = DEFAULT_ZONE, keys: Sequence[str] = SITE) -> DataFrame:
     """Data completeness (%) against the unrounded number of expected readings."""
-    steps, interval = _steps(df, zone, keys)
-    g = steps.groupBy(*keys).agg(F.min("ord_ts").alias("_a"), F.max("ord_ts").alias("_b"),
-                                 F.coalesce(F.sum("shift_s"), F.lit(0.0)).alias("_shift"))
-    rows = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("n_rows"))
+    keyed = clocks.ordering_key(df.select(*keys, "ts", "fold", "seq"), keys)
+    steps = edges(keyed.where(F.col("ts").isNotNull()), keys)
+    rows = keyed.groupBy(*keys).agg(F.count(F.lit(1)).alias("n_rows"), F.min("ord_ts").alias("_a"), F.max("ord_ts").alias("_b"))
+    shift = wide_steps(steps, zone, keys).groupBy(*keys).agg(F.sum("shift_s").alias("_shift"))
     span = ck.seconds_between("_a", "_b")
-    expected = F.greatest(F.lit(1.0), (span - F.col("_shift")) / F.col("interval_s") + 1.0)
-    return rows.join(g, list(keys), "left").join(interval, list(keys), "left").select(
-        *keys, "n_rows", F.when(span > 0, F.least(F.lit(100.0), 100.0 * F.col("n_rows") / expected)).alias("completeness_pct"))
+    expected = F.greatest(F.lit(1.0), (span - F.coalesce("_shift", F.lit(0.0))) / F.col("interval_s") + 1.0)
+    return (rows.join(modal_step(steps, keys), list(keys), "left").join(shift, list(keys), "left")
+            .select(*keys, "n_rows", F.when(span > 0, F.least(F.lit(100.0), 100.0 * F.col("n_rows") / expected)).alias("completeness_pct")))
 
 
 def merge_files(df: DataFrame, keys: Sequence[str] = SITE) -> tuple[DataFrame, DataFrame]:
@@ -202,20 +208,26 @@ TOP_EVENTS, EVENT_SEPARATION_S = 10, 300
 
 
 def noise_events(df: DataFrame, keys: Sequence[str] = SITE) -> DataFrame:
-    """Runs of readings at or above the 90th percentile, joined over short steps."""
+    """Runs of readings at or above the 90th percentile, joined over short steps.
+
+    Only the loud tenth of the readings takes part in the runs, so it is written out once before they
+    are numbered.
+    """
     timed = df.where(F.col("ts").isNotNull() & F.col("leq").isNotNull())
     keyed = clocks.ordering_key(timed.select(*keys, "ts", "fold", "seq", "leq"), keys)
     threshold = ranks.percentiles(timed, keys, "leq", {"threshold": EVENT_PERCENTILE})
+    p = pairs(keyed.drop("leq", "ts"), keys, hour_slice("ord_ts"), ORDER)
+    # the typical step is taken in whole seconds
+    whole = p.select(*keys, F.floor(ck.seconds_between("prev.ord_ts", "cur.ord_ts")).cast("double").alias("_w"))
+    typical = ranks.percentiles(whole, keys, "_w", {"typical_s": 0.5})
     s = scan(keyed, keys, hour_slice("ord_ts"), ORDER, keep_slice=True,
              lags={"prev_ord": F.col("ord_ts"), "prev_leq": F.col("leq")})
-    s = s.withColumn("step_s", ck.seconds_between("prev_ord", "ord_ts"))
-    # the typical step is taken in whole seconds
-    typical = ranks.percentiles(s.withColumn("_w", F.floor("step_s").cast("double")), keys, "_w", {"typical_s": 0.5})
-    j = s.join(threshold, list(keys)).join(typical, list(keys))
-    above = F.col("leq") >= F.col("threshold")
     bridge = F.greatest(EVENT_BRIDGE_STEPS * F.col("typical_s"), F.lit(EVENT_BRIDGE_MIN_S))
-    begins = above & ~F.coalesce((F.col("prev_leq") >= F.col("threshold")) & (F.col("step_s") <= bridge), F.lit(False))
-    runs = islands(j, keys, None, ORDER, begins, "event_id").where(above)
+    joined = (F.col("prev_leq") >= F.col("threshold")) & (ck.seconds_between("prev_ord", "ord_ts") <= bridge)
+    loud = cut_lineage(s.join(threshold, list(keys)).where(F.col("leq") >= F.col("threshold")).join(typical, list(keys))
+                       .withColumn("_begins", ~F.coalesce(joined, F.lit(False)))
+                       .drop("prev_ord", "prev_leq", "threshold"))
+    runs = islands(loud, keys, None, ORDER, F.col("_begins"), "event_id")
     loudest = F.struct(F.col("leq").alias("peak"), (-F.unix_micros(F.col("ord_ts").cast("timestamp"))).alias("_k"),
                        (-F.col("seq")).alias("_s"))
     g = runs.groupBy(*keys, "event_id").agg(
@@ -236,15 +248,13 @@ def top_events(events: DataFrame, keys: Sequence[str] = SITE, top_n: int = TOP_E
     cell are never picked; the rest (a fixed number of cells per site) is folded in order.
     """
     cells = 3 * (top_n - 1) + 1
+    events = cut_lineage(events)
     micros = F.unix_micros(F.col("peak_key").cast("timestamp"))
     # ascending order of `at` is: loudest first, then earliest
     e = events.withColumn("_at", F.struct((-F.col("peak")).alias("p"), micros.alias("t"), F.col("event_id").alias("i")))
     e = e.withColumn("_cell", F.floor(micros / (separation_s * 1_000_000)))
     best = e.groupBy(*keys, "_cell").agg(F.min("_at").alias("_best"))
-    coarse = F.floor(F.col("_cell") / 4096)
-    near = Window.partitionBy(*keys, coarse).orderBy("_best")
-    kept = best.withColumn("_r", F.row_number().over(near)).where(F.col("_r") <= cells)
-    ranked = kept.withColumn("_r", F.row_number().over(Window.partitionBy(*keys).orderBy("_best"))).where(F.col("_r") <= cells)
+    ranked = top_rows(best, keys, F.floor(F.col("_cell") / 4096), [F.asc("_best")], cells)
     last = ranked.groupBy(*keys).agg(F.max("_best").alias("_last"))
     some = (e.join(ranked.select(*keys, "_cell"), [*keys, "_cell"], "left_semi").join(last, list(keys))
             .where(F.col("_at") <= F.col("_last")))

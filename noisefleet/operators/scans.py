@@ -88,6 +88,23 @@ def scan(
     return joined.select(*carried, *[c.alias(n) for n, c in result.items()])
 
 
+def pairs(df: DataFrame, keys: Sequence[str], slice_by: Column, order: Sequence[str]) -> DataFrame:
+    """Every reading with the one before it, as structs ``prev`` and ``cur``.
+
+    Pairs inside a slice come from a window; pairs across slices from the slices' first and last rows.
+    Nothing is joined back, so a filter on the pairs applies at once.
+    """
+    part = [*keys, _SLICE]
+    row = F.struct(*[F.col(c) for c in df.columns if c not in keys])
+    sliced = df.withColumn(_SLICE, slice_by).withColumn("_row", row)
+    at = F.struct(*[F.col(c) for c in order])
+    inside = sliced.select(*keys, F.lag("_row").over(Window.partitionBy(*part).orderBy(*order)).alias("prev"),
+                           F.col("_row").alias("cur"))
+    ends = sliced.groupBy(*part).agg(F.min_by("_row", at).alias("cur"), F.max_by("_row", at).alias("_last"))
+    across = ends.select(*keys, F.lag("_last").over(Window.partitionBy(*keys).orderBy(_SLICE)).alias("prev"), "cur")
+    return inside.unionByName(across).where(F.col("prev").isNotNull())
+
+
 def first_rows(df: DataFrame, keys: Sequence[str], slice_by: Column, order: Sequence[str], k: int) -> DataFrame:
     """The first ``k`` rows of every site in order, found from per-slice counts."""
     sliced = df.withColumn(_SLICE, slice_by)

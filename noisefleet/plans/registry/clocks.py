@@ -14,12 +14,6 @@ from noisefleet.plans.views import view
 NY = "America/New_York"
 
 
-def _ordered(s, d, name):
-    marked = clocks.mark_repeated_hour(view(s, d, name))
-    ordered = continuity.in_elapsed_order(marked)
-    return ordered, continuity.modal_step(ordered.withColumn("step_s", ck.seconds_between("prev_ord", "ord_ts")), ["site_id"])
-
-
 QUERIES: dict[str, Query] = {
     "fold_mark": lambda s, d: clocks.mark_repeated_hour(view(s, d, "autumn_15m")).select("site_id", "seq", "ts", "fold"),
     "ordering_key": lambda s, d: clocks.ordering_key(clocks.mark_repeated_hour(view(s, d, "autumn_15m"))).select(
@@ -33,8 +27,8 @@ QUERIES: dict[str, Query] = {
     "local_to_utc_autumn": lambda s, d: view(s, d, "reading_october").select(
         "site_id", "seq", ck.logger_to_utc("ts", NY, "local_dst").alias("utc")),
     "clock_changes": lambda s, d: continuity.clock_changes(view(s, d, "spring_15m"), NY),
-    "logger_clock": lambda s, d: clocks.describe_logger_clock(*_ordered(s, d, "spring_15m"), NY),
-    "logger_clock_autumn": lambda s, d: clocks.describe_logger_clock(*_ordered(s, d, "autumn_15m"), NY),
+    "logger_clock": lambda s, d: clocks.describe_logger_clock(view(s, d, "spring_15m"), NY),
+    "logger_clock_autumn": lambda s, d: clocks.describe_logger_clock(clocks.mark_repeated_hour(view(s, d, "autumn_15m")), NY),
     "clock_check": lambda s, d: clocks.check_clock_setting(view(s, d, "reading_march"), NY, "local_dst"),
     "clock_check_standard": lambda s, d: clocks.check_clock_setting(
         view(s, d, "spring_15m").withColumn("ts", ck.plus_seconds("ts", F.when(F.minute("ts") == 45, 14 * 60 + 30.0).otherwise(5.0))), NY, "local_standard"),

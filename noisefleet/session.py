@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 import os
+import tempfile
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 
 def pin_utc(spark: SparkSession) -> SparkSession:
@@ -30,3 +31,17 @@ def local_session(cores: int | str = 8, shuffle_partitions: int = 8, app: str =
     )
     spark.sparkContext.setLogLevel("ERROR")
     return pin_utc(spark)
+
+
+def cut_lineage(df: DataFrame) -> DataFrame:
+    """Write ``df`` to the session's checkpoint folder and go on from there.
+
+    For results that several later steps read: without the cut each of them recomputes what came
+    before. The folder is the cluster's ``spark.checkpoint.dir``, shared by all executors; one is made
+    up only where none is set, as in tests.
+    """
+    sc = df.sparkSession.sparkContext
+    if sc.getCheckpointDir() is None:
+        sc.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None)
+                            or tempfile.mkdtemp(prefix="noisefleet-checkpoint-"))
+    return df.checkpoint()
