@@ -14,6 +14,7 @@ from noisefleet.functions import text
 from noisefleet.operators import aggregates as agg
 from noisefleet.operators import continuity, ranks
 from noisefleet.operators.scans import SITE
+from noisefleet.session import cut_lineage
 
 # Fixed values.
 WHO_LDEN_DB, WHO_LNIGHT_DB, FACADE_LAMAX_DB = 53.0, 45.0, 60.0
@@ -112,7 +113,8 @@ def rank_sites(metrics: DataFrame, keys: Sequence[str] = SITE) -> DataFrame:
     Ranks come from counted levels and level bins, so no task sorts all sites.
     """
     k = list(keys)
-    two = metrics.select(*k, F.round("lden", 2).alias("lden"), F.round("laeq", 2).alias("laeq"))
+    # one row per site, read four times below
+    two = cut_lineage(metrics.select(*k, F.round("lden", 2).alias("lden"), F.round("laeq", 2).alias("laeq")))
     complete = two.agg(F.bool_and(F.col("lden").isNotNull()).alias("_all"))
     # the flag is a single row
     valued = two.join(F.broadcast(complete)).withColumn("level", F.when(F.col("_all"), F.col("lden")).otherwise(F.col("laeq")))

@@ -40,14 +40,17 @@ def scan(
     leads: dict[str, Column] | None = None,
     sums: dict[str, Column] | None = None,
     lasts: dict[str, Column] | None = None,
+    befores: dict[str, Column] | None = None,
 ) -> DataFrame:
-    """Add previous/next values, running sums (inclusive) and last non-null values (inclusive).
+    """Add previous/next values, running sums and last non-null values.
+
+    ``lasts`` include the row itself, ``befores`` do not.
 
     ``order`` must be a total order within the keys. ``slice_by`` must not decrease along it. A scan
     with ``keep_slice`` leaves the slice on its rows; a following scan given ``slice_by=None`` reuses
     it, and with it the partitioning.
     """
-    lags, leads, sums, lasts = lags or {}, leads or {}, sums or {}, lasts or {}
+    lags, leads, sums, lasts, befores = lags or {}, leads or {}, sums or {}, lasts or {}, befores or {}
     at = F.struct(*[F.col(c) for c in order])
     sliced = df if slice_by is None else df.withColumn(_SLICE, slice_by)
     part = [*keys, _SLICE]
@@ -63,6 +66,8 @@ def scan(
     local |= {f"_l_{n}": F.lead(c).over(w) for n, c in leads.items()}
     local |= {f"_l_{n}": F.sum(c).over(upto) for n, c in sums.items()}
     local |= {f"_l_{n}": F.last(c, ignorenulls=True).over(upto) for n, c in lasts.items()}
+    local |= {f"_l_{n}": F.last(c, ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, -1)) for n, c in befores.items()}
+    lasts = lasts | befores
 
     summary = sliced.groupBy(*part).agg(
         *[F.max_by(F.struct(c.alias("v")), at).alias(f"_s_{n}") for n, c in lags.items()],

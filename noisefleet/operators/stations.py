@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from noisefleet.functions import weather as wx
 from noisefleet.operators.scans import top_rows
+from noisefleet.session import cut_lineage
 
 LEVELS = tuple(range(0, 17))
 KM_PER_DEGREE = wx.EARTH_RADIUS_KM * 3.141592653589793 / 180.0
@@ -80,7 +81,8 @@ def nearest(places: DataFrame, stations: DataFrame, n: int) -> DataFrame:
 def nearest_stations(sites: DataFrame, stations: DataFrame, n: int = 3) -> DataFrame:
     """The ``n`` nearest stations per site, and the nearest with 1-minute data if none of them has it."""
     info = stations.select("station_id", "name", "has_1min")
-    near = nearest(sites, stations, n).join(info, "station_id")
+    # at most n rows per place, read twice below
+    near = cut_lineage(nearest(sites, stations, n)).join(info, "station_id")
     lacking = near.groupBy("lat", "lon").agg(F.bool_or("has_1min").alias("_ok")).where(~F.col("_ok")).select("lat", "lon")
     extra = (nearest(lacking, stations.where("has_1min"), 1).withColumn("rank", F.lit(n + 1))
              .join(info, "station_id"))

@@ -1,2 +1,221 @@
-QUERIES: dict = {}
-ORACLES: dict = {}
+"""Registered queries of ingest: text times, landed instrument and weather tables."""
+
+from __future__ import annotations
+
+import datetime as dt
+
+from pyspark.sql import functions as F
+
+from noisefleet.functions import clock as ck
+from noisefleet.operators import aggregates as agg
+from noisefleet.operators import compare as cmp
+from noisefleet.plans.registry.common import Query, dates_as_text, rounded
+from noisefleet.plans.registry.levels import LDEN, LDN, RATING_WINDOWS
+from noisefleet.plans.registry.sqlviews import oracle
+from noisefleet.plans.views import table, view
+from noisefleet.sources import files, loggers, timestamps, weather
+
+NOW = dt.date(2026, 1, 1)
+
+
+def _events(s, d):
+    return table(s, d, "events").withColumn("k", F.get_json_object("props", "$.k").cast("int")).withColumnRenamed("event_type", "site_id").withColumnRenamed("event_id", "seq")
+
+
+def _mixed_text(s, d):
+    """V7 with two sites spoiled: clicks keep minutes only, signups lose every second time."""
+    return _events(s, d).select("site_id", "seq", F.when(F.col("site_id") == "click", F.date_format("ts", "mm:ss"))
+                                .when((F.col("site_id") == "signup") & (F.col("seq") % 2 == 0), "?")
+                                .when(F.col("site_id") == "view", F.unix_seconds(F.col("ts").cast("timestamp")).cast("string"))
+                                .otherwise(F.date_format("ts", "yyyy-MM-dd HH:mm:ss.SSS")).alias("raw"))
+
+
+def _tied(s, d):
+    return _events(s, d).select("site_id", "seq", F.date_trunc("HOUR", "ts").cast("timestamp_ntz").alias("ts"))
+
+
+def _mmss(s, d):
+    return _events(s, d).select("site_id", "seq", F.when(F.col("seq") % 53 == 5, "bad").otherwise(F.date_format("ts", "mm:ss")).alias("raw"))
+
+
+def _base(s, d):
+    return _events(s, d).groupBy("site_id").agg(F.date_trunc("DAY", F.min("ts")).cast("timestamp_ntz").alias("base_ts"))
+
+
+def _names(s, d):
+    k = F.col("c_custkey")
+    day = (k % 28 + 1).cast("string")
+    return table(s, d, "customer").select("c_custkey", F.when(k % 4 == 0, F.concat(F.lit("20240101_101500_"), day, F.lit("_feb-_"), day, F.lit("_march.csv")))
+        .when(k % 4 == 1, F.concat(F.lit("home "), (k % 12 + 1), F.lit("."), day, F.lit("-"), (k % 12 + 1), F.lit("."), day, F.lit(" 2023.csv")))
+        .when(k % 4 == 2, F.concat(F.lit("room "), (k % 9), F.lit(".30-17.45.txt"))).otherwise(F.col("c_name")).alias("name"),
+        F.lit("2024-06-15").cast("date").alias("modified"))
+
+
+def _from_names(s, d):
+    from noisefleet.functions import text
+    n = _names(s, d).withColumn("stem", text.file_stem(F.col("name")))
+    first, last = timestamps.dates_from_name(F.col("stem"), F.col("modified"))
+    return dates_as_text(n.select("c_custkey", "stem", first.alias("first_date"), last.alias("last_date"),
+                                  timestamps.start_time_from_name(F.col("stem")).alias("start_time")))
+
+
+def _sheet(s, d):
+    return _events(s, d).select(
+        "site_id", F.date_format("ts", "yyyy-MM-dd  HH:mm:ss").alias("  Date/Time "), (35 + F.col("value") / 8).alias(" LAeq "),
+        (44 + F.col("value") / 8).alias("LCeq"), (36 + F.col("value") / 8).alias("LASmax"), (37 + F.col("value") / 8).alias("LAFmax"),
+        F.when(F.col("k") % 29 == 0, "Yes").when(F.col("k") % 7 == 0, "No").alias("Overload"))
+
+
+def _gapped(s, d):
+    q = F.col("seq")
+    return view(s, d, "reading").withColumns({
+        "leq": F.when(q % 13 != 0, F.col("leq")), "lmax": F.when((q % 26 != 0) & (q % 7 != 0), F.col("lmax")),
+        "lmin": F.when(q % 39 == 0, F.lit(float("nan"))).when(q % 13 != 0, F.col("lmin"))})
+
+
+def _landed_onemin(s, d):
+    k = F.col("k")
+    miss = k % 11 == 0
+    def t(c):
+        return F.when(miss, "M").otherwise(c.cast("string"))
+    return _events(s, d).select(
+        F.lit("ST0").alias("station"), "seq", F.date_format("ts", "yyyy-MM-dd HH:mm").alias("valid(UTC)"), t(20 + k % 60).alias("tmpf"), t(k % 20).alias("sknt"),
+        F.when(k % 3 == 0, "").otherwise(t(k % 20 + 3)).alias("gust_sknt"),
+        F.when(k % 5 == 0, "--").when(miss, " M ").otherwise("NP").alias("ptype"), t(k % 2).alias("precip"))
+
+
+def _landed_metar(s, d):
+    k = F.col("k")
+    return _events(s, d).select(
+        F.lit("ST0").alias("station"), "seq", F.when(F.col("seq") % 71 == 0, "bad").otherwise(F.date_format("ts", "yyyy-MM-dd HH:mm")).alias("valid"),
+        F.when(k % 9 == 0, "").otherwise((20 + k % 60).cast("string")).alias("tmpf"), F.when(k % 4 == 0, "M").otherwise((k % 25).cast("string")).alias("sknt"),
+        F.lit("").alias("gust"), F.when(k % 6 == 0, " -RA ").otherwise("").alias("wxcodes"), F.lit(" AUTO ").alias("metar"))
+
+
+def _landed_snow(s, d):
+    o = F.col("o_orderkey")
+    return table(s, d, "orders").select(
+        o.cast("string").alias("ghcnd_id"), F.date_format("o_orderdate", "yyyy-MM-dd").alias("DATE"),
+        F.when(o % 9 == 0, "").when(o % 10 == 0, "-9999").otherwise((o % 12).cast("string")).alias("SNWD"),
+        F.when(o % 6 == 0, ",X,7,0700").when(o % 7 == 0, "").otherwise(",,7,0700").alias("SNWD_ATTRIBUTES"), (o % 5 * 0.5).cast("string").alias("SNOW"),
+        F.when(o % 8 == 0, "T,,7,").otherwise(",,7,").alias("SNOW_ATTRIBUTES"))
+
+
+def _landed_history(s, d):
+    k = F.col("s_suppkey")
+    return table(s, d, "supplier").select(
+        F.when(k % 6 == 0, "CA").otherwise("US").alias("CTRY"), F.when(k % 5 == 0, "").otherwise(F.concat(F.lit("K"), k + 10)).alias("ICAO"),
+        F.lpad(k.cast("string"), 5, "0").alias("WBAN"), F.when(k % 7 == 0, "").otherwise(F.concat(F.lit("+"), 25 + k % 20, F.lit(".5"))).alias("LAT"),
+        F.concat(F.lit("-"), 80 + k % 40, F.lit(".25")).alias("LON"), F.lit("20251231").alias("END"), F.lit("MD").alias("STATE"))
+
+
+def _parsed(s, d):
+    return timestamps.parse_times(_mixed_text(s, d)).select("site_id", "seq", "ts", "method")
+
+
+QUERIES: dict[str, Query] = {
+    "ts_parse_vote": lambda s, d: rounded(timestamps.choose_method(view(s, d, "raw_text")), 6),
+    "ts_parse": lambda s, d: timestamps.parse_times(view(s, d, "raw_text")).select("site_id", "seq", "ts", "method"),
+    "ts_parse_mixed": lambda s, d: _parsed(s, d),
+    "ts_time_only": lambda s, d: timestamps.time_only(_mixed_text(s, d)),
+    "ts_integrity": lambda s, d: rounded(timestamps.assess_integrity(_mixed_text(s, d), NOW), 6),
+    "ts_combine": lambda s, d: _events(s, d).select("seq", timestamps.combine_date_time(
+        F.date_format("ts", "dd/MM/yyyy"), F.when(F.col("k") % 3 == 0, F.hour("ts").cast("string")).otherwise(F.date_format("ts", "HH:mm:ss"))).alias("ts")),
+    "ts_expand_ties": lambda s, d: timestamps.expand_ties(_tied(s, d)),
+    "ts_unwrap_mmss": lambda s, d: timestamps.unwrap_minutes(_mmss(s, d), _base(s, d)),
+    "ts_elapsed": lambda s, d: _events(s, d).select("seq", timestamps.from_elapsed(
+        F.when(F.col("k") % 2 == 0, F.concat(F.col("seq") % 600, F.lit(":"), F.lpad((F.col("k") % 60).cast("string"), 2, "0"), F.lit(".5")))
+        .otherwise(F.concat(F.col("k") % 30, F.lit(":05:"), F.lpad((F.col("seq") % 60).cast("string"), 2, "0"))), ck.ntz("2024-03-05 09:00:00")).alias("ts")),
+    "ts_from_filename": _from_names,
+    "ld_flagged_null": lambda s, d: loggers.larson_davis(_sheet(s, d), ["site_id"]),
+    "decimal_comma": lambda s, d: files.fix_decimal_commas(view(s, d, "raw_text").where(F.col("x").isNotNull()).withColumn(
+        "x", F.when((F.col("site_id") == "view") & (F.col("seq") % 10 == 0), "n/a").otherwise(F.col("x"))), ["x"], ["site_id"]).select("site_id", "seq", "x"),
+    "numeric_ratio": lambda s, d: rounded(files.numeric_share(view(s, d, "raw_text").withColumn("y", F.when(
+        F.col("seq") % 9 == 0, "-").otherwise(F.col("seq").cast("string"))), ["raw", "x", "y"]), 6),
+    "rowlimit_flag": lambda s, d: files.row_limit_flags(view(s, d, "reading"), ["site_id", "file_seq"]),
+    "validate_rows": lambda s, d: files.validation_report(_gapped(s, d)),
+    "wx_onemin_norm": lambda s, d: weather.onemin(_landed_onemin(s, d), ck.ntz("2024-01-02 00:00:00"), ck.ntz("2024-01-20 00:00:00")),
+    "wx_metar_norm": lambda s, d: weather.metar(_landed_metar(s, d)),
+    "snow_daily_norm": lambda s, d: rounded(weather.snow_daily(_landed_snow(s, d))),
+    "station_filter": lambda s, d: weather.station_history(_landed_history(s, d)),
+    "suppress_untrusted": lambda s, d: rounded(cmp.suppress_untrusted(
+        agg.rating_levels(view(s, d, "reading")), timestamps.assess_integrity(_mixed_text(s, d), NOW))),
+}
+
+E = "e AS (SELECT *, event_type AS site_id, event_id AS seq, CAST(json_extract_string(props,'$.k') AS INT) AS k FROM events)"
+MIXED = f"""{E}, mt AS (SELECT site_id, seq, ts, CASE site_id WHEN 'click' THEN strftime(ts, '%M:%S') WHEN 'view' THEN CAST(epoch(ts) AS BIGINT)::VARCHAR
+    ELSE strftime(ts, '%Y-%m-%d %H:%M:%S.%g') END AS raw, site_id = 'signup' AND seq % 2 = 0 AS lost FROM e)"""
+INTEGRITY = f"""{MIXED}, it AS (SELECT site_id, CASE site_id WHEN 'click' THEN 'unusable' WHEN 'signup' THEN 'unusable' ELSE 'ok' END AS status, count(*) AS n_total,
+    CASE WHEN site_id = 'click' THEN 0 ELSE count(*) FILTER (WHERE NOT lost) END AS n_parsed,
+    CASE WHEN site_id = 'click' THEN 0 ELSE round(100.0::DOUBLE*count(*) FILTER (WHERE NOT lost)/count(*),6) END AS parsed_pct,
+    CASE WHEN site_id = 'click' THEN 0 ELSE count(DISTINCT ts::DATE) FILTER (WHERE NOT lost) END AS unique_dates,
+    CASE WHEN site_id = 'click' THEN 0 ELSE round((epoch(max(CASE WHEN site_id = 'view' THEN date_trunc('second', ts) ELSE date_trunc('millisecond', ts) END) FILTER (WHERE NOT lost))
+        - epoch(min(CASE WHEN site_id = 'view' THEN date_trunc('second', ts) ELSE date_trunc('millisecond', ts) END) FILTER (WHERE NOT lost)))/86400,6) END AS span_days,
+    CASE site_id WHEN 'click' THEN 'time-only' WHEN 'view' THEN 'epoch:s' ELSE 'inferred-yearfirst' END AS method, site_id NOT IN ('click', 'signup') AS time_metrics_valid FROM mt GROUP BY site_id)"""
+
+ORACLES = {
+    "ts_parse_vote": oracle("""SELECT site_id, count(*) AS n, CASE site_id WHEN 'view' THEN 'inferred-dayfirst' ELSE 'inferred-yearfirst' END AS method,
+        round(count(*) FILTER (WHERE raw <> 'not a time')::DOUBLE/count(*),6) AS share FROM raw_text GROUP BY ALL""", "raw_text"),
+    "ts_parse": oracle("""SELECT t.site_id, seq, CASE WHEN raw <> 'not a time' THEN date_trunc('second', ts) END AS ts,
+        CASE t.site_id WHEN 'view' THEN 'inferred-dayfirst' ELSE 'inferred-yearfirst' END AS method FROM raw_text t JOIN events ON event_id = seq""", "raw_text"),
+    "ts_parse_mixed": oracle(f"""WITH {MIXED} SELECT site_id, seq, CASE WHEN lost OR site_id = 'click' THEN NULL WHEN site_id = 'view' THEN date_trunc('second', ts) ELSE date_trunc('millisecond', ts) END AS ts,
+        CASE site_id WHEN 'view' THEN 'epoch:s' WHEN 'click' THEN 'inferred-dayfirst' ELSE 'inferred-yearfirst' END AS method FROM mt"""),
+    "ts_time_only": oracle(f"WITH {MIXED} SELECT site_id, site_id = 'click' AS time_only FROM mt GROUP BY ALL"),
+    "ts_integrity": oracle(f"WITH {INTEGRITY} SELECT * FROM it"),
+    "ts_combine": oracle(f"""WITH {E} SELECT seq, CASE WHEN k % 3 = 0 THEN date_trunc('hour', ts) ELSE date_trunc('second', ts) END AS ts FROM e"""),
+    "ts_expand_ties": oracle(f"""WITH {E}, t AS (SELECT site_id, seq, date_trunc('hour', ts) AS ts FROM e),
+        a AS (SELECT *, CASE WHEN ts = lag(ts) OVER (PARTITION BY site_id ORDER BY seq) THEN 0 ELSE 1 END AS st FROM t),
+        b AS (SELECT *, sum(st) OVER (PARTITION BY site_id ORDER BY seq) AS blk FROM a),
+        c AS (SELECT site_id, blk, min(ts) AS start, count(*)::DOUBLE AS size FROM b GROUP BY ALL),
+        d AS (SELECT *, lead(start) OVER (PARTITION BY site_id ORDER BY blk) AS nxt FROM c),
+        wm AS (SELECT site_id, arg_max(w, struct_pack(n := n, w := -w)) AS mw FROM (SELECT site_id, epoch(nxt) - epoch(start) AS w, count(*) AS n FROM d WHERE nxt > start GROUP BY ALL) GROUP BY site_id),
+        sm AS (SELECT site_id, arg_max(size, struct_pack(n := n, w := -size)) AS ms FROM (SELECT site_id, size, count(*) AS n FROM d GROUP BY ALL) GROUP BY site_id),
+        f AS (SELECT d.*, mw/ms AS step, coalesce(epoch(nxt) - epoch(start), mw) AS width, mw FROM d JOIN wm USING (site_id) JOIN sm USING (site_id)),
+        g AS (SELECT *, width <= mw*1.5 AND nxt IS NOT NULL AND size > 1 AS touch, size*step <= width AS fits FROM f),
+        h AS (SELECT b.site_id, b.seq, start, row_number() OVER (PARTITION BY b.site_id, b.blk ORDER BY seq) - 1 AS k,
+            CASE WHEN touch AND fits THEN width - size*step ELSE 0 END AS base, CASE WHEN touch AND NOT fits THEN width/size ELSE step END AS sp FROM b JOIN g USING (site_id, blk))
+        SELECT site_id, seq, start + to_microseconds(CAST(round((base + k*sp)*1000000) AS BIGINT)) AS ts FROM h"""),
+    "ts_unwrap_mmss": oracle(f"""WITH {E}, t AS (SELECT site_id, seq, CASE WHEN seq % 53 = 5 THEN 'bad' ELSE strftime(ts, '%M:%S') END AS raw,
+            CASE WHEN seq % 53 <> 5 THEN minute(ts)*60 + second(ts) END AS w FROM e),
+        a AS (SELECT *, last_value(w IGNORE NULLS) OVER (PARTITION BY site_id ORDER BY seq) AS ff FROM t),
+        b AS (SELECT *, sum(CASE WHEN ff < pf THEN 1 ELSE 0 END) OVER (PARTITION BY site_id ORDER BY seq) AS wraps FROM (SELECT *, lag(ff) OVER (PARTITION BY site_id ORDER BY seq) AS pf FROM a)),
+        f AS (SELECT site_id, arg_min(w, seq) FILTER (WHERE w IS NOT NULL) AS w0 FROM t GROUP BY ALL), z AS (SELECT site_id, date_trunc('day', min(ts)) AS base FROM e GROUP BY ALL)
+        SELECT site_id, seq, raw, base + to_seconds(CAST(wraps*3600 + ff - w0 AS BIGINT)) AS ts FROM b JOIN f USING (site_id) JOIN z USING (site_id)"""),
+    "ts_elapsed": oracle(f"""WITH {E} SELECT seq, TIMESTAMP '2024-03-05 09:00:00' + CASE WHEN k % 2 = 0 THEN to_milliseconds(((seq % 600)*60 + k % 60)*1000 + 500)
+        ELSE to_milliseconds(((k % 30)*3600 + 300 + seq % 60)*1000) END AS ts FROM e"""),
+    "ts_from_filename": oracle("""WITH n AS (SELECT c_custkey, c_custkey % 28 + 1 AS dd, c_custkey % 12 + 1 AS mm, c_name FROM customer),
+        m AS (SELECT *, CASE c_custkey % 4 WHEN 0 THEN concat(dd, '_feb-_', dd, '_march') WHEN 1 THEN concat('home ', mm, '.', dd, '-', mm, '.', dd, ' 2023')
+            WHEN 2 THEN concat('room ', c_custkey % 9, '.30-17.45') ELSE c_name END AS stem FROM n)
+        SELECT c_custkey, stem, CASE c_custkey % 4 WHEN 0 THEN strftime(make_date(2024, 2, dd), '%Y-%m-%d') WHEN 1 THEN strftime(make_date(2023, mm, dd), '%Y-%m-%d') END AS first_date,
+        CASE c_custkey % 4 WHEN 0 THEN strftime(make_date(2024, 3, dd), '%Y-%m-%d') WHEN 1 THEN strftime(make_date(2023, mm, dd), '%Y-%m-%d') END AS last_date,
+        CASE WHEN c_custkey % 4 = 2 THEN printf('%02d:30', CAST(c_custkey % 9 AS INT)) END AS start_time FROM m"""),
+    "ld_flagged_null": oracle(f"""WITH {E} SELECT site_id, date_trunc('second', ts) AS ts, k % 29 = 0 AS flagged, CASE WHEN k % 29 <> 0 THEN 35 + value/8 END AS leq,
+        CASE WHEN k % 29 <> 0 THEN 37 + value/8 END AS lmax, NULL::DOUBLE AS lmin FROM e"""),
+    "decimal_comma": oracle("""WITH r AS (SELECT site_id, seq, CASE WHEN site_id = 'view' AND seq % 10 = 0 THEN 'n/a' ELSE x END AS x FROM raw_text),
+        s AS (SELECT site_id, avg(CASE WHEN regexp_full_match(x, '-?[0-9]+,[0-9]+') THEN 1.0 ELSE 0 END) AS share FROM r GROUP BY ALL)
+        SELECT site_id, seq, CASE WHEN share >= 0.95 THEN TRY_CAST(replace(x, ',', '.') AS DOUBLE)::VARCHAR ELSE x END AS x FROM r JOIN s USING (site_id)""", "raw_text"),
+    "numeric_ratio": oracle("""SELECT 'raw' AS "column", round(avg(CASE WHEN TRY_CAST(raw AS DOUBLE) IS NULL THEN 0.0::DOUBLE ELSE 1 END),6) AS share FROM raw_text
+        UNION ALL SELECT 'x', round(avg(CASE WHEN TRY_CAST(x AS DOUBLE) IS NULL THEN 0.0::DOUBLE ELSE 1 END),6) FROM raw_text
+        UNION ALL SELECT 'y', round(avg(CASE WHEN seq % 9 = 0 THEN 0.0::DOUBLE ELSE 1 END),6) FROM raw_text""", "raw_text"),
+    "rowlimit_flag": oracle("""SELECT site_id, file_seq, count(*) AS n_rows, CASE WHEN count(*) BETWEEN 1048570 AND 1048576 THEN 'xlsx' WHEN count(*) BETWEEN 65530 AND 65536 THEN 'xls' END AS worksheet,
+        count(*) BETWEEN 1048570 AND 1048576 OR count(*) BETWEEN 65530 AND 65536 AS truncated_at_row_limit FROM reading GROUP BY ALL""", "reading"),
+    "validate_rows": oracle("""WITH g AS (SELECT site_id, CASE WHEN seq % 13 <> 0 THEN leq END AS leq, CASE WHEN seq % 26 <> 0 AND seq % 7 <> 0 THEN lmax END AS lmax,
+            CASE WHEN seq % 13 <> 0 THEN lmin END AS lmin FROM reading)
+        SELECT site_id, count(*) AS n_rows, count(*) FILTER (WHERE coalesce(leq, lmax, lmin) IS NULL) AS rows_dropped,
+        count(*) FILTER (WHERE coalesce(leq, lmax, lmin) IS NOT NULL AND leq IS NULL) AS leq_missing, count(*) FILTER (WHERE coalesce(leq, lmax, lmin) IS NOT NULL AND lmax IS NULL) AS lmax_missing,
+        count(*) FILTER (WHERE coalesce(leq, lmax, lmin) IS NOT NULL AND lmin IS NULL) AS lmin_missing FROM g GROUP BY ALL""", "reading"),
+    "wx_onemin_norm": oracle(f"""WITH {E}, n AS (SELECT 'ST0' AS station, date_trunc('minute', ts) AS valid_utc, seq, CASE WHEN k % 11 <> 0 THEN (20 + k % 60)::DOUBLE END AS tmpf,
+            CASE WHEN k % 11 <> 0 THEN (k % 20)::DOUBLE END AS sknt, CASE WHEN k % 3 <> 0 AND k % 11 <> 0 THEN (k % 20 + 3)::DOUBLE END AS gust_sknt,
+            CASE WHEN k % 5 = 0 OR k % 11 = 0 THEN '' ELSE 'NP' END AS ptype, CASE WHEN k % 11 <> 0 THEN (k % 2)::DOUBLE END AS precip FROM e)
+        SELECT * FROM n WHERE valid_utc >= TIMESTAMP '2024-01-02' AND valid_utc < TIMESTAMP '2024-01-20' QUALIFY row_number() OVER (PARTITION BY valid_utc ORDER BY seq DESC) = 1"""),
+    "wx_metar_norm": oracle(f"""WITH {E} SELECT 'ST0' AS station, date_trunc('minute', ts) AS valid_utc, seq, CASE WHEN k % 9 <> 0 THEN (20 + k % 60)::DOUBLE END AS tmpf,
+        CASE WHEN k % 4 <> 0 THEN (k % 25)::DOUBLE END AS sknt, NULL::DOUBLE AS gust, CASE WHEN k % 6 = 0 THEN '-RA' ELSE '' END AS wxcodes, 'AUTO' AS metar FROM e WHERE seq % 71 <> 0"""),
+    "snow_daily_norm": oracle("""SELECT o_orderkey::VARCHAR AS ghcnd_id, CAST(o_orderdate AS DATE) AS date,
+        CASE WHEN o_orderkey % 9 <> 0 AND o_orderkey % 10 <> 0 AND o_orderkey % 6 <> 0 AND o_orderkey % 7 <> 0 THEN round(o_orderkey % 12 * 25.4::DOUBLE,4) END AS snwd_mm,
+        CASE WHEN o_orderkey % 8 <> 0 THEN round(o_orderkey % 5 * 0.5::DOUBLE * 25.4::DOUBLE,4) END AS snow_mm FROM orders""", dates=("date",)),
+    "station_filter": oracle("""SELECT concat('K', s_suppkey + 10) AS icao, lpad(s_suppkey::VARCHAR, 5, '0') AS wban, (25 + s_suppkey % 20 + 0.5)::DOUBLE AS lat,
+        -(80 + s_suppkey % 40 + 0.25)::DOUBLE AS lon, '20251231' AS "end", 'MD' AS state FROM supplier WHERE s_suppkey % 6 <> 0 AND s_suppkey % 5 <> 0 AND s_suppkey % 7 <> 0"""),
+    "suppress_untrusted": oracle(f"""WITH {INTEGRITY}, g AS (SELECT site_id, {RATING_WINDOWS} FROM reading GROUP BY ALL), x AS (SELECT *, laeq_night_lden AS lnight, {LDN} AS ldn, {LDEN} AS lden FROM g)
+        SELECT site_id, round(laeq_24h,4) AS laeq_24h, """ + ", ".join(f"CASE WHEN time_metrics_valid THEN round({c},4) END AS {c}" for c in cmp.TIME_DEPENDENT)
+        + ", NOT time_metrics_valid AS time_metrics_suppressed FROM x JOIN it USING (site_id)", "reading"),
+}
