@@ -115,10 +115,9 @@ def rank_sites(metrics: DataFrame, keys: Sequence[str] = SITE) -> DataFrame:
     k = list(keys)
     # one row per site, read four times below
     two = cut_lineage(metrics.select(*k, F.round("lden", 2).alias("lden"), F.round("laeq", 2).alias("laeq")))
-    complete = two.agg(F.bool_and(F.col("lden").isNotNull()).alias("_all"))
-    # the flag is a single row
-    valued = two.join(F.broadcast(complete)).withColumn("level", F.when(F.col("_all"), F.col("lden")).otherwise(F.col("laeq")))
-    valued = valued.where(F.col("level").isNotNull()).select(*k, "level", F.when(F.col("_all"), "Lden").otherwise("LAeq").alias("ranked_by"))
+    by_lden = two.agg(F.bool_and(F.col("lden").isNotNull())).first()[0]
+    level = "lden" if by_lden else "laeq"
+    valued = two.where(F.col(level).isNotNull()).select(*k, F.col(level).alias("level"), F.lit("Lden" if by_lden else "LAeq").alias("ranked_by"))
     r = ranks.ranked(ranks.value_counts(valued, [], "level"), []).select(F.col("v").alias("level"), (F.col("rank0") + 1).alias("rank"))
     return valued.join(r, "level").select(*k, "rank", "level", "ranked_by")
 

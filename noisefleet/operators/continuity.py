@@ -24,19 +24,18 @@ def modal_step(steps: DataFrame, keys: Sequence[str], step: str = "step_s") -> D
     """Most frequent positive step per key, the smallest on ties, 1 s when there is none."""
     counted = (steps.groupBy(*keys, F.when(F.col(step) > 0, F.col(step)).alias("_s"))
                .agg(F.count(F.lit(1)).alias("_n")))
-    return counted.groupBy(*keys).agg(
-        F.coalesce(F.max_by("_s", F.when(F.col("_s").isNotNull(), F.struct(F.col("_n"), -F.col("_s")))),
-                   F.lit(1.0)).alias("interval_s"))
+    return counted.groupBy(*keys).agg(_mode().alias("interval_s"))
+
+
+def _mode() -> Column:
+    return F.coalesce(F.max_by("_s", F.when(F.col("_s").isNotNull(), F.struct(F.col("_n"), -F.col("_s")))), F.lit(1.0))
 
 
 def modal_interval(df: DataFrame, keys: Sequence[str] = SITE, ts: str = "ts") -> DataFrame:
     """Logging interval of every site: the mode of its steps in time order."""
     timed = df.where(F.col(ts).isNotNull()).select(*keys, ts, "seq")
     p = pairs(timed, keys, hour_slice(ts), [ts, "seq"])
-    steps = p.select(*keys, ck.seconds_between(f"prev.{ts}", f"cur.{ts}").alias("step_s"))
-    found = modal_step(steps, keys)
-    return timed.select(*keys).distinct().join(found, list(keys), "left").select(
-        *keys, F.coalesce("interval_s", F.lit(1.0)).alias("interval_s"))
+    return modal_step(p.select(*keys, ck.seconds_between(f"prev.{ts}", f"cur.{ts}").alias("step_s")), keys)
 
 
 def elapsed_keyed(df: DataFrame, keys: Sequence[str] = SITE) -> DataFrame:
@@ -45,12 +44,23 @@ def elapsed_keyed(df: DataFrame, keys: Sequence[str] = SITE) -> DataFrame:
 
 
 def edges(keyed: DataFrame, keys: Sequence[str] = SITE) -> DataFrame:
-    """Steps between neighbouring readings in elapsed order: both wall times and the elapsed step."""
+    """Steps between neighbouring readings in elapsed order: both wall times and the elapsed step.
+
+    One row per reading; the first of a site has no step.
+    """
     p = pairs(keyed, keys, hour_slice("ord_ts"), ORDER)
-    return p.select(*keys, F.col("prev.ts").alias("prev_ts"), F.col("cur.ts").alias("ts"),
+    return p.select(*keys, F.col("prev.ts").alias("prev_ts"), F.col("cur.ts").alias("ts"), F.col("cur.ord_ts").alias("ord_ts"),
                     ck.seconds_between("prev.ord_ts", "cur.ord_ts").alias("step_s"))
 
 
+def step_summary(steps: DataFrame, keys: Sequence[str] = SITE) -> DataFrame:
+    """Interval, number of readings and first and last elapsed time per site, in one aggregation."""
+    counted = steps.groupBy(*keys, F.when(F.col("step_s") > 0, F.col("step_s")).alias("_s")).agg(
+        F.count(F.lit(1)).alias("_n"), F.min("ord_ts").alias("_a"), F.max("ord_ts").alias("_b"))
+    return counted.groupBy(*keys).agg(_mode().alias("interval_s"), F.sum("_n").alias("total_rows"),
+                                      F.min("_a").alias("first_ord"), F.max("_b").alias("last_ord"))
+
+
 def gap_threshold(interval_s: Column) -> Column:
     return F.greatest(2.0 * interval_s, F.lit(MIN_GAP_S))
 
@@ -60,10 +70,11 @@ def wide_steps(steps: DataFrame, zone: str, keys: Sequence[str] = SITE) -> DataF
 
     Zone arithmetic runs only on these rows.
     """
-    i = F.col("interval_s")
+    # a left join and a default keep the plan of ``steps`` equal to the summary's, so its shuffle is reused
+    i = F.coalesce("interval_s", F.lit(1.0))
     elapsed, shift = clocks.clock_change_shift(zone)
     wall_wide = ck.seconds_between("prev_ts", "ts") > gap_threshold(i)
-    return (steps.join(modal_step(steps, keys), list(keys))
+    return (steps.join(step_summary(steps, keys).select(*keys, "interval_s"), list(keys), "left")
             .where((F.col("step_s") > gap_threshold(i)) | wall_wide)
             .withColumn("shift_s", F.when(wall_wide & (shift >= 3600.0 - i), shift))
             .withColumn("step_s", F.when(F.col("shift_s").isNotNull(), elapsed).otherwise(F.col("step_s")))
@@ -127,9 +138,7 @@ def excluded_gaps(df: DataFrame, exclusions: DataFrame, zone: str = DEFAULT_ZONE
 def gap_summary(df: DataFrame, zone: str = DEFAULT_ZONE, exclusions: DataFrame | None = None,
                 keys: Sequence[str] = SITE) -> DataFrame:
     """Expected readings, completeness and gap counts per site; clock changes and exclusions are not data loss."""
-    keyed = elapsed_keyed(df, keys)
-    steps = edges(keyed, keys)
-    base = keyed.groupBy(*keys).agg(F.count(F.lit(1)).alias("total_rows"), F.min("ord_ts").alias("_a"), F.max("ord_ts").alias("_b"))
+    steps = edges(elapsed_keyed(df, keys), keys)
     marked = _explain_by_exclusions(wide_steps(steps, zone, keys), exclusions, keys)
     out, gap = F.col("excl_start").isNotNull(), F.col("is_gap")
     missing = F.greatest(F.lit(0.0), F.col("step_s") - F.col("interval_s"))
@@ -142,13 +151,13 @@ def gap_summary(df: DataFrame, zone: str = DEFAULT_ZONE, exclusions: DataFrame |
     def zero(c: str, v=0) -> Column:
         return F.coalesce(c, F.lit(v))
 
-    i = zero("interval_s", 1.0)
-    span = ck.seconds_between("_a", "_b")
+    i = F.col("interval_s")
+    span = ck.seconds_between("first_ord", "last_ord")
     measured = span - zero("_shift", 0.0) - zero("_excluded", 0.0)
     rows = F.col("total_rows")
     expected = F.when(rows >= 2, F.greatest(F.bround(measured / i, 0).cast("long") + 1, rows)).otherwise(0)
     exact = F.when(rows >= 2, F.least(F.lit(100.0), rows / expected * 100.0)).otherwise(100.0)
-    return base.join(modal_step(steps, keys), list(keys), "left").join(g, list(keys), "left").select(
+    return step_summary(steps, keys).join(g, list(keys), "left").select(
         *keys, "total_rows", i.alias("logging_interval_seconds"), span.alias("actual_span_seconds"),
         expected.alias("expected_rows"), exact.alias("completeness_exact"), text.floor_pct(exact, 2).alias("uptime_pct"),
         zero("_gaps").alias("gap_count"), zero("_minor").alias("minor_gap_count"),
@@ -158,13 +167,12 @@ def gap_summary(df: DataFrame, zone: str = DEFAULT_ZONE, exclusions: DataFrame |
 
 def completeness(df: DataFrame, zone: str = DEFAULT_ZONE, keys: Sequence[str] = SITE) -> DataFrame:
     """Data completeness (%) against the unrounded number of expected readings."""
-    keyed = clocks.ordering_key(df.select(*keys, "ts", "fold", "seq"), keys)
-    steps = edges(keyed.where(F.col("ts").isNotNull()), keys)
-    rows = keyed.groupBy(*keys).agg(F.count(F.lit(1)).alias("n_rows"), F.min("ord_ts").alias("_a"), F.max("ord_ts").alias("_b"))
+    steps = edges(elapsed_keyed(df, keys), keys)
+    rows = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("n_rows"))
     shift = wide_steps(steps, zone, keys).groupBy(*keys).agg(F.sum("shift_s").alias("_shift"))
-    span = ck.seconds_between("_a", "_b")
+    span = ck.seconds_between("first_ord", "last_ord")
     expected = F.greatest(F.lit(1.0), (span - F.coalesce("_shift", F.lit(0.0))) / F.col("interval_s") + 1.0)
-    return (rows.join(modal_step(steps, keys), list(keys), "left").join(shift, list(keys), "left")
+    return (rows.join(step_summary(steps, keys), list(keys), "left").join(shift, list(keys), "left")
             .select(*keys, "n_rows", F.when(span > 0, F.least(F.lit(100.0), 100.0 * F.col("n_rows") / expected)).alias("completeness_pct")))
 
 
@@ -177,7 +185,7 @@ def merge_files(df: DataFrame, keys: Sequence[str] = SITE) -> tuple[DataFrame, D
     rest = [c for c in df.columns if c not in (*keys, "ts", "fold")]
     best = F.struct(F.col("file_seq"), F.col("seq"), *[F.col(c) for c in rest if c not in ("file_seq", "seq")])
     merged = (df.where(F.col("ts").isNotNull()).groupBy(*keys, "ts", "fold")
-              .agg(F.min_by(best, F.struct("file_seq", "seq")).alias("_b"), F.count(F.lit(1)).alias("_n")))
+              .agg(F.min_by(best, F.struct("file_seq", "seq")).alias("_b")))
     notes = merge_notes(df, keys)
     return merged.select(*[F.col(c) if c in (*keys, "ts", "fold") else F.col(f"_b.{c}").alias(c) for c in df.columns]), notes
 

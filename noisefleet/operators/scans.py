@@ -94,7 +94,7 @@ def scan(
 
 
 def pairs(df: DataFrame, keys: Sequence[str], slice_by: Column, order: Sequence[str]) -> DataFrame:
-    """Every reading with the one before it, as structs ``prev`` and ``cur``.
+    """Every reading with the one before it, as structs ``prev`` (NULL for the first) and ``cur``.
 
     Pairs inside a slice come from a window; pairs across slices from the slices' first and last rows.
     Nothing is joined back, so a filter on the pairs applies at once.
@@ -107,11 +107,12 @@ def pairs(df: DataFrame, keys: Sequence[str], slice_by: Column, order: Sequence[
                            F.col("_row").alias("cur"))
     ends = sliced.groupBy(*part).agg(F.min_by("_row", at).alias("cur"), F.max_by("_row", at).alias("_last"))
     across = ends.select(*keys, F.lag("_last").over(Window.partitionBy(*keys).orderBy(_SLICE)).alias("prev"), "cur")
-    return inside.unionByName(across).where(F.col("prev").isNotNull())
+    return inside.where(F.col("prev").isNotNull()).unionByName(across)
 
 
-def first_rows(df: DataFrame, keys: Sequence[str], slice_by: Column, order: Sequence[str], k: int) -> DataFrame:
-    """The first ``k`` rows of every site in order, found from per-slice counts."""
+def first_rows(df: DataFrame, keys: Sequence[str], slice_by: Column, order: Sequence[str], k: int,
+               rank: str | None = None) -> DataFrame:
+    """The first ``k`` rows of every site in order, found from per-slice counts; ``rank`` names their number."""
     sliced = df.withColumn(_SLICE, slice_by)
     part = [*keys, _SLICE]
     before = Window.partitionBy(*keys).orderBy(_SLICE).rowsBetween(Window.unboundedPreceding, -1)
@@ -122,7 +123,7 @@ def first_rows(df: DataFrame, keys: Sequence[str], slice_by: Column, order: Sequ
     return (sliced.join(heads, part)
             .withColumn("_rank", F.row_number().over(w) + F.col("_before"))
             .where(F.col("_rank") <= k)
-            .select(*df.columns))
+            .select(*df.columns, *([F.col("_rank").alias(rank)] if rank else [])))
 
 
 def islands(df: DataFrame, keys: Sequence[str], slice_by: Column, order: Sequence[str], starts: Column,

@@ -136,12 +136,24 @@ def choose_snow_source(candidates: DataFrame, daily: DataFrame, period: DataFram
     near = candidates.where(F.col("distance_km") <= SNOW_RADIUS_KM)
     tried = top_rows(near, k, F.pmod(F.xxhash64("ghcnd_id"), F.lit(16)), [F.asc("distance_km"), F.asc("ghcnd_id")],
                      SNOW_MAX_CANDIDATES).join(period, k)
-    # days with a depth per station and period, from one count per station and date
-    days = daily.where(F.col("snwd_mm").isNotNull()).select("ghcnd_id", "date").distinct()
-    counted = (tried.join(days, "ghcnd_id").where(F.col("date").between(F.col("first_date"), F.col("last_date")))
-               .groupBy(*k, "ghcnd_id").agg(F.count(F.lit(1)).alias("_n")))
+    # running count of days with a depth: a period is the difference of two of its rows
+    known = daily.groupBy("ghcnd_id", "date").agg(F.max(F.when(F.col("snwd_mm").isNotNull(), 1)).alias("_k"))
+    span = known.groupBy("ghcnd_id").agg(F.min("date").alias("_a"), F.max("date").alias("_b"))
+    at = Window.partitionBy("ghcnd_id").orderBy("date").rowsBetween(Window.unboundedPreceding, 0)
+    running = (span.select("ghcnd_id", F.explode(F.sequence(F.date_sub("_a", 1), F.col("_b"))).alias("date"))
+               .join(known, ["ghcnd_id", "date"], "left")
+               .select("ghcnd_id", "date", F.sum(F.coalesce("_k", F.lit(0))).over(at).alias("_days")))
+    before = F.date_sub("_a", 1)
+
+    def clip(d: Column) -> Column:
+        return F.greatest(before, F.least(F.col("_b"), d))
+
+    asked = tried.join(span, "ghcnd_id").withColumn("_to", clip(F.col("last_date"))).withColumn("_from", clip(F.date_sub("first_date", 1)))
+    counted = (asked.join(running.select("ghcnd_id", F.col("date").alias("_to"), F.col("_days").alias("_n1")), ["ghcnd_id", "_to"])
+               .join(running.select("ghcnd_id", F.col("date").alias("_from"), F.col("_days").alias("_n0")), ["ghcnd_id", "_from"])
+               .withColumn("_n", F.col("_n1") - F.col("_n0")).where(F.col("_n") > 0))
     length = F.greatest(F.lit(1), F.date_diff("last_date", "first_date") + 1)
-    c = tried.join(counted, [*k, "ghcnd_id"]).withColumn("coverage", F.col("_n") / length)
+    c = counted.withColumn("coverage", F.col("_n") / length)
     full = F.when(F.col("coverage") >= SNOW_MIN_COVERAGE, F.col("rank"))
     pick = F.struct("ghcnd_id", "distance_km", (100.0 * F.col("coverage")).alias("coverage_pct"))
     return c.groupBy(*k).agg(

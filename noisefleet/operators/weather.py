@@ -253,14 +253,6 @@ def apply_screen(readings: DataFrame, blocks: DataFrame, cfg: ScreenConfig, zone
     return keyed.join(named, [*keys, "block"], "left").withColumn("reason", reason).drop("_reason", "_in")
 
 
-def record_blocks(blocks: DataFrame, readings: DataFrame, cfg: ScreenConfig, zone: str, clock: str,
-                  keys: Sequence[str] = STATION) -> DataFrame:
-    """The blocks between the first and the last placed reading of each record."""
-    b = block_key(ck.logger_to_utc("ts", zone, clock), cfg.block_minutes)
-    span = readings.groupBy(*keys).agg(F.min(b).alias("_a"), F.max(b).alias("_b"))
-    return blocks.join(span, list(keys)).where(F.col("block").between(F.col("_a"), F.col("_b"))).drop("_a", "_b")
-
-
 def screen_summary(screened: DataFrame, blocks: DataFrame, minutes: DataFrame, cfg: ScreenConfig,
                    keys: Sequence[str] = STATION) -> DataFrame:
     """Readings and blocks kept and removed, how well the blocks are verified, and wet minutes."""

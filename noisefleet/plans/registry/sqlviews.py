@@ -8,13 +8,13 @@ VIEWS = {
     "reading": f"""SELECT event_type AS site_id, CAST(user_id % 3 AS INT) AS file_seq, event_id AS seq,
         date_trunc('minute', ts) AS ts, CAST(0 AS TINYINT) AS fold, 35 + value/8 AS leq,
         35 + value/8 + ({K} % 10)/2.0::DOUBLE AS lmax, 35 + value/8 - ({K} % 7)/2.0::DOUBLE AS lmin FROM events""",
-    "metar": f"""SELECT 'ST0' AS station, date_trunc('minute', ts) AS valid_utc, event_id AS seq, 20 + k % 60 AS tmpf,
+    "metar": f"""SELECT concat('ST', user_id % 2) AS station, date_trunc('minute', ts) AS valid_utc, event_id AS seq, 20 + k % 60 AS tmpf,
         CAST(k % 25 AS DOUBLE) AS sknt, CASE WHEN k % 5 = 0 THEN CAST(k % 25 + 8 AS DOUBLE) END AS gust,
         CASE k % 16 WHEN 0 THEN '-RA BR' WHEN 1 THEN '+TSRA' WHEN 2 THEN 'SN' WHEN 3 THEN 'VCTS' WHEN 4 THEN 'UP'
              WHEN 5 THEN 'BR' ELSE '' END AS wxcodes,
         CASE WHEN k % 31 = 7 THEN 'RMK AO2 PWINO' ELSE '' END AS metar
         FROM (SELECT *, {K} AS k FROM events) WHERE event_type IN ('error','view')""",
-    "onemin": f"""SELECT 'ST0' AS station, date_trunc('minute', ts) AS valid_utc, event_id AS seq, 20 + k % 60 AS tmpf,
+    "onemin": f"""SELECT concat('ST', user_id % 2) AS station, date_trunc('minute', ts) AS valid_utc, event_id AS seq, 20 + k % 60 AS tmpf,
         CASE WHEN k % 23 = 5 THEN NULL ELSE CAST(k % 20 AS DOUBLE) END AS sknt,
         CAST(k % 20 + 3 AS DOUBLE) AS gust_sknt,
         CASE k % 14 WHEN 0 THEN 'R-' WHEN 1 THEN 'S' WHEN 2 THEN 'P' WHEN 3 THEN '' WHEN 4 THEN 'M' ELSE 'NP' END AS ptype,

@@ -8,7 +8,8 @@ from noisefleet.functions import weather as wf
 from noisefleet.operators import weather as wx
 from noisefleet.plans.registry.common import Query, dates_as_text, rounded
 from noisefleet.plans.registry.sqlviews import oracle
-from noisefleet.plans.views import view
+from noisefleet.plans import screen
+from noisefleet.plans.views import table, view
 from noisefleet.sources import sinks
 
 NY = "America/New_York"
@@ -21,27 +22,21 @@ def _minutes(s, d):
 
 
 def _snow(s, d):
-    """The snow record moved to the months of the readings."""
-    return view(s, d, "snow_daily").select(F.lit("ST0").alias("station"), F.date_add("date", 10592).alias("date"), "snwd_mm", "snow_mm")
-
-
-def _blocks(s, d):
-    m = _minutes(s, d)
-    span = m.groupBy("station").agg(F.min("minute").alias("start_utc"), F.max("minute").alias("end_utc"))
-    dates = span.select("station", F.explode(F.sequence(F.date_sub(F.to_date("start_utc"), 1), F.to_date("end_utc"))).alias("date"))
-    return wx.classify_blocks(m, span, CFG, NY, wx.snow_cover_status(_snow(s, d), dates, CFG, ["station"]))
+    """A daily snow record per station, in the months of the readings."""
+    n = F.count(F.lit(1))
+    return table(s, d, "orders").groupBy(F.concat(F.lit("ST"), F.col("o_custkey") % 2).alias("station"), F.date_add(
+        F.to_date("o_orderdate"), 10592).alias("date")).agg(
+        F.when(n % 5 != 4, n % 4 * 12.7).alias("snwd_mm"), F.when(n % 7 != 6, n % 2 * 25.4).alias("snow_mm"))
 
 
 def _readings(s, d):
-    # logger on local standard time, from a week after the weather starts
-    return view(s, d, "reading").withColumn("station", F.lit("ST0")).withColumn("ts", F.when(
-        F.col("seq") % 101 != 0, F.col("ts") + F.expr("INTERVAL 3 DAYS")))
+    # loggers on local standard time; every 101st time is unreadable
+    return view(s, d, "reading").withColumn("station", F.concat(F.lit("ST"), F.col("file_seq") % 2)).withColumn(
+        "ts", F.when(F.col("seq") % 101 != 0, F.col("ts") + F.expr("INTERVAL 3 DAYS")))
 
 
-def _screened(s, d):
-    r, b = _readings(s, d), _blocks(s, d)
-    inside = wx.record_blocks(b, r, CFG, NY, "local_standard")
-    return wx.apply_screen(r, inside, CFG, NY, "local_standard"), inside
+def _screen(s, d):
+    return screen.build_screen(_readings(s, d), view(s, d, "onemin"), view(s, d, "metar"), _snow(s, d), CFG, NY, "local_standard")
 
 
 QUERIES: dict[str, Query] = {
@@ -55,16 +50,16 @@ QUERIES: dict[str, Query] = {
     "wx_wind_factor": lambda s, d: rounded(view(s, d, "onemin").groupBy("station").agg(
         (F.avg("sknt") * wf.KNOT_MS * CFG.wind_factor).alias("wind_mic_ms")), 6),
     "wx_coverage": lambda s, d: wx.block_observations(_minutes(s, d), CFG).select("station", "block", "verified", "n_minutes"),
-    "wx_blocks": lambda s, d: rounded(_blocks(s, d)),
+    "wx_blocks": lambda s, d: rounded(_screen(s, d).blocks),
     "snow_status": lambda s, d: dates_as_text(wx.snow_cover_status(
         view(s, d, "snow_daily"), view(s, d, "snow_daily").select("ghcnd_id", "date"), CFG)),
-    "wx_apply": lambda s, d: _screened(s, d)[0].select(
+    "wx_apply": lambda s, d: _screen(s, d).readings.select(
         "site_id", "seq", "ts", F.coalesce("block", F.lit(-1)).alias("block"), "reason"),
-    "wx_summary": lambda s, d: rounded(wx.screen_summary(*_screened(s, d), _minutes(s, d), CFG)),
-    "wx_blocks_by_reason": lambda s, d: wx.blocks_by_reason(_screened(s, d)[1]),
-    "wx_removed": lambda s, d: wx.removed_by_reason(_screened(s, d)[0].where(
+    "wx_summary": lambda s, d: rounded(_screen(s, d).summary()),
+    "wx_blocks_by_reason": lambda s, d: wx.blocks_by_reason(_screen(s, d).record_blocks),
+    "wx_removed": lambda s, d: wx.removed_by_reason(_screen(s, d).readings.where(
         F.col("ts").between(F.lit("2024-01-10").cast("timestamp_ntz"), F.lit("2024-01-20").cast("timestamp_ntz"))), ["site_id"]),
-    "wx_audit": lambda s, d: sinks.weather_audit(_screened(s, d)[1], NY, "local_standard", ["station"]),
+    "wx_audit": lambda s, d: sinks.weather_audit(_screen(s, d).record_blocks, NY, "local_standard", ["station"]),
     "fingerprint": lambda s, d: wx.fingerprint(view(s, d, "reading")),
 }
 
@@ -104,26 +99,29 @@ BLOCKS = f"""{MINUTES}, b0 AS (SELECT station, CAST(epoch(minute) AS BIGINT) //
         bool_or(rain) AS rain, bool_or(snow) AS snow, bool_or(other) AS other, count(state) > 0 AND count(wind_kt) > 0 AS verified,
         avg(wind_kt) * {FACTOR} AS wind_mic_ms, max(wind_peak_kt) * (1852.0::DOUBLE/3600) AS wind_station_max_ms, count(*) AS n_minutes,
         count(*) FILTER (WHERE src_1min) AS n_1min, count(*) FILTER (WHERE src_metar) AS n_metar FROM mn GROUP BY ALL),
-    sd AS (SELECT 'ST0' AS k, date + 10592 AS date, snwd_mm, snow_mm FROM snow_daily),
-    days AS (SELECT 'ST0' AS k, CAST(unnest(generate_series((SELECT min(date) - 2 FROM sd)::TIMESTAMP, greatest((SELECT max(date) FROM sd), (SELECT max(minute)::DATE + 1 FROM mn))::TIMESTAMP, INTERVAL 1 DAY)) AS DATE) AS date),
+    sd AS (SELECT concat('ST', o_custkey % 2) AS k, CAST(o_orderdate AS DATE) + 10592 AS date, CASE WHEN count(*) % 5 <> 4 THEN count(*) % 4 * 12.7::DOUBLE END AS snwd_mm,
+        CASE WHEN count(*) % 7 <> 6 THEN count(*) % 2 * 25.4::DOUBLE END AS snow_mm FROM orders GROUP BY ALL),
+    days AS (SELECT k, CAST(unnest(generate_series((min(date) - 5)::TIMESTAMP, greatest(max(date), (SELECT max(minute)::DATE + 5 FROM mn))::TIMESTAMP, INTERVAL 1 DAY)) AS DATE) AS date FROM sd GROUP BY k),
     {snow("sd")},
-    sp AS (SELECT station, unnest(range(CAST(epoch(min(minute)) AS BIGINT) // 900, CAST(epoch(max(minute)) AS BIGINT) // 900 + 1)) AS block FROM mn GROUP BY station),
+    sp AS (SELECT concat('ST', file_seq % 2) AS station, unnest(range(CAST(epoch(min(ts)) AS BIGINT) // 900 + 306, CAST(epoch(max(ts)) AS BIGINT) // 900 + 311)) AS block
+        FROM reading WHERE seq % 101 <> 0 GROUP BY file_seq % 2),
     b1 AS (SELECT sp.station, sp.block, coalesce(precip, false) AS precip, coalesce(thunder, false) AS thunder, coalesce(rain, false) AS rain, coalesce(snow, false) AS snow,
         coalesce(other, false) AS other, coalesce(verified, false) AS verified, wind_mic_ms, wind_station_max_ms, coalesce(n_minutes, 0) AS n_minutes,
         coalesce(n_1min, 0) AS n_1min, coalesce(n_metar, 0) AS n_metar, make_timestamp(sp.block * 900000000) AS block_start_utc, status AS snow_status
-        FROM sp LEFT JOIN b0 USING (station, block) LEFT JOIN ss ON ss.date = CAST(make_timestamp(sp.block * 900000000) - INTERVAL 5 HOUR AS DATE)),
+        FROM sp LEFT JOIN b0 USING (station, block) LEFT JOIN ss ON ss.k = sp.station AND ss.date = CAST(make_timestamp(sp.block * 900000000) - INTERVAL 5 HOUR AS DATE)),
     b2 AS (SELECT *, coalesce(lag(precip OR thunder) OVER w, false) OR coalesce(lead(precip OR thunder) OVER w, false) AS buf,
         NOT verified OR coalesce(lag(NOT verified) OVER w, false) OR coalesce(lead(NOT verified) OVER w, false) AS unv FROM b1 WINDOW w AS (PARTITION BY station ORDER BY block)),
     blk AS (SELECT * EXCLUDE (buf, unv), CASE WHEN precip THEN 'precipitation' WHEN thunder THEN 'thunder' WHEN wind_mic_ms > 5 THEN 'wind'
         WHEN snow_status = 'snow_cover' THEN 'snow_cover' WHEN buf THEN 'precip_buffer' WHEN snow_status = 'snow_cover_unverified' THEN 'snow_cover_unverified'
         WHEN unv THEN 'weather_unverified' END AS reason FROM b2)"""
-SCREEN = f"""{BLOCKS}, rd AS (SELECT site_id, seq, CASE WHEN seq % 101 <> 0 THEN ts + INTERVAL 3 DAY END AS ts FROM reading),
+SCREEN = f"""{BLOCKS}, rd AS (SELECT concat('ST', file_seq % 2) AS station, site_id, seq, CASE WHEN seq % 101 <> 0 THEN ts + INTERVAL 3 DAY END AS ts FROM reading),
     rb AS (SELECT *, CAST(epoch(ts + INTERVAL 5 HOUR) AS BIGINT) // 900 AS block FROM rd),
-    inb AS (SELECT * FROM blk WHERE block BETWEEN (SELECT min(block) FROM rb) AND (SELECT max(block) FROM rb)),
-    scr AS (SELECT site_id, seq, ts, rb.block, CASE WHEN ts IS NULL THEN 'clock_ambiguous' WHEN inb.block IS NULL THEN 'weather_unverified' ELSE inb.reason END AS reason
-        FROM rb LEFT JOIN inb USING (block))"""
+    rr AS (SELECT station, min(block) AS a, max(block) AS b FROM rb GROUP BY station),
+    inb AS (SELECT blk.* FROM blk JOIN rr USING (station) WHERE block BETWEEN a AND b),
+    scr AS (SELECT station, site_id, seq, ts, rb.block, CASE WHEN ts IS NULL THEN 'clock_ambiguous' WHEN inb.block IS NULL THEN 'weather_unverified' ELSE inb.reason END AS reason
+        FROM rb LEFT JOIN inb USING (station, block))"""
 WX = ("onemin", "metar")
-ALL = ("onemin", "metar", "snow_daily", "reading")
+ALL = ("onemin", "metar", "reading")
 R4 = "round(wind_mic_ms,4) AS wind_mic_ms, round(wind_station_max_ms,4) AS wind_station_max_ms"
 
 ORACLES = {
@@ -142,18 +140,18 @@ ORACLES = {
     "wx_wind_factor": oracle(f"SELECT station, round(avg(sknt) * {FACTOR},6) AS wind_mic_ms FROM onemin GROUP BY ALL", "onemin"),
     "wx_coverage": oracle(f"""WITH {MINUTES} SELECT station, CAST(epoch(minute) AS BIGINT) // 900 AS block, count(state) > 0 AND count(wind_kt) > 0 AS verified,
         count(*) AS n_minutes FROM mn GROUP BY ALL""", *WX),
-    "wx_blocks": oracle(f"WITH {BLOCKS} SELECT * EXCLUDE (wind_mic_ms, wind_station_max_ms), {R4} FROM blk", *WX, "snow_daily"),
+    "wx_blocks": oracle(f"WITH {SCREEN} SELECT * EXCLUDE (wind_mic_ms, wind_station_max_ms), {R4} FROM blk", *ALL),
     "snow_status": oracle(f"""WITH sd AS (SELECT ghcnd_id AS k, date, snwd_mm, snow_mm FROM snow_daily), days AS (SELECT k, CAST(unnest(generate_series(min(date)::TIMESTAMP,
         max(date)::TIMESTAMP, INTERVAL 1 DAY)) AS DATE) AS date FROM sd GROUP BY k), {snow("sd")}
         SELECT k AS ghcnd_id, date, status FROM ss JOIN sd USING (k, date) WHERE status IS NOT NULL""", "snow_daily", dates=("date",)),
-    "wx_apply": oracle(f"WITH {SCREEN} SELECT * REPLACE (coalesce(block, -1) AS block) FROM scr", *ALL),
-    "wx_summary": oracle(f"""WITH {SCREEN}, a AS (SELECT 'ST0' AS station, count(*) AS samples_total, count(*) FILTER (WHERE ts IS NULL) AS samples_unreadable_time,
+    "wx_apply": oracle(f"WITH {SCREEN} SELECT * EXCLUDE (station) REPLACE (coalesce(block, -1) AS block) FROM scr", *ALL),
+    "wx_summary": oracle(f"""WITH {SCREEN}, a AS (SELECT station, count(*) AS samples_total, count(*) FILTER (WHERE ts IS NULL) AS samples_unreadable_time,
         count(*) FILTER (WHERE reason IS NULL) AS samples_kept, count(reason) AS samples_excluded, round(100.0::DOUBLE*count(*) FILTER (WHERE reason IS NULL)/count(*),4) AS pct_kept,
-        min(ts) AS record_start_local, max(ts) AS record_end_local FROM scr),
+        min(ts) AS record_start_local, max(ts) AS record_end_local FROM scr GROUP BY station),
         b AS (SELECT station, count(*) AS blocks_total, count(*) FILTER (WHERE reason IS NULL) AS blocks_clean, round(100.0::DOUBLE*count(*) FILTER (WHERE n_1min > 0)/count(*),4) AS blocks_with_1min_pct,
         round(100.0::DOUBLE*count(*) FILTER (WHERE verified)/count(*),4) AS blocks_verified_pct, round(max(wind_mic_ms),4) AS max_block_wind_mic_ms FROM inb GROUP BY ALL),
         m AS (SELECT station, count(*) FILTER (WHERE rain) AS rain_minutes, count(*) FILTER (WHERE snow) AS snow_minutes, count(*) FILTER (WHERE other) AS other_minutes
-        FROM mn WHERE CAST(epoch(minute) AS BIGINT) // 900 BETWEEN (SELECT min(block) FROM inb) AND (SELECT max(block) FROM inb) GROUP BY ALL)
+        FROM mn JOIN (SELECT station, min(block) AS lo, max(block) AS hi FROM inb GROUP BY station) USING (station) WHERE CAST(epoch(minute) AS BIGINT) // 900 BETWEEN lo AND hi GROUP BY ALL)
         SELECT * FROM a JOIN b USING (station) JOIN m USING (station)""", *ALL),
     "wx_blocks_by_reason": oracle(f"WITH {SCREEN} SELECT station, coalesce(reason, 'clean') AS reason, count(*) AS n FROM inb GROUP BY ALL", *ALL),
     "wx_removed": oracle(f"""WITH {SCREEN} SELECT site_id, reason, count(*) AS n FROM scr WHERE reason IS NOT NULL

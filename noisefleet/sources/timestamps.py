@@ -9,7 +9,6 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from noisefleet.functions import clock as ck
-from noisefleet.operators import ranks
 from noisefleet.operators.scans import SITE, first_rows, row_slice, scan
 from noisefleet.session import cut_lineage
 
@@ -66,7 +65,22 @@ def _epoch(raw: Column, unit: str) -> Column:
     return F.when(F.abs(seconds) < 1e11, F.timestamp_seconds(seconds).cast("timestamp_ntz"))
 
 
-def choose_method(df: DataFrame, keys: Sequence[str] = SITE, raw: str = "raw", seq: str = "seq") -> DataFrame:
+def head_shares(df: DataFrame, keys: Sequence[str] = SITE, raw: str = "raw", seq: str = "seq") -> DataFrame:
+    """What the first values of each record look like: year first (of 1,000), bare clock times and years (of 200)."""
+    head = first_rows(df.where(F.col(raw).isNotNull()).select(*keys, seq, raw), keys, row_slice(seq), [seq], YEAR_SAMPLE, rank="_rank")
+    first = F.col("_rank") <= TIME_ONLY_SAMPLE
+
+    def share(pattern: str, where: Column | None = None) -> Column:
+        hit = F.when(F.trim(raw).rlike(pattern), 1.0).otherwise(0.0)
+        return F.avg(hit if where is None else F.when(where, hit))
+
+    return head.groupBy(*keys).agg((share(YEAR_FIRST) >= YEAR_SHARE).alias("year_first"),
+                                   (share(TIME_ONLY, first) >= TIME_ONLY_SHARE).alias("time_only"),
+                                   (share(r"\d{4}", first) >= YEAR_SHARE).alias("has_year"))
+
+
+def choose_method(df: DataFrame, keys: Sequence[str] = SITE, raw: str = "raw", seq: str = "seq",
+                  heads: DataFrame | None = None) -> DataFrame:
     """The strategy each record is read with: ``method`` and the share it reads.
 
     All strategies are counted in one aggregate. Year-first wins where the first thousand values look
@@ -75,12 +89,14 @@ def choose_method(df: DataFrame, keys: Sequence[str] = SITE, raw: str = "raw", s
     k, text = list(keys), F.col(raw)
     named = candidates(text)
     n = F.count(F.lit(1))
-    counts = df.groupBy(*k).agg(n.alias("n"), *[(F.count(c) / n).alias(f"c{i}") for i, c in enumerate(named.values())],
-                                (F.count(text.try_cast("double")) / n).alias("c_num"))
-    sample = first_rows(df.where(text.isNotNull()).select(*k, seq, raw), k, row_slice(seq), [seq], YEAR_SAMPLE)
-    year = sample.groupBy(*k).agg((F.avg(F.when(F.trim(text).rlike(YEAR_FIRST), 1.0).otherwise(0.0)) >= YEAR_SHARE).alias("_yf"))
-    numbers = df.select(*k, text.try_cast("double").alias("_num")).where(F.col("_num").isNotNull())
-    median = ranks.percentiles(numbers, k, "_num", {"_med": 0.5})
+    num, big = text.try_cast("double"), text.try_cast("double") > EPOCH_MS_OVER
+    counts = df.groupBy(*k).agg(
+        n.alias("n"), *[(F.count(c) / n).alias(f"c{i}") for i, c in enumerate(named.values())], F.count(num).alias("_num"),
+        F.count_if(big).alias("_big"), F.max(F.when(~big, num)).alias("_below"), F.min(F.when(big, num)).alias("_above"))
+    # the median passes the limit if most values do; at exactly half it lies between the two nearest ones
+    half = 2 * F.col("_big") - F.col("_num")
+    in_ms = F.when(half == 0, (F.col("_below") + F.col("_above")) / 2 > EPOCH_MS_OVER).otherwise(half > 0)
+    year = (head_shares(df, k, raw, seq) if heads is None else heads).select(*k, F.col("year_first").alias("_yf"))
     names = list(named)
 
     def entry(method: Column | str, share: Column) -> Column:
@@ -94,10 +110,10 @@ def choose_method(df: DataFrame, keys: Sequence[str] = SITE, raw: str = "raw", s
         settled = best["m"].startswith("format:") & (best["f"] >= GOOD_ENOUGH)
         return F.when(~settled & (x["f"] > best["f"]), x).otherwise(best)
 
-    j = counts.join(year, k, "left").join(median, k, "left").withColumn("_i", inferred)
+    j = counts.join(year, k, "left").withColumn("_i", inferred).withColumn("c_num", F.col("_num") / F.col("n"))
     j = j.withColumn("_b", F.when(F.col("_i.f") < WEAK, F.aggregate(explicit, F.col("_i"), better)).otherwise(F.col("_i")))
     by_number = (F.col("_b.f") < USABLE) & (F.col("c_num") >= USABLE) & (F.col("c_num") > F.col("_b.f"))
-    unit = F.when(F.col("_med") > EPOCH_MS_OVER, "epoch:ms").otherwise("epoch:s")
+    unit = F.when(in_ms, "epoch:ms").otherwise("epoch:s")
     return j.select(*k, "n", F.when(by_number, unit).otherwise(F.col("_b.m")).alias("method"),
                     F.when(by_number, F.col("c_num")).otherwise(F.col("_b.f")).alias("share"))
 
@@ -108,20 +124,16 @@ def parse_with(raw: Column, method: Column) -> Column:
     return F.coalesce(*[F.when(method == name, c) for name, c in options.items()])
 
 
-def parse_times(df: DataFrame, keys: Sequence[str] = SITE, raw: str = "raw", seq: str = "seq") -> DataFrame:
+def parse_times(df: DataFrame, keys: Sequence[str] = SITE, raw: str = "raw", seq: str = "seq",
+                heads: DataFrame | None = None) -> DataFrame:
     """Add ``ts`` and the ``method`` it was read with."""
-    chosen = choose_method(df, keys, raw, seq).select(*keys, "method")
+    chosen = choose_method(df, keys, raw, seq, heads).select(*keys, "method")
     return df.join(chosen, list(keys)).withColumn("ts", parse_with(F.col(raw), F.col("method")))
 
 
-def _first_share(df: DataFrame, keys: Sequence[str], raw: str, seq: str, pattern: str) -> DataFrame:
-    head = first_rows(df.where(F.col(raw).isNotNull()).select(*keys, seq, raw), keys, row_slice(seq), [seq], TIME_ONLY_SAMPLE)
-    return head.groupBy(*keys).agg(F.avg(F.when(F.col(raw).rlike(pattern), 1.0).otherwise(0.0)).alias("share"))
-
-
 def time_only(df: DataFrame, keys: Sequence[str] = SITE, raw: str = "raw", seq: str = "seq") -> DataFrame:
     """Records whose first values are clock times without a date."""
-    return _first_share(df, keys, raw, seq, TIME_ONLY).select(*keys, (F.col("share") >= TIME_ONLY_SHARE).alias("time_only"))
+    return head_shares(df, keys, raw, seq).select(*keys, "time_only")
 
 
 def assess_integrity(df: DataFrame, now: dt.date, keys: Sequence[str] = SITE, raw: str = "raw", seq: str = "seq") -> DataFrame:
@@ -130,18 +142,18 @@ def assess_integrity(df: DataFrame, now: dt.date, keys: Sequence[str] = SITE, ra
     Unusable: bare clock times, under 60 % readable, or every row on ``now``'s date with no year in the text.
     """
     k = list(keys)
-    bare = time_only(df, k, raw, seq)
-    dated = _first_share(df, k, raw, seq, r"\d{4}").select(*k, (F.col("share") >= 0.5).alias("_has_year"))
-    parsed = parse_times(df, k, raw, seq)
+    # one small row per record, read three times below
+    heads = cut_lineage(head_shares(df, k, raw, seq))
+    parsed = parse_times(df, k, raw, seq, heads)
     per_date = parsed.groupBy(*k, F.to_date("ts").alias("_d")).agg(
         F.count(F.lit(1)).alias("_n"), F.min("ts").alias("_a"), F.max("ts").alias("_b"), F.max("method").alias("_m"))
     g = per_date.groupBy(*k).agg(
         F.sum("_n").alias("n_total"), F.coalesce(F.sum(F.when(F.col("_d").isNotNull(), F.col("_n"))), F.lit(0)).alias("n_parsed"),
         F.count("_d").alias("unique_dates"), F.min("_a").alias("_a"), F.max("_b").alias("_b"), F.max("_m").alias("method"))
-    j = g.join(bare, k, "left").join(dated, k, "left")
+    j = g.join(heads, k, "left")
     pct = 100.0 * F.col("n_parsed") / F.col("n_total")
     lost = F.coalesce(F.col("time_only"), F.lit(False))
-    made_up = ((F.col("unique_dates") == 1) & (F.to_date("_a") == F.lit(now)) & ~F.coalesce(F.col("_has_year"), F.lit(False)))
+    made_up = ((F.col("unique_dates") == 1) & (F.to_date("_a") == F.lit(now)) & ~F.coalesce(F.col("has_year"), F.lit(False)))
     bad = lost | (pct < USABLE * 100) | made_up
 
     def unless_lost(c: Column, v) -> Column:
