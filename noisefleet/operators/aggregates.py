@@ -118,7 +118,7 @@ def share_by_period(df: DataFrame, day_threshold: float = 65.0, night_threshold:
 def channel_ranks(df: DataFrame, keys: Sequence[str] = SITE, channels: Sequence[str] = CHANNELS) -> DataFrame:
     """Ranked distinct levels per key and channel: the input of every descriptive statistic."""
     by = [*keys, "channel"]
-    return ranks.ranked(ranks.value_counts(by_channel(df, keys, channels), by, "level"), by)
+    return ranks.ranked(ranks.kept_counts(by_channel(df, keys, channels), by, "level"), by)
 
 
 def channel_stats(df: DataFrame, keys: Sequence[str] = SITE, channels: Sequence[str] = CHANNELS) -> DataFrame:
@@ -182,7 +182,7 @@ def data_quality(df: DataFrame, keys: Sequence[str] = SITE, channels: Sequence[s
 
 def histogram(df: DataFrame, keys: Sequence[str] = SITE, level: str = "leq", bins: int = 10) -> DataFrame:
     """Counts over equal bins of [min, max]; the last bin is closed, empty bins are kept."""
-    counts = ranks.value_counts(df, keys, level)
+    counts = ranks.kept_counts(df, keys, level)
     span = counts.groupBy(*keys).agg(F.min("v").alias("lo"), F.max("v").alias("hi"))
     width = (F.col("hi") - F.col("lo")) / F.lit(bins)
     # a constant record has zero-width bins and falls in the closed last one
@@ -232,7 +232,7 @@ def trend(df: DataFrame, keys: Sequence[str] = SITE, level: str = "leq", seq: st
 
 def top_decile_laeq(df: DataFrame, keys: Sequence[str] = SITE, level: str = "leq") -> DataFrame:
     """Energy average of the readings strictly above the 90th percentile."""
-    r = ranks.ranked(ranks.value_counts(df, keys, level), keys)
+    r = ranks.ranked(ranks.kept_counts(df, keys, level), keys)
     cut = r.groupBy(*keys).agg(ranks.percentile_of_ranked(0.9).alias("_p90"), F.max("v").alias("max_level"))
     over = F.when(F.col("v") > F.col("_p90"), F.col("n"))
     return r.join(cut, list(keys)).groupBy(*keys).agg(

@@ -42,14 +42,12 @@ def _half_even(c: Column, digits: int) -> Column:
 def compliance_matrix(levels: DataFrame, environment: Column | None = None, keys: Sequence[str] = SITE) -> DataFrame:
     """Each site against the limit rows that apply: a missing level or an outdoor microphone drops a row.
 
-    The matrix has ten rows, so it is broadcast.
+    The matrix has ten fixed rows, unfolded from each site's row instead of joined to it.
     """
-    names = sorted({r[3] for r in schema.LIMITS})
     env = F.lit("outdoor") if environment is None else F.lower(F.trim(F.coalesce(environment, F.lit("outdoor"))))
-    long = levels.withColumn("_env", env).unpivot([*keys, "_env"], names, "metric_key", "measured")
-    limits = F.broadcast(schema.limits(levels.sparkSession))
-    j = long.where(F.col("measured").isNotNull()).join(limits, "metric_key").where(
-        ~F.col("indoor_only") | (F.col("_env") == "indoor"))
+    rows = [F.struct(*[F.lit(v).alias(n) for n, v in zip(schema.LIMIT_COLUMNS, r)], F.col(r[3]).alias("measured")) for r in schema.LIMITS]
+    j = levels.select(*keys, env.alias("_env"), F.explode(F.array(*rows)).alias("r")).select(*keys, "_env", "r.*").where(
+        F.col("measured").isNotNull() & (~F.col("indoor_only") | (F.col("_env") == "indoor")))
     return j.select(
         *keys, "row", "standard", "metric", _half_even(F.col("measured"), 1).alias("measured_db"), "limit_db",
         F.when(F.col("measured") > F.col("limit_db"), "ABOVE").otherwise("AT OR BELOW").alias("status"),
@@ -90,7 +88,7 @@ def site_metrics(df: DataFrame, zone: str = ck.DEFAULT_ZONE, keys: Sequence[str]
         lv.pct_above(level, WHO_LDEN_DB).alias("pct_above_53"),
         lv.pct_above(timed_level, WHO_LNIGHT_DB, lv.in_hours(hour, lv.NIGHT_LDN)).alias("pct_night_above_45"),
         F.min("ts").alias("start"), F.max("ts").alias("end"))
-    r = ranks.ranked(ranks.value_counts(df, k), k)
+    r = ranks.ranked(ranks.kept_counts(df, k), k)
     shape = r.groupBy(*k).agg(*[ranks.percentile_of_ranked(p).alias(n) for n, p in (
         ("l10", 0.9), ("l50", 0.5), ("l90", 0.1), ("q1", 0.25), ("q3", 0.75))])
     reach = 1.5 * (F.col("q3") - F.col("q1"))

@@ -21,6 +21,7 @@ from pyspark.sql import types as T
 
 from noisefleet.operators import aggregates as agg
 from noisefleet.operators.scans import ROWS_PER_SLICE, SITE, row_slice, top_rows
+from noisefleet.session import cut_lineage
 
 LISTED = 5
 _SUMMARY = ("lo", "hi", "back_lo", "back_hi", "least", "first", "final", "turn")
@@ -121,7 +122,7 @@ def prominent_peaks(df: DataFrame, keys: Sequence[str] = SITE, level: str = "leq
 def peak_summary(df: DataFrame, keys: Sequence[str] = SITE, level: str = "leq",
                  rows_per_slice: int = ROWS_PER_SLICE) -> DataFrame:
     """Number of peaks, the five highest, the last five, the rate, and the energy average of the top decile."""
-    peaks = prominent_peaks(df, keys, level, rows_per_slice)
+    peaks = cut_lineage(prominent_peaks(df, keys, level, rows_per_slice))
     slice_ = row_slice("seq", rows_per_slice)
 
     def listed(order: list, name: str, by: str, reverse: bool) -> DataFrame:

@@ -41,8 +41,7 @@ def period_length_s(day: Column | str, window: tuple[int, int], zone: str | None
     if not zone:
         return ck.seconds_between(a, b)
     # both ends are named by their first occurrence
-    return ck.seconds_between(F.convert_timezone(F.lit(zone), F.lit("UTC"), a),
-                              F.convert_timezone(F.lit(zone), F.lit("UTC"), b))
+    return ck.seconds_between(ck.first_instant(a, zone), ck.first_instant(b, zone))
 
 
 def coverage_pct(n: Column, interval_s: Column, length_s: Column) -> Column:
@@ -195,7 +194,7 @@ def weekly_profile(df: DataFrame, keys: Sequence[str] = SITE) -> DataFrame:
 def _hour_ranks(df: DataFrame, keys: Sequence[str], level: str) -> tuple[DataFrame, list[str]]:
     by = [*keys, "hour"]
     timed = df.where(F.col("ts").isNotNull()).withColumn("hour", F.hour("ts"))
-    return ranks.ranked(ranks.value_counts(timed, by, level), by), by
+    return ranks.ranked(ranks.kept_counts(timed, by, level), by), by
 
 
 def _quartiles(r: DataFrame, by: list[str]) -> DataFrame:

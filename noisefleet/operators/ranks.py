@@ -13,6 +13,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from noisefleet.session import cut_lineage
+
 BIN_WIDTH = 0.25
 MAX_BIN = 4096
 
@@ -22,6 +24,14 @@ def value_counts(df: DataFrame, keys: Sequence[str], value: str = "leq") -> Data
             .groupBy(*keys, F.col(value).alias("v")).agg(F.count(F.lit(1)).alias("n")))
 
 
+def kept_counts(df: DataFrame, keys: Sequence[str], value: str = "leq") -> DataFrame:
+    """:func:`value_counts`, written once, for callers that go through them several times.
+
+    Levels come in steps of the meter's resolution, so the counts are far smaller than the readings.
+    """
+    return cut_lineage(value_counts(df, keys, value))
+
+
 def ranked(counts: DataFrame, keys: Sequence[str], bin_width: float = BIN_WIDTH) -> DataFrame:
     """Add to every distinct value its 0-based rank range ``[rank0, rank1)`` and the group size."""
     b = counts.withColumn("_bin", F.greatest(F.lit(-MAX_BIN), F.least(

@@ -15,7 +15,7 @@ from noisefleet.functions import weather as wx
 from noisefleet.operators.scans import top_rows
 from noisefleet.session import cut_lineage
 
-LEVELS = tuple(range(0, 17))
+LEVELS = tuple(range(0, 14))      # 360 degrees down to about 5 km
 KM_PER_DEGREE = wx.EARTH_RADIUS_KM * 3.141592653589793 / 180.0
 # Fixed values.
 SNOW_RADIUS_KM, SNOW_KM_PER_DEGREE, SNOW_STATIONS = 100.0, 111.0, 5

@@ -30,7 +30,7 @@ INPUTS = f"""g AS (SELECT site_id, {RATING_WINDOWS}, max(lmax) FILTER (WHERE {NI
     m AS (SELECT *, laeq_night_lden AS lnight, {LDEN} AS lden FROM g)"""
 LIMITS = "lim AS (SELECT * FROM (VALUES " + ", ".join(
     "(" + ", ".join("'" + v + "'" if isinstance(v, str) else (f"{v}::DOUBLE" if isinstance(v, float) else str(v)) for v in r) + ")" for r in schema.LIMITS
-) + ") t(" + ", ".join(c.split()[0] for c in schema.LIMIT_COLUMNS.split(", ")) + "))"
+) + ") t(" + ", ".join(schema.LIMIT_COLUMNS) + "))"
 
 
 def matrix(indoor: str) -> str:

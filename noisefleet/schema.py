@@ -19,7 +19,6 @@ NOTE = "site_id string, code string, n bigint, text string"
 
 # The limit matrix, in its order. metric_key names the measured column.
 LIMITS = [
-    # row, standard, metric, metric_key, limit_db, category, source_specific, indoor_only, indicative_only, source
     (1, "WHO 2018 — Road Traffic", "Lden", "lden", 53.0, "who_env", False, False, False, "WHO Environmental Noise Guidelines (2018), Table 1"),
     (2, "WHO 2018 — Road Traffic", "Lnight", "lnight", 45.0, "who_env", False, False, False, "WHO Environmental Noise Guidelines (2018), Table 1"),
     (3, "WHO 2018 — Aircraft Noise", "Lden", "lden", 45.0, "who_env", True, False, False, "WHO Environmental Noise Guidelines (2018), Table 1"),
@@ -31,8 +30,8 @@ LIMITS = [
     (9, "MD COMAR Day (07:00-22:00)", "LAeq (07:00–22:00)", "laeq_day_ldn", 65.0, "maryland", False, False, False, "COMAR 26.02.03.02B(1), Table 1 — Maximum Allowable Noise Levels (residential)"),
     (10, "MD COMAR Night (22:00-07:00)", "LAeq (22:00–07:00)", "laeq_night_ldn", 55.0, "maryland", False, False, False, "COMAR 26.02.03.02B(1), Table 1 — Maximum Allowable Noise Levels (residential)"),
 ]
-LIMIT_COLUMNS = ("row int, standard string, metric string, metric_key string, limit_db double, category string, "
-                 "source_specific boolean, indoor_only boolean, indicative_only boolean, source string")
+LIMIT_COLUMNS = ("row", "standard", "metric", "metric_key", "limit_db", "category", "source_specific", "indoor_only",
+                 "indicative_only", "source")
 
 # Guideline levels per noise source or room.
 GUIDELINES = [
@@ -49,9 +48,5 @@ GUIDELINE_COLUMNS = "source_key string, metric string, limit_db double, strength
 LAND_USE_LIMITS = {"residential": (65.0, 55.0), "commercial": (67.0, 62.0), "industrial": (75.0, 75.0)}
 
 
-def limits(spark: SparkSession) -> DataFrame:
-    return spark.createDataFrame(LIMITS, LIMIT_COLUMNS)
-
-
 def guidelines(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame(GUIDELINES, GUIDELINE_COLUMNS)

@@ -20,16 +20,16 @@ YEAR_SHARE, TIME_ONLY_SHARE = 0.5, 0.8
 WEAK, GOOD_ENOUGH, USABLE, OK_PCT = 0.95, 0.99, 0.60, 99.5
 EPOCH_MS_OVER = 1e11
 CLOCK = "[ H:m[:s[.SSSSSSSSS]]]"
-# Name, guard and pattern of the explicit formats, in the order they are tried.
+# Name, shape and reading order of the explicit formats, in the order they are tried.
 EXPLICIT = [
-    ("%Y-%m-%d %H:%M:%S", r"^\d{4}-\d{1,2}-\d{1,2} \d{1,2}:\d{1,2}:\d{1,2}$", "yyyy-M-d H:m:s"),
-    ("%Y-%m-%d %H:%M:%S.%f", r"^\d{4}-\d{1,2}-\d{1,2} \d{1,2}:\d{1,2}:\d{1,2}\.\d+$", "yyyy-M-d H:m:s.SSSSSSSSS"),
-    ("%Y/%m/%d %H:%M:%S", r"^\d{4}/\d{1,2}/\d{1,2} \d{1,2}:\d{1,2}:\d{1,2}$", "yyyy/M/d H:m:s"),
-    ("%Y/%m/%d %H:%M:%S.%f", r"^\d{4}/\d{1,2}/\d{1,2} \d{1,2}:\d{1,2}:\d{1,2}\.\d+$", "yyyy/M/d H:m:s.SSSSSSSSS"),
-    ("%d/%m/%Y %H:%M:%S", r"^\d{1,2}/\d{1,2}/\d{4} \d{1,2}:\d{1,2}:\d{1,2}$", "d/M/yyyy H:m:s"),
-    ("%m/%d/%Y %H:%M:%S", r"^\d{1,2}/\d{1,2}/\d{4} \d{1,2}:\d{1,2}:\d{1,2}$", "M/d/yyyy H:m:s"),
-    ("%d-%m-%Y %H:%M:%S", r"^\d{1,2}-\d{1,2}-\d{4} \d{1,2}:\d{1,2}:\d{1,2}$", "d-M-yyyy H:m:s"),
-    ("%d.%m.%Y %H:%M:%S", r"^\d{1,2}\.\d{1,2}\.\d{4} \d{1,2}:\d{1,2}:\d{1,2}$", "d.M.yyyy H:m:s"),
+    ("%Y-%m-%d %H:%M:%S", r"^\d{4}-\d{1,2}-\d{1,2} \d{1,2}:\d{1,2}:\d{1,2}$", "year"),
+    ("%Y-%m-%d %H:%M:%S.%f", r"^\d{4}-\d{1,2}-\d{1,2} \d{1,2}:\d{1,2}:\d{1,2}\.\d+$", "year"),
+    ("%Y/%m/%d %H:%M:%S", r"^\d{4}/\d{1,2}/\d{1,2} \d{1,2}:\d{1,2}:\d{1,2}$", "year"),
+    ("%Y/%m/%d %H:%M:%S.%f", r"^\d{4}/\d{1,2}/\d{1,2} \d{1,2}:\d{1,2}:\d{1,2}\.\d+$", "year"),
+    ("%d/%m/%Y %H:%M:%S", r"^\d{1,2}/\d{1,2}/\d{4} \d{1,2}:\d{1,2}:\d{1,2}$", "day"),
+    ("%m/%d/%Y %H:%M:%S", r"^\d{1,2}/\d{1,2}/\d{4} \d{1,2}:\d{1,2}:\d{1,2}$", "month"),
+    ("%d-%m-%Y %H:%M:%S", r"^\d{1,2}-\d{1,2}-\d{4} \d{1,2}:\d{1,2}:\d{1,2}$", "day"),
+    ("%d.%m.%Y %H:%M:%S", r"^\d{1,2}\.\d{1,2}\.\d{4} \d{1,2}:\d{1,2}:\d{1,2}$", "day"),
 ]
 MONTHS = ("jan", "feb", "mar", "apr", "may", "jun", "jul", "aug", "sep", "oct", "nov", "dec")
 
@@ -39,24 +39,27 @@ def _read(text: Column, pattern: str, guard: str) -> Column:
     return F.when(text.rlike(guard), F.try_to_timestamp(text, F.lit(pattern)).cast("timestamp_ntz"))
 
 
-def candidates(raw: Column) -> dict[str, Column]:
-    """What every strategy makes of a text time."""
-    t = F.regexp_replace(F.trim(raw), r"(?<=\d)T(?=\d)", " ")
-    t = F.regexp_replace(t, r"Z$", "")
+def readings_of(raw: Column) -> dict[str, Column]:
+    """A text time read year first, day first and month first. Everything else is chosen from these."""
+    t = F.regexp_replace(F.regexp_replace(F.trim(raw), r"(?<=\d)T(?=\d)", " "), r"Z$", "")
     dashed = F.regexp_replace(t, r"^(\d{4})/(\d{1,2})/(\d{1,2})", "$1-$2-$3")
     slashed = F.regexp_replace(t, r"^(\d{1,2})[-.](\d{1,2})[-.](\d{4})", "$1/$2/$3")
-    year = _read(dashed, "yyyy-M-d" + CLOCK, YEAR_FIRST)
     late = r"^\d{1,2}/\d{1,2}/\d{4}"
     halves = late + r" \d{1,2}:\d{2}(:\d{2})? ?[APap][Mm]$"
     upper = F.upper(F.regexp_replace(slashed, r" ?([APap][Mm])$", " $1"))
 
-    def numeric_date(order: str) -> Column:
-        plain = _read(slashed, order + CLOCK, late + r"($| [0-9:.]+$)")
-        return F.coalesce(plain, _read(upper, order + " h:m[:s] a", halves), year)
+    def late_year(order: str) -> Column:
+        return F.coalesce(_read(slashed, order + CLOCK, late + r"($| [0-9:.]+$)"), _read(upper, order + " h:m[:s] a", halves))
 
-    out = {"inferred-yearfirst": year, "inferred-dayfirst": numeric_date("d/M/yyyy"), "inferred-monthfirst": numeric_date("M/d/yyyy")}
-    trimmed = F.trim(raw)
-    return out | {f"format:{name}": _read(trimmed, pattern, guard) for name, guard, pattern in EXPLICIT}
+    return {"year": _read(dashed, "yyyy-M-d" + CLOCK, YEAR_FIRST), "day": late_year("d/M/yyyy"), "month": late_year("M/d/yyyy")}
+
+
+def candidates(raw: Column, read: dict[str, Column] | None = None) -> dict[str, Column]:
+    """What every strategy makes of a text time; the explicit formats are shapes of the three readings."""
+    r = read or readings_of(raw)
+    out = {"inferred-yearfirst": r["year"], "inferred-dayfirst": F.coalesce(r["day"], r["year"]),
+           "inferred-monthfirst": F.coalesce(r["month"], r["year"])}
+    return out | {f"format:{name}": F.when(F.trim(raw).rlike(shape), r[order]) for name, shape, order in EXPLICIT}
 
 
 def _epoch(raw: Column, unit: str) -> Column:
@@ -87,7 +90,9 @@ def choose_method(df: DataFrame, keys: Sequence[str] = SITE, raw: str = "raw", s
     so; otherwise day-first, month-first only if it reads more; explicit formats only when that is weak.
     """
     k, text = list(keys), F.col(raw)
-    named = candidates(text)
+    # read once, then counted under every strategy
+    df = df.withColumns({f"_{o}": c for o, c in readings_of(text).items()})
+    named = candidates(text, {o: F.col(f"_{o}") for o in ("year", "day", "month")})
     n = F.count(F.lit(1))
     num, big = text.try_cast("double"), text.try_cast("double") > EPOCH_MS_OVER
     counts = df.groupBy(*k).agg(
