@@ -148,7 +148,7 @@ def channel_stats(df: DataFrame, keys: Sequence[str] = SITE, channels: Sequence[
         (F.col("max") - F.col("min")).alias("range"), variance.alias("variance"),
         F.when(spread, (F.col("_m3") / size) / F.pow(F.col("_m2") / size, F.lit(1.5))).alias("skewness"),
         F.when(spread, (F.col("_m4") / size) / F.pow(F.col("_m2") / size, F.lit(2.0)) - 3.0).alias("kurtosis"),
-        (F.sqrt(variance) / F.col("mean_arithmetic") * 100.0).alias("cv"),
+        (F.try_divide(F.sqrt(variance), "mean_arithmetic") * 100.0).alias("cv"),
         (F.col("_q3") - F.col("_q1")).alias("iqr"))
 
 
@@ -258,14 +258,14 @@ def key_findings(df: DataFrame, keys: Sequence[str] = SITE) -> DataFrame:
         F.max("lmax").alias("lmax_max"), F.count_if(leq <= FINDINGS_DB).alias("n_low"))
     dates = (df.where(F.col("ts").isNotNull()).groupBy(*keys, F.to_date("ts").alias("d")).agg(F.lit(1).alias("x"))
              .groupBy(*keys).agg(F.count("d").alias("n_calendar_dates")))
-    level = lv.to_db(F.col("e") / F.col("n"))
+    level = lv.to_db(F.try_divide("e", "n"))
     ok = F.col("hour").isNotNull() & (F.col("n") > 0)
     h = hours.withColumn("hl", F.when(ok, level))
     out = h.groupBy(*keys).agg(
-        lv.to_db(F.sum("e") / F.sum("n")).alias("avg_laeq"),
+        lv.to_db(F.try_divide(F.sum("e"), F.sum("n"))).alias("avg_laeq"),
         F.coalesce(F.max("lmax_max"), F.max("leq_max")).alias("peak"),
         F.max("leq_max").alias("peak_leq_interval"),
-        (100.0 * F.sum("n_low") / F.sum("n")).alias("pct_at_or_below_53db"),
+        F.try_divide(100.0 * F.sum("n_low"), F.sum("n")).alias("pct_at_or_below_53db"),
         F.max(F.when(ok, F.struct(F.col("hl"), -F.col("hour")))).alias("_loud"),
         F.min(F.when(ok, F.struct(F.col("hl"), F.col("hour")))).alias("_quiet"))
     return out.join(dates, list(keys), "left").select(

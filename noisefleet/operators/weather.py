@@ -159,7 +159,7 @@ def block_observations(minutes: DataFrame, cfg: ScreenConfig, keys: Sequence[str
     return slots.groupBy(*keys, "block").agg(
         F.coalesce(F.max("state") == 1.0, F.lit(False)).alias("precip"), *[F.bool_or(c).alias(c) for c in flags],
         (F.count_if(F.col("_p") & F.col("_w")) >= cfg.block_minutes // cfg.slot_minutes).alias("verified"),
-        (F.sum("_ws") / F.sum("_wn") * _knots_at_mic(cfg)).alias("wind_mic_ms"),
+        (F.try_divide(F.sum("_ws"), F.sum("_wn")) * _knots_at_mic(cfg)).alias("wind_mic_ms"),
         (F.max("_peak") * wx.KNOT_MS).alias("wind_station_max_ms"),
         F.sum("n_minutes").alias("n_minutes"), F.sum("n_1min").alias("n_1min"), F.sum("n_metar").alias("n_metar"))
 

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -135,12 +136,25 @@ def read_delimited(spark: SparkSession, paths: str | list[str]) -> tuple[DataFra
 
 def read_parquet(spark: SparkSession, paths: str | list[str]) -> tuple[DataFrame, list[tuple[str, str]]]:
     """Readings of Parquet exports that share a schema; the row index of each file is the recorded order."""
-    df = spark.read.parquet(*([paths] if isinstance(paths, str) else paths))
+    paths = [paths] if isinstance(paths, str) else paths
+    nanos = False
+    try:
+        df = spark.read.parquet(*paths)
+    except AnalysisException as exc:
+        if "TIMESTAMP(NANOS" not in str(exc):
+            raise
+        # times in nanoseconds, as data frame libraries write them, come as whole numbers
+        spark.conf.set("spark.sql.legacy.parquet.nanosAsLong", "true")
+        df, nanos = spark.read.parquet(*paths), True
     chosen, said = roles.plan_levels(df.columns)
     time = roles.time_column(df.dtypes)
     if time is None:
         raise roles.IngestError("This file has no recognisable time column.")
-    named = {"ts": F.col(f"`{time}`")} if dict(df.dtypes)[time].startswith("timestamp") else {"raw": F.col(f"`{time}`").cast("string")}
+    kind, at = dict(df.dtypes)[time], F.col(f"`{time}`")
+    if nanos and kind == "bigint":
+        named = {"ts": F.timestamp_micros(F.floor(at / 1000))}
+    else:
+        named = {"ts": at} if kind.startswith("timestamp") else {"raw": at.cast("string")}
     named |= {r: lv.finite(F.col(f"`{c}`").cast("string").try_cast("double")) for r, c in chosen.items()}
     return df.select(F.col("_metadata.file_path").alias("path"), F.col("_metadata.row_index").alias("seq"),
                      *[(c.cast("timestamp_ntz") if n == "ts" else c).alias(n) for n, c in named.items()]), said
