@@ -122,7 +122,11 @@ def gaps(df: DataFrame, zone: str = DEFAULT_ZONE, exclusions: DataFrame | None =
 
 
 def clock_changes(df: DataFrame, zone: str = DEFAULT_ZONE, keys: Sequence[str] = SITE) -> DataFrame:
-    """Spring-forward jumps: the wall step exceeds the real one by an hour, less one interval."""
+    """Spring-forward jumps: the wall step exceeds the real one by an hour, less one interval.
+
+    At intervals of an hour or more that margin is used up and every wide step qualifies, most of them
+    with a shift of zero.
+    """
     wide = wide_steps(edges(elapsed_keyed(df, keys), keys), zone, keys)
     return wide.where(F.col("shift_s").isNotNull()).select(
         *keys, F.col("prev_ts").alias("before"), F.col("ts").alias("after"), F.col("shift_s").alias("shift_seconds"),

@@ -82,9 +82,8 @@ def refuse_empty(report: DataFrame) -> None:
     empty = report.where(F.col("retained_rows") == 0).limit(1).collect()
     if empty:
         r = empty[0]
-        span = f" The file covers {r['record_start']:%d %b %Y} to {r['record_end']:%d %b %Y}." if r["record_start"] else ""
-        raise FilterError("The selected date range excludes every reading of a site, so there is nothing to "
-                          f"analyse.{span} Check the dates and try again.")
+        span = f"; its record runs from {r['record_start']:%d %b %Y} to {r['record_end']:%d %b %Y}" if r["record_start"] else ""
+        raise FilterError(f"the filters leave no reading of a site{span}")
 
 
 def removed_windows(marked: DataFrame, keys: Sequence[str] = SITE) -> DataFrame:

@@ -39,21 +39,18 @@ class ScreenConfig:
     screen_station_wind: bool = False
 
     def __post_init__(self) -> None:
+        whole = (self.block_minutes, self.slot_minutes, self.buffer_before_blocks, self.buffer_after_blocks)
+        if any(type(v) is not int for v in whole):
+            raise ScreenError("block, slot and buffer sizes are whole numbers")
         rules = [
-            (all(type(v) is int for v in (self.block_minutes, self.slot_minutes, self.buffer_before_blocks,
-                                          self.buffer_after_blocks)), "Block, slot and buffer settings must be integers."),
-            (self.slot_minutes > 0, "Coverage slot must be positive."),
-            (0 < self.roughness_length_m < math.inf, "Roughness length must be finite and positive."),
-            (self.block_minutes in (5, 10, 15), "Screening block must be 5, 10 or 15 minutes."),
-            (self.slot_minutes > 0 and self.block_minutes % self.slot_minutes == 0,
-             "Screening block must be a whole number of coverage slots."),
-            (0 < self.wind_limit_ms <= 30, "Wind limit must be between 0 and 30 m/s."),
-            (self.roughness_length_m < self.mic_height_m <= 30,
-             "Microphone height must be above the roughness length and at most 30 m."),
-            (self.roughness_length_m < self.anemometer_height_m <= 100,
-             "Anemometer height must be above the roughness length and at most 100 m."),
-            (0 <= self.buffer_before_blocks <= 8 and 0 <= self.buffer_after_blocks <= 8, "Buffers must be 0 to 8 blocks."),
-            (0 < self.snow_depth_limit_mm <= 1000, "Snow depth limit must be between 0 and 1000 mm."),
+            (self.block_minutes in (5, 10, 15), "a block is 5, 10 or 15 minutes"),
+            (self.slot_minutes > 0 and self.block_minutes % max(1, self.slot_minutes) == 0, "slots fill a block exactly"),
+            (0 < self.wind_limit_ms <= 30, "the wind limit lies in (0, 30] m/s"),
+            (0 < self.roughness_length_m < math.inf, "the roughness length is positive and finite"),
+            (self.roughness_length_m < self.mic_height_m <= 30, "the microphone stands above the roughness length, at most at 30 m"),
+            (self.roughness_length_m < self.anemometer_height_m <= 100, "the anemometer stands above the roughness length, at most at 100 m"),
+            (0 <= min(whole[2:]) and max(whole[2:]) <= 8, "buffers are 0 to 8 blocks"),
+            (0 < self.snow_depth_limit_mm <= 1000, "the snow limit lies in (0, 1000] mm"),
         ]
         for ok, message in rules:
             if not ok:
@@ -295,5 +292,4 @@ def refuse_other_record(df: DataFrame, saved: DataFrame, keys: Sequence[str] = S
     now = fingerprint(df, keys)
     same = now.join(saved, [*keys, "timestamp_hash", "rows"], "left_anti")
     if same.limit(1).count():
-        raise ScreenError("This weather screen was computed for a different file (or a different version of it). "
-                          "Run weather screening again for the current file.")
+        raise ScreenError("the saved weather screen belongs to other readings; build it again for these")

@@ -8,6 +8,7 @@ from noisefleet.functions import clock as ck
 from noisefleet.operators import clocks, continuity
 from noisefleet.operators import periods as per
 from noisefleet.plans.registry.common import Query, rounded
+from noisefleet.plans.registry.levels import MODAL
 from noisefleet.plans.registry.sqlviews import laeq, oracle
 from noisefleet.plans.views import view
 
@@ -61,9 +62,10 @@ ORACLES = {
         FROM reading_march""", "reading_march"),
     "local_to_utc_autumn": oracle("""SELECT site_id, seq, CASE WHEN ts < TIMESTAMP '2024-11-03 01:00:00' THEN ts + INTERVAL 4 HOUR
         WHEN ts >= TIMESTAMP '2024-11-03 02:00:00' THEN ts + INTERVAL 5 HOUR END AS utc FROM reading_october""", "reading_october"),
-    "clock_changes": oracle("""WITH a AS (SELECT site_id, lag(ts) OVER (PARTITION BY site_id ORDER BY ts) AS before, ts AS after FROM spring_15m)
-        SELECT site_id, before, after, 3600.0::DOUBLE AS shift_seconds, epoch(after) - epoch(before) - 3600 AS elapsed_seconds
-        FROM a WHERE before < TIMESTAMP '2024-03-10 02:00:00' AND after >= TIMESTAMP '2024-03-10 03:00:00'""", "spring_15m"),
+    "clock_changes": oracle(f"""WITH i AS ({MODAL.replace('FROM reading)', 'FROM reading_15m)')}), a AS (SELECT site_id, lag(ts) OVER (PARTITION BY site_id ORDER BY ts) AS before, ts AS after FROM spring_15m),
+        b AS (SELECT *, CASE WHEN before < TIMESTAMP '2024-03-10 02:00:00' AND after >= TIMESTAMP '2024-03-10 03:00:00' THEN 3600.0::DOUBLE ELSE 0 END AS shift_seconds FROM a)
+        SELECT site_id, before, after, shift_seconds, epoch(after) - epoch(before) - shift_seconds AS elapsed_seconds FROM b JOIN i USING (site_id)
+        WHERE epoch(after) - epoch(before) > greatest(2*interval_s, 2) AND shift_seconds >= 3600 - interval_s""", "reading_15m", "spring_15m"),
     "logger_clock": oracle("""WITH a AS (SELECT site_id, lag(ts) OVER (PARTITION BY site_id ORDER BY ts) AS before, ts AS after FROM spring_15m)
         SELECT site_id, true AS follows_dst, concat('In this record the clock jumps from ', strftime(before, '%H:%M:%S'), ' to ', strftime(after, '%H:%M:%S'),
         ' on ', strftime(before, '%d %b %Y'), ', so the logger clock follows daylight saving time.') AS evidence

@@ -45,10 +45,10 @@ METRICS = f"""{EXCLUSIONS}, {STEPS}, b AS (SELECT site_id, count(*) AS n_records
         100*avg(CASE WHEN leq > 53 THEN 1.0::DOUBLE ELSE 0 END) AS pct_above_53, 100*avg(CASE WHEN leq > 45 THEN 1.0::DOUBLE ELSE 0 END) FILTER (WHERE {COMAR_NIGHT}) AS pct_night_above_45,
         min(ts) AS start, max(ts) AS "end", epoch(max(ts)) - epoch(min(ts)) AS span FROM reading_15m GROUP BY ALL),
     w AS (SELECT site_id, min(leq) AS box_lo, max(leq) AS box_hi FROM reading_15m JOIN b USING (site_id) WHERE leq BETWEEN q1-1.5*(q3-q1) AND q3+1.5*(q3-q1) GROUP BY ALL),
-    gg AS (SELECT site_id, count(*) AS n_gaps, sum(step - interval_s) AS missing FROM g0 GROUP BY ALL),
+    gg AS (SELECT site_id, count(*) AS n_gaps, sum(step - interval_s) AS missing, count(*) FILTER (WHERE interval_s >= 3600) AS cc FROM g0 GROUP BY ALL),
     metrics AS (SELECT site_id, n_records, laeq, b.lmax, b.lmin, {LDEN} AS lden, laeq_night_lden AS lnight, l10, l50, l90, pct_above_53, pct_night_above_45, q1, l50 AS median, q3,
         box_lo, box_hi, floor(least(100, n_records::DOUBLE/greatest(CAST(round_even(span/interval_s,0) AS BIGINT) + 1, n_records)*100)*100)/100 AS completeness_pct,
-        coalesce(n_gaps, 0) AS n_gaps, coalesce(missing, 0)::DOUBLE AS missing_seconds, CAST(0 AS BIGINT) AS n_clock_changes, start, "end", span/604800 AS n_weeks,
+        coalesce(n_gaps, 0) AS n_gaps, coalesce(missing, 0)::DOUBLE AS missing_seconds, coalesce(cc, 0) AS n_clock_changes, start, "end", span/604800 AS n_weeks,
         concat_ws(', ', CASE WHEN span >= 86400 THEN concat(CAST(floor(span/86400) AS INT), ' day', CASE WHEN span >= 172800 THEN 's' ELSE '' END) END,
             CASE WHEN span % 86400 >= 3600 THEN concat(CAST(floor(span % 86400/3600) AS INT), ' hr', CASE WHEN floor(span % 86400/3600) = 1 THEN '' ELSE 's' END) END,
             CASE WHEN span % 3600 >= 60 AND span < 30*86400 THEN concat(CAST(floor(span % 3600/60) AS INT), ' min') END) AS duration_label

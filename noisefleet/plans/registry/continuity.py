@@ -74,13 +74,14 @@ ORACLES = {
     "excluded_gaps": oracle(f"""WITH {EXCLUSIONS}, {STEPS} SELECT site_id, start, "end", step AS step_seconds FROM g WHERE excl""", "reading_15m"),
     "gap_summary": oracle(f"""WITH {EXCLUSIONS}, {STEPS}, b AS (SELECT site_id, count(*) AS total_rows, epoch(max(ts)) - epoch(min(ts)) AS span FROM reading_15m GROUP BY ALL),
         q AS (SELECT site_id, count(*) FILTER (WHERE NOT excl) AS gc, count(*) FILTER (WHERE NOT excl AND (step-interval_s)/60 < 15) AS mn,
-              coalesce(sum(greatest(0, step-interval_s)) FILTER (WHERE NOT excl), 0) AS missing, coalesce(sum(greatest(0, step-interval_s)) FILTER (WHERE excl), 0) AS ex FROM g GROUP BY ALL),
-        z AS (SELECT site_id, total_rows, span, interval_s, coalesce(gc,0) AS gc, coalesce(mn,0) AS mn, coalesce(missing,0) AS missing, coalesce(ex,0) AS ex,
+              coalesce(sum(greatest(0, step-interval_s)) FILTER (WHERE NOT excl), 0) AS missing, coalesce(sum(greatest(0, step-interval_s)) FILTER (WHERE excl), 0) AS ex,
+              count(*) FILTER (WHERE interval_s >= 3600) AS cc FROM g GROUP BY ALL),
+        z AS (SELECT site_id, total_rows, span, interval_s, coalesce(gc,0) AS gc, coalesce(mn,0) AS mn, coalesce(missing,0) AS missing, coalesce(ex,0) AS ex, coalesce(cc,0) AS cc,
               greatest(CAST(round_even((span - coalesce(ex,0))/interval_s, 0) AS BIGINT) + 1, total_rows) AS expected FROM b JOIN i USING (site_id) LEFT JOIN q USING (site_id)),
         y AS (SELECT *, least(100, total_rows::DOUBLE/expected*100) AS c FROM z)
         SELECT site_id, total_rows, round(interval_s,6) AS logging_interval_seconds, round(span,6) AS actual_span_seconds, expected AS expected_rows,
         round(c,6) AS completeness_exact, floor(c*100)/100 AS uptime_pct, gc AS gap_count, mn AS minor_gap_count, gc - mn AS major_gap_count,
-        round(missing::DOUBLE,6) AS missing_seconds, CAST(0 AS BIGINT) AS n_clock_changes, gc = 0 AS continuous FROM y""", "reading_15m"),
+        round(missing::DOUBLE,6) AS missing_seconds, cc AS n_clock_changes, gc = 0 AS continuous FROM y""", "reading_15m"),
     "completeness": oracle(f"""WITH i AS ({MODAL.replace('FROM reading)', 'FROM reading_15m)')}), b AS (SELECT site_id, count(*) AS n_rows, epoch(max(ts)) - epoch(min(ts)) AS span FROM reading_15m GROUP BY ALL)
         SELECT site_id, n_rows, round(least(100, 100.0::DOUBLE*n_rows/greatest(1, span/interval_s + 1)), 6) AS completeness_pct FROM b JOIN i USING (site_id)""", "reading_15m"),
     "merge_dedupe": oracle("""SELECT site_id, file_seq, seq, ts, fold, leq, lmax, lmin FROM reading

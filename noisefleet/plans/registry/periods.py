@@ -33,7 +33,7 @@ QUERIES: dict[str, Query] = {
         per.period_length_s("date", (0, 0), "America/New_York").alias("day_s"))),
     "nightly_laeq": lambda s, d: rounded(per.nightly(view(s, d, "reading"), _interval(s, d)), 7),
     "lden_by_day": lambda s, d: rounded(per.lden_by_day(view(s, d, "reading"), _interval(s, d))),
-    "daily_summary": lambda s, d: rounded(_daily(s, d), 4, DAILY_EXACT),
+    "daily_summary": lambda s, d: rounded(_daily(s, d), 7, DAILY_EXACT),
     "hourly_summary": lambda s, d: rounded(per.hourly_summary(view(s, d, "reading")), 4, DAILY_EXACT),
     "diurnal_profile": lambda s, d: per.diurnal_profile(view(s, d, "reading")).select(
         "site_id", F.posexplode("diurnal").alias("hour", "laeq")).withColumn("laeq", F.round("laeq", 4)),
@@ -105,7 +105,7 @@ ORACLES = {
         SELECT site_id, date, round({LDEN},4) AS lden, n, round({COVER.format(86400)},4) AS coverage_pct
         FROM g JOIN i USING (site_id)""", "reading", dates=('date',)),
     "daily_summary": oracle(f"WITH {DAILY} SELECT site_id, date, min_leq, max_leq, " + ", ".join(
-        f"round({c},4) AS {c}" for c in DAILY_COLUMNS) + " FROM daily", "reading", dates=('date',)),
+        f"round({c},7) AS {c}" for c in DAILY_COLUMNS) + " FROM daily", "reading", dates=('date',)),
     "hourly_summary": oracle(f"""WITH h AS ({HOURLY}) SELECT site_id, CAST(hour AS INT) AS hour, round(laeq,4) AS laeq,
         min_leq, max_leq, round(std_dev,4) AS std_dev FROM h""", "reading"),
     "diurnal_profile": oracle(f"""WITH h AS ({HOURLY}), s AS (SELECT DISTINCT site_id FROM reading)
@@ -158,11 +158,11 @@ ORACLES = {
         SELECT site_id, min(bin_start) AS start, max(bin_start) AS "end", count(*) AS bins FROM y GROUP BY site_id, grp HAVING count(*) >= 2""", "reading"),
     "laeq_1min": oracle(f"""SELECT site_id, date_trunc('minute', ts) AS minute_start, '' AS second_pass, round({laeq()},7) AS laeq,
         count(*) AS readings FROM reading GROUP BY site_id, date_trunc('minute', ts)""", "reading"),
-    "periods_over_limit": oracle(f"""WITH ng AS (SELECT site_id, {key(23)} AS date, {laeq()} AS l, count(*) AS n FROM reading_15m WHERE {NIGHT} GROUP BY ALL),
+    "periods_over_limit": oracle(f"""WITH i AS ({MODAL.replace('FROM reading)', 'FROM reading_15m)')}), ng AS (SELECT site_id, {key(23)} AS date, {laeq()} AS l, count(*) AS n FROM reading_15m WHERE {NIGHT} GROUP BY ALL),
         ld AS (SELECT site_id, date, {LDEN} AS l, n FROM ({LDEN_DAY.format(src="reading_15m")})),
         cal AS (SELECT DISTINCT site_id, ts::DATE AS date FROM reading_15m),
-        p AS (SELECT site_id, 'night' AS period, l, 45.0 AS lim FROM ng WHERE 100.0::DOUBLE*n*900/28800 >= 50 AND l IS NOT NULL
-        UNION ALL SELECT site_id, 'day', l, 53.0 FROM ld JOIN cal USING (site_id, date) WHERE 100.0::DOUBLE*n*900/86400 >= 50 AND l IS NOT NULL)
+        p AS (SELECT site_id, 'night' AS period, l, 45.0 AS lim FROM ng JOIN i USING (site_id) WHERE 100.0::DOUBLE*n*interval_s/28800 >= 50 AND l IS NOT NULL
+        UNION ALL SELECT site_id, 'day', l, 53.0 FROM ld JOIN cal USING (site_id, date) JOIN i USING (site_id) WHERE 100.0::DOUBLE*n*interval_s/86400 >= 50 AND l IS NOT NULL)
         SELECT site_id, period, count(*) AS n_periods, count(*) FILTER (WHERE l > lim) AS n_over, round(min(l),4) AS lowest,
         round(max(l),4) AS highest FROM p GROUP BY ALL""", "reading_15m"),
     "calendar_features": oracle("""SELECT site_id, seq, ts, CAST(hour(ts) AS INT) AS hour, CAST(isodow(ts)-1 AS INT) AS weekday,

@@ -55,7 +55,7 @@ def lines(spark: SparkSession, paths: str | list[str]) -> DataFrame:
                                         F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("_id"))
     first = raw.groupBy("path", "block").agg(F.min("_id").alias("_first"))
     return raw.join(first, ["path", "block"]).select(
-        F.regexp_replace("value", "^﻿|\r$", "").alias("value"), "path", "block",
+        F.regexp_replace("value", "^\ufeff|\r$", "").alias("value"), "path", "block",
         (F.col("block") + F.col("_id") - F.col("_first")).alias("at"))
 
 

@@ -30,10 +30,10 @@ def larson_davis(sheet: DataFrame, keep: Sequence[str] = ()) -> DataFrame:
     """
     names = {c.strip(): c for c in sheet.columns}
     if "Date/Time" not in names:
-        raise roles.IngestError("This Larson Davis export has no Date/Time column in its Time History sheet.")
+        raise roles.IngestError("the sheet has no Date/Time column")
     chosen, _ = roles.plan_levels([n for n in names if n != "Date/Time" and n not in keep])
     if "leq" not in chosen:
-        raise roles.IngestError("No LAeq column was found in the Time History sheet of this Larson Davis export.")
+        raise roles.IngestError("the sheet has no LAeq column")
 
     def col(n: str) -> Column:
         return F.col(f"`{names[n]}`")
@@ -73,12 +73,12 @@ def decode_cil(content: bytes) -> pd.DataFrame:
             lines.append((start, step, count))
             at += 8 * count
     except (struct.error, roles.IngestError) as exc:
-        raise roles.IngestError(f"This .cil file does not have the expected layout ({exc}).") from exc
+        raise roles.IngestError(f"not a readable .cil log: {exc}") from exc
     if len(set(lines)) > 1:
-        raise roles.IngestError("The three level blocks in this .cil file do not share one timeline.")
+        raise roles.IngestError("the level blocks of this .cil log differ in start, step or length")
     leq = values["leq"][np.isfinite(values["leq"])]
     if not len(leq) or leq.min() <= CIL_LOWEST_DB or leq.max() >= CIL_HIGHEST_DB:
-        raise roles.IngestError("The levels in this .cil file are outside any plausible range.")
+        raise roles.IngestError("the levels of this .cil log are not plausible")
     start, step, count = lines[0]
     return pd.DataFrame({"epoch_s": start - CIL_EPOCH_OFFSET_S + step * np.arange(count), **values})
 

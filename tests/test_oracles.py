@@ -1,4 +1,4 @@
-"""Every registered query against its SQL on the smallest tables."""
+"""Every registered query against its SQL on the tables of scale 0.01."""
 from __future__ import annotations
 
 import pytest
@@ -6,7 +6,7 @@ import pytest
 from noisefleet.plans import registry
 from tools.compare import check, connect
 
-SF = "/root/testdata/sf0.001"
+SF = "/root/testdata/sf0.01"
 QUERIES, ORACLES = registry.queries(), registry.oracles()
 
 
