@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from noisefleet.session import pin_utc
+from noisefleet.session import prepare
 
 K = "CAST(get_json_object(props,'$.k') AS INT)"
 
@@ -65,7 +65,7 @@ SOURCES = {"reading_march": ["events"], "reading_october": ["events"], "spring_1
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return pin_utc(spark).read.parquet(f"{sf_dir}/{name}.parquet")
+    return prepare(spark).read.parquet(f"{sf_dir}/{name}.parquet")
 
 
 def view(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

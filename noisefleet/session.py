@@ -8,10 +8,25 @@ import tempfile
 from pyspark.sql import DataFrame, SparkSession
 
 
-def pin_utc(spark: SparkSession) -> SparkSession:
-    """Wall-clock columns are TIMESTAMP_NTZ; the few casts to TIMESTAMP assume a UTC session."""
-    if spark.conf.get("spark.sql.session.timeZone") != "UTC":
-        spark.conf.set("spark.sql.session.timeZone", "UTC")
+# What the operators rely on, in any session:
+# - wall-clock columns are TIMESTAMP_NTZ, and the few casts to TIMESTAMP assume UTC;
+# - a window or aggregate by (site, slice) must not settle for rows already placed by site alone, which
+#   would put a hot site in one task;
+# - a join by site splits a hot site even where that costs a later shuffle.
+REQUIRED = {
+    "spark.sql.session.timeZone": "UTC",
+    "spark.sql.requireAllClusterKeysForDistribution": "true",
+    "spark.sql.adaptive.enabled": "true",
+    "spark.sql.adaptive.skewJoin.enabled": "true",
+    "spark.sql.adaptive.forceOptimizeSkewedJoin": "true",
+}
+
+
+def prepare(spark: SparkSession) -> SparkSession:
+    """Set the session options the operators rely on. Call it once with your own session."""
+    for name, value in REQUIRED.items():
+        if spark.conf.get(name, None) != value:
+            spark.conf.set(name, value)
     return spark
 
 
@@ -21,8 +36,6 @@ def local_session(cores: int | str = 8, shuffle_partitions: int = 8, app: str =
         SparkSession.builder.master(f"local[{cores}]")
         .appName(app)
         .config("spark.sql.shuffle.partitions", str(shuffle_partitions))
-        .config("spark.sql.session.timeZone", "UTC")
-        .config("spark.sql.adaptive.enabled", "true")
         .config("spark.sql.execution.arrow.pyspark.enabled", "true")
         .config("spark.driver.memory", os.environ.get("NOISEFLEET_DRIVER_MEMORY", "8g"))
         .config("spark.ui.enabled", "false")
@@ -30,7 +43,7 @@ def local_session(cores: int | str = 8, shuffle_partitions: int = 8, app: str =
         .getOrCreate()
     )
     spark.sparkContext.setLogLevel("ERROR")
-    return pin_utc(spark)
+    return prepare(spark)
 
 
 def cut_lineage(df: DataFrame) -> DataFrame:

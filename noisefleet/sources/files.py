@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
+from functools import reduce
 
+import pandas as pd
+from pyarrow import fs
 from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -11,30 +14,48 @@ from pyspark.sql import functions as F
 from noisefleet.functions import levels as lv
 from noisefleet.functions import roles, text
 from noisefleet.operators.scans import SITE
+from noisefleet.session import cut_lineage
 
 # Leading bytes of the formats, in hex, and their names.
 MAGIC = [("50415231", "parquet"), ("D0CF11E0A1B11AE1", "xls"), ("504B0304", "xlsx")]
 CIL_MARK, CIL_MARK_AT = "4E535254", 5
 SEPARATORS = ("\t", ";", ",", "|")
-HEADER_LINES = 50
+HEADER_LINES, HEAD_BYTES = 50, 64 * 1024
 ROW_LIMITS = {"xlsx": 1_048_576, "xls": 65_536}
 ROW_LIMIT_SLACK = 6
 COMMA_SHARE = 0.95
-_NAMES = ("value", "path", "block", "at")
+
+
+def _read_heads(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    for batch in batches:
+        heads = []
+        for path in batch["path"]:
+            # Spark writes local paths with one slash
+            store, at = fs.FileSystem.from_uri("file://" + path[5:] if path.startswith("file:/") and not path.startswith("file://") else path)
+            with store.open_input_stream(at, compression=None) as stream:
+                heads.append(stream.read(HEAD_BYTES))
+        yield batch.assign(head=heads)
+
+
+def heads(spark: SparkSession, paths: str | list[str]) -> DataFrame:
+    """Path, length and the first 64 KB of every file: the listing comes from Spark, no file is read whole."""
+    listed = spark.read.format("binaryFile").load(paths).select("path", "length")
+    return listed.mapInPandas(_read_heads, "path string, length bigint, head binary")
 
 
 def formats(spark: SparkSession, paths: str | list[str]) -> DataFrame:
-    """Path, length, format by leading bytes, and SHA-256 of every file. One row per file, read in parallel.
+    """Path, length and format by leading bytes, one row per file. Unknown binary files, .wlg too, are ``refused``."""
+    f = heads(spark, paths)
+    first = F.hex(F.substring("head", 1, 512))
+    known = [F.when(first.startswith(m), name) for m, name in MAGIC]
+    cil = F.when(F.hex(F.substring("head", CIL_MARK_AT, 4)) == CIL_MARK, "cil")
+    is_text = F.when((F.length("head") > 0) & ~first.rlike("^(..)*00"), "text")
+    return f.select("path", "length", F.coalesce(*known, cil, is_text, F.lit("refused")).alias("format"))
 
-    Unknown binary files, .wlg among them, are named ``refused``.
-    """
-    f = spark.read.format("binaryFile").load(paths)
-    head = F.hex(F.substring("content", 1, 512))
-    known = [F.when(head.startswith(m), name) for m, name in MAGIC]
-    cil = F.when(F.hex(F.substring("content", CIL_MARK_AT, 4)) == CIL_MARK, "cil")
-    is_text = F.when((F.length("content") > 0) & ~F.hex(F.substring("content", 1, 512)).rlike("^(..)*00"), "text")
-    return f.select("path", "length", F.coalesce(*known, cil, is_text, F.lit("refused")).alias("format"),
-                    F.sha2("content", 256).alias("sha256"))
+
+def provenance(spark: SparkSession, paths: str | list[str]) -> DataFrame:
+    """SHA-256 of every source file, read in parallel."""
+    return spark.read.format("binaryFile").load(paths).select("path", "length", F.sha2("content", 256).alias("sha256"))
 
 
 def refuse(found: DataFrame) -> None:
@@ -65,6 +86,8 @@ def _count(c: Column, what: str) -> Column:
 
 def layouts(spark: SparkSession, paths: str | list[str]) -> DataFrame:
     """Header line, its number and the separator of every file, from its first lines."""
+    text_ = F.regexp_replace(F.col("head").cast("string"), "^\\ufeff", "")
+    top = heads(spark, paths).select("path", F.posexplode(F.slice(F.split(text_, "\r\n|\n|\r"), 1, HEADER_LINES)).alias("at", "value"))
     low = F.lower(F.trim("value"))
 
     def has(*parts: str) -> Column:
@@ -74,7 +97,6 @@ def layouts(spark: SparkSession, paths: str | list[str]) -> DataFrame:
         return hit
 
     header = (has("time") & has("leq", "db", "l-max", "l-min")) | ((_count(low, ",") >= 2) & has("leq", "db"))
-    top = lines(spark, paths).where((F.col("block") == 0) & (F.col("at") < HEADER_LINES))
     row = F.struct("at", "value")
     f = top.groupBy("path").agg(F.coalesce(F.min(F.when(header, row)), F.min(row)).alias("h")).select(
         "path", F.col("h.at").alias("header_at"), F.col("h.value").alias("header"))
@@ -106,8 +128,8 @@ def read_delimited(spark: SparkSession, paths: str | list[str]) -> tuple[DataFra
     Files are grouped by layout (header and separator); each group is one scan. Only the layouts and
     file names pass through the driver.
     """
+    found = cut_lineage(layouts(spark, paths))
     groups: dict[tuple[str, str], list[str]] = {}
-    found = layouts(spark, paths)
     for r in found.select("path", "header", "sep").toLocalIterator():
         groups.setdefault((r["header"], r["sep"]), []).append(r["path"])
     parts, notes = [], []
@@ -127,11 +149,10 @@ def read_delimited(spark: SparkSession, paths: str | list[str]) -> tuple[DataFra
         parts.append(flat.select("path", "seq", "raw", *[
             (lv.finite(F.trim(F.col(role)).try_cast("double")) if role in level else F.lit(None).cast("double")).alias(role)
             for role in ("leq", "lmax", "lmin")]))
-        notes += [(p, code, text_) for p in members for code, text_ in said]
-    df = parts[0]
-    for p in parts[1:]:
-        df = df.unionByName(p)
-    return df, spark.createDataFrame(notes, "path string, code string, text string")
+        here = found.where((F.col("header") == header) & (F.col("sep") == sep))
+        notes += [here.select("path", F.lit(code).alias("code"), F.lit(words).alias("text")) for code, words in said]
+    none = found.select("path", F.lit("").alias("code"), F.lit("").alias("text")).where(F.lit(False))
+    return reduce(DataFrame.unionByName, parts), reduce(DataFrame.unionByName, notes, none)
 
 
 def read_parquet(spark: SparkSession, paths: str | list[str]) -> tuple[DataFrame, list[tuple[str, str]]]:
