@@ -124,9 +124,17 @@ def choose_method(df: DataFrame, keys: Sequence[str] = SITE, raw: str = "raw", s
 
 
 def parse_with(raw: Column, method: Column) -> Column:
-    """Read a text time with its record's strategy."""
-    options = {**candidates(raw), "epoch:s": _epoch(raw, "s"), "epoch:ms": _epoch(raw, "ms")}
-    return F.coalesce(*[F.when(method == name, c) for name, c in options.items()])
+    """Read a text time with its record's strategy. Each reading appears once, behind the methods that use it."""
+    r = readings_of(raw)
+    by_order = {o: [f"format:{name}" for name, _, order in EXPLICIT if order == o] for o in r}
+    inferred = ["inferred-yearfirst", "inferred-dayfirst", "inferred-monthfirst"]
+    value = F.coalesce(
+        F.when(method.isin("inferred-dayfirst", *by_order["day"]), r["day"]),
+        F.when(method.isin("inferred-monthfirst", *by_order["month"]), r["month"]),
+        F.when(method.isin(*inferred, *by_order["year"]), r["year"]),
+        F.when(method == "epoch:s", _epoch(raw, "s")), F.when(method == "epoch:ms", _epoch(raw, "ms")))
+    shaped = F.coalesce(*[F.when(method == f"format:{name}", F.trim(raw).rlike(pattern)) for name, pattern, _ in EXPLICIT], F.lit(True))
+    return F.when(shaped, value)
 
 
 def parse_times(df: DataFrame, keys: Sequence[str] = SITE, raw: str = "raw", seq: str = "seq",
