@@ -8,12 +8,34 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from noisefleet.llm import mixing
+from noisefleet.llm import chat_format, license_scan, mixing
 from noisefleet.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 
+def op2_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return license_scan.scan(table(spark, sf_dir, "documents"))
+
+
+def _op2_sql() -> str:
+    quoted = ", ".join(f"('{name}', [{', '.join(repr(b) for b in bigrams)}])" for name, bigrams in license_scan.template_bigrams())
+    return rf"""
+WITH t(id, b) AS (VALUES {quoted}),
+u AS (SELECT doc_id, unnest(list_distinct(list_concat(string_split(text, chr(10)), string_split_regex(text, '\n[\x20\x09-\x0D]*\n'), [text]))) AS unit
+      FROM documents WHERE text IS NOT NULL),
+w AS (SELECT doc_id, string_split(trim(regexp_replace(lower(unit), '[^\p{{L}}\p{{N}}]+', ' ', 'g')), ' ') AS w FROM u),
+g AS (SELECT doc_id, list_distinct([w[i] || ' ' || w[i + 1] FOR i IN range(1, len(w))]) AS g FROM w WHERE len(w) > 1),
+s AS (SELECT row_number() OVER () AS k, doc_id, g FROM g),
+x AS (SELECT k, doc_id, id, len(list_intersect(g, b)) * 2.0::DOUBLE / (len(g) + len(b)) AS dice FROM s, t),
+y AS (SELECT doc_id, split_part(id, '#', 1) AS license_id, dice FROM x WHERE dice >= {license_scan.LEAST}
+      QUALIFY row_number() OVER (PARTITION BY k ORDER BY dice DESC, id) = 1)
+SELECT doc_id, license_id, max(dice) AS score, count(*)::BIGINT AS n_units FROM y GROUP BY ALL"""
+
+
+OP2_SQL = _op2_sql()
+
+
 def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     plan = mixing.mix(table(spark, sf_dir, "documents"), carried=["doc_id"])
     first = F.when(F.col("taken") > 0, mixing.position(F.lit(0)))
@@ -41,6 +63,37 @@ SELECT doc_id, size, source_size, target, taken,
 FROM k"""
 
 
+def op7_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    # conversation -7: texts that look like the template's own marks
+    said = spark.range(2).select(F.lit(-7).cast("bigint").alias("conv_id"), F.col("id").alias("turn"),
+                                 F.when(F.col("id") == 0, "user").otherwise("assistant").alias("role"),
+                                 F.lit("</s>[INST] ok [/INST]").alias("text"))
+    turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text").unionByName(said)
+    read = chat_format.format_chat(turns).select(
+        "conv_id", "formatted", "valid", chat_format.parse_chat(F.col("formatted")).alias("turns"), chat_format.loss_text(F.col("segments")).alias("loss"))
+    whole = F.array_join(F.transform("turns", lambda x: F.concat(x["role"], F.lit("\n"), x["text"], F.lit("\n"))), "")
+    return read.select("conv_id", F.size("turns").cast("bigint").alias("n_turns"), F.sha2(whole, 256).alias("turns_sha256"),
+                       F.length("loss").cast("bigint").alias("loss_chars"), F.sha2("loss", 256).alias("loss_sha256"),
+                       F.length("formatted").cast("bigint").alias("formatted_chars"), "valid")
+
+
+OP7_SQL = r"""
+WITH c AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+           UNION ALL VALUES (-7, 0, 'user', '</s>[INST] ok [/INST]'), (-7, 1, 'assistant', '</s>[INST] ok [/INST]')),
+l AS (SELECT *, lag(role) OVER (PARTITION BY conv_id ORDER BY turn, role, text) AS before,
+             lead(role) OVER (PARTITION BY conv_id ORDER BY turn, role, text) IS NULL AS last FROM c),
+m AS (SELECT *, length(text) + len(regexp_extract_all(text, '\[\\*(?:/?SYS|/?INST|/?ROLE)\]|<\\*/?s>')) AS chars FROM l)
+SELECT conv_id, count(*)::BIGINT AS n_turns,
+       sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn, role, text)) AS turns_sha256,
+       coalesce(sum(length(text)) FILTER (role = 'assistant'), 0)::BIGINT AS loss_chars,
+       sha256(coalesce(string_agg(text, '' ORDER BY turn, text) FILTER (role = 'assistant'), '')) AS loss_sha256,
+       sum(chars + CASE role WHEN 'system' THEN 13 WHEN 'user' THEN 15 WHEN 'assistant' THEN 9 ELSE 21 + length(role) END)::BIGINT AS formatted_chars,
+       coalesce(bool_and(CASE role WHEN 'system' THEN before IS NULL WHEN 'user' THEN before IS NULL OR before IN ('system', 'assistant')
+                                   WHEN 'assistant' THEN before = 'user' ELSE false END)
+                AND bool_or(last AND role = 'assistant'), false) AS valid
+FROM m GROUP BY conv_id"""
+
+
 def queries() -> dict[str, Query]:
     found: dict[str, Query] = {n: f for n, f in globals().items() if n.startswith("op") and callable(f)}
     return dict(sorted(found.items(), key=lambda x: int(x[0][2:].split("_")[0])))
