@@ -30,7 +30,7 @@ Curve = Sequence[tuple[float, float]]
 WEIGHTS = (3, 1, 2)
 # Weight multipliers over the run: sources are front-loaded and back-loaded in turn.
 CURVES: tuple[Curve, ...] = (((0.0, 1.5), (1.0, 0.5)), ((0.0, 0.5), (1.0, 1.5)))
-ROWS_PER_RANGE = 4096
+ROWS_PER_RANGE = 512
 
 
 def source_targets(sources: DataFrame, weights: Sequence[int] = WEIGHTS, share: float = 1.5, most: int = 2) -> DataFrame:
