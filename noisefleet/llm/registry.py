@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from noisefleet.llm import chat_format, license_scan, mixing
+from noisefleet.llm import chat_format, golay_simhash, license_scan, mixing
 from noisefleet.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -94,6 +94,11 @@ SELECT conv_id, count(*)::BIGINT AS n_turns,
 FROM m GROUP BY conv_id"""
 
 
+def op8_golay_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = golay_simhash.near_duplicates(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
 def queries() -> dict[str, Query]:
     found: dict[str, Query] = {n: f for n, f in globals().items() if n.startswith("op") and callable(f)}
     return dict(sorted(found.items(), key=lambda x: int(x[0][2:].split("_")[0])))
