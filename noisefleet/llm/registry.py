@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from noisefleet.llm import chat_format, golay_simhash, license_scan, mixing
+from noisefleet.llm import chat_format, golay_simhash, license_scan, mixing, onebit_search
 from noisefleet.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -63,6 +63,11 @@ SELECT doc_id, size, source_size, target, taken,
 FROM k"""
 
 
+def op5_onebit_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = onebit_search.search(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0)
+    return found.orderBy("query_id", "rank")
+
+
 def op7_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     # conversation -7: texts that look like the template's own marks
     said = spark.range(2).select(F.lit(-7).cast("bigint").alias("conv_id"), F.col("id").alias("turn"),
