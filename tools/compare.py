@@ -23,7 +23,7 @@ def normal(df: pd.DataFrame) -> list[tuple]:
     for r in df.itertuples(index=False):
         out = []
         for v in r:
-            if v is None or v is pd.NaT or (isinstance(v, float) and v != v):
+            if v is None or v is pd.NaT or v is pd.NA or (isinstance(v, float) and v != v):
                 out.append(None)
             elif hasattr(v, "tolist") and not isinstance(v, pd.Timestamp):
                 out.append(str(v.tolist()))
