@@ -8,12 +8,16 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from noisefleet.llm import chat_format, golay_simhash, license_scan, mixing, onebit_search, warc
+from noisefleet.llm import chat_format, golay_simhash, license_scan, mixing, onebit_search, quality_trees, warc
 from noisefleet.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 
+def op1_quality_trees(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_trees.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op2_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return license_scan.scan(table(spark, sf_dir, "documents"))
 
