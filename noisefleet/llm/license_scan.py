@@ -19,6 +19,7 @@ other columns are ignored.
 
 from __future__ import annotations
 
+import json
 import math
 import re
 
@@ -101,23 +102,29 @@ def units(text: Column) -> Column:
     return F.array_distinct(F.concat(F.split(text, "\n"), F.split(text, r"\n[\x20\x09-\x0D]*\n"), F.array(text)))
 
 
+def _once(value: Column) -> Column:
+    """``value`` behind a generator, so that filters and later columns read it and do not compute it again."""
+    return F.explode(F.array(value))
+
+
 def scan(docs: DataFrame, notices: dict[str, list[str]] = NOTICES, least: float = LEAST) -> DataFrame:
     """Licences of (doc_id, text): doc_id, license_id, score (best dice), n_units (units where it is the best)."""
     templates = template_bigrams(notices)
-    known = F.array(*[F.struct(F.lit(name).alias("id"), F.lit(len(b)).alias("n"), F.array(*map(F.lit, b)).alias("bigrams")) for name, b in templates])
-    anchors = F.array(*map(F.lit, anchor_words(templates, least)))
-    each = docs.select("doc_id", F.explode(units(docs["text"])).alias("unit"))
-    each = each.select("doc_id", F.split(F.trim(F.regexp_replace(F.lower("unit"), BETWEEN, " ")), " ").alias("words"))
+    # one literal each, folded to a constant when the query is planned
+    known = F.from_json(F.lit(json.dumps([{"id": name, "n": len(b), "bigrams": b} for name, b in templates])),
+                        "array<struct<id:string,n:int,bigrams:array<string>>>")
+    anchors = F.split(F.lit(" ".join(anchor_words(templates, least))), " ")
+    each = docs.select("doc_id", F.explode_outer(units(docs["text"])).alias("unit"))
+    each = each.select("doc_id", _once(F.split(F.trim(F.regexp_replace(F.lower("unit"), BETWEEN, " ")), " ")).alias("words"))
     each = each.where(F.arrays_overlap("words", anchors) & (F.size("words") > 1))
     pairs = F.array_distinct(F.zip_with(F.slice("words", 1, F.size("words") - 1), F.slice("words", F.lit(2), F.size("words") - 1),
                                         lambda a, b: F.concat(a, F.lit(" "), b)))
-    each = each.select("doc_id", pairs.alias("bigrams")).withColumn("n", F.size("bigrams"))
-    in_size = F.filter(known, lambda t: F.least(t["n"], F.col("n")) * 2.0 / (t["n"] + F.col("n")) >= least)
-    each = each.withColumn("near", in_size).where(F.size("near") > 0)
-    scored = F.transform("near", lambda t: F.struct(
+    each = each.select("doc_id", _once(pairs).alias("bigrams")).select("doc_id", "bigrams", _once(F.size("bigrams")).alias("n"))
+    near = F.filter(known, lambda t: F.least(t["n"], F.col("n")) * 2.0 / (t["n"] + F.col("n")) >= least)
+    scored = F.transform(near, lambda t: F.struct(
         (F.size(F.array_intersect(F.col("bigrams"), t["bigrams"])) * 2.0 / (t["n"] + F.col("n"))).alias("dice"), t["id"].alias("id")))
     # the best, of equals the first: templates are in order of ids
     best = F.aggregate(scored, F.struct(F.lit(0.0).alias("dice"), F.lit("").alias("id")), lambda a, b: F.when(b["dice"] > a["dice"], b).otherwise(a))
-    found = each.select("doc_id", best.alias("best")).where(F.col("best.dice") >= least)
+    found = each.select("doc_id", _once(best).alias("best")).where(F.col("best.dice") >= least)
     return found.groupBy("doc_id", F.substring_index("best.id", "#", 1).alias("license_id")).agg(
         F.max("best.dice").alias("score"), F.count("*").alias("n_units"))
