@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from noisefleet.llm import chat_format, golay_simhash, license_scan, mixing, onebit_search, quality_trees, warc
+from noisefleet.llm import boilerplate_crf, chat_format, golay_simhash, license_scan, mixing, onebit_search, quality_trees, warc
 from noisefleet.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -72,6 +72,11 @@ def op5_onebit_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.orderBy("query_id", "rank")
 
 
+def op6_boilerplate_crf(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return boilerplate_crf.judge(docs, boilerplate_crf.train(docs, table(spark, sf_dir, "labels")))
+
+
 def op7_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     # conversation -7: texts that look like the template's own marks
     said = spark.range(2).select(F.lit(-7).cast("bigint").alias("conv_id"), F.col("id").alias("turn"),
