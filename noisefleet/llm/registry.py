@@ -8,9 +8,12 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from noisefleet.llm import boilerplate_crf, chat_format, golay_simhash, license_scan, mixing, onebit_search, quality_trees, warc
+from noisefleet.llm import boilerplate_crf, chat_format, golay_simhash, license_scan, merge_dropout, mixing, onebit_search, quality_trees, warc
 from noisefleet.llm.common import table
 
+# Where the tokenizer model lies; read on the driver.
+MODEL = os.environ.get("NOISEFLEET_PIECE_MODEL", merge_dropout.MODEL)
+
 Query = Callable[[SparkSession, str], DataFrame]
 
 
@@ -113,6 +116,10 @@ def op8_golay_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+def op9_merge_dropout(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return merge_dropout.encode(table(spark, sf_dir, "documents"), merge_dropout.read_model(MODEL))
+
+
 def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     records = warc.round_trip(table(spark, sf_dir, "pages").select("page_id", "url", "html"))
     return records.select(warc.page_of(F.col("record_id")).alias("page_id"), "payload_bytes", "payload_digest",
