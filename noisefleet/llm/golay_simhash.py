@@ -200,3 +200,14 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     named = placed.groupBy("root").agg(F.min("doc_id").alias("component_id"))
     by_print = placed.select("fp", "root").join(named, "root").select("fp", "component_id")
     return known.join(by_print, "fp").select("doc_id", "fp", "component_id")
+
+
+def keep_one(docs: DataFrame) -> DataFrame:
+    """``docs`` with one document of each component: the smallest doc_id (null last); of repeated rows one."""
+    keys = [F.coalesce(docs["doc_id"].cast("bigint"), F.lit((1 << 63) - 1)).alias("id"), F.xxhash64(docs["text"]).alias("text_hash")]
+    known = stored(docs.select(*keys, fingerprints(docs["text"]).alias("fp")), "simhash")
+    roots = print_components(known.select("fp").distinct())
+    placed = known.join(roots, "fp", "left").select("id", "text_hash", F.coalesce("root", "fp").alias("root"))
+    keepers = placed.groupBy("root").agg(F.min(F.struct("id", "text_hash")).alias("k")).select("k.*")
+    rows = docs.select(*keys, F.struct(*[docs[f"`{c}`"] for c in docs.columns]).alias("row"))
+    return rows.join(keepers, ["id", "text_hash"], "left_semi").dropDuplicates(["id", "text_hash"]).select("row.*")

@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from noisefleet.llm import boilerplate_crf, chat_format, golay_simhash, license_scan, merge_dropout, mixing, onebit_search, quality_trees, warc
+from noisefleet.llm import boilerplate_crf, chat_format, golay_simhash, license_scan, line_dedup, merge_dropout, mixing, onebit_search, quality_trees, warc
 from noisefleet.llm.common import table
 
 # Where the tokenizer model lies; read on the driver.
@@ -43,6 +43,10 @@ SELECT doc_id, license_id, max(dice) AS score, count(*)::BIGINT AS n_units FROM
 OP2_SQL = _op2_sql()
 
 
+def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_dedup.dedup_lines(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     plan = mixing.mix(table(spark, sf_dir, "documents"), carried=["doc_id"])
     first = F.when(F.col("taken") > 0, mixing.position(F.lit(0)))
