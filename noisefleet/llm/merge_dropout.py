@@ -240,8 +240,9 @@ def encode_texts(pieces: Pieces, texts: Sequence[str | None], names: np.ndarray,
     ends = sizes.cumsum()
     if not len(ends) or not ends[-1]:
         return [np.empty(0, np.int32) for _ in texts]
-    code, distinct = pd.factorize(np.array([c for s in split for c in s], object))
-    del split
+    known: dict[str, int] = {}
+    code = np.fromiter((known.setdefault(c, len(known)) for s in split for c in s), np.int64, ends[-1])
+    distinct = list(known)
     place = np.arange(ends[-1]) - np.repeat(ends - sizes, sizes)
     draw = mixed(mixed(names.astype(np.int64).view(np.uint64) ^ np.uint64(seed)).repeat(sizes) ^ place.astype(np.uint64))
     variant = (draw % np.uint64(variants)).astype(np.int64) if dropout > 0 else np.zeros(len(draw), np.int64)
