@@ -11,6 +11,8 @@ from pyspark.sql import functions as F
 
 DEFAULT_ZONE = "America/New_York"
 FIRST_YEAR, LAST_YEAR = 1970, 2100
+# Hours within which a change of offset is felt by the wall times around it.
+NEARBY_H = 3
 
 # Labels of the zones a user is offered.
 ZONE_LABELS = {
@@ -87,9 +89,37 @@ def is_skipped(ts: Column | str, zone: str) -> Column:
     return utc_to_wall(first_instant(col(ts), zone), zone) != col(ts)
 
 
+def _offset_s(utc: Column, zone: str) -> Column:
+    return seconds_between(utc, utc_to_wall(utc, zone))
+
+
+def second_instant(ts: Column | str, zone: str) -> Column:
+    """UTC of the second time a repeated wall time was shown, NULL for other times.
+
+    The offset a few hours on is the one behind a change close by, whatever the size of the change.
+    """
+    first = first_instant(col(ts), zone)
+    second = plus_seconds(col(ts), -_offset_s(plus_hours(first, NEARBY_H), zone))
+    return F.when((second > first) & (utc_to_wall(second, zone) == col(ts)), second)
+
+
 def is_repeated(ts: Column | str, zone: str) -> Column:
     """The wall time happened twice."""
-    return utc_to_wall(plus_hours(first_instant(col(ts), zone), 1), zone) == col(ts)
+    return second_instant(ts, zone).isNotNull()
+
+
+def shown_before(utc: Column | str, zone: str) -> Column:
+    """The wall time of an instant had been shown already: it lies in the second pass of a repeated time."""
+    wall = utc_to_wall(utc, zone)
+    return first_instant(wall, zone) < col(utc)
+
+
+def change_before(utc: Column, zone: str) -> Column:
+    """The last instant up to ``utc``, within a few hours, at which the zone's offset changed; whole quarters of an hour."""
+    quarter = F.timestamp_seconds(F.floor(epoch_seconds(utc) / 900) * 900).cast("timestamp_ntz")
+    tried = F.transform(F.sequence(F.lit(0), F.lit(4 * NEARBY_H)), lambda k: F.timestamp_add("MINUTE", k * -15, quarter))
+    changed = F.filter(tried, lambda t: _offset_s(t, zone) != _offset_s(F.timestamp_add("SECOND", F.lit(-1), t), zone))
+    return F.try_element_at(changed, F.lit(1))
 
 
 def wall_to_utc(ts: Column | str, zone: str, *, fold: Column | None = None, on_repeated: str = "fold",
@@ -101,15 +131,14 @@ def wall_to_utc(ts: Column | str, zone: str, *, fold: Column | None = None, on_r
     """
     ts = col(ts)
     first = first_instant(ts, zone)
-    twice = is_repeated(ts, zone)
-    later = plus_hours(first, 1)
+    later = F.coalesce(second_instant(ts, zone), first)
     if on_repeated == "null":
-        utc = F.when(~twice, first)
+        utc = F.when(~is_repeated(ts, zone), first)
     elif on_repeated == "later":
-        utc = F.when(twice, later).otherwise(first)
+        utc = later
     else:
-        utc = F.when(twice & (F.coalesce(fold, F.lit(0)) == 1), later).otherwise(first) if fold is not None else first
-    missing = hour_start(first) if on_skipped == "forward" else F.lit(None).cast("timestamp_ntz")
+        utc = F.when(F.coalesce(fold, F.lit(0)) == 1, later).otherwise(first) if fold is not None else first
+    missing = change_before(first, zone) if on_skipped == "forward" else F.lit(None).cast("timestamp_ntz")
     return F.when(is_skipped(ts, zone), missing).otherwise(utc)
 
 

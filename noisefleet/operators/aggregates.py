@@ -17,10 +17,10 @@ from noisefleet.operators.scans import SITE, row_slice
 
 CHANNELS = ("leq", "lmax", "lmin")
 # Shares and thresholds of the descriptive rules.
-DOMINATED_TOP1_PCT, DOMINATED_OVER_L5_DB, CONCENTRATION_MIN_N = 10.0, 1.0, 20
+DOMINATED_TOP1_PCT, DOMINATED_OVER_L5_DB = 10.0, 1.0
 OUTLIER_IQR = 1.5
 SKEW_LIMIT, KURTOSIS_LIMIT = 0.5, 3.0
-TREND_SLOPE, TREND_MODERATE, TREND_STRONG, TREND_MIN_N = 0.001, 0.4, 0.7, 11
+TREND_SLOPE, TREND_MODERATE, TREND_STRONG = 0.001, 0.4, 0.7
 SLEEP_LAMAX_DB = 60.0
 FINDINGS_DB = 53.0
 
@@ -39,10 +39,9 @@ def exceedance(df: DataFrame, keys: Sequence[str] = SITE, level: str = "leq") ->
     return ranks.percentiles(df, keys, level, lv.EXCEEDANCE)
 
 
-def energy_concentration(df: DataFrame, keys: Sequence[str] = SITE, level: str = "leq") -> DataFrame:
-    """How much of the energy sits in the loudest reading and the loudest 0.1 %."""
-    r = ranks.ranked(ranks.value_counts(df, keys, level), keys).where(
-        F.col("n_total") >= CONCENTRATION_MIN_N)
+def energy_concentration(df: DataFrame, keys: Sequence[str] = SITE, level: str = "leq", least_n: int = 20) -> DataFrame:
+    """How much of the energy sits in the loudest reading and the loudest 0.1 %; NULL under ``least_n`` readings."""
+    r = ranks.ranked(ranks.value_counts(df, keys, level), keys)
     n = F.col("n_total")
     top = F.greatest(F.lit(1), F.bround(n * 0.001).cast("long"))
     # readings of this level that fall among the loudest `top`
@@ -60,11 +59,11 @@ def energy_concentration(df: DataFrame, keys: Sequence[str] = SITE, level: str =
     )
     la = lv.to_db(F.col("_total") / F.col("n"))
     top1 = 100.0 * F.col("_top1") / F.col("_total")
-    return g.select(
-        *keys, "n", la.alias("laeq"), "l5", (la - F.col("l5")).alias("laeq_minus_l5"),
-        top1.alias("top1_energy_pct"), (100.0 * F.col("_top01") / F.col("_total")).alias("top01pct_energy_pct"),
-        "n_top01pct", lv.to_db(F.col("_rest") / F.col("_n_rest")).alias("laeq_excluding_top01pct"),
-        ((top1 >= DOMINATED_TOP1_PCT) | (la - F.col("l5") > DOMINATED_OVER_L5_DB)).alias("dominated"))
+    told = {"laeq": la, "l5": F.col("l5"), "laeq_minus_l5": la - F.col("l5"), "top1_energy_pct": top1,
+            "top01pct_energy_pct": 100.0 * F.col("_top01") / F.col("_total"), "n_top01pct": F.col("n_top01pct"),
+            "laeq_excluding_top01pct": lv.to_db(F.col("_rest") / F.col("_n_rest")),
+            "dominated": (top1 >= DOMINATED_TOP1_PCT) | (la - F.col("l5") > DOMINATED_OVER_L5_DB)}
+    return g.select(*keys, "n", *[F.when(F.col("n") >= least_n, c).alias(name) for name, c in told.items()])
 
 
 def rating_columns(hour: Column, level: Column | str = "leq", ldn_windows=(lv.DAY_LDN, lv.NIGHT_LDN),
@@ -196,8 +195,8 @@ def histogram(df: DataFrame, keys: Sequence[str] = SITE, level: str = "leq", bin
                     F.coalesce("n", F.lit(0)).alias("n")))
 
 
-def trend(df: DataFrame, keys: Sequence[str] = SITE, level: str = "leq", seq: str = "seq") -> DataFrame:
-    """Least-squares line over the reading index, from sums per slice of the record.
+def trend(df: DataFrame, keys: Sequence[str] = SITE, level: str = "leq", seq: str = "seq", least_n: int = 11) -> DataFrame:
+    """Least-squares line over the reading index, from sums per slice of the record; NULL under ``least_n`` readings.
 
     A slice knows its local index; the number of readings before it turns local sums into global
     ones, so the index itself is never written to the readings.
@@ -221,7 +220,7 @@ def trend(df: DataFrame, keys: Sequence[str] = SITE, level: str = "leq", seq: st
     # relative guard: rounding in the sums must not turn a constant record into a fitted one
     flat = syy <= F.col("syy") * 1e-13
     r2 = F.when(flat, 0.0).otherwise(sxy * sxy / (sxx * syy))
-    enough = n >= TREND_MIN_N
+    enough = n >= least_n
     return s.select(
         *keys, n.cast("long").alias("n"), F.when(enough, slope).alias("slope"), F.when(enough, r2).alias("r_squared"),
         F.when(enough, F.when(slope > TREND_SLOPE, "Increasing").when(slope < -TREND_SLOPE, "Decreasing")

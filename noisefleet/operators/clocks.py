@@ -70,7 +70,7 @@ def convert_clock(df: DataFrame, source: str, target: str) -> DataFrame:
     """Wall times moved to another zone through UTC; times that never happened are dropped.
 
     ``fold`` picks the pass of a repeated source hour and is set anew: 1 where the target wall time
-    was already shown an hour before.
+    had been shown already.
     """
     ck.check_zone(source)
     ck.check_zone(target)
@@ -78,7 +78,7 @@ def convert_clock(df: DataFrame, source: str, target: str) -> DataFrame:
         return df
     utc = ck.wall_to_utc("ts", source, fold=F.col("fold"))
     wall = ck.utc_to_wall("_utc", target)
-    again = ck.utc_to_wall(ck.plus_hours("_utc", -1), target) == wall
+    again = ck.shown_before("_utc", target)
     return (df.withColumn("_utc", utc).where(F.col("_utc").isNotNull() | F.col("ts").isNull())
             .withColumn("fold", F.when(again, 1).otherwise(0).cast("tinyint"))
             .withColumn("ts", wall).drop("_utc"))
@@ -102,31 +102,30 @@ def describe_logger_clock(df: DataFrame, zone: str, keys: Sequence[str] = SITE)
     from noisefleet.operators.continuity import clock_changes
 
     day, time = "dd MMM yyyy", "HH:mm:ss"
-    jumps = clock_changes(df, zone, keys).groupBy(*keys).agg(
+    changes = F.expr("array(" + ", ".join(f"TIMESTAMP_NTZ '{t}'" for t, _ in ck.offset_changes(zone))
+                     + ")") if ck.offset_changes(zone) else F.array().cast("array<timestamp_ntz>")
+    # only steps over a change of the zone are evidence: at most two a year, however many gaps a record has
+    at_change = F.exists(changes, lambda t: (t >= ck.hour_start("before")) & (t <= F.col("after")))
+    jumps = clock_changes(df, zone, keys).where(at_change).groupBy(*keys).agg(
         F.sort_array(F.collect_list(F.struct("before", "after"))).alias("jumps"))
     span = df.groupBy(*keys).agg(
         F.min("ts").alias("start"), F.max("ts").alias("end"), F.count("ts").alias("n"),
         F.min(F.when(F.col("fold") == 1, F.col("ts"))).alias("first_fold"))
-    changes = F.expr("array(" + ", ".join(f"TIMESTAMP_NTZ '{t}'" for t, _ in ck.offset_changes(zone))
-                     + ")") if ck.offset_changes(zone) else F.array().cast("array<timestamp_ntz>")
     spanned = F.filter(changes, lambda t: (t > ck.hour_start("start")) & (
         t <= ck.hour_start(ck.plus_seconds("end", 3599.999999))))
     said = F.transform(F.coalesce("jumps", F.array().cast("array<struct<before:timestamp_ntz,after:timestamp_ntz>>")),
-                       lambda j: F.concat(F.lit("the clock jumps from "), F.date_format(j.before, time), F.lit(" to "),
-                                          F.date_format(j.after, time), F.lit(" on "), F.date_format(j.after, day)))
+                       lambda j: F.concat(F.date_format(j.after, day), F.lit(": "), F.date_format(j.before, time), F.lit(" is followed by "),
+                                          F.date_format(j.after, time)))
     twice = F.when(F.col("first_fold").isNotNull(), F.array(F.concat(
-        F.lit("01:00–01:59 is recorded twice on "), F.date_format("first_fold", day)))).otherwise(
+        F.date_format("first_fold", day), F.lit(": an hour appears two times")))).otherwise(
         F.array().cast("array<string>"))
     parts = F.concat(said, twice)
     change = F.try_element_at("spanned", F.lit(1))
     follows = F.when(F.size("parts") > 0, True).when(F.size("spanned") > 0, False)
-    evidence = (F.when(F.size("parts") > 0, F.concat(F.lit("In this record "), F.array_join("parts", "; "), F.lit(
-                    ", so the logger clock follows daylight saving time.")))
-                .when(F.size("spanned") > 0, F.concat(F.lit("This record spans the daylight-saving change on "),
-                      F.date_format(change, day), F.lit(" without a clock jump, so the logger clock does not "
-                                                        "follow daylight saving time.")))
-                .otherwise("This record does not span a daylight-saving change, so the data cannot show whether "
-                           "the logger clock follows it."))
+    evidence = (F.when(F.size("parts") > 0, F.concat(F.lit("Follows summer time. "), F.array_join("parts", "; ")))
+                .when(F.size("spanned") > 0, F.concat(F.lit("Keeps one offset. The zone changed on "),
+                      F.date_format(change, day), F.lit(" and the times run on.")))
+                .otherwise("Open: the zone does not change within the record."))
     return (span.join(jumps, list(keys), "left").withColumn("parts", parts).withColumn("spanned", spanned)
             .select(*keys, F.when(F.col("n") > 1, follows).alias("follows_dst"),
                     F.when(F.col("n") > 1, evidence).otherwise("").alias("evidence")))
@@ -156,16 +155,13 @@ def check_clock_setting(df: DataFrame, zone: str, clock: str, keys: Sequence[str
     day = F.date_format("_gap", "dd MMM yyyy")
     if clock == "local_dst":
         wrong = F.col("n_inside") > 0
-        text = F.concat(F.lit("This file has "), F.format_number("n_inside", 0), F.lit(" readings stamped between "),
-                        F.date_format("_gap", "HH:mm"), F.lit(" and "), F.date_format(ck.plus_hours("_gap", 1), "HH:mm"),
-                        F.lit(" on "), day, F.lit(f", a time that did not exist in {zone} because clocks moved forward. "
-                        "The logger clock does not follow daylight saving: choose 'Local standard time'."))
+        text = F.concat(F.format_number("n_inside", 0), F.lit(" readings lie from "), F.date_format("_gap", "HH:mm"), F.lit(" to "),
+                        F.date_format(ck.plus_hours("_gap", 1), "HH:mm"), F.lit(" on "), day,
+                        F.lit(f", which {zone} left out; set the clock to standard time."))
     else:
         wrong = (F.col("n_inside") == 0) & F.col("_before").isNotNull() & F.col("_after").isNotNull()
-        text = F.concat(F.lit("The readings jump from "), F.date_format("_before", "HH:mm:ss"), F.lit(" to "),
-                        F.date_format("_after", "HH:mm:ss"), F.lit(" on "), day,
-                        F.lit(f", exactly when clocks moved forward in {zone}. The logger clock follows daylight "
-                              "saving: choose 'Local time, with daylight saving'."))
+        text = F.concat(F.lit("From "), F.date_format("_before", "HH:mm:ss"), F.lit(" the times go on at "), F.date_format("_after", "HH:mm:ss"),
+                        F.lit(" on "), day, F.lit(f", where {zone} left an hour out; set the clock to summer time."))
     found = g.where(wrong).select(*keys, F.struct("_gap", "n_inside", text.alias("text")).alias("c"))
     return found.groupBy(*keys).agg(F.min("c").alias("c")).select(
         *keys, F.col("c._gap").alias("skipped_hour"), F.col("c.n_inside").alias("n_inside"),

@@ -117,8 +117,8 @@ def gaps(df: DataFrame, zone: str = DEFAULT_ZONE, exclusions: DataFrame | None =
         *keys, F.col("prev_ts").alias("gap_start"), F.col("ts").alias("gap_end"), F.col("step_s").alias("duration_seconds"),
         missing.alias("missing_seconds"), text.format_duration(missing).alias("duration_human"),
         F.when(missing / 60.0 < MINOR_GAP_MIN, "Minor").otherwise("Major").alias("category"),
-        F.concat(F.lit("No readings between "), F.date_format("prev_ts", stamp), F.lit(" and "), F.date_format("ts", stamp),
-                 F.lit(" ("), text.format_duration(missing), F.lit(").")).alias("label"))
+        F.concat(text.format_duration(missing), F.lit(" missing after "), F.date_format("prev_ts", stamp), F.lit(", up to "),
+                 F.date_format("ts", stamp)).alias("label"))
 
 
 def clock_changes(df: DataFrame, zone: str = DEFAULT_ZONE, keys: Sequence[str] = SITE) -> DataFrame:
@@ -187,11 +187,22 @@ def merge_files(df: DataFrame, keys: Sequence[str] = SITE) -> tuple[DataFrame, D
     with a map-side partial, so any number of copies of a reading collapses before the shuffle.
     """
     rest = [c for c in df.columns if c not in (*keys, "ts", "fold")]
-    best = F.struct(F.col("file_seq"), F.col("seq"), *[F.col(c) for c in rest if c not in ("file_seq", "seq")])
+    # file and position in one number: with fixed-width columns the minimum stays a hash aggregate
+    place = F.shiftleft(F.coalesce("file_seq", F.lit(0)).cast("bigint"), 40) + F.col("seq")
     merged = (df.where(F.col("ts").isNotNull()).groupBy(*keys, "ts", "fold")
-              .agg(F.min_by(best, F.struct("file_seq", "seq")).alias("_b")))
-    notes = merge_notes(df, keys)
-    return merged.select(*[F.col(c) if c in (*keys, "ts", "fold") else F.col(f"_b.{c}").alias(c) for c in df.columns]), notes
+              .agg(*[F.min_by(c, place).alias(c) for c in rest]))
+    return merged.select(*df.columns), merge_notes(df, keys)
+
+
+def in_time_order(df: DataFrame, keys: Sequence[str] = SITE) -> DataFrame:
+    """``seq`` anew: the position of each reading of a merged record in elapsed time.
+
+    Files count their own positions, so those repeat within a site. Hours are numbered by themselves and take
+    over the count of the hours before.
+    """
+    keyed = clocks.ordering_key(df, keys)
+    at = scan(keyed, keys, hour_slice("ord_ts"), ["ord_ts", "fold", "ts"], sums={"_at": F.lit(1)})
+    return at.withColumn("seq", F.col("_at") - 1).select(*df.columns)
 
 
 def merge_notes(df: DataFrame, keys: Sequence[str] = SITE) -> DataFrame:
@@ -202,11 +213,9 @@ def merge_notes(df: DataFrame, keys: Sequence[str] = SITE) -> DataFrame:
         F.sum("_n").alias("n_rows"), F.coalesce(F.sum(F.when(dead, F.col("_n"))), F.lit(0)).alias("unreadable"),
         F.coalesce(F.sum(F.when(~dead, F.col("_n") - 1)), F.lit(0)).alias("duplicates"))
     unread = F.struct(F.lit("unreadable_time").alias("code"), F.col("unreadable").alias("n"), F.concat(
-        F.format_number("unreadable", 0), F.lit(" of "), F.format_number("n_rows", 0),
-        F.lit(" readings had a date/time that could not be read and were left out of the merged record.")).alias("text"))
+        F.lit("left out for an unreadable time: "), F.format_number("unreadable", 0), F.lit(" of "), F.format_number("n_rows", 0)).alias("text"))
     twice = F.struct(F.lit("duplicate_time").alias("code"), F.col("duplicates").alias("n"), F.concat(
-        F.format_number("duplicates", 0), F.lit(" readings had the same time as a reading in another file "
-        "(overlapping files); the reading from the earlier file was kept.")).alias("text"))
+        F.lit("left out for a time that an earlier file or row has: "), F.format_number("duplicates", 0)).alias("text"))
     return (g.select(*keys, F.explode(F.array(unread, twice)).alias("note")).select(*keys, "note.*").where(F.col("n") > 0))
 
 

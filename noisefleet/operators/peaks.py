@@ -23,7 +23,6 @@ from noisefleet.operators import aggregates as agg
 from noisefleet.operators.scans import ROWS_PER_SLICE, SITE, row_slice, top_rows
 from noisefleet.session import cut_lineage
 
-LISTED = 5
 _SUMMARY = ("lo", "hi", "back_lo", "back_hi", "least", "first", "final", "turn")
 _CARRY = ("sd", "left_a", "left_min", "right_a", "right_min", "before", "after")
 
@@ -120,13 +119,13 @@ def prominent_peaks(df: DataFrame, keys: Sequence[str] = SITE, level: str = "leq
 
 
 def peak_summary(df: DataFrame, keys: Sequence[str] = SITE, level: str = "leq",
-                 rows_per_slice: int = ROWS_PER_SLICE) -> DataFrame:
-    """Number of peaks, the five highest, the last five, the rate, and the energy average of the top decile."""
+                 rows_per_slice: int = ROWS_PER_SLICE, listed_n: int = 5) -> DataFrame:
+    """Number of peaks, the ``listed_n`` highest and last ones, the rate, and the energy average of the top decile."""
     peaks = cut_lineage(prominent_peaks(df, keys, level, rows_per_slice))
     slice_ = row_slice("seq", rows_per_slice)
 
     def listed(order: list, name: str, by: str, reverse: bool) -> DataFrame:
-        few = top_rows(peaks, keys, slice_, order, LISTED)
+        few = top_rows(peaks, keys, slice_, order, listed_n)
         vals = F.transform(F.sort_array(F.collect_list(F.struct(F.col(by).alias("o"), F.col("level").alias("v"))), not reverse),
                            lambda s: s["v"])
         return few.groupBy(*keys).agg(vals.alias(name))

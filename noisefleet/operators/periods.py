@@ -21,9 +21,7 @@ COMPLETE_COVERAGE_PCT = 99.5
 MIN_PERIOD_COVERAGE_PCT = 50.0
 LDEN_DAY_START = 7
 ROAD_LDEN_DB, ROAD_LNIGHT_DB = 53.0, 45.0
-MAX_CHART_BINS = 1500
-BIN_SECONDS = (900, 3600, 86400)
-OUTLIERS_SHOWN, OUTLIERS_THINNED = 40, 300
+QUARTER_S = 900
 WEEKDAYS = ("Monday", "Tuesday", "Wednesday", "Thursday", "Friday", "Saturday", "Sunday")
 
 
@@ -180,15 +178,13 @@ def date_week_grid(df: DataFrame, keys: Sequence[str] = SITE) -> DataFrame:
 
 
 def weekly_profile(df: DataFrame, keys: Sequence[str] = SITE) -> DataFrame:
-    """LAeq by weekday, day (07-22) and night; sites need three dates on three different weekdays."""
+    """LAeq by weekday, day (07-22) and night, with how many dates and weekdays the site has in all."""
     roll = hour_rollup(df, keys).withColumn("weekday", F.weekday("hour_ts")).withColumn("_d", F.to_date("hour_ts"))
-    enough = (roll.groupBy(*keys, "_d", "weekday").agg(F.lit(1).alias("x")).groupBy(*keys)
-              .agg(F.count("_d").alias("_dates"), F.count_distinct("weekday").alias("_days"))
-              .where((F.col("_dates") >= 3) & (F.col("_days") >= 3)).select(*keys))
+    held = (roll.groupBy(*keys, "_d", "weekday").agg(F.lit(1).alias("x")).groupBy(*keys)
+            .agg(F.count("_d").alias("n_dates"), F.count_distinct("weekday").alias("n_weekdays")))
     day = lv.in_hours(F.hour("hour_ts"), lv.DAY_LDN)
     g = roll.groupBy(*keys, "weekday").agg(rolled_laeq(day).alias("day_laeq"), rolled_laeq(~day).alias("night_laeq"))
-    return g.join(enough, list(keys), "left_semi").withColumn(
-        "day_name", F.element_at(F.array(*[F.lit(d) for d in WEEKDAYS]), F.col("weekday") + 1))
+    return g.join(held, list(keys)).withColumn("day_name", F.element_at(F.array(*[F.lit(d) for d in WEEKDAYS]), F.col("weekday") + 1))
 
 
 def _hour_ranks(df: DataFrame, keys: Sequence[str], level: str) -> tuple[DataFrame, list[str]]:
@@ -215,24 +211,26 @@ def hourly_box(df: DataFrame, keys: Sequence[str] = SITE, level: str = "leq") ->
                                 F.coalesce("hi", "_max").alias("upper_fence"), "laeq")
 
 
-def hourly_outliers(df: DataFrame, keys: Sequence[str] = SITE, level: str = "leq", shown: int = OUTLIERS_SHOWN) -> DataFrame:
-    """The readings beyond 1.5 IQR that lie furthest from each hour's median, at most ``shown``.
+def hourly_outliers(df: DataFrame, keys: Sequence[str] = SITE, level: str = "leq", shown: int | None = None) -> DataFrame:
+    """The levels beyond 1.5 IQR of each hour's box, how many readings have them, and how far they lie from the median.
 
-    A top-k on counted levels: first within a level bin, then across the bins' survivors.
+    With ``shown``, only that many readings furthest from the median (ties to the lower level): a top-k on
+    counted levels, first within a level bin, then across the bins' survivors.
     """
     r, by = _hour_ranks(df, keys, level)
     j = r.join(_quartiles(r, by), by)
     reach = 1.5 * (F.col("q3") - F.col("q1"))
     far = (j.where((F.col("v") < F.col("q1") - reach) | (F.col("v") > F.col("q3") + reach))
-           .withColumn("_far", F.abs(F.col("v") - F.col("median"))).withColumn("_bin", F.floor(F.col("v"))))
-    order = [F.desc("_far"), F.asc("v")]
-    first = Window.partitionBy(*by, "_bin").orderBy(*order)
-    kept = far.withColumn("_r", F.row_number().over(first)).where(F.col("_r") <= shown)
-    across = Window.partitionBy(*by).orderBy(*order)
-    before = F.sum("n").over(across.rowsBetween(Window.unboundedPreceding, 0)) - F.col("n")
-    return (kept.withColumn("_before", before).where(F.col("_before") < shown)
-            .withColumn("copy", F.explode(F.sequence(F.lit(1).cast("long"), F.least(F.col("n"), shown - F.col("_before")))))
-            .select(*by, F.col("v").alias("level"), F.col("copy"), F.col("_far").alias("from_median")))
+           .withColumn("_far", F.abs(F.col("v") - F.col("median"))))
+    n = F.col("n")
+    if shown is not None:
+        order = [F.desc("_far"), F.asc("v")]
+        first = Window.partitionBy(*by, "_bin").orderBy(*order)
+        across = Window.partitionBy(*by).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+        far = (far.withColumn("_bin", F.floor("v")).withColumn("_r", F.row_number().over(first)).where(F.col("_r") <= shown)
+               .withColumn("_before", F.sum("n").over(across) - n).where(F.col("_before") < shown))
+        n = F.least(n, shown - F.col("_before"))
+    return far.select(*by, F.col("v").alias("level"), n.alias("n"), F.col("_far").alias("from_median"))
 
 
 def hourly_box_clipped(df: DataFrame, keys: Sequence[str] = SITE, level: str = "leq") -> DataFrame:
@@ -247,7 +245,7 @@ def hourly_box_clipped(df: DataFrame, keys: Sequence[str] = SITE, level: str = "
     return box.join(n, by)
 
 
-def thinned_outliers(df: DataFrame, keys: Sequence[str] = SITE, level: str = "leq", shown: int = OUTLIERS_THINNED) -> DataFrame:
+def thinned_outliers(df: DataFrame, keys: Sequence[str] = SITE, level: str = "leq", *, shown: int) -> DataFrame:
     """Outliers of :func:`hourly_box_clipped` at ``shown`` evenly spaced ranks, both ends kept."""
     r, by = _hour_ranks(df, keys, level)
     q = _quartiles(r, by)
@@ -265,53 +263,35 @@ def thinned_outliers(df: DataFrame, keys: Sequence[str] = SITE, level: str = "le
     return o.withColumn("rank", F.explode(picked)).select(*by, "rank", F.col("v").alias("level"))
 
 
-def resample(df: DataFrame, keys: Sequence[str] = SITE) -> DataFrame:
-    """LAeq, highest L-Max and lowest L-Min per chart bin; empty bins are kept.
+def chart_width_s(span_s: float, most_bins: int) -> int:
+    """The narrowest of 15 minutes, an hour and a day that cuts a span into ``most_bins`` or fewer."""
+    return next((w for w in (QUARTER_S, 4 * QUARTER_S) if span_s <= w * most_bins), 96 * QUARTER_S)
 
-    Readings are first reduced to 15-minute bins, which every wider bin is a multiple of.
-    """
-    quarter = F.floor(ck.epoch_seconds("ts") / BIN_SECONDS[0])
-    base = (df.where(F.col("ts").isNotNull() & F.col("leq").isNotNull()).groupBy(*keys, quarter.alias("_q"))
-            .agg(F.sum(lv.energy("leq")).alias("e"), F.count(F.lit(1)).alias("n"), F.max("lmax").alias("lmax"),
-                 F.min("lmin").alias("lmin"), F.min("ts").alias("_a"), F.max("ts").alias("_b")))
-    span = base.groupBy(*keys).agg(F.min("_a").alias("first_ts"), F.max("_b").alias("last_ts"))
-    s = ck.seconds_between("first_ts", "last_ts")
-    width = F.when(s / BIN_SECONDS[0] <= MAX_CHART_BINS, BIN_SECONDS[0]).when(
-        s / BIN_SECONDS[1] <= MAX_CHART_BINS, BIN_SECONDS[1]).otherwise(BIN_SECONDS[2]).cast("long")
-    sized = span.withColumn("span_s", s).withColumn("bin_s", width)
-    bins = (base.join(sized.select(*keys, "bin_s"), list(keys))
-            .groupBy(*keys, F.floor(F.col("_q") * BIN_SECONDS[0] / F.col("bin_s")).alias("_bin"))
-            .agg(lv.to_db(F.sum("e") / F.sum("n")).alias("laeq"), F.max("lmax").alias("lmax"), F.min("lmin").alias("lmin")))
-    spine = sized.withColumn("_bin", F.explode(F.sequence(
-        F.floor(ck.epoch_seconds("first_ts") / F.col("bin_s")), F.floor(ck.epoch_seconds("last_ts") / F.col("bin_s")))))
+
+def resample(df: DataFrame, keys: Sequence[str] = SITE, bin_s: int = 4 * QUARTER_S) -> DataFrame:
+    """LAeq, highest L-Max and lowest L-Min per bin of ``bin_s`` seconds (multiples of 15 minutes); empty bins are kept."""
+    if bin_s <= 0 or bin_s % QUARTER_S:
+        raise ValueError("a bin is a multiple of 900 seconds")
+    at = F.floor(ck.epoch_seconds("ts") / bin_s)
+    bins = (df.where(F.col("ts").isNotNull() & F.col("leq").isNotNull()).groupBy(*keys, at.alias("_bin"))
+            .agg(lv.laeq("leq").alias("laeq"), F.max("lmax").alias("lmax"), F.min("lmin").alias("lmin")))
+    spine = bins.groupBy(*keys).agg(F.min("_bin").alias("_a"), F.max("_bin").alias("_b")).select(
+        *keys, F.explode(F.sequence("_a", "_b")).alias("_bin"))
     return spine.join(bins, [*keys, "_bin"], "left").select(
-        *keys, F.timestamp_seconds(F.col("_bin") * F.col("bin_s")).cast("timestamp_ntz").alias("bin_start"),
-        "bin_s", "span_s", "laeq", "lmax", "lmin")
+        *keys, F.timestamp_seconds(F.col("_bin") * bin_s).cast("timestamp_ntz").alias("bin_start"), "laeq", "lmax", "lmin")
 
 
-def rolling_median(bins: DataFrame, keys: Sequence[str] = SITE) -> DataFrame:
-    """Centred rolling median of resampled LAeq, blank where the bin is empty.
+def rolling_median(bins: DataFrame, keys: Sequence[str] = SITE, window: int = 24) -> DataFrame:
+    """Centred rolling median of resampled LAeq over ``window`` bins, blank where the bin is empty.
 
-    The window is 7 days on daily bins, 1 hour on records under 3 days, else 24 hours. It runs over
-    bins (at most 1,500, or one per day) and gathers only the bins of one window per row.
+    A value needs half a window of bins with a level. Each row gathers the bins of its window, no more.
     """
-    smooth_s = F.when(F.col("bin_s") >= 86400, 7 * 86400).when(F.col("span_s") < 3 * 86400, 3600).otherwise(86400)
-    per_site = Window.partitionBy(*keys)
-    w = F.least(F.greatest(F.lit(3), F.bround(smooth_s / F.col("bin_s"), 0).cast("int")), F.count(F.lit(1)).over(per_site))
-    at = Window.partitionBy(*keys).orderBy("bin_start")
-    widest = 96   # 24 h of 15-minute bins
-    near = F.collect_list(F.struct(F.col("_i"), F.col("laeq"))).over(at.rowsBetween(-(widest // 2), widest // 2))
-    b = bins.withColumn("_i", F.row_number().over(at)).withColumn("window_bins", w.cast("int")).withColumn("_near", near)
-    lo = F.col("_i") - F.floor(F.col("window_bins") / 2)
-    hi = F.col("_i") + F.floor((F.col("window_bins") - 1) / 2)
-    vals = F.array_sort(F.transform(F.filter("_near", lambda x: (x["_i"] >= lo) & (x["_i"] <= hi) & x["laeq"].isNotNull()),
-                                    lambda x: x["laeq"]))
+    at = Window.partitionBy(*keys).orderBy("bin_start").rowsBetween(-(window // 2), (window - 1) // 2)
+    vals = F.array_sort(F.collect_list("laeq").over(at))
     k = F.size("_vals")
     med = (F.element_at("_vals", F.floor((k + 1) / 2).cast("int")) + F.element_at("_vals", F.floor(k / 2).cast("int") + 1)) / 2
-    need = F.greatest(F.lit(1), F.floor(F.col("window_bins") / 2))
-    return b.withColumn("_vals", vals).select(
-        *keys, "bin_start", "laeq", "window_bins",
-        F.when(F.col("laeq").isNotNull() & (k >= need), med).alias("rolling_median"))
+    return bins.withColumn("_vals", vals).select(
+        *keys, "bin_start", "laeq", F.when(F.col("laeq").isNotNull() & (k >= max(1, window // 2)), med).alias("rolling_median"))
 
 
 def envelope_runs(bins: DataFrame, keys: Sequence[str] = SITE) -> DataFrame:

@@ -110,22 +110,6 @@ def pairs(df: DataFrame, keys: Sequence[str], slice_by: Column, order: Sequence[
     return inside.where(F.col("prev").isNotNull()).unionByName(across)
 
 
-def first_rows(df: DataFrame, keys: Sequence[str], slice_by: Column, order: Sequence[str], k: int,
-               rank: str | None = None) -> DataFrame:
-    """The first ``k`` rows of every site in order, found from per-slice counts; ``rank`` names their number."""
-    sliced = df.withColumn(_SLICE, slice_by)
-    part = [*keys, _SLICE]
-    before = Window.partitionBy(*keys).orderBy(_SLICE).rowsBetween(Window.unboundedPreceding, -1)
-    heads = (sliced.groupBy(*part).agg(F.count(F.lit(1)).alias("_n"))
-             .select(*part, F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"))
-             .where(F.col("_before") < k))
-    w = Window.partitionBy(*part).orderBy(*order)
-    return (sliced.join(heads, part)
-            .withColumn("_rank", F.row_number().over(w) + F.col("_before"))
-            .where(F.col("_rank") <= k)
-            .select(*df.columns, *([F.col("_rank").alias(rank)] if rank else [])))
-
-
 def islands(df: DataFrame, keys: Sequence[str], slice_by: Column, order: Sequence[str], starts: Column,
             name: str = "island") -> DataFrame:
     """Number consecutive runs: ``starts`` is true on the first row of each run."""

@@ -20,7 +20,7 @@ KM_PER_DEGREE = wx.EARTH_RADIUS_KM * 3.141592653589793 / 180.0
 # Fixed values.
 SNOW_RADIUS_KM, SNOW_KM_PER_DEGREE, SNOW_STATIONS = 100.0, 111.0, 5
 MATCH_KM, NO_WBAN = 5.0, "99999"
-SNOW_MIN_COVERAGE, SNOW_MAX_CANDIDATES = 0.9, 6
+SNOW_MIN_COVERAGE = 0.9
 
 
 def _size(level: Column) -> Column:
@@ -129,13 +129,11 @@ def match_climate_id(stations: DataFrame, history: DataFrame) -> DataFrame:
 def choose_snow_source(candidates: DataFrame, daily: DataFrame, period: DataFrame, keys: Sequence[str] = ("site_id",)) -> DataFrame:
     """The nearest candidate whose depth record covers 90 % of the period, else the best covered one.
 
-    ``candidates`` hold distance and station per site, ``period`` first and last date per site. Only
-    the six nearest within 100 km are tried.
+    ``candidates`` hold distance and station per site, ``period`` first and last date per site. All
+    within 100 km are tried.
     """
     k = list(keys)
-    near = candidates.where(F.col("distance_km") <= SNOW_RADIUS_KM)
-    tried = top_rows(near, k, F.pmod(F.xxhash64("ghcnd_id"), F.lit(16)), [F.asc("distance_km"), F.asc("ghcnd_id")],
-                     SNOW_MAX_CANDIDATES).join(period, k)
+    tried = candidates.where(F.col("distance_km") <= SNOW_RADIUS_KM).join(period, k)
     # running count of days with a depth: a period is the difference of two of its rows
     known = daily.groupBy("ghcnd_id", "date").agg(F.max(F.when(F.col("snwd_mm").isNotNull(), 1)).alias("_k"))
     span = known.groupBy("ghcnd_id").agg(F.min("date").alias("_a"), F.max("date").alias("_b"))
@@ -154,10 +152,13 @@ def choose_snow_source(candidates: DataFrame, daily: DataFrame, period: DataFram
                .withColumn("_n", F.col("_n1") - F.col("_n0")).where(F.col("_n") > 0))
     length = F.greatest(F.lit(1), F.date_diff("last_date", "first_date") + 1)
     c = counted.withColumn("coverage", F.col("_n") / length)
-    full = F.when(F.col("coverage") >= SNOW_MIN_COVERAGE, F.col("rank"))
+    nearness = F.struct("distance_km", "ghcnd_id")
+    full = F.when(F.col("coverage") >= SNOW_MIN_COVERAGE, nearness)
+    # of equally covered ones the nearest
+    scored = c.withColumn("_best", F.max("coverage").over(Window.partitionBy(*k)))
     pick = F.struct("ghcnd_id", "distance_km", (100.0 * F.col("coverage")).alias("coverage_pct"))
-    return c.groupBy(*k).agg(
-        F.coalesce(F.min_by(pick, full), F.max_by(pick, F.struct(F.col("coverage"), -F.col("rank")))).alias("s")).select(*k, "s.*")
+    return scored.groupBy(*k).agg(F.coalesce(F.min_by(pick, full), F.min_by(pick, F.when(F.col("coverage") == F.col("_best"), nearness)))
+                                  .alias("s")).select(*k, "s.*")
 
 
 def locate(places: DataFrame, centroids: DataFrame, text: str = "location") -> DataFrame:

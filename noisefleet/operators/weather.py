@@ -2,9 +2,8 @@
 
 from __future__ import annotations
 
-import math
 from collections.abc import Sequence
-from dataclasses import dataclass
+from dataclasses import dataclass, field, fields
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -17,44 +16,45 @@ STATION = ("station",)
 # Reasons in the order in which they win.
 REASONS = ("precipitation", "thunder", "wind", "snow_cover", "precip_buffer", "snow_cover_unverified",
            "weather_unverified", "clock_ambiguous")
-IDENTIFIER_DISAGREEMENT_LIMIT, IDENTIFIER_MIN_MINUTES = 0.20, 200
+IDENTIFIER_DISAGREEMENT_LIMIT = 0.20
 
 
 class ScreenError(ValueError):
     """A weather screen that cannot be built or applied."""
 
 
+def _limited(default, low: float, high: float, above: bool = False):
+    """A setting with its range; ``above`` shuts the lower end out."""
+    return field(default=default, metadata={"low": low, "high": high, "above": above})
+
+
 @dataclass(frozen=True)
 class ScreenConfig:
     """Screening rules and their limits."""
-    block_minutes: int = 15
-    wind_limit_ms: float = 5.0
-    mic_height_m: float = 1.5
-    anemometer_height_m: float = 10.0
-    roughness_length_m: float = 0.05
-    buffer_before_blocks: int = 1
-    buffer_after_blocks: int = 1
-    snow_depth_limit_mm: float = 25.4
-    slot_minutes: int = 5
+    block_minutes: int = _limited(15, 5, 15)
+    wind_limit_ms: float = _limited(5.0, 0, 30, above=True)
+    mic_height_m: float = _limited(1.5, 0, 30, above=True)
+    anemometer_height_m: float = _limited(10.0, 0, 100, above=True)
+    roughness_length_m: float = _limited(0.05, 0, 100, above=True)
+    buffer_before_blocks: int = _limited(1, 0, 8)
+    buffer_after_blocks: int = _limited(1, 0, 8)
+    snow_depth_limit_mm: float = _limited(25.4, 0, 1000, above=True)
+    slot_minutes: int = _limited(5, 1, 15)
     screen_station_wind: bool = False
 
     def __post_init__(self) -> None:
-        whole = (self.block_minutes, self.slot_minutes, self.buffer_before_blocks, self.buffer_after_blocks)
-        if any(type(v) is not int for v in whole):
-            raise ScreenError("block, slot and buffer sizes are whole numbers")
-        rules = [
-            (self.block_minutes in (5, 10, 15), "a block is 5, 10 or 15 minutes"),
-            (self.slot_minutes > 0 and self.block_minutes % max(1, self.slot_minutes) == 0, "slots fill a block exactly"),
-            (0 < self.wind_limit_ms <= 30, "the wind limit lies in (0, 30] m/s"),
-            (0 < self.roughness_length_m < math.inf, "the roughness length is positive and finite"),
-            (self.roughness_length_m < self.mic_height_m <= 30, "the microphone stands above the roughness length, at most at 30 m"),
-            (self.roughness_length_m < self.anemometer_height_m <= 100, "the anemometer stands above the roughness length, at most at 100 m"),
-            (0 <= min(whole[2:]) and max(whole[2:]) <= 8, "buffers are 0 to 8 blocks"),
-            (0 < self.snow_depth_limit_mm <= 1000, "the snow limit lies in (0, 1000] mm"),
-        ]
-        for ok, message in rules:
-            if not ok:
-                raise ScreenError(message)
+        for f in fields(self):
+            value, low, high = getattr(self, f.name), f.metadata.get("low"), f.metadata.get("high")
+            if f.type == "int" and type(value) is not int:
+                raise ScreenError(f"{f.name} is a whole number")
+            if low is not None and not (low <= value <= high and (value > low or not f.metadata["above"])):
+                raise ScreenError(f"{f.name} lies {'above' if f.metadata['above'] else 'between'} {low} and {high} at most")
+        if 60 % self.block_minutes or self.block_minutes % 5:
+            raise ScreenError("blocks of 5, 10 or 15 minutes fill an hour")
+        if self.block_minutes % self.slot_minutes:
+            raise ScreenError("slots fill a block")
+        if min(self.mic_height_m, self.anemometer_height_m) <= self.roughness_length_m:
+            raise ScreenError("instruments stand above the roughness length")
 
     @property
     def wind_factor(self) -> float:
@@ -117,16 +117,17 @@ def _states_of_both(shared: DataFrame, warm_snow_is_unknown: bool) -> DataFrame:
     return shared.withColumn("odd", odd).withColumn("s1", s1).withColumn("s2", s2)
 
 
-def assess_identifier(onemin: DataFrame, metar: DataFrame, keys: Sequence[str] = STATION) -> DataFrame:
-    """Whether the 1-minute precipitation sensor agrees with the station's own reports."""
+def assess_identifier(onemin: DataFrame, metar: DataFrame, keys: Sequence[str] = STATION, least_minutes: int = 200) -> DataFrame:
+    """Whether the 1-minute precipitation sensor agrees with the station's own reports; NULL under ``least_minutes``
+    shared minutes, so that the caller decides what too short a comparison means."""
     b = _states_of_both(_shared_minutes(onemin, metar, keys), True)
     both = F.col("s1").isNotNull() & F.col("s2").isNotNull()
     g = b.groupBy(*keys).agg(
         F.count_if(both).alias("minutes_compared"), F.count_if(both & (F.col("s1") == 1) & (F.col("s2") == 0)).alias("_o"),
         F.count_if(both & (F.col("s1") == F.col("s2"))).alias("_a"), F.count_if("odd").alias("impossible_snow_minutes"))
     n = F.col("minutes_compared")
-    enough = n >= IDENTIFIER_MIN_MINUTES
-    return g.select(*keys, F.when(enough, F.col("_o") / n <= IDENTIFIER_DISAGREEMENT_LIMIT).otherwise(True).alias("reliable"),
+    enough = n >= least_minutes
+    return g.select(*keys, F.when(enough, F.col("_o") / n <= IDENTIFIER_DISAGREEMENT_LIMIT).alias("reliable"),
                     "minutes_compared", F.when(enough, 100.0 * F.col("_o") / n).alias("only_1min_pct"),
                     F.when(enough, 100.0 * F.col("_a") / n).alias("agree_pct"), "impossible_snow_minutes")
 

@@ -38,5 +38,6 @@ def to_readings(raw: DataFrame, sites: DataFrame | None = None) -> DataFrame:
 
 
 def merge_sites(readings: DataFrame, keys: Sequence[str] = SITE) -> tuple[DataFrame, DataFrame]:
-    """One record per site from the readings of its files, and the notes on what was left out."""
-    return continuity.merge_files(readings, keys)
+    """One record per site from the readings of its files, numbered in time, and the notes on what was left out."""
+    merged, notes = continuity.merge_files(readings, keys)
+    return continuity.in_time_order(merged, keys), notes

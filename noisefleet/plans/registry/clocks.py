@@ -67,15 +67,20 @@ ORACLES = {
         SELECT site_id, before, after, shift_seconds, epoch(after) - epoch(before) - shift_seconds AS elapsed_seconds FROM b JOIN i USING (site_id)
         WHERE epoch(after) - epoch(before) > greatest(2*interval_s, 2) AND shift_seconds >= 3600 - interval_s""", "reading_15m", "spring_15m"),
     "logger_clock": oracle("""WITH a AS (SELECT site_id, lag(ts) OVER (PARTITION BY site_id ORDER BY ts) AS before, ts AS after FROM spring_15m)
-        SELECT site_id, true AS follows_dst, concat('In this record the clock jumps from ', strftime(before, '%H:%M:%S'), ' to ', strftime(after, '%H:%M:%S'),
-        ' on ', strftime(before, '%d %b %Y'), ', so the logger clock follows daylight saving time.') AS evidence
+        SELECT site_id, true AS follows_dst, concat('Follows summer time. ', strftime(after, '%d %b %Y'), ': ', strftime(before, '%H:%M:%S'), ' is followed by ', strftime(after, '%H:%M:%S')) AS evidence
         FROM a WHERE before < TIMESTAMP '2024-03-10 02:00:00' AND after >= TIMESTAMP '2024-03-10 03:00:00'""", "spring_15m"),
     "logger_clock_autumn": oracle(f"""WITH {FOLD} SELECT site_id, count(*) FILTER (WHERE fold2 = 1) > 0 AS follows_dst,
-        CASE WHEN count(*) FILTER (WHERE fold2 = 1) > 0 THEN concat('In this record 01:00–01:59 is recorded twice on ', strftime(min(ts) FILTER (WHERE fold2 = 1), '%d %b %Y'),
-        ', so the logger clock follows daylight saving time.') ELSE 'This record spans the daylight-saving change on 03 Nov 2024 without a clock jump, so the logger clock does not follow daylight saving time.' END AS evidence
+        CASE WHEN count(*) FILTER (WHERE fold2 = 1) > 0 THEN concat('Follows summer time. ', strftime(min(ts) FILTER (WHERE fold2 = 1), '%d %b %Y'), ': an hour appears two times')
+        ELSE 'Keeps one offset. The zone changed on 03 Nov 2024 and the times run on.' END AS evidence
         FROM f GROUP BY ALL""", "autumn_15m"),
     "clock_check": oracle("""WITH g AS (SELECT site_id, count(*) AS n FROM reading_march WHERE ts >= TIMESTAMP '2024-03-10 02:00:00' AND ts < TIMESTAMP '2024-03-10 03:00:00' GROUP BY ALL)
-        SELECT site_id, TIMESTAMP '2024-03-10 02:00:00' AS skipped_hour, n AS n_inside, concat('This file has ', n, ' readings stamped between 02:00 and 03:00 on 10 Mar 2024, a time that did not exist in America/New_York because clocks moved forward. The logger clock does not follow daylight saving: choose ''Local standard time''.') AS contradiction FROM g""", "reading_march"),
+        SELECT site_id, TIMESTAMP '2024-03-10 02:00:00' AS skipped_hour, n AS n_inside, concat(n, ' readings lie from 02:00 to 03:00 on 10 Mar 2024, which America/New_York left out; set the clock to standard time.') AS contradiction FROM g""", "reading_march"),
+    "clock_check_standard": oracle("""WITH t AS (SELECT site_id, ts + CASE WHEN minute(ts) = 45 THEN to_seconds(870) ELSE to_seconds(5) END AS ts FROM spring_15m),
+        n AS (SELECT site_id, max(ts) FILTER (WHERE ts >= TIMESTAMP '2024-03-10 01:59:00' AND ts < TIMESTAMP '2024-03-10 02:00:00') AS b,
+            min(ts) FILTER (WHERE ts >= TIMESTAMP '2024-03-10 03:00:00' AND ts < TIMESTAMP '2024-03-10 03:01:00') AS a,
+            count(*) FILTER (WHERE ts >= TIMESTAMP '2024-03-10 02:00:00' AND ts < TIMESTAMP '2024-03-10 03:00:00') AS n FROM t GROUP BY ALL)
+        SELECT site_id, TIMESTAMP '2024-03-10 02:00:00' AS skipped_hour, n AS n_inside, concat('From ', strftime(b, '%H:%M:%S'), ' the times go on at ', strftime(a, '%H:%M:%S'),
+        ' on 10 Mar 2024, where America/New_York left an hour out; set the clock to summer time.') AS contradiction FROM n WHERE n = 0 AND a IS NOT NULL AND b IS NOT NULL""", "spring_15m"),
     "time_basis": oracle("""SELECT site_id, CASE WHEN max(ts) >= TIMESTAMP '2024-03-30 00:00:00' THEN 'CET/CEST' ELSE 'CET' END AS abbreviations,
         'Central Europe (CET/CEST)' AS time_basis FROM reading_march GROUP BY ALL""", "reading_march"),
     "laeq_1min_autumn": oracle(f"""WITH {FOLD} SELECT site_id, ts AS minute_start, CASE WHEN fold2 = 1 THEN 'yes' ELSE '' END AS second_pass,

@@ -4,10 +4,13 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from noisefleet.operators import aggregates as agg
 from noisefleet.operators import continuity as con
+from noisefleet.operators import filters as flt
 from noisefleet.operators import peaks
+from noisefleet.plans import ingest
 from noisefleet.plans.registry.common import Query, rounded
-from noisefleet.plans.registry.levels import MODAL
+from noisefleet.plans.registry.levels import MODAL, TREND
 from noisefleet.plans.registry.sqlviews import oracle
 from noisefleet.plans.views import exclusions, view
 
@@ -16,6 +19,15 @@ def _r15(s, d):
     return view(s, d, "reading_15m")
 
 
+def _merged(s, d):
+    return ingest.merge_sites(view(s, d, "reading_files"))[0]
+
+
+def _peaks(df):
+    return rounded(peaks.peak_summary(df).withColumns(
+        {c: F.array_join(F.transform(c, lambda v: v.cast("string")), " ") for c in ("top5_by_level", "last5_in_time")}), 6)
+
+
 QUERIES: dict[str, Query] = {
     "modal_interval": lambda s, d: con.modal_interval(view(s, d, "reading")),
     "gaps": lambda s, d: con.gaps(_r15(s, d), exclusions=exclusions(s, d)),
@@ -27,8 +39,10 @@ QUERIES: dict[str, Query] = {
     "file_details": lambda s, d: con.file_details(view(s, d, "reading")),
     "noise_events": lambda s, d: con.noise_events(view(s, d, "reading")).drop("peak_key"),
     "top_events": lambda s, d: con.top_events(con.noise_events(view(s, d, "reading"))),
-    "peaks": lambda s, d: rounded(peaks.peak_summary(view(s, d, "reading")).withColumns(
-        {c: F.array_join(F.transform(c, lambda v: v.cast("string")), " ") for c in ("top5_by_level", "last5_in_time")}), 6),
+    "peaks": lambda s, d: _peaks(view(s, d, "reading")),
+    "merged_peaks": lambda s, d: _peaks(_merged(s, d)),
+    "merged_trend": lambda s, d: rounded(agg.trend(_merged(s, d)), 6),
+    "merged_windows": lambda s, d: flt.removed_windows(flt.mark_kept(_merged(s, d), "2024-01-03", "2024-01-25", exclusions(s, d))),
 }
 
 DURATION = """CASE WHEN {s} >= 3600 THEN CASE WHEN {s} % 3600 // 60 > 0 THEN concat({s} // 3600, ' h ', {s} % 3600 // 60, ' min') ELSE concat({s} // 3600, ' h') END
@@ -60,16 +74,24 @@ PEAKS = """x AS (SELECT site_id, leq AS v, row_number() OVER (PARTITION BY site_
     pk AS (SELECT site_id, i, v, row_number() OVER (PARTITION BY site_id ORDER BY v DESC, i) AS a, row_number() OVER (PARTITION BY site_id ORDER BY i DESC) AS b
         FROM j WHERE ll > coalesce(lh, 0) AND rl < coalesce(rh, 1000000000))"""
 
-ORACLES = {
-    "peaks": oracle(f"""WITH {PEAKS}, td AS (SELECT site_id, 10*log10(avg(pow(10::DOUBLE, leq/10))) AS t FROM reading JOIN sd USING (site_id) WHERE leq > p90 GROUP BY ALL)
+PEAK_SUMMARY = f"""WITH {PEAKS}, td AS (SELECT site_id, 10*log10(avg(pow(10::DOUBLE, leq/10))) AS t FROM reading JOIN sd USING (site_id) WHERE leq > p90 GROUP BY ALL)
         SELECT site_id, count(i) AS number_of_peaks, coalesce(string_agg(v::VARCHAR, ' ' ORDER BY a) FILTER (WHERE a <= 5), '') AS top5_by_level,
         coalesce(string_agg(v::VARCHAR, ' ' ORDER BY i) FILTER (WHERE b <= 5), '') AS last5_in_time, round(count(i)*1000.0::DOUBLE/any_value(n),6) AS peaks_per_1000,
-        round(any_value(t),6) AS top_decile_laeq, round(any_value(mx),6) AS max_peak FROM sd LEFT JOIN pk USING (site_id) LEFT JOIN td USING (site_id) GROUP BY site_id""", "reading"),
+        round(any_value(t),6) AS top_decile_laeq, round(any_value(mx),6) AS max_peak FROM sd LEFT JOIN pk USING (site_id) LEFT JOIN td USING (site_id) GROUP BY site_id"""
+
+ORACLES = {
+    "peaks": oracle(PEAK_SUMMARY, "reading"),
+    "merged_peaks": oracle(PEAK_SUMMARY.replace("FROM reading", "FROM reading_merged"), "reading_merged"),
+    "merged_trend": oracle(TREND.replace("FROM reading", "FROM reading_merged"), "reading_merged"),
+    "merged_windows": oracle(f"""WITH {EXCLUSIONS}, m AS (SELECT r.*, ts >= TIMESTAMP '2024-01-03' AND ts < TIMESTAMP '2024-01-26'
+        AND NOT coalesce(ts >= x.start AND ts <= x."end", false) AS kept FROM reading_merged r LEFT JOIN x USING (site_id)),
+        b AS (SELECT *, seq - row_number() OVER (PARTITION BY site_id ORDER BY seq) AS grp FROM m WHERE NOT kept)
+        SELECT site_id, min(ts) AS start, max(ts) AS "end", count(*) AS n_removed FROM b GROUP BY site_id, grp""", "reading_merged"),
     "modal_interval": oracle(MODAL, "reading"),
     "gaps": oracle(f"""WITH {EXCLUSIONS}, {STEPS}, m AS (SELECT *, greatest(0, step - interval_s) AS missing, CAST(step - interval_s AS BIGINT) AS s FROM g WHERE NOT excl)
         SELECT site_id, prev AS gap_start, ts AS gap_end, step AS duration_seconds, missing AS missing_seconds, {DURATION.format(s="s")} AS duration_human,
         CASE WHEN missing/60 < 15 THEN 'Minor' ELSE 'Major' END AS category,
-        concat('No readings between ', strftime(prev, '%Y-%m-%d %H:%M:%S'), ' and ', strftime(ts, '%Y-%m-%d %H:%M:%S'), ' (', {DURATION.format(s="s")}, ').') AS label
+        concat({DURATION.format(s="s")}, ' missing after ', strftime(prev, '%Y-%m-%d %H:%M:%S'), ', up to ', strftime(ts, '%Y-%m-%d %H:%M:%S')) AS label
         FROM m""", "reading_15m"),
     "excluded_gaps": oracle(f"""WITH {EXCLUSIONS}, {STEPS} SELECT site_id, start, "end", step AS step_seconds FROM g WHERE excl""", "reading_15m"),
     "gap_summary": oracle(f"""WITH {EXCLUSIONS}, {STEPS}, b AS (SELECT site_id, count(*) AS total_rows, epoch(max(ts)) - epoch(min(ts)) AS span FROM reading_15m GROUP BY ALL),
@@ -87,7 +109,7 @@ ORACLES = {
     "merge_dedupe": oracle("""SELECT site_id, file_seq, seq, ts, fold, leq, lmax, lmin FROM reading
         QUALIFY row_number() OVER (PARTITION BY site_id, ts, fold ORDER BY file_seq, seq) = 1""", "reading"),
     "merge_notes": oracle("""WITH d AS (SELECT site_id, count(*) - count(DISTINCT ts) AS n FROM reading GROUP BY ALL)
-        SELECT site_id, 'duplicate_time' AS code, n, concat(format('{:,}', n), ' readings had the same time as a reading in another file (overlapping files); the reading from the earlier file was kept.') AS text
+        SELECT site_id, 'duplicate_time' AS code, n, concat('left out for a time that an earlier file or row has: ', format('{:,}', n)) AS text
         FROM d WHERE n > 0""", "reading"),
     "file_details": oracle("""SELECT site_id, file_seq, count(*) AS rows, min(ts) AS start, max(ts) AS "end" FROM reading GROUP BY ALL""", "reading"),
     "noise_events": oracle(f"WITH {EVENTS} SELECT * FROM e", "reading"),

@@ -114,7 +114,7 @@ def _parsed(s, d):
 
 
 QUERIES: dict[str, Query] = {
-    "ts_parse_vote": lambda s, d: rounded(timestamps.choose_method(view(s, d, "raw_text")), 6),
+    "ts_parse_vote": lambda s, d: rounded(timestamps.choose_method(view(s, d, "raw_text")).drop("time_only", "has_year"), 6),
     "ts_parse": lambda s, d: timestamps.parse_times(view(s, d, "raw_text")).select("site_id", "seq", "ts", "method"),
     "ts_parse_mixed": lambda s, d: _parsed(s, d),
     "ts_time_only": lambda s, d: timestamps.time_only(_mixed_text(s, d)),

@@ -59,6 +59,13 @@ MODAL = """SELECT site_id, coalesce(mode_s, 1.0::DOUBLE) AS interval_s FROM (SEL
     SELECT site_id, step, count(*) AS n FROM (SELECT site_id, epoch(ts) - epoch(lag(ts) OVER (PARTITION BY site_id ORDER BY ts, seq))
     AS step FROM reading) GROUP BY ALL) GROUP BY site_id)"""
 
+TREND = """WITH t AS (SELECT site_id, leq, row_number() OVER (PARTITION BY site_id ORDER BY seq) - 1 AS x FROM reading),
+        g AS (SELECT site_id, count(*) AS n, regr_slope(leq, x) AS slope, regr_r2(leq, x) AS r2 FROM t GROUP BY ALL)
+        SELECT site_id, n, CASE WHEN n > 10 THEN round(slope,6) END AS slope, CASE WHEN n > 10 THEN round(r2,6) END AS r_squared,
+        CASE WHEN n > 10 THEN CASE WHEN slope > 0.001 THEN 'Increasing' WHEN slope < -0.001 THEN 'Decreasing' ELSE 'Stable' END END AS trend,
+        CASE WHEN n > 10 THEN CASE WHEN abs(r2) > 0.7 THEN 'Strong' WHEN abs(r2) > 0.4 THEN 'Moderate' ELSE 'Weak' END END AS trend_strength
+        FROM g"""
+
 ORACLES = {
     "scan_reading": oracle("""SELECT site_id, ts, leq FROM reading
         WHERE leq >= 60 AND ts >= TIMESTAMP '2024-01-10 00:00:00'""", "reading"),
@@ -75,7 +82,7 @@ ORACLES = {
         c AS (SELECT *, max(CASE WHEN r = k THEN leq END) OVER (PARTITION BY site_id) AS cut FROM u),
         g AS (SELECT site_id, any_value(n) AS n, any_value(k) AS k, 10*log10(sum(e)/any_value(n)) AS laeq,
               quantile_cont(leq, 0.95) AS l5, 100*max(e)/sum(e) AS top1, 100*sum(e) FILTER (WHERE r <= k)/sum(e) AS top01,
-              10*log10(avg(e) FILTER (WHERE leq < cut)) AS rest FROM c GROUP BY site_id HAVING any_value(n) >= 20)
+              10*log10(avg(e) FILTER (WHERE leq < cut)) AS rest FROM c GROUP BY site_id)
         SELECT site_id, n, round(laeq,4) AS laeq, round(l5,4) AS l5, round(laeq-l5,4) AS laeq_minus_l5,
         round(top1,4) AS top1_energy_pct, round(top01,4) AS top01pct_energy_pct, k AS n_top01pct,
         round(rest,4) AS laeq_excluding_top01pct, (top1 >= 10 OR laeq-l5 > 1) AS dominated FROM g""", "reading"),
@@ -110,12 +117,7 @@ ORACLES = {
     "distribution_label": oracle(f"""WITH s AS ({STATS}) SELECT site_id, channel,
         CASE WHEN abs(skewness) < 0.5 AND abs(kurtosis) < 3 THEN 'Approximately Normal' WHEN skewness > 0.5 THEN 'Right-skewed'
         WHEN skewness < -0.5 THEN 'Left-skewed' ELSE 'Non-normal' END AS distribution FROM s""", "channels"),
-    "trend": oracle("""WITH t AS (SELECT site_id, leq, row_number() OVER (PARTITION BY site_id ORDER BY seq) - 1 AS x FROM reading),
-        g AS (SELECT site_id, count(*) AS n, regr_slope(leq, x) AS slope, regr_r2(leq, x) AS r2 FROM t GROUP BY ALL)
-        SELECT site_id, n, CASE WHEN n > 10 THEN round(slope,6) END AS slope, CASE WHEN n > 10 THEN round(r2,6) END AS r_squared,
-        CASE WHEN n > 10 THEN CASE WHEN slope > 0.001 THEN 'Increasing' WHEN slope < -0.001 THEN 'Decreasing' ELSE 'Stable' END END AS trend,
-        CASE WHEN n > 10 THEN CASE WHEN abs(r2) > 0.7 THEN 'Strong' WHEN abs(r2) > 0.4 THEN 'Moderate' ELSE 'Weak' END END AS trend_strength
-        FROM g""", "reading"),
+    "trend": oracle(TREND, "reading"),
     "top_decile_laeq": oracle(f"""WITH q AS (SELECT site_id, quantile_cont(leq,0.9) AS p FROM reading GROUP BY ALL)
         SELECT site_id, round({laeq(where="leq > p")},4) AS top_decile_laeq, count(*) FILTER (WHERE leq > p) AS n_top_decile,
         max(leq) AS max_level FROM reading JOIN q USING (site_id) GROUP BY ALL""", "reading"),

@@ -41,10 +41,12 @@ QUERIES: dict[str, Query] = {
     "heatmap_date_week": lambda s, d: rounded(per.date_week_grid(view(s, d, "reading"))),
     "weekly_profile": lambda s, d: rounded(per.weekly_profile(view(s, d, "reading"))),
     "hourly_box": lambda s, d: rounded(per.hourly_box(view(s, d, "reading")), 8),
-    "hourly_outliers": lambda s, d: rounded(per.hourly_outliers(view(s, d, "reading")).drop("copy"), 8),
+    "hourly_outliers": lambda s, d: rounded(per.hourly_outliers(view(s, d, "reading")), 8),
+    "hourly_outliers_top": lambda s, d: rounded(per.hourly_outliers(view(s, d, "reading"), shown=40), 8),
     "hourly_box_clipped": lambda s, d: rounded(per.hourly_box_clipped(view(s, d, "reading")), 8),
     "hourly_outliers_thinned": lambda s, d: rounded(per.thinned_outliers(view(s, d, "reading"), shown=10), 8),
     "resample_adaptive": lambda s, d: rounded(per.resample(view(s, d, "reading")), 7, ["lmax", "lmin"]),
+    "resample_15min": lambda s, d: rounded(per.resample(view(s, d, "reading"), bin_s=900), 7, ["lmax", "lmin"]),
     "rolling_median": lambda s, d: rounded(per.rolling_median(per.resample(view(s, d, "reading"))), 7),
     "envelope_runs": lambda s, d: per.envelope_runs(per.resample(view(s, d, "reading"))),
     "laeq_1min": lambda s, d: rounded(per.minute_levels(clocks.ordering_key(view(s, d, "reading"))), 7),
@@ -85,14 +87,10 @@ DAILY_COLUMNS = ["laeq", "std_dev", "hours_measured", "day_coverage_pct", "day_l
 HOURLY = f"""SELECT site_id, hour(ts) AS hour, {laeq()} AS laeq, min(leq) AS min_leq, max(leq) AS max_leq,
     stddev_samp(leq) AS std_dev FROM reading GROUP BY ALL"""
 CLIPPED = """f AS (SELECT *, greatest(mn, q1-1.5*(q3-q1)) AS lf, least(mx, q3+1.5*(q3-q1)) AS uf FROM q)"""
-RESAMPLE = f"""sp AS (SELECT site_id, min(ts) AS a, max(ts) AS b, epoch(max(ts)) - epoch(min(ts)) AS span_s FROM reading GROUP BY ALL),
-    sz AS (SELECT *, CASE WHEN span_s/900 <= 1500 THEN 900 WHEN span_s/3600 <= 1500 THEN 3600 ELSE 86400 END AS bin_s FROM sp),
-    sn AS (SELECT site_id, span_s, bin_s, unnest(range(CAST(floor(epoch(a)/bin_s) AS BIGINT), CAST(floor(epoch(b)/bin_s) AS BIGINT)+1)) AS k FROM sz),
-    bb AS (SELECT site_id, CAST(floor(epoch(ts)/bin_s) AS BIGINT) AS k, {laeq()} AS laeq, max(lmax) AS lmax, min(lmin) AS lmin
-    FROM reading JOIN sz USING (site_id) GROUP BY ALL),
-    bins AS (SELECT site_id, CAST(to_timestamp(k*bin_s) AT TIME ZONE 'UTC' AS TIMESTAMP) AS bin_start, CAST(bin_s AS BIGINT) AS bin_s, span_s, laeq, lmax, lmin
-    FROM sn LEFT JOIN bb USING (site_id, k))"""
-RESAMPLE = RESAMPLE.replace("CAST(to_timestamp(k*bin_s) AT TIME ZONE 'UTC' AS TIMESTAMP)", "make_timestamp(k*bin_s*1000000)")
+RESAMPLE = f"""bb AS (SELECT site_id, CAST(floor(epoch(ts)/@W) AS BIGINT) AS k, {laeq()} AS laeq, max(lmax) AS lmax, min(lmin) AS lmin FROM reading GROUP BY ALL),
+    sn AS (SELECT site_id, unnest(range(min(k), max(k) + 1)) AS k FROM bb GROUP BY site_id),
+    bins AS (SELECT site_id, make_timestamp(k*@W*1000000) AS bin_start, laeq, lmax, lmin FROM sn LEFT JOIN bb USING (site_id, k))"""
+HOURS, QUARTERS = RESAMPLE.replace("@W", "3600"), RESAMPLE.replace("@W", "900")
 
 ORACLES = {
     "period_key": oracle(f"SELECT site_id, {key(23)} AS period, count(leq) AS n FROM reading GROUP BY ALL", "reading", dates=('period',)),
@@ -117,20 +115,21 @@ ORACLES = {
         LEFT JOIN g USING (site_id, date, hour)""", "reading", dates=('date',)),
     "heatmap_date_week": oracle(f"""SELECT site_id, ts::DATE AS date, CAST(week(ts) AS INT) AS week, round({laeq()},4) AS laeq
         FROM reading GROUP BY ALL""", "reading", dates=('date',)),
-    "weekly_profile": oracle(f"""WITH e AS (SELECT site_id FROM reading GROUP BY site_id
-        HAVING count(DISTINCT ts::DATE) >= 3 AND count(DISTINCT isodow(ts)) >= 3)
+    "weekly_profile": oracle(f"""WITH e AS (SELECT site_id, count(DISTINCT ts::DATE) AS n_dates, count(DISTINCT isodow(ts)) AS n_weekdays FROM reading GROUP BY site_id)
         SELECT site_id, CAST(isodow(ts)-1 AS INT) AS weekday, round({laeq(where=COMAR_DAY)},4) AS day_laeq,
-        round({laeq(where=f"NOT {COMAR_DAY}")},4) AS night_laeq, dayname(any_value(ts)) AS day_name
-        FROM reading WHERE site_id IN (SELECT site_id FROM e) GROUP BY site_id, isodow(ts)""", "reading"),
+        round({laeq(where=f"NOT {COMAR_DAY}")},4) AS night_laeq, any_value(n_dates) AS n_dates, any_value(n_weekdays) AS n_weekdays, dayname(any_value(ts)) AS day_name
+        FROM reading JOIN e USING (site_id) GROUP BY site_id, isodow(ts)""", "reading"),
     "hourly_box": oracle(f"""WITH {BOX}, w AS (SELECT site_id, hour, min(leq) AS lo, max(leq) AS hi FROM r JOIN q USING (site_id, hour)
         WHERE leq >= q1-1.5*(q3-q1) AND leq <= q3+1.5*(q3-q1) GROUP BY ALL)
         SELECT site_id, CAST(hour AS INT) AS hour, round(q1,8) AS q1, round(median,8) AS median, round(q3,8) AS q3,
         round(coalesce(lo,mn),8) AS lower_fence, round(coalesce(hi,mx),8) AS upper_fence, round(laeq,8) AS laeq
         FROM q LEFT JOIN w USING (site_id, hour)""", "reading"),
-    "hourly_outliers": oracle(f"""WITH {BOX}, o AS (SELECT site_id, hour, leq, abs(leq-median) AS far,
+    "hourly_outliers": oracle(f"""WITH {BOX} SELECT site_id, CAST(hour AS INT) AS hour, round(leq,8) AS level, count(*) AS n, round(abs(leq-median),8) AS from_median
+        FROM r JOIN q USING (site_id, hour) WHERE leq < q1-1.5*(q3-q1) OR leq > q3+1.5*(q3-q1) GROUP BY site_id, hour, leq, median""", "reading"),
+    "hourly_outliers_top": oracle(f"""WITH {BOX}, o AS (SELECT site_id, hour, leq, abs(leq-median) AS far,
         row_number() OVER (PARTITION BY site_id, hour ORDER BY abs(leq-median) DESC, leq) AS k FROM r JOIN q USING (site_id, hour)
         WHERE leq < q1-1.5*(q3-q1) OR leq > q3+1.5*(q3-q1))
-        SELECT site_id, CAST(hour AS INT) AS hour, round(leq,8) AS level, round(far,8) AS from_median FROM o WHERE k <= 40""", "reading"),
+        SELECT site_id, CAST(hour AS INT) AS hour, round(leq,8) AS level, count(*) AS n, round(far,8) AS from_median FROM o WHERE k <= 40 GROUP BY site_id, hour, leq, far""", "reading"),
     "hourly_box_clipped": oracle(f"""WITH {BOX}, {CLIPPED}, n AS (SELECT site_id, hour, count(*) AS n FROM r JOIN f USING (site_id, hour)
         WHERE leq < lf OR leq > uf GROUP BY ALL)
         SELECT site_id, CAST(hour AS INT) AS hour, round(q1,8) AS q1, round(median,8) AS median, round(q3,8) AS q3,
@@ -142,17 +141,12 @@ ORACLES = {
         FROM (SELECT DISTINCT site_id, hour, m FROM o) CROSS JOIN (SELECT unnest(range(10)) AS k) WHERE m > 10)
         SELECT site_id, CAST(hour AS INT) AS hour, rank, round(leq,8) AS level FROM o
         WHERE m <= 10 OR (site_id, hour, rank) IN (SELECT (site_id, hour, rank) FROM p)""", "reading"),
-    "resample_adaptive": oracle(f"""WITH {RESAMPLE} SELECT site_id, bin_start, bin_s, round(span_s,7) AS span_s, round(laeq,7) AS laeq,
-        lmax, lmin FROM bins""", "reading"),
-    "rolling_median": oracle(f"""WITH {RESAMPLE}, w AS (SELECT site_id, bin_start, laeq, CAST(least(greatest(3, round_even((CASE WHEN bin_s >= 86400 THEN 604800
-        WHEN span_s < 259200 THEN 3600 ELSE 86400 END)/bin_s, 0)), count(*) OVER (PARTITION BY site_id)) AS INT) AS w,
-        row_number() OVER (PARTITION BY site_id ORDER BY bin_start) AS i FROM bins),
-        m AS (SELECT a.site_id, a.bin_start, median(b.laeq) AS med, count(b.laeq) AS c FROM w a JOIN w b ON a.site_id = b.site_id
-        AND b.i BETWEEN a.i - a.w // 2 AND a.i + (a.w - 1) // 2 GROUP BY ALL)
-        SELECT site_id, bin_start, round(laeq,7) AS laeq, w AS window_bins,
-        CASE WHEN laeq IS NOT NULL AND c >= greatest(1, w // 2) THEN round(med,7) END AS rolling_median
-        FROM w JOIN m USING (site_id, bin_start)""", "reading"),
-    "envelope_runs": oracle(f"""WITH {RESAMPLE}, x AS (SELECT *, lmax IS NOT NULL AND lmin IS NOT NULL AS ok,
+    "resample_adaptive": oracle(f"WITH {HOURS} SELECT site_id, bin_start, round(laeq,7) AS laeq, lmax, lmin FROM bins", "reading"),
+    "resample_15min": oracle(f"WITH {QUARTERS} SELECT site_id, bin_start, round(laeq,7) AS laeq, lmax, lmin FROM bins", "reading"),
+    "rolling_median": oracle(f"""WITH {HOURS}, w AS (SELECT site_id, bin_start, laeq, median(laeq) OVER r AS med, count(laeq) OVER r AS c FROM bins
+        WINDOW r AS (PARTITION BY site_id ORDER BY bin_start ROWS BETWEEN 12 PRECEDING AND 11 FOLLOWING))
+        SELECT site_id, bin_start, round(laeq,7) AS laeq, CASE WHEN laeq IS NOT NULL AND c >= 12 THEN round(med,7) END AS rolling_median FROM w""", "reading"),
+    "envelope_runs": oracle(f"""WITH {HOURS}, x AS (SELECT *, lmax IS NOT NULL AND lmin IS NOT NULL AS ok,
         row_number() OVER (PARTITION BY site_id ORDER BY bin_start) AS i FROM bins),
         y AS (SELECT *, i - row_number() OVER (PARTITION BY site_id ORDER BY bin_start) AS grp FROM x WHERE ok)
         SELECT site_id, min(bin_start) AS start, max(bin_start) AS "end", count(*) AS bins FROM y GROUP BY site_id, grp HAVING count(*) >= 2""", "reading"),

@@ -34,6 +34,10 @@ VIEWS = {
              WHEN event_type = 'view' THEN strftime(ts,'%d/%m/%Y %H:%M:%S')
              ELSE strftime(ts,'%Y-%m-%d %H:%M:%S') END AS raw,
         CASE WHEN event_id % 50 = 0 THEN 'n/a' ELSE replace(CAST(value AS VARCHAR), '.', ',') END AS x FROM events""",
+    "reading_merged": f"""SELECT site_id, row_number() OVER (PARTITION BY site_id ORDER BY ts) - 1 AS seq, ts, leq, lmax, lmin
+        FROM (SELECT event_type AS site_id, ts, 35 + value/8 AS leq, 35 + value/8 + ({K} % 10)/2.0::DOUBLE AS lmax,
+        35 + value/8 - ({K} % 7)/2.0::DOUBLE AS lmin FROM events
+        QUALIFY row_number() OVER (PARTITION BY event_type, ts ORDER BY user_id % 3, event_id) = 1)""",
     "reading_15m": f"""SELECT site_id, 0 AS file_seq, CAST(epoch(ts) AS BIGINT) // 900 AS seq, ts, CAST(0 AS TINYINT) AS fold,
         leq, lmax, lmin FROM (SELECT event_type AS site_id, time_bucket(INTERVAL '15 minutes', ts) AS ts,
         10 * log10(avg(pow(10::DOUBLE, (35 + value/8)/10))) AS leq, max(35 + value/8 + ({K} % 10)/2.0::DOUBLE) AS lmax,

@@ -93,7 +93,7 @@ ORACLES = {
         cand AS (SELECT c_custkey::VARCHAR AS site_id, concat('G', (c_custkey + j) % 7) AS g, CAST((c_custkey*7 + j*13) % 120 AS DOUBLE) AS km, DATE '1996-01-01' AS a,
             DATE '1996-01-01' + CAST(c_custkey % 300 AS INT) AS b FROM customer CROSS JOIN (SELECT unnest(range(7)) AS j)),
         r AS (SELECT *, row_number() OVER (PARTITION BY site_id ORDER BY km, g) AS rank FROM cand WHERE km <= 100),
-        c AS (SELECT site_id, r.g, km, rank, count(*)::DOUBLE/(any_value(b) - any_value(a) + 1) AS cov FROM r JOIN daily ON daily.g = r.g AND date BETWEEN a AND b WHERE rank <= 6 GROUP BY ALL)
+        c AS (SELECT site_id, r.g, km, rank, count(*)::DOUBLE/(any_value(b) - any_value(a) + 1) AS cov FROM r JOIN daily ON daily.g = r.g AND date BETWEEN a AND b GROUP BY ALL)
         SELECT site_id, g AS ghcnd_id, round(km,4) AS distance_km, round(100*cov,4) AS coverage_pct FROM c
         QUALIFY row_number() OVER (PARTITION BY site_id ORDER BY CASE WHEN cov >= 0.9 THEN 0 ELSE 1 END, CASE WHEN cov >= 0.9 THEN rank END, cov DESC, rank) = 1"""),
     "locate_sites": oracle(r"""WITH p AS (SELECT c_custkey::VARCHAR AS site_id, CASE c_custkey % 5 WHEN 0 THEN concat(printf('%.2f', 25 + c_custkey % 40 * 0.5::DOUBLE), ', ', printf('%.2f', -120.0::DOUBLE + c_custkey % 50))

@@ -131,7 +131,7 @@ ORACLES = {
     "wx_minute_states": oracle(f"WITH {MINUTES} SELECT * FROM mn", *WX),
     "wx_identifier": oracle(f"""WITH {SHARED}, g AS (SELECT station, count(*) FILTER (WHERE s1 IS NOT NULL AND s2 IS NOT NULL) AS n,
         count(*) FILTER (WHERE s1 = 1 AND s2 = 0) AS o, count(*) FILTER (WHERE s1 = s2) AS a, count(*) FILTER (WHERE odd) AS odd FROM sh GROUP BY ALL)
-        SELECT station, CASE WHEN n >= 200 THEN o::DOUBLE/n <= 0.2 ELSE true END AS reliable, n AS minutes_compared,
+        SELECT station, CASE WHEN n >= 200 THEN o::DOUBLE/n <= 0.2 END AS reliable, n AS minutes_compared,
         CASE WHEN n >= 200 THEN round(100.0::DOUBLE*o/n,4) END AS only_1min_pct, CASE WHEN n >= 200 THEN round(100.0::DOUBLE*a/n,4) END AS agree_pct,
         odd AS impossible_snow_minutes FROM g""", *WX),
     "wx_agreement": oracle(f"""WITH {SHARED} SELECT station, count(*) AS minutes_compared, round(100.0::DOUBLE*count_if(s1b = s2)/count(*),4) AS agree_pct,

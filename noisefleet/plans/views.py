@@ -42,6 +42,11 @@ SQL = {
              WHEN event_type = 'view' THEN date_format(ts,'dd/MM/yyyy HH:mm:ss')
              ELSE date_format(ts,'yyyy-MM-dd HH:mm:ss') END AS raw,
         CASE WHEN event_id % 50 = 0 THEN 'n/a' ELSE replace(CAST(value AS STRING), '.', ',') END AS x FROM events""",
+    # V1 in files that each number their own rows, before they are merged
+    "reading_files": f"""SELECT site_id, file_seq, row_number() OVER (PARTITION BY site_id, file_seq ORDER BY seq) - 1 AS seq, ts, fold, leq, lmax, lmin
+        FROM (SELECT event_type AS site_id, CAST(user_id % 3 AS INT) AS file_seq, event_id AS seq,
+        CAST(ts AS TIMESTAMP_NTZ) AS ts, CAST(0 AS TINYINT) AS fold, 35 + value/8 AS leq,
+        35 + value/8 + ({K} % 10)/2D AS lmax, 35 + value/8 - ({K} % 7)/2D AS lmin FROM events)""",
     # V1 on a regular 15-minute grid; seq is the bin number
     "reading_15m": f"""SELECT site_id, 0 AS file_seq, CAST(unix_seconds(CAST(ts AS TIMESTAMP)) DIV 900 AS BIGINT) AS seq, ts,
         CAST(0 AS TINYINT) AS fold, leq, lmax, lmin FROM (
@@ -61,7 +66,7 @@ SQL["autumn_15m"] = f"""SELECT site_id, seq, CASE WHEN u < TIMESTAMP_NTZ '2024-1
     fold, leq, lmax, lmin FROM (SELECT *, ts + INTERVAL 300 DAYS AS u FROM ({SQL['reading_15m']}))"""
 SOURCES = {"reading_march": ["events"], "reading_october": ["events"], "spring_15m": ["events"], "autumn_15m": ["events"],
            "reading": ["events"], "metar": ["events"], "onemin": ["events"], "snow_daily": ["orders"],
-           "station": ["supplier"], "site": ["customer"], "raw_text": ["events"], "reading_15m": ["events"]}
+           "reading_files": ["events"], "station": ["supplier"], "site": ["customer"], "raw_text": ["events"], "reading_15m": ["events"]}
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import re
 import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
@@ -50,11 +51,14 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     """Write ``df`` to the session's checkpoint folder and go on from there.
 
     For results that several later steps read: without the cut each of them recomputes what came
-    before. The folder is the cluster's ``spark.checkpoint.dir``, shared by all executors; one is made
-    up only where none is set, as in tests.
+    before. The folder is the cluster's ``spark.checkpoint.dir``, shared by all executors; a cluster
+    without one is refused, for its executors would each write to a disk of their own.
     """
     sc = df.sparkSession.sparkContext
     if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None)
-                            or tempfile.mkdtemp(prefix="noisefleet-checkpoint-"))
+        folder = df.sparkSession.conf.get("spark.checkpoint.dir", None)
+        if folder is None and not re.fullmatch(r"local(\[.*\])?", sc.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        # one JVM on one machine, as in tests, has a disk of its own only
+        sc.setCheckpointDir(folder or tempfile.mkdtemp(prefix="noisefleet-checkpoint-"))
     return df.checkpoint()

@@ -164,9 +164,11 @@ def read_parquet(spark: SparkSession, paths: str | list[str]) -> tuple[DataFrame
     except AnalysisException as exc:
         if "TIMESTAMP(NANOS" not in str(exc):
             raise
-        # times in nanoseconds, as data frame libraries write them, come as whole numbers
-        spark.conf.set("spark.sql.legacy.parquet.nanosAsLong", "true")
-        df, nanos = spark.read.parquet(*paths), True
+        # times in nanoseconds, as data frame libraries write them, come as whole numbers; the option is the
+        # relation's own session's, so the caller's stays as it is
+        own = spark.newSession()
+        own.conf.set("spark.sql.legacy.parquet.nanosAsLong", "true")
+        df, nanos = own.read.parquet(*paths), True
     chosen, said = roles.plan_levels(df.columns)
     time = roles.time_column(df.dtypes)
     if time is None:

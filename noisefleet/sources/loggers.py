@@ -96,13 +96,13 @@ def _decode(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 def read_cil(spark: SparkSession, paths: str | list[str], zone: str = ck.DEFAULT_ZONE) -> DataFrame:
     """Readings of .cil logs in the wall clock of ``zone``, files decoded in parallel.
 
-    Times are stored in UTC, so ``fold`` is exact: the wall time was already shown an hour before.
+    Times are stored in UTC, so ``fold`` is exact: the wall time had been shown already.
     """
     ck.check_zone(zone)
     files = spark.read.format("binaryFile").load(paths).select("path", "content")
     rows = files.mapInPandas(_decode, "path string, seq bigint, epoch_s double, leq double, lmax double, lmin double")
     utc = F.timestamp_micros(F.rint(F.col("epoch_s") * 1e6).cast("long")).cast("timestamp_ntz")
     t = rows.withColumn("ts_utc", utc).withColumn("ts", ck.utc_to_wall("ts_utc", zone))
-    again = ck.utc_to_wall(ck.plus_hours("ts_utc", -1), zone) == F.col("ts")
+    again = ck.shown_before("ts_utc", zone)
     return t.select("path", "seq", "ts", F.when(again, 1).otherwise(0).cast("tinyint").alias("fold"), "ts_utc",
                     *[lv.finite(c).alias(c) for c in ("leq", "lmax", "lmin")])

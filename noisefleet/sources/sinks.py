@@ -56,13 +56,13 @@ def finite_doubles(df: DataFrame) -> DataFrame:
 
 
 def write_readings(df: DataFrame, path: str, keys: Sequence[str] = SITE, mode: str = "overwrite") -> None:
-    """The merged record as Parquet partitioned by site.
+    """The merged record as Parquet partitioned by site; overwriting replaces the sites of ``df`` and no others.
 
     Rows are spread by site and hour before the write, so a hot site is written by many tasks; the
     files of one site stay together in its folder.
     """
     spread = df.withColumn("_day", F.to_date("ts")).repartition(*keys, "_day").drop("_day")
-    finite_doubles(spread).write.mode(mode).option("compression", "zstd").partitionBy(*keys).parquet(path)
+    finite_doubles(spread).write.mode(mode).option("partitionOverwriteMode", "dynamic").option("compression", "zstd").partitionBy(*keys).parquet(path)
 
 
 def write_tables(tables: dict[str, DataFrame], path: str, mode: str = "overwrite") -> None:

@@ -9,13 +9,12 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from noisefleet.functions import clock as ck
-from noisefleet.operators.scans import SITE, first_rows, row_slice, scan
+from noisefleet.operators.scans import SITE, row_slice, scan
 from noisefleet.session import cut_lineage
 
 # Fixed values of the decision.
 YEAR_FIRST = r"^\d{4}[-/]\d{1,2}[-/]\d{1,2}"
 TIME_ONLY = r"^\s*\d{1,3}:\d{2}(:\d{2})?(\.\d+)?\s*$"
-YEAR_SAMPLE, TIME_ONLY_SAMPLE = 1000, 200
 YEAR_SHARE, TIME_ONLY_SHARE = 0.5, 0.8
 WEAK, GOOD_ENOUGH, USABLE, OK_PCT = 0.95, 0.99, 0.60, 99.5
 EPOCH_MS_OVER = 1e11
@@ -68,26 +67,12 @@ def _epoch(raw: Column, unit: str) -> Column:
     return F.when(F.abs(seconds) < 1e11, F.timestamp_seconds(seconds).cast("timestamp_ntz"))
 
 
-def head_shares(df: DataFrame, keys: Sequence[str] = SITE, raw: str = "raw", seq: str = "seq") -> DataFrame:
-    """What the first values of each record look like: year first (of 1,000), bare clock times and years (of 200)."""
-    head = first_rows(df.where(F.col(raw).isNotNull()).select(*keys, seq, raw), keys, row_slice(seq), [seq], YEAR_SAMPLE, rank="_rank")
-    first = F.col("_rank") <= TIME_ONLY_SAMPLE
+def choose_method(df: DataFrame, keys: Sequence[str] = SITE, raw: str = "raw") -> DataFrame:
+    """How each record is read, decided by all its values in one aggregate.
 
-    def share(pattern: str, where: Column | None = None) -> Column:
-        hit = F.when(F.trim(raw).rlike(pattern), 1.0).otherwise(0.0)
-        return F.avg(hit if where is None else F.when(where, hit))
-
-    return head.groupBy(*keys).agg((share(YEAR_FIRST) >= YEAR_SHARE).alias("year_first"),
-                                   (share(TIME_ONLY, first) >= TIME_ONLY_SHARE).alias("time_only"),
-                                   (share(r"\d{4}", first) >= YEAR_SHARE).alias("has_year"))
-
-
-def choose_method(df: DataFrame, keys: Sequence[str] = SITE, raw: str = "raw", seq: str = "seq",
-                  heads: DataFrame | None = None) -> DataFrame:
-    """The strategy each record is read with: ``method`` and the share it reads.
-
-    All strategies are counted in one aggregate. Year-first wins where the first thousand values look
-    so; otherwise day-first, month-first only if it reads more; explicit formats only when that is weak.
+    ``method`` is the strategy and ``share`` what it reads; ``time_only`` says that the values are clock times
+    without a date, ``has_year`` that they hold a year. Year-first wins where most values look so; otherwise
+    day-first, month-first only if it reads more; explicit formats only when that is weak.
     """
     k, text = list(keys), F.col(raw)
     # read once, then counted under every strategy
@@ -95,19 +80,23 @@ def choose_method(df: DataFrame, keys: Sequence[str] = SITE, raw: str = "raw", s
     named = candidates(text, {o: F.col(f"_{o}") for o in ("year", "day", "month")})
     n = F.count(F.lit(1))
     num, big = text.try_cast("double"), text.try_cast("double") > EPOCH_MS_OVER
+
+    def looks(pattern: str, share: float) -> Column:
+        return F.coalesce(F.avg(F.trim(text).rlike(pattern).cast("double")) >= share, F.lit(False))
+
     counts = df.groupBy(*k).agg(
         n.alias("n"), *[(F.count(c) / n).alias(f"c{i}") for i, c in enumerate(named.values())], F.count(num).alias("_num"),
-        F.count_if(big).alias("_big"), F.max(F.when(~big, num)).alias("_below"), F.min(F.when(big, num)).alias("_above"))
+        F.count_if(big).alias("_big"), F.max(F.when(~big, num)).alias("_below"), F.min(F.when(big, num)).alias("_above"),
+        looks(YEAR_FIRST, YEAR_SHARE).alias("_yf"), looks(TIME_ONLY, TIME_ONLY_SHARE).alias("time_only"), looks(r"\d{4}", YEAR_SHARE).alias("has_year"))
     # the median passes the limit if most values do; at exactly half it lies between the two nearest ones
     half = 2 * F.col("_big") - F.col("_num")
     in_ms = F.when(half == 0, (F.col("_below") + F.col("_above")) / 2 > EPOCH_MS_OVER).otherwise(half > 0)
-    year = (head_shares(df, k, raw, seq) if heads is None else heads).select(*k, F.col("year_first").alias("_yf"))
     names = list(named)
 
     def entry(method: Column | str, share: Column) -> Column:
         return F.struct((F.lit(method) if isinstance(method, str) else method).alias("m"), share.alias("f"))
 
-    inferred = F.when(F.coalesce(F.col("_yf"), F.lit(False)), entry(names[0], F.col("c0"))).when(
+    inferred = F.when(F.col("_yf"), entry(names[0], F.col("c0"))).when(
         F.col("c2") > F.col("c1"), entry(names[2], F.col("c2"))).otherwise(entry(names[1], F.col("c1")))
     explicit = F.array(*[entry(m, F.col(f"c{i}")) for i, m in enumerate(names) if m.startswith("format:")])
 
@@ -115,12 +104,12 @@ def choose_method(df: DataFrame, keys: Sequence[str] = SITE, raw: str = "raw", s
         settled = best["m"].startswith("format:") & (best["f"] >= GOOD_ENOUGH)
         return F.when(~settled & (x["f"] > best["f"]), x).otherwise(best)
 
-    j = counts.join(year, k, "left").withColumn("_i", inferred).withColumn("c_num", F.col("_num") / F.col("n"))
+    j = counts.withColumn("_i", inferred).withColumn("c_num", F.col("_num") / F.col("n"))
     j = j.withColumn("_b", F.when(F.col("_i.f") < WEAK, F.aggregate(explicit, F.col("_i"), better)).otherwise(F.col("_i")))
     by_number = (F.col("_b.f") < USABLE) & (F.col("c_num") >= USABLE) & (F.col("c_num") > F.col("_b.f"))
     unit = F.when(in_ms, "epoch:ms").otherwise("epoch:s")
     return j.select(*k, "n", F.when(by_number, unit).otherwise(F.col("_b.m")).alias("method"),
-                    F.when(by_number, F.col("c_num")).otherwise(F.col("_b.f")).alias("share"))
+                    F.when(by_number, F.col("c_num")).otherwise(F.col("_b.f")).alias("share"), "time_only", "has_year")
 
 
 def parse_with(raw: Column, method: Column) -> Column:
@@ -137,33 +126,32 @@ def parse_with(raw: Column, method: Column) -> Column:
     return F.when(shaped, value)
 
 
-def parse_times(df: DataFrame, keys: Sequence[str] = SITE, raw: str = "raw", seq: str = "seq",
-                heads: DataFrame | None = None) -> DataFrame:
+def parse_times(df: DataFrame, keys: Sequence[str] = SITE, raw: str = "raw", chosen: DataFrame | None = None) -> DataFrame:
     """Add ``ts`` and the ``method`` it was read with."""
-    chosen = choose_method(df, keys, raw, seq, heads).select(*keys, "method")
+    chosen = (choose_method(df, keys, raw) if chosen is None else chosen).select(*keys, "method")
     return df.join(chosen, list(keys)).withColumn("ts", parse_with(F.col(raw), F.col("method")))
 
 
-def time_only(df: DataFrame, keys: Sequence[str] = SITE, raw: str = "raw", seq: str = "seq") -> DataFrame:
-    """Records whose first values are clock times without a date."""
-    return head_shares(df, keys, raw, seq).select(*keys, "time_only")
+def time_only(df: DataFrame, keys: Sequence[str] = SITE, raw: str = "raw") -> DataFrame:
+    """Records whose values are clock times without a date."""
+    return choose_method(df, keys, raw).select(*keys, "time_only")
 
 
-def assess_integrity(df: DataFrame, now: dt.date, keys: Sequence[str] = SITE, raw: str = "raw", seq: str = "seq") -> DataFrame:
+def assess_integrity(df: DataFrame, now: dt.date, keys: Sequence[str] = SITE, raw: str = "raw") -> DataFrame:
     """Verdict on each record's times: ok, recovered or unusable.
 
     Unusable: bare clock times, under 60 % readable, or every row on ``now``'s date with no year in the text.
     """
     k = list(keys)
-    # one small row per record, read three times below
-    heads = cut_lineage(head_shares(df, k, raw, seq))
-    parsed = parse_times(df, k, raw, seq, heads)
+    # one small row per record, read twice below
+    heads = cut_lineage(choose_method(df, k, raw))
+    parsed = parse_times(df, k, raw, heads)
     per_date = parsed.groupBy(*k, F.to_date("ts").alias("_d")).agg(
         F.count(F.lit(1)).alias("_n"), F.min("ts").alias("_a"), F.max("ts").alias("_b"), F.max("method").alias("_m"))
     g = per_date.groupBy(*k).agg(
         F.sum("_n").alias("n_total"), F.coalesce(F.sum(F.when(F.col("_d").isNotNull(), F.col("_n"))), F.lit(0)).alias("n_parsed"),
         F.count("_d").alias("unique_dates"), F.min("_a").alias("_a"), F.max("_b").alias("_b"), F.max("_m").alias("method"))
-    j = g.join(heads, k, "left")
+    j = g.join(heads.select(*k, "time_only", "has_year"), k, "left")
     pct = 100.0 * F.col("n_parsed") / F.col("n_total")
     lost = F.coalesce(F.col("time_only"), F.lit(False))
     made_up = ((F.col("unique_dates") == 1) & (F.to_date("_a") == F.lit(now)) & ~F.coalesce(F.col("has_year"), F.lit(False)))

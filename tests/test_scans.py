@@ -42,11 +42,8 @@ def test_pairs_are_all_neighbours(rows, width):
         assert (np.isnan(b) and np.isnan(got[s, c])) or got[s, c] == b
 
 
-def test_first_rows_and_top_rows(rows):
+def test_top_rows(rows):
     df, pdf = rows
-    got = scans.first_rows(df, ["site_id"], scans.row_slice("seq", 40), ["seq"], 12).toPandas()
-    want = pdf.groupby("site_id").head(12)
-    assert set(zip(got.site_id, got.seq)) == set(zip(want.site_id, want.seq))
     top = scans.top_rows(df, ["site_id"], F.col("seq") % 5, [F.desc("seq")], 4).toPandas()
     want = pdf.sort_values("seq", ascending=False).groupby("site_id").head(4)
     assert set(zip(top.site_id, top.seq)) == set(zip(want.site_id, want.seq))
