@@ -24,7 +24,8 @@ from __future__ import annotations
 import heapq
 import re
 from collections.abc import Iterator, Sequence
-from functools import cached_property
+from functools import cached_property, lru_cache
+from itertools import chain
 
 import numpy as np
 import pandas as pd
@@ -35,8 +36,8 @@ MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 MOST_BYTES = 64 << 20
 DROPOUT, VARIANTS, SEED = 0.1, 8, 42
 CHUNK = re.compile(" +[^ ]*")
-SHORT = 24
-TEXT_AT_ONCE = 1 << 22
+SHORT = 48
+TEXT_AT_ONCE = 1 << 21
 
 # The mark that stands for a space, and the kinds of pieces in a model file.
 MARK = "▁"
@@ -80,28 +81,60 @@ class Pieces:
             raise ValueError("a vocabulary with spaces only at the front of pieces is needed")
         score = np.array([p.score for p in spec.pieces])
         # equal scores are equal ranks: then the place decides
-        self.rank = np.searchsorted(np.unique(-score), -score)
+        self.rank = np.searchsorted(np.unique(-score), -score).astype(np.int32)
         self.byte = {int(t[1:-1], 16): i for i, t in enumerate(texts) if spec.pieces[i].type == BYTE}
         self.raw = [bytes([int(t[1:-1], 16)]) if spec.pieces[i].type == BYTE else b"" if spec.pieces[i].type in (UNKNOWN, CONTROL)
                     else t.replace(MARK, " ").encode() for i, t in enumerate(texts)]
         pairs = sorted((self.id[t[:k]] * len(texts) + self.id[t[k:]], i) for t, i in self.id.items() for k in range(1, len(t))
                        if t[:k] in self.id and t[k:] in self.id)
         self.size = len(texts)
-        self.pair, self.union = np.array([p for p, _ in pairs] + [np.iinfo(np.int64).max]), np.array([u for _, u in pairs] + [0])
-        letters = {ord(t): i for t, i in self.id.items() if len(t) == 1 and t != MARK} | {32: self.id[MARK]}
-        self.letter = np.full(max(letters) + 2, -1, np.int64)
+        self.pair, self.union = np.array([p for p, _ in pairs], np.int64), np.array([u for _, u in pairs], np.int32)
+        self._file()
+        # a character of one byte outside the vocabulary is its byte piece, which merges with nothing
+        letters = {c: self.byte[c] for c in range(128)} | {ord(t): i for t, i in self.id.items() if len(t) == 1 and t != MARK} | {32: self.id[MARK]}
+        self.letter = np.full(max(letters) + 2, -1, np.int32)
         self.letter[list(letters)] = list(letters.values())
         self.of_code = letters
 
+    def _file(self) -> None:
+        """Pairs in a table of slots by hash, each in the first free one from its own on."""
+        self.bits = max(4, int(4 * len(self.pair)).bit_length())
+        self.slot = np.full(1 << self.bits, -1, np.int64)
+        self.slot_union = np.full(1 << self.bits, -1, np.int32)
+        for pair, union, at in zip(self.pair.tolist(), self.union.tolist(), self._slot_of(self.pair).tolist()):
+            while self.slot[at] >= 0:
+                at = (at + 1) & (len(self.slot) - 1)
+            self.slot[at], self.slot_union[at] = pair, union
+
+    def _slot_of(self, pair: np.ndarray) -> np.ndarray:
+        with np.errstate(over="ignore"):
+            return ((pair.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - self.bits)).astype(np.int64)
+
     def unions(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
         """The piece that each pair merges to, or -1."""
-        pair = np.where((left >= 0) & (right >= 0), left * self.size + right, -1)
-        at = np.searchsorted(self.pair, pair)
-        return np.where(self.pair[at] == pair, self.union[at], -1)
+        pair = left.astype(np.int64) * self.size + right
+        at = self._slot_of(pair)
+        held = self.slot[at]
+        union = np.where(held == pair, self.slot_union[at], -1)
+        rest = np.nonzero((held != pair) & (held >= 0))[0]
+        while len(rest):  # another pair has the slot: look on
+            at[rest] = (at[rest] + 1) & (len(self.slot) - 1)
+            held = self.slot[at[rest]]
+            hit = held == pair[rest]
+            union[rest[hit]] = self.slot_union[at[rest[hit]]]
+            rest = rest[~hit & (held >= 0)]
+        union[(left < 0) | (right < 0)] = -1
+        return union
 
     @cached_property
     def merges(self) -> dict[int, int]:
-        return dict(zip(self.pair[:-1].tolist(), self.union[:-1].tolist()))
+        return dict(zip(self.pair.tolist(), self.union.tolist()))
+
+
+@lru_cache(maxsize=2)
+def pieces_of(model: bytes) -> Pieces:
+    """One per model and worker process."""
+    return Pieces(model)
 
 
 def chunk_key(chunk: str, variant: int, seed: int) -> int:
@@ -155,81 +188,85 @@ def encode_long(pieces: Pieces, chunk: str, key: int, dropout: float) -> list[tu
     return [(piece[i], start[i]) for i in range(n) if not gone[i]]
 
 
-def encode_short(pieces: Pieces, codes: np.ndarray, length: np.ndarray, key: np.ndarray, dropout: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(piece, start, count) of chunks as rows of code points: one merge per row and round, the agenda's choice."""
+def encode_short(pieces: Pieces, codes: np.ndarray, key: np.ndarray, dropout: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(piece, start, count) of chunks of one length as rows of code points.
+
+    Each round merges in every row what the agenda would take next. All rows still at work have had the same number of
+    merges, so the matrices lose a column each round; rows without a merge left are set aside.
+    """
     n, width = codes.shape
-    piece = np.where(np.arange(width) < length[:, None], pieces.letter[np.minimum(codes, len(pieces.letter) - 1)], -1)
-    start = np.broadcast_to(np.arange(width + 1), (n, width + 1)).copy()
-    start = np.minimum(start, length[:, None])
-    count = length.copy()
+    piece = pieces.letter[np.minimum(codes, len(pieces.letter) - 1)]
+    start = np.broadcast_to(np.arange(width + 1, dtype=np.int32), (n, width + 1))
+    done_piece, done_start, count = np.full((n, width), -1, np.int32), np.zeros((n, width), np.int32), np.zeros(n, np.int64)
+    live = np.arange(n)
 
-    def offers(rows, left, right, s, m, e):
+    def offers(rows: np.ndarray, left: np.ndarray, right: np.ndarray, s: np.ndarray, m: np.ndarray, e: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Rank and union of candidate merges, one per element; no rank for those that cannot be or are skipped."""
         union = pieces.unions(left, right)
         rank = np.where(union >= 0, pieces.rank[union], NONE)
         if dropout > 0:
-            some = np.nonzero(union >= 0)
-            skip = _skipped(key[rows][some[0]] if rank.ndim == 2 else key[rows][some], s[some], m[some], e[some], dropout)
-            rank[tuple(i[skip] for i in some)] = NONE
+            some = np.nonzero(union >= 0)[0]
+            rank[some[_skipped(key[rows[some]], s[some], m[some], e[some], dropout)]] = NONE
         return rank, union
 
-    rank, union = offers(np.arange(n), piece[:, :-1], piece[:, 1:], start[:, :-2], start[:, 1:-1], start[:, 2:])
-    live = np.arange(n)
-    done_piece, done_start, done_count = piece.copy(), start.copy(), count.copy()
-    place = np.arange(width + 1)
+    if width > 1:
+        rank, union = (x.reshape(n, width - 1) for x in offers(np.repeat(live, width - 1), piece[:, :-1].ravel(), piece[:, 1:].ravel(),
+                                                               start[:, :-2].ravel(), start[:, 1:-1].ravel(), start[:, 2:].ravel()))
     while len(live):
-        at = rank.argmin(axis=1)
-        row = np.arange(len(live))
-        more = rank[row, at] < NONE
+        w = piece.shape[1]
+        at = rank.argmin(axis=1) if w > 1 else np.zeros(len(live), np.int64)
+        more = rank[np.arange(len(live)), at] < NONE if w > 1 else np.zeros(len(live), bool)
         if not more.all():
             ended = live[~more]
-            done_piece[ended], done_start[ended], done_count[ended] = piece[~more], start[~more], count[~more]
-            live, piece, start, count, rank, union, at = live[more], piece[more], start[more], count[more], rank[more], union[more], at[more]
-            row = np.arange(len(live))
+            done_piece[ended, :w], done_start[ended, :w], count[ended] = piece[~more], start[~more, :w], w
+            live, piece, start, at = live[more], piece[more], start[more], at[more]
             if not len(live):
                 break
+            rank, union = rank[more], union[more]
+        row, here = np.arange(len(live)), at[:, None]
         merged = union[row, at]
         # close the gap behind the merge
-        take = np.minimum(place[None, :] + (place[None, :] > at[:, None]), width)
-        piece = np.take_along_axis(np.concatenate([piece, np.full((len(live), 1), -1)], axis=1), take[:, :width], axis=1)
+        piece = np.where(np.arange(w - 1) <= here, piece[:, :-1], piece[:, 1:])
         piece[row, at] = merged
-        start = np.take_along_axis(start, take, axis=1)
-        count = count - 1
-        shift = np.minimum(place[None, :width - 1] + (place[None, :width - 1] > at[:, None]), width - 2)
-        rank, union = np.take_along_axis(rank, shift, axis=1), np.take_along_axis(union, shift, axis=1)
-        rank[:, -1] = np.where(at < width - 1, NONE, rank[:, -1])
+        start = np.where(np.arange(w) <= here, start[:, :-1], start[:, 1:])
+        rank = np.where(np.arange(w - 2) < here, rank[:, :-1], rank[:, 1:])
+        union = np.where(np.arange(w - 2) < here, union[:, :-1], union[:, 1:])
         for side in (at - 1, at):
-            ok = np.nonzero((side >= 0) & (side + 1 < count))[0]
+            ok = np.nonzero((side >= 0) & (side < w - 2))[0]
             k = side[ok]
-            r, u = offers(live[ok], piece[ok, k], piece[ok, k + 1], start[ok, k], start[ok, k + 1], start[ok, k + 2])
-            rank[ok, k], union[ok, k] = r, u
-            beyond = np.nonzero((side >= 0) & (side + 1 >= count) & (side < width - 1))[0]
-            rank[beyond, side[beyond]] = NONE
-    return done_piece, done_start, done_count
+            rank[ok, k], union[ok, k] = offers(live[ok], piece[ok, k], piece[ok, k + 1], start[ok, k], start[ok, k + 1], start[ok, k + 2])
+    return done_piece, done_start, count
 
 
-def encode_chunks(pieces: Pieces, chunks: Sequence[str], variants: np.ndarray, seed: int, dropout: float) -> list[np.ndarray]:
-    """Ids of each (chunk, variant), characters without a piece as byte pieces."""
-    out: list[np.ndarray | None] = [None] * len(chunks)
-    length = np.fromiter(map(len, chunks), np.int64, len(chunks))
+def encode_chunks(pieces: Pieces, chunks: Sequence[str], variants: np.ndarray, seed: int, dropout: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(ids, begin, count): where the ids of each (chunk, variant) lie; characters without a piece are byte pieces."""
+    n = len(chunks)
+    length = np.fromiter(map(len, chunks), np.int64, n)
+    flat, begin, count, filled = [], np.zeros(n, np.int64), np.zeros(n, np.int64), 0
 
-    def ids(chunk: str, found: list[tuple[int, int]]) -> np.ndarray:
+    def add(rows: np.ndarray, ids: np.ndarray, counts: np.ndarray) -> None:
+        nonlocal filled
+        flat.append(ids)
+        begin[rows], count[rows] = filled + counts.cumsum() - counts, counts
+        filled += len(ids)
+
+    def spelled(chunk: str, found: list[tuple[int, int]]) -> np.ndarray:
         return np.array([i for p, s in found for i in ([p] if p >= 0 else [pieces.byte[b] for b in chunk[s].encode()])], np.int32)
 
-    for low, high in ((1, 8), (9, 14), (15, SHORT)):
-        some = np.nonzero((length >= low) & (length <= high))[0]
-        if not len(some):
-            continue
-        width = max(2, high)
-        codes = np.frombuffer("".join(chunks[i].ljust(width, "\0") for i in some).encode("utf-32-le"), np.uint32).reshape(-1, width).astype(np.int64)
-        codes = np.where(np.arange(width) < length[some][:, None], codes, 0)
-        key = _keys(codes.astype(np.uint64), variants[some], seed)
-        piece, start, count = encode_short(pieces, codes, length[some], key, dropout)
-        piece, plain = piece.astype(np.int32), ((piece >= 0) | (np.arange(width) >= count[:, None])).all(axis=1)
-        for k, i in enumerate(some.tolist()):
-            out[i] = piece[k, :count[k]] if plain[k] else ids(chunks[i], list(zip(piece[k, :count[k]].tolist(), start[k].tolist())))
+    for width in np.unique(length[length <= SHORT]).tolist():
+        some = np.nonzero(length == width)[0]
+        codes = np.frombuffer("".join([chunks[i] for i in some.tolist()]).encode("utf-32-le"), np.uint32).reshape(-1, width).astype(np.int64)
+        piece, start, counts = encode_short(pieces, codes, _keys(codes.astype(np.uint64), variants[some], seed), dropout)
+        within = np.arange(width) < counts[:, None]
+        plain = ((piece >= 0) | ~within).all(axis=1)
+        add(some[plain], piece[plain][within[plain]], counts[plain])
+        for k in np.nonzero(~plain)[0].tolist():
+            ids = spelled(chunks[some[k]], list(zip(piece[k, :counts[k]].tolist(), start[k].tolist())))
+            add(some[k:k + 1], ids, np.array([len(ids)]))
     for i in np.nonzero(length > SHORT)[0].tolist():
-        out[i] = ids(chunks[i], encode_long(pieces, chunks[i], chunk_key(chunks[i], int(variants[i]), seed), dropout))
-    return out
+        ids = spelled(chunks[i], encode_long(pieces, chunks[i], chunk_key(chunks[i], int(variants[i]), seed), dropout))
+        add(np.array([i]), ids, np.array([len(ids)]))
+    return np.concatenate([*flat, np.empty(0, np.int32)]), begin, count
 
 
 def encode_texts(pieces: Pieces, texts: Sequence[str | None], names: np.ndarray, dropout: float = DROPOUT, variants: int = VARIANTS,
@@ -240,17 +277,17 @@ def encode_texts(pieces: Pieces, texts: Sequence[str | None], names: np.ndarray,
     ends = sizes.cumsum()
     if not len(ends) or not ends[-1]:
         return [np.empty(0, np.int32) for _ in texts]
-    known: dict[str, int] = {}
-    code = np.fromiter((known.setdefault(c, len(known)) for s in split for c in s), np.int64, ends[-1])
-    distinct = list(known)
+    chunks = list(chain.from_iterable(split))
+    distinct = list(dict.fromkeys(chunks))
+    number = {c: i for i, c in enumerate(distinct)}
+    code = np.fromiter(map(number.__getitem__, chunks), np.int64, len(chunks))
+    del split, chunks, number
     place = np.arange(ends[-1]) - np.repeat(ends - sizes, sizes)
     draw = mixed(mixed(names.astype(np.int64).view(np.uint64) ^ np.uint64(seed)).repeat(sizes) ^ place.astype(np.uint64))
     variant = (draw % np.uint64(variants)).astype(np.int64) if dropout > 0 else np.zeros(len(draw), np.int64)
     which, pairs = pd.factorize(code * variants + variant)
-    made = encode_chunks(pieces, [distinct[p] for p in pairs // variants], pairs % variants, seed, dropout)
-    lengths = np.fromiter(map(len, made), np.int64, len(made))
-    flat, begin = np.concatenate(made), lengths.cumsum() - lengths
-    each = lengths[which]
+    flat, begin, count = encode_chunks(pieces, [distinct[p] for p in (pairs // variants).tolist()], pairs % variants, seed, dropout)
+    each = count[which]
     stop = each.cumsum()
     ids = flat[np.repeat(begin[which] - (stop - each), each) + np.arange(stop[-1])]
     bounds = np.concatenate([[0], stop])[np.concatenate([[0], ends])]
@@ -265,7 +302,7 @@ def decode_ids(pieces: Pieces, ids: Sequence[int]) -> str:
 def encode(docs: DataFrame, model: bytes, dropout: float = DROPOUT, variants: int = VARIANTS, seed: int = SEED) -> DataFrame:
     """doc_id, token_ids, n_tokens, and lossless (whether the ids decode to the text) of (doc_id, text)."""
     def rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        pieces = Pieces(model)
+        pieces = pieces_of(model)
         for batch in batches:
             names, texts = batch["doc_id"], batch["text"].tolist()
             numbers = names.fillna(0).to_numpy(np.int64)
@@ -284,7 +321,7 @@ def encode(docs: DataFrame, model: bytes, dropout: float = DROPOUT, variants: in
 def decode(tokens: DataFrame, model: bytes) -> DataFrame:
     """doc_id and text of (doc_id, token_ids); null ids are empty text."""
     def rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        pieces = Pieces(model)
+        pieces = pieces_of(model)
         for batch in batches:
             yield pd.DataFrame({"doc_id": batch["doc_id"], "text": [decode_ids(pieces, () if i is None else i.tolist()) for i in batch["token_ids"]]})
 

@@ -53,7 +53,9 @@ def plain_encode(pieces, chunk, key, dropout):
 def test_agenda_and_matrices_against_the_plain_rule(pieces, corpus, dropout):
     chunks = sorted({c for t in corpus[:60] for c in m.CHUNK.findall(" " + t)})[::7]
     variants = np.arange(len(chunks)) % m.VARIANTS
-    for c, v, ids in zip(chunks, variants, m.encode_chunks(pieces, chunks, variants, 5, dropout)):
+    flat, begin, count = m.encode_chunks(pieces, chunks, variants, 5, dropout)
+    for c, v, a, n in zip(chunks, variants, begin, count):
+        ids = flat[a:a + n]
         key = m.chunk_key(c, int(v), 5)
         want = plain_encode(pieces, c, key, dropout)
         assert m.encode_long(pieces, c, key, dropout) == want
