@@ -155,7 +155,8 @@ def dedup_lines(docs: DataFrame, least_words: int = LEAST_WORDS, rare: int = RAR
     """The columns of ``docs`` with shortened texts, beside ``lines_removed``."""
     gone = stored(repeated_lines(docs, least_words, rare), "gone-lines")
     row = docs.select(F.struct(*[docs[f"`{c}`"] for c in docs.columns]).alias("row"), docs["text"].alias("text"), *_keys(docs))
-    joined = row.join(gone, ["id", "text_hash"], "left")
+    # one plan at every size: both sides are shuffled by document, whatever the size of the smaller
+    joined = row.join(gone.hint("merge"), ["id", "text_hash"], "left")
     lines = F.split("text", "\n")
     kept = F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), F.col("gone"))
     rest = F.array_join(F.transform(kept, lambda i: F.get(lines, i)), "\n")
