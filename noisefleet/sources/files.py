@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator, Sequence
 from functools import reduce
 
@@ -20,18 +21,29 @@ from noisefleet.session import cut_lineage
 MAGIC = [("50415231", "parquet"), ("D0CF11E0A1B11AE1", "xls"), ("504B0304", "xlsx")]
 CIL_MARK, CIL_MARK_AT = "4E535254", 5
 SEPARATORS = ("\t", ";", ",", "|")
-HEADER_LINES, HEAD_BYTES = 50, 64 * 1024
+HEAD_BYTES = 64 * 1024
+# Schemes of Hadoop's connectors and what the same stores are called elsewhere.
+STORES = {"s3a": "s3", "s3n": "s3", "gcs": "gs", "wasbs": "abfs", "wasb": "abfs", "abfss": "abfs"}
 ROW_LIMITS = {"xlsx": 1_048_576, "xls": 65_536}
 ROW_LIMIT_SLACK = 6
 COMMA_SHARE = 0.95
 
 
+def _store_path(path: str) -> str:
+    """A path as Spark lists it, as Arrow opens it."""
+    scheme, colon, rest = path.partition(":")
+    if colon and scheme == "dbfs":
+        return "file:///dbfs/" + rest.lstrip("/")
+    if colon and scheme == "file":
+        return "file:///" + rest.lstrip("/")
+    return STORES.get(scheme, scheme) + colon + rest
+
+
 def _read_heads(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for batch in batches:
         heads = []
         for path in batch["path"]:
-            # Spark writes local paths with one slash
-            store, at = fs.FileSystem.from_uri("file://" + path[5:] if path.startswith("file:/") and not path.startswith("file://") else path)
+            store, at = fs.FileSystem.from_uri(_store_path(path))
             with store.open_input_stream(at, compression=None) as stream:
                 heads.append(stream.read(HEAD_BYTES))
         yield batch.assign(head=heads)
@@ -80,29 +92,28 @@ def lines(spark: SparkSession, paths: str | list[str]) -> DataFrame:
         (F.col("block") + F.col("_id") - F.col("_first")).alias("at"))
 
 
-def _count(c: Column, what: str) -> Column:
-    return F.length(c) - F.length(F.replace(c, F.lit(what)))
+def find_header(head: bytes) -> tuple[int, str, str] | None:
+    """Number, text and separator of the first line whose cells name a time and, in another cell, a level; or two levels."""
+    for at, line in enumerate(re.split(r"\r\n|\n|\r", head.decode("utf-8-sig", "replace"))):
+        sep = max(SEPARATORS, key=line.count)
+        cells = [c.strip().strip('"') for c in line.split(sep)]
+        times = [c for c in cells if c and roles.time_column([(c, "string")])]
+        levels = [c for c in cells if c not in times[:1] and (roles.level_role(c) or roles.names_a_level(c))]
+        if len(levels) > (not times):
+            return at, line, sep
+    return None
+
+
+def _layouts(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    for batch in batches:
+        found = [find_header(bytes(h)) or (None, None, None) for h in batch["head"]]
+        yield pd.DataFrame({"path": batch["path"], "header_at": pd.array([f[0] for f in found], "Int64"),
+                            "header": [f[1] for f in found], "sep": [f[2] for f in found]})
 
 
 def layouts(spark: SparkSession, paths: str | list[str]) -> DataFrame:
-    """Header line, its number and the separator of every file, from its first lines."""
-    text_ = F.regexp_replace(F.col("head").cast("string"), "^\\ufeff", "")
-    top = heads(spark, paths).select("path", F.posexplode(F.slice(F.split(text_, "\r\n|\n|\r"), 1, HEADER_LINES)).alias("at", "value"))
-    low = F.lower(F.trim("value"))
-
-    def has(*parts: str) -> Column:
-        hit = F.lit(False)
-        for p in parts:
-            hit = hit | F.contains(low, F.lit(p))
-        return hit
-
-    header = (has("time") & has("leq", "db", "l-max", "l-min")) | ((_count(low, ",") >= 2) & has("leq", "db"))
-    row = F.struct("at", "value")
-    f = top.groupBy("path").agg(F.coalesce(F.min(F.when(header, row)), F.min(row)).alias("h")).select(
-        "path", F.col("h.at").alias("header_at"), F.col("h.value").alias("header"))
-    most = F.greatest(*[_count(F.col("header"), s) for s in SEPARATORS])
-    sep = F.coalesce(*[F.when((_count(F.col("header"), s) == most) & (most > 0), s) for s in SEPARATORS], F.lit(","))
-    return f.withColumn("sep", sep)
+    """Header line, its number and the separator of every file; NULL where the first 64 KB hold no header."""
+    return heads(spark, paths).mapInPandas(_layouts, "path string, header_at bigint, header string, sep string")
 
 
 def fix_decimal_commas(df: DataFrame, columns: Sequence[str], keys: Sequence[str] = ("path",)) -> DataFrame:
@@ -130,7 +141,7 @@ def read_delimited(spark: SparkSession, paths: str | list[str]) -> tuple[DataFra
     """
     found = cut_lineage(layouts(spark, paths))
     groups: dict[tuple[str, str], list[str]] = {}
-    for r in found.select("path", "header", "sep").toLocalIterator():
+    for r in found.where("header is not null").select("path", "header", "sep").toLocalIterator():
         groups.setdefault((r["header"], r["sep"]), []).append(r["path"])
     parts, notes = [], []
     for (header, sep), members in groups.items():
@@ -151,8 +162,10 @@ def read_delimited(spark: SparkSession, paths: str | list[str]) -> tuple[DataFra
             for role in ("leq", "lmax", "lmin")]))
         here = found.where((F.col("header") == header) & (F.col("sep") == sep))
         notes += [here.select("path", F.lit(code).alias("code"), F.lit(words).alias("text")) for code, words in said]
-    none = found.select("path", F.lit("").alias("code"), F.lit("").alias("text")).where(F.lit(False))
-    return reduce(DataFrame.unionByName, parts), reduce(DataFrame.unionByName, notes, none)
+    refused = found.where("header is null").select("path", F.lit("no_header").alias("code"), F.lit(
+        f"not read: no line of the first {HEAD_BYTES} bytes names a time and a level, or two levels").alias("text"))
+    nothing = spark.createDataFrame([], "path string, seq bigint, raw string, leq double, lmax double, lmin double")
+    return reduce(DataFrame.unionByName, parts or [nothing]), reduce(DataFrame.unionByName, notes, refused)
 
 
 def read_parquet(spark: SparkSession, paths: str | list[str]) -> tuple[DataFrame, list[tuple[str, str]]]:
