@@ -282,9 +282,11 @@ def blocks_by_reason(blocks: DataFrame, keys: Sequence[str] = STATION) -> DataFr
 
 def fingerprint(df: DataFrame, keys: Sequence[str] = SITE) -> DataFrame:
     """Identity of the ordered times of a record, missing ones included; ``seq`` makes it order-sensitive."""
-    h = F.xxhash64("seq", F.coalesce(F.unix_micros(F.col("ts").cast("timestamp")), F.lit(-1)))
+    # 60 bits of a digest that other engines have too
+    micros = F.coalesce(F.unix_micros(F.col("ts").cast("timestamp")), F.lit(-1))
+    h = F.conv(F.substring(F.md5(F.concat_ws("|", "seq", micros)), 1, 15), 16, 10)
     return df.groupBy(*keys).agg(
-        F.sum(h.cast("decimal(38,0)")).cast("string").alias("timestamp_hash"), F.count(F.lit(1)).alias("rows"),
+        F.sum(h.cast("decimal(28,0)")).cast("string").alias("timestamp_hash"), F.count(F.lit(1)).alias("rows"),
         F.min("ts").alias("start"), F.max("ts").alias("end"))
 
 

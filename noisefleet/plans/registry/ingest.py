@@ -13,7 +13,8 @@ from noisefleet.plans.registry.common import Query, dates_as_text, rounded
 from noisefleet.plans.registry.levels import LDEN, LDN, RATING_WINDOWS
 from noisefleet.plans.registry.sqlviews import oracle
 from noisefleet.plans.views import table, view
-from noisefleet.sources import files, loggers, timestamps, weather
+from noisefleet.session import new_folder
+from noisefleet.sources import files, loggers, sinks, timestamps, weather
 
 NOW = dt.date(2026, 1, 1)
 
@@ -109,11 +110,33 @@ def _landed_history(s, d):
         F.concat(F.lit("-"), 80 + k % 40, F.lit(".25")).alias("LON"), F.lit("20251231").alias("END"), F.lit("MD").alias("STATE"))
 
 
+def _delimited(s, d):
+    """Readings written as delimited text, a folder per site, and read back by the file readers."""
+    folder = new_folder(s, "delimited")
+    t = F.date_format("ts", "yyyy-MM-dd HH:mm:ss")
+    view(s, d, "reading").select(F.concat(F.lit("SITE-"), F.length("site_id")).alias("site"), t.alias("Date Time"), F.col("leq").alias("LAeq"),
+                                 F.col("lmax").alias("LAFmax"), F.col("lmin").alias("LAFmin")).write.partitionBy("site").option("header", True).csv(folder)
+    raw, _ = files.read_delimited(s, f"{folder}/*/*.csv")
+    site = F.regexp_extract("path", r"site=([^/]+)", 1)
+    return timestamps.parse_times(raw, ("path",)).select(site.alias("site"), "ts", "leq", "lmax", "lmin")
+
+
+def _written(s, d):
+    """The record written by site and read back, after one site was written again."""
+    folder = new_folder(s, "record")
+    record = view(s, d, "reading")
+    sinks.write_readings(record, folder)
+    sinks.write_readings(record.where("site_id = 'click'").withColumn("leq", F.col("leq") + 1), folder)
+    return s.read.parquet(folder).select("site_id", "file_seq", "seq", "ts", "leq", "lmax", "lmin")
+
+
 def _parsed(s, d):
     return timestamps.parse_times(_mixed_text(s, d)).select("site_id", "seq", "ts", "method")
 
 
 QUERIES: dict[str, Query] = {
+    "delimited_round_trip": _delimited,
+    "record_round_trip": _written,
     "ts_parse_vote": lambda s, d: rounded(timestamps.choose_method(view(s, d, "raw_text")).drop("time_only", "has_year"), 6),
     "ts_parse": lambda s, d: timestamps.parse_times(view(s, d, "raw_text")).select("site_id", "seq", "ts", "method"),
     "ts_parse_mixed": lambda s, d: _parsed(s, d),
@@ -154,6 +177,8 @@ INTEGRITY = f"""{MIXED}, it AS (SELECT site_id, CASE site_id WHEN 'click' THEN '
     CASE site_id WHEN 'click' THEN 'time-only' WHEN 'view' THEN 'epoch:s' ELSE 'inferred-yearfirst' END AS method, site_id NOT IN ('click', 'signup') AS time_metrics_valid FROM mt GROUP BY site_id)"""
 
 ORACLES = {
+    "delimited_round_trip": oracle("SELECT concat('SITE-', length(site_id)) AS site, ts, leq, lmax, lmin FROM reading", "reading"),
+    "record_round_trip": oracle("SELECT site_id, file_seq, seq, ts, CASE WHEN site_id = 'click' THEN leq + 1 ELSE leq END AS leq, lmax, lmin FROM reading", "reading"),
     "ts_parse_vote": oracle("""SELECT site_id, count(*) AS n, CASE site_id WHEN 'view' THEN 'inferred-dayfirst' ELSE 'inferred-yearfirst' END AS method,
         round(count(*) FILTER (WHERE raw <> 'not a time')::DOUBLE/count(*),6) AS share FROM raw_text GROUP BY ALL""", "raw_text"),
     "ts_parse": oracle("""SELECT t.site_id, seq, CASE WHEN raw <> 'not a time' THEN date_trunc('second', ts) END AS ts,

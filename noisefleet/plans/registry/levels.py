@@ -6,10 +6,10 @@ from noisefleet.operators import aggregates as agg
 from noisefleet.operators import continuity
 from noisefleet.plans.registry.common import Query, rounded
 from noisefleet.plans.registry.sqlviews import laeq, oracle
-from noisefleet.plans.views import view
+from noisefleet.plans.views import landed, view
 
 QUERIES: dict[str, Query] = {
-    "scan_reading": lambda s, d: view(s, d, "reading").where("leq >= 60 AND ts >= TIMESTAMP_NTZ '2024-01-10 00:00:00'")
+    "scan_reading": lambda s, d: landed(s, d, "reading").where("leq >= 60 AND ts >= TIMESTAMP_NTZ '2024-01-10 00:00:00'")
     .select("site_id", "ts", "leq"),
     "laeq_by_site": lambda s, d: rounded(agg.site_laeq(view(s, d, "reading"))),
     "exceedance": lambda s, d: rounded(agg.exceedance(view(s, d, "reading")), 8),

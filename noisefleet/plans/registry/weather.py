@@ -125,6 +125,8 @@ ALL = ("onemin", "metar", "reading")
 R4 = "round(wind_mic_ms,4) AS wind_mic_ms, round(wind_station_max_ms,4) AS wind_station_max_ms"
 
 ORACLES = {
+    "fingerprint": oracle("""SELECT site_id, CAST(sum(CAST(concat('0x', substr(md5(concat(seq, '|', CAST(epoch_us(ts) AS BIGINT))), 1, 15)) AS BIGINT)::HUGEINT) AS VARCHAR) AS timestamp_hash,
+        count(*) AS rows, min(ts) AS start, max(ts) AS "end" FROM reading GROUP BY ALL""", "reading"),
     "wx_ptype": oracle(f"SELECT ptype, {STATE1} AS state, {KIND} AS kind, count(*) AS n FROM onemin GROUP BY ALL", "onemin"),
     "wx_metar_parse": oracle(f"""SELECT seq, {STATE2} AS state, {RAIN} AS rain, {SNOW} AS snow, {OTHER} AS other, {THUNDER} AS thunder,
         {SNOW} AS frozen FROM metar""", "metar"),

@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from noisefleet.session import prepare
+from noisefleet.session import new_folder, prepare
 
 K = "CAST(get_json_object(props,'$.k') AS INT)"
 
@@ -80,6 +80,13 @@ def view(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.sql(SQL[name])
 
 
+def landed(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    """A derived view as Parquet in the shared folder, so that filters and columns reach its scan."""
+    path = new_folder(spark, name)
+    view(spark, sf_dir, name).write.parquet(path)
+    return spark.read.parquet(path)
+
+
 def exclusions(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One excluded day per site, four days after its first reading."""
     table(spark, sf_dir, "events").createOrReplaceTempView("events")

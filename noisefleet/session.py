@@ -5,6 +5,7 @@ from __future__ import annotations
 import os
 import re
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -47,18 +48,30 @@ def local_session(cores: int | str = 8, shuffle_partitions: int = 8, app: str =
     return prepare(spark)
 
 
-def cut_lineage(df: DataFrame) -> DataFrame:
-    """Write ``df`` to the session's checkpoint folder and go on from there.
+def shared_folder(spark: SparkSession) -> str:
+    """Where every executor reads and writes: the cluster's ``spark.checkpoint.dir``.
 
-    For results that several later steps read: without the cut each of them recomputes what came
-    before. The folder is the cluster's ``spark.checkpoint.dir``, shared by all executors; a cluster
-    without one is refused, for its executors would each write to a disk of their own.
+    A cluster without one is refused, for its executors would each write to a disk of their own. One is made
+    up only for a session inside one JVM on one machine, as in tests.
     """
-    sc = df.sparkSession.sparkContext
+    sc = spark.sparkContext
     if sc.getCheckpointDir() is None:
-        folder = df.sparkSession.conf.get("spark.checkpoint.dir", None)
+        folder = spark.conf.get("spark.checkpoint.dir", None)
         if folder is None and not re.fullmatch(r"local(\[.*\])?", sc.master):
             raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-        # one JVM on one machine, as in tests, has a disk of its own only
         sc.setCheckpointDir(folder or tempfile.mkdtemp(prefix="noisefleet-checkpoint-"))
+    return sc.getCheckpointDir().rstrip("/")
+
+
+def new_folder(spark: SparkSession, name: str) -> str:
+    """A path in the shared folder that nothing has used yet."""
+    return f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
+
+
+def cut_lineage(df: DataFrame) -> DataFrame:
+    """Write ``df`` to the shared folder and go on from there.
+
+    For results that several later steps read: without the cut each of them recomputes what came before.
+    """
+    shared_folder(df.sparkSession)
     return df.checkpoint()
