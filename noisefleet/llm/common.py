@@ -1,17 +1,14 @@
-"""Helpers of the training-data operators: words, the shared folder, stored intermediate tables."""
+"""Helpers of the training-data operators: word counts and stored intermediate tables."""
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-# Fixed value: what separates words, the ASCII white space.
-SPACE = r"[\x20\x09-\x0D]+"
+from noisefleet.session import new_folder
+
+# Fixed value: a word is what ASCII white space parts.
 WORD = r"[^\x20\x09-\x0D]+"
-UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
 def word_count(text: Column) -> Column:
@@ -19,31 +16,6 @@ def word_count(text: Column) -> Column:
     return F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("bigint")
 
 
-def words(text: Column) -> Column:
-    """The words in order; none for null."""
-    return F.filter(F.split(F.coalesce(text, F.lit("")), SPACE), lambda w: w != "")
-
-
-def shared_folder(spark: SparkSession) -> str:
-    """Where every executor can read and write: the cluster's spark.checkpoint.dir.
-
-    One is made up only for a session inside one machine's JVM, as in tests; a cluster without the
-    setting is refused, since its executors would each write to a disk of their own.
-    """
-    folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if folder is None:
-        if not spark.sparkContext.master.startswith(("local[", "local-")) or spark.sparkContext.master.startswith("local-cluster"):
-            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-        folder = "file://" + tempfile.mkdtemp(prefix="noisefleet-checkpoint-")
-        spark.sparkContext.setCheckpointDir(folder)
-        folder = spark.sparkContext.getCheckpointDir()
-    return folder.rstrip("/")
-
-
-def new_folder(spark: SparkSession, name: str) -> str:
-    return f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
-
-
 def stored(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` as Parquet to the shared folder and go on from there; outlives lost executors."""
     path = new_folder(df.sparkSession, name)
