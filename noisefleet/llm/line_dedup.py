@@ -120,8 +120,8 @@ def shared_lines(docs: DataFrame, least_words: int = LEAST_WORDS) -> DataFrame:
                                                      F.regexp_count(x["s"], F.lit(WORD)).cast("int").alias("words")))
     lines = stored(docs.select(*_keys(docs), F.explode_outer(placed).alias("x")).select("id", "text_hash", "x.*").where("place is not null"), "lines")
     held = lines.groupBy("hash").agg(F.min("id").alias("first"), F.max("id").alias("last"), F.count("*").alias("n")).where("first < last").drop("last")
-    # nothing but the join is done where a common line meets, so Spark can split its rows
-    shared = lines.join(held, "hash")
+    # nothing but the join is done where a common line meets, so Spark can split its rows; one plan at every size
+    shared = lines.join(stored(held, "shared-hashes").hint("merge"), "hash")
     in_doc = Window.partitionBy("id", "text_hash").orderBy("place")
     once = F.coalesce(F.lag("place").over(in_doc) != F.col("place"), F.lit(True))  # repeated rows repeat their lines
     runs = shared.withColumns({"once": once, "run": F.col("place") - F.dense_rank().over(in_doc)}).where("once")
