@@ -110,6 +110,20 @@ def _landed_history(s, d):
         F.concat(F.lit("-"), 80 + k % 40, F.lit(".25")).alias("LON"), F.lit("20251231").alias("END"), F.lit("MD").alias("STATE"))
 
 
+def _spelled(s, d):
+    """V7 in spellings: month names, two-digit years, no separators, half days."""
+    ts, kind = F.col("ts"), F.col("site_id")
+    spelled = {"click": "dd-MMM-yyyy HH:mm:ss", "view": "MMMM d, yyyy hh:mm:ss a", "purchase": "d MMMM yyyy HH:mm", "signup": "yyyyMMdd HHmmss", "error": "dd/MM/yy HH:mm:ss"}
+    text_ = F.coalesce(*[F.when(kind == k, F.date_format(ts, f)) for k, f in spelled.items()])
+    return timestamps.parse_times(_events(s, d).select("site_id", "seq", text_.alias("raw"))).select("site_id", "seq", "ts")
+
+
+def _offset(s, d):
+    sign = F.when(F.col("seq") % 3 == 0, "+02:00").when(F.col("seq") % 3 == 1, "-0500").otherwise("Z")
+    raw = F.concat(F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss.SSS"), sign)
+    return timestamps.parse_times(_events(s, d).select("site_id", "seq", raw.alias("raw"))).select("site_id", "seq", "ts")
+
+
 def _delimited(s, d):
     """Readings written as delimited text, a folder per site, and read back by the file readers."""
     folder = new_folder(s, "delimited")
@@ -137,6 +151,8 @@ def _parsed(s, d):
 QUERIES: dict[str, Query] = {
     "delimited_round_trip": _delimited,
     "record_round_trip": _written,
+    "ts_parse_named": _spelled,
+    "ts_parse_offset": _offset,
     "ts_parse_vote": lambda s, d: rounded(timestamps.choose_method(view(s, d, "raw_text")).drop("time_only", "has_year"), 6),
     "ts_parse": lambda s, d: timestamps.parse_times(view(s, d, "raw_text")).select("site_id", "seq", "ts", "method"),
     "ts_parse_mixed": lambda s, d: _parsed(s, d),
@@ -177,6 +193,8 @@ INTEGRITY = f"""{MIXED}, it AS (SELECT site_id, CASE site_id WHEN 'click' THEN '
     CASE site_id WHEN 'click' THEN 'time-only' WHEN 'view' THEN 'epoch:s' ELSE 'inferred-yearfirst' END AS method, site_id NOT IN ('click', 'signup') AS time_metrics_valid FROM mt GROUP BY site_id)"""
 
 ORACLES = {
+    "ts_parse_named": oracle(f"WITH {E} SELECT site_id, seq, date_trunc(CASE site_id WHEN 'purchase' THEN 'minute' ELSE 'second' END, ts) AS ts FROM e"),
+    "ts_parse_offset": oracle(f"WITH {E} SELECT site_id, seq, date_trunc('millisecond', ts) AS ts FROM e"),
     "delimited_round_trip": oracle("SELECT concat('SITE-', length(site_id)) AS site, ts, leq, lmax, lmin FROM reading", "reading"),
     "record_round_trip": oracle("SELECT site_id, file_seq, seq, ts, CASE WHEN site_id = 'click' THEN leq + 1 ELSE leq END AS leq, lmax, lmin FROM reading", "reading"),
     "ts_parse_vote": oracle("""SELECT site_id, count(*) AS n, CASE site_id WHEN 'view' THEN 'inferred-dayfirst' ELSE 'inferred-yearfirst' END AS method,

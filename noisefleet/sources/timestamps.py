@@ -38,24 +38,51 @@ def _read(text: Column, pattern: str, guard: str) -> Column:
     return F.when(text.rlike(guard), F.try_to_timestamp(text, F.lit(pattern)).cast("timestamp_ntz"))
 
 
-def readings_of(raw: Column) -> dict[str, Column]:
-    """A text time read year first, day first and month first. Everything else is chosen from these."""
-    t = F.regexp_replace(F.regexp_replace(F.trim(raw), r"(?<=\d)T(?=\d)", " "), r"Z$", "")
-    dashed = F.regexp_replace(t, r"^(\d{4})/(\d{1,2})/(\d{1,2})", "$1-$2-$3")
-    slashed = F.regexp_replace(t, r"^(\d{1,2})[-.](\d{1,2})[-.](\d{4})", "$1/$2/$3")
+def _spelled(t: Column) -> Column:
+    """Dates with a month's name, or without separators, as yyyy-M-d; NULL for other texts."""
+    day_first = r"^(\d{1,2})[ -]([A-Za-z]{3})[a-z]*\.?[ ,-]+(\d{4})(.*)$"
+    month_first = r"^([A-Za-z]{3})[a-z]*\.? (\d{1,2}),? (\d{4})(.*)$"
+    compact = r"^((?:19|20)\d{2})(\d{2})(\d{2})(?:[ _]?(\d{2})(\d{2})(\d{2})?)?$"
+    numbers = F.create_map(*[x for i, m in enumerate(MONTHS, 1) for x in (F.lit(m), F.lit(i))])
+
+    def dated(pattern: str, year: int, month: int, day: int) -> Column:
+        part = [F.regexp_extract(t, pattern, i) for i in range(5)]
+        return F.concat_ws("-", part[year], F.try_element_at(numbers, F.lower(part[month])).cast("string"), F.concat(part[day], part[4]))
+
+    clock = [F.regexp_extract(t, compact, i) for i in (4, 5, 6)]
+    digits = F.concat_ws("-", *[F.regexp_extract(t, compact, i) for i in (1, 2, 3)])
+    timed = F.concat(digits, F.lit(" "), F.concat_ws(":", *[F.nullif(c, F.lit("")) for c in clock]))
+    return F.when(t.rlike(day_first), dated(day_first, 3, 2, 1)).when(t.rlike(month_first), dated(month_first, 3, 1, 2)).when(
+        t.rlike(compact), F.when(clock[0] == "", digits).otherwise(timed))
+
+
+def normal_text(raw: Column) -> Column:
+    """A text time with one spelling of its date: yyyy-M-d where the year leads or the month is named, else with slashes
+    and a year of four digits. An offset from UTC is left aside: the time is the one the clock showed.
+    """
+    t = F.regexp_replace(F.regexp_replace(F.trim(raw), r"(?<=\d)T(?=\d)", " "), r"(?<=:\d\d(?:\.\d{1,9})?)(Z| ?[+-]\d{2}:?\d{2})$|Z$", "")
+    short = r"^(\d{1,2}/\d{1,2}/)({}\d)(?= |$)"
+    for shape, plain in ((r"^(\d{4})/(\d{1,2})/(\d{1,2})", "$1-$2-$3"), (r"^(\d{1,2})[-.](\d{1,2})[-.](\d{4}|\d{2}(?= |$))", "$1/$2/$3"),
+                         (short.replace("{}", "[0-6]"), "$120$2"), (short.replace("{}", "[7-9]"), "$119$2"), (r" ?([APap][Mm])$", " $1")):
+        t = F.regexp_replace(t, shape, plain)
+    # most times are digits with separators and need no more
+    return F.when(t.rlike(r"[A-Za-z]{3}|^\d{8}"), F.coalesce(_spelled(t), t)).otherwise(t)
+
+
+def readings_of(text: Column) -> dict[str, Column]:
+    """A normal text time read year first, day first and month first. Everything else is chosen from these."""
     late = r"^\d{1,2}/\d{1,2}/\d{4}"
-    halves = late + r" \d{1,2}:\d{2}(:\d{2})? ?[APap][Mm]$"
-    upper = F.upper(F.regexp_replace(slashed, r" ?([APap][Mm])$", " $1"))
+    half = r" \d{1,2}:\d{2}(:\d{2})? [APap][Mm]$"
 
-    def late_year(order: str) -> Column:
-        return F.coalesce(_read(slashed, order + CLOCK, late + r"($| [0-9:.]+$)"), _read(upper, order + " h:m[:s] a", halves))
+    def both(order: str, guard: str) -> Column:
+        return F.coalesce(_read(text, order + CLOCK, guard + r"($| [0-9:.]+$)"), _read(F.upper(text), order + " h:m[:s] a", guard + half))
 
-    return {"year": _read(dashed, "yyyy-M-d" + CLOCK, YEAR_FIRST), "day": late_year("d/M/yyyy"), "month": late_year("M/d/yyyy")}
+    return {"year": both("yyyy-M-d", YEAR_FIRST), "day": both("d/M/yyyy", late), "month": both("M/d/yyyy", late)}
 
 
 def candidates(raw: Column, read: dict[str, Column] | None = None) -> dict[str, Column]:
     """What every strategy makes of a text time; the explicit formats are shapes of the three readings."""
-    r = read or readings_of(raw)
+    r = read or readings_of(normal_text(raw))
     out = {"inferred-yearfirst": r["year"], "inferred-dayfirst": F.coalesce(r["day"], r["year"]),
            "inferred-monthfirst": F.coalesce(r["month"], r["year"])}
     return out | {f"format:{name}": F.when(F.trim(raw).rlike(shape), r[order]) for name, shape, order in EXPLICIT}
@@ -76,7 +103,8 @@ def choose_method(df: DataFrame, keys: Sequence[str] = SITE, raw: str = "raw") -
     """
     k, text = list(keys), F.col(raw)
     # read once, then counted under every strategy
-    df = df.withColumns({f"_{o}": c for o, c in readings_of(text).items()})
+    df = df.withColumn("_t", normal_text(text))
+    df = df.withColumns({f"_{o}": c for o, c in readings_of(F.col("_t")).items()})
     named = candidates(text, {o: F.col(f"_{o}") for o in ("year", "day", "month")})
     n = F.count(F.lit(1))
     num, big = text.try_cast("double"), text.try_cast("double") > EPOCH_MS_OVER
@@ -112,9 +140,9 @@ def choose_method(df: DataFrame, keys: Sequence[str] = SITE, raw: str = "raw") -
                     F.when(by_number, F.col("c_num")).otherwise(F.col("_b.f")).alias("share"), "time_only", "has_year")
 
 
-def parse_with(raw: Column, method: Column) -> Column:
+def parse_with(raw: Column, method: Column, normal: Column | None = None) -> Column:
     """Read a text time with its record's strategy. Each reading appears once, behind the methods that use it."""
-    r = readings_of(raw)
+    r = readings_of(normal_text(raw) if normal is None else normal)
     by_order = {o: [f"format:{name}" for name, _, order in EXPLICIT if order == o] for o in r}
     inferred = ["inferred-yearfirst", "inferred-dayfirst", "inferred-monthfirst"]
     value = F.coalesce(
@@ -129,7 +157,8 @@ def parse_with(raw: Column, method: Column) -> Column:
 def parse_times(df: DataFrame, keys: Sequence[str] = SITE, raw: str = "raw", chosen: DataFrame | None = None) -> DataFrame:
     """Add ``ts`` and the ``method`` it was read with."""
     chosen = (choose_method(df, keys, raw) if chosen is None else chosen).select(*keys, "method")
-    return df.join(chosen, list(keys)).withColumn("ts", parse_with(F.col(raw), F.col("method")))
+    return (df.join(chosen, list(keys)).withColumn("_t", normal_text(F.col(raw)))
+            .withColumn("ts", parse_with(F.col(raw), F.col("method"), F.col("_t"))).drop("_t"))
 
 
 def time_only(df: DataFrame, keys: Sequence[str] = SITE, raw: str = "raw") -> DataFrame:
@@ -170,7 +199,7 @@ def assess_integrity(df: DataFrame, now: dt.date, keys: Sequence[str] = SITE, ra
 
 def combine_date_time(date: Column, time: Column) -> Column:
     """One time from separate date and clock columns; the clock may be a bare hour number."""
-    day = F.date_format(F.coalesce(*candidates(date).values()), "yyyy-MM-dd")
+    day = F.date_format(F.coalesce(*readings_of(normal_text(date)).values()), "yyyy-MM-dd")
     hour = time.try_cast("double")
     clock = F.when(time.rlike(r"^\s*\d{1,2}:\d{2}(:\d{2})?\s*$"), F.trim(time)).when(
         hour.between(0, 23.49), F.format_string("%02d:00:00", F.rint(hour).cast("int")))
