@@ -174,7 +174,8 @@ def print_components(prints: DataFrame) -> DataFrame:
     """(fp, root): components of distinct fingerprints; those without a link have no row."""
     rows = keyed(prints)
     ends = rows.groupBy("key").agg(F.min("fp").alias("low"), F.max("fp").alias("high")).where("low <> high")
-    shared = stored(rows.join(ends, "key"), "golay-keys")
+    # stored apart, so that a key with very many fingerprints can be split in the join; one plan at every size
+    shared = stored(rows.join(stored(ends, "golay-ends").hint("merge"), "key"), "golay-keys")
     stars = shared.where("fp <> low and filed").where(_near("fp", "low")).select(F.col("fp").alias("a"), F.col("low").alias("b")).unionByName(
         shared.where("fp <> high and fp <> low").where(_near("fp", "high")).select(F.col("fp").alias("a"), F.col("high").alias("b")))
     first = components(stars, "golay-stars")
@@ -182,7 +183,7 @@ def print_components(prints: DataFrame) -> DataFrame:
         "key", "fp", "filed", F.coalesce("root", "fp").alias("part"))
     sizes = placed.groupBy("key", "part").agg(F.count("*").alias("n"))
     main = sizes.groupBy("key").agg(F.max(F.struct("n", "part"))["part"].alias("main"), F.count("*").alias("parts")).where("parts > 1")
-    open_keys = stored(placed.join(main, "key"), "golay-open")
+    open_keys = stored(placed.join(stored(main, "golay-main"), "key"), "golay-open")
     left = open_keys.where("filed").select("key", F.col("fp").alias("a"), F.col("part").alias("pa"), (F.col("part") == F.col("main")).alias("main"))
     right = open_keys.select("key", F.col("fp").alias("b"), F.col("part").alias("pb"), (F.col("part") == F.col("main")).alias("main"))
     near = (F.col("pa") != F.col("pb")) & _near("a", "b")

@@ -30,6 +30,7 @@ import zstandard
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from noisefleet.llm.common import stored
 from noisefleet.session import new_folder
 
 # Fixed values of the Zstandard format and of its use for WARC.
@@ -175,7 +176,8 @@ def marked(pages: DataFrame, least_bytes: int = LEAST_BYTES) -> DataFrame:
     p = p.withColumns({"payload_bytes": F.length("payload").cast("bigint"), "payload_digest": F.sha1("payload")})
     large = F.col("payload_bytes") >= least_bytes
     groups = p.where(large).groupBy("payload_digest", "payload_bytes").agg(F.max("page_id").alias("kept_id"), F.count("*").alias("n"))
-    p = p.join(groups.where("n > 1").drop("n"), ["payload_digest", "payload_bytes"], "left")
+    # stored apart, so that a payload with very many copies can be split in the join
+    p = p.join(stored(groups.where("n > 1").drop("n"), "warc-copies"), ["payload_digest", "payload_bytes"], "left")
     return p.withColumn("kept_id", F.when(~F.col("kept_id").eqNullSafe(F.col("page_id")), F.col("kept_id")))
 
 
