@@ -163,7 +163,7 @@ def described(lines: list[bytes], words: list[list[bytes]]) -> np.ndarray:
 
 
 def train(docs: DataFrame, labels: DataFrame, label: str = "quality", bound: int = SAMPLE, longest: int = 400) -> Field:
-    """Fit on about ``bound`` labelled documents, of each the first ``longest`` lines; only features reach the driver."""
+    """Fit on about ``bound`` labelled documents, cut into sequences of ``longest`` lines; only features reach the driver."""
     known = labels.where(labels["doc_id"].isNotNull() & labels[label].isNotNull()).groupBy("doc_id").agg((F.avg(label) >= 0.5).cast("int").alias("y"))
     n = known.count()
     if n > bound:
@@ -171,12 +171,15 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "quality", bound: int
 
     def rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            x = [described(*(part[:longest] for part in split_text(t))) for t in b["text"]]
-            yield pd.DataFrame({"doc_id": b["doc_id"], "y": b["y"], "x": [a.astype(np.uint8).tobytes() for a in x]})
+            out = []
+            for doc, y, text in zip(b["doc_id"], b["y"], b["text"]):
+                x = described(*split_text(text)).astype(np.uint8)
+                out += [(doc, y, x[k:k + longest].tobytes()) for k in range(0, len(x), longest)]
+            yield pd.DataFrame(out, columns=["doc_id", "y", "x"])
 
     # the sample is bounded, so it is sent to every task and no text is shuffled
     found = docs.select("doc_id", "text").join(F.broadcast(known), "doc_id").mapInPandas(rows, "doc_id bigint, y int, x binary").toPandas()
-    found = found[found["x"].map(len) > 0].assign(x=lambda f: f["x"].map(bytes)).sort_values(["doc_id", "x"])
+    found = found.assign(x=found["x"].map(bytes)).sort_values(["doc_id", "x"])
     return fit([(np.frombuffer(x, np.uint8).reshape(-1, len(FEATURES)), CONTENT if y else BOILERPLATE) for x, y in zip(found["x"], found["y"])])
 
 

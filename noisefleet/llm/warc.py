@@ -159,9 +159,9 @@ def read_archive(content: bytes) -> Iterator[dict]:
 
 # -- Spark --------------------------------------------------------------------------------------------------
 
-def train_dictionary(pages: DataFrame, size: int = DICTIONARY_BYTES, sampled: int = SAMPLED_PAGES) -> bytes:
-    """A dictionary from at most ``sampled`` pages; empty if they are too few to train one."""
-    some = [r[0].encode() for r in pages.where(F.length("html") > 0).select(F.substring("html", 1, 16384)).limit(sampled).collect()]
+def train_dictionary(pages: DataFrame, size: int = DICTIONARY_BYTES, sampled: int = SAMPLED_PAGES, longest: int = 65536) -> bytes:
+    """A dictionary from at most ``sampled`` pages of ``longest`` characters or less; empty if they are too few to train one."""
+    some = [r[0].encode() for r in pages.where(F.length("html").between(1, longest)).select("html").limit(sampled).collect()]
     try:
         return zstandard.train_dictionary(size, some).as_bytes()
     except (zstandard.ZstdError, ValueError):
