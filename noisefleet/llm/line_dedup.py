@@ -9,12 +9,15 @@ Who is aligned with whom:
 
 - A line counts only if another document has it and it lies in a run of such lines with ``least_words`` words; no
   block can lie elsewhere.
-- Every later holder of a line is aligned with the line's first holder.
-- Holders of a rare line (``rare`` or fewer occurrences) are aligned with the holder before them too, which finds
-  blocks whose lines were first seen in different documents.
+- From each such line on, and back from each, the shortest run of neighbouring lines with ``least_words`` words is
+  hashed. Every line of a block lies in a run inside the block, so documents with a common block share run hashes.
+- Every later holder of a run is aligned with the run's first holder, however common the run is.
+- Holders of a rare run (``rare`` or fewer holders) are aligned with the holder before them too, which finds blocks
+  that the first holder has in another order.
 
-That is two partners per line and document at most, however common a line is, and no group is ever paired with
-itself. A line is deleted only where an earlier document has it, so its first holder keeps it.
+That is four partners per line and document at most, and no group is ever paired with itself. A line is deleted
+only where an earlier document has it, so its first holder keeps it. What stays is a block that patience passes
+over in the first holder because other common lines cross it there, if over ``rare`` documents hold its runs.
 
 Defined cases: a null text stays null, an empty one empty; a null doc_id comes last; rows with equal doc_id and
 text are one document and get one result; rows with one doc_id and different texts are not compared with each
@@ -28,7 +31,9 @@ from bisect import bisect_left
 from collections import Counter
 from collections.abc import Sequence
 
+import numpy as np
 import pandas as pd
+import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -111,15 +116,27 @@ def common_lines(first: Sequence[tuple], later: Sequence[tuple], least_words: in
     return out
 
 
+def shortest_runs(place: np.ndarray, hashes: np.ndarray, words: np.ndarray, least_words: int = LEAST_WORDS) -> list[int]:
+    """Hashes of the shortest runs of neighbouring lines with ``least_words`` words, from each line on and back from each."""
+    total = np.concatenate([[0], np.cumsum(words, dtype=np.int64)])
+    at = np.arange(len(place))
+    stretch = np.asarray(place, np.int64) - at  # equal for lines next to each other
+    end = np.maximum(np.searchsorted(total, total[:-1] + least_words), at + 1)
+    begin = np.minimum(np.searchsorted(total, total[1:] - least_words, "right") - 1, at)
+    found = [(i, j) for i, j in zip(at.tolist(), end.tolist()) if j <= len(at)] + [(i, j + 1) for i, j in zip(begin.tolist(), at.tolist()) if i >= 0]
+    raw, stretch = np.asarray(hashes, np.int64).tobytes(), stretch.tolist()
+    digests = {xxhash.xxh64_intdigest(raw[8 * i:8 * j]) for i, j in set(found) if stretch[i] == stretch[j - 1]}
+    return np.array(sorted(digests), np.uint64).view(np.int64).tolist()
+
+
 def shared_lines(docs: DataFrame, least_words: int = LEAST_WORDS) -> DataFrame:
-    """(id, text_hash, place, line, hash, words, first, n) of the lines that count; ``first`` is the first holder,
-    ``n`` how often the line occurs."""
+    """(id, text_hash, place, line, hash, words) of the lines that count."""
     numbered = F.transform(F.split("text", "\n"), lambda s, i: F.struct(i.alias("line"), F.btrim(s, F.lit(AROUND)).alias("s")))
     full = F.filter(numbered, lambda x: x["s"] != "")
     placed = F.transform(full, lambda x, i: F.struct(i.alias("place"), x["line"].alias("line"), F.xxhash64(x["s"]).alias("hash"),
                                                      F.regexp_count(x["s"], F.lit(WORD)).cast("int").alias("words")))
     lines = stored(docs.select(*_keys(docs), F.explode_outer(placed).alias("x")).select("id", "text_hash", "x.*").where("place is not null"), "lines")
-    held = lines.groupBy("hash").agg(F.min("id").alias("first"), F.max("id").alias("last"), F.count("*").alias("n")).where("first < last").drop("last")
+    held = lines.groupBy("hash").agg(F.min("id").alias("first"), F.max("id").alias("last")).where("first < last").select("hash")
     # nothing but the join is done where a common line meets, so Spark can split its rows; one plan at every size
     shared = lines.join(stored(held, "shared-hashes").hint("merge"), "hash")
     in_doc = Window.partitionBy("id", "text_hash").orderBy("place")
@@ -135,11 +152,19 @@ def _keys(docs: DataFrame) -> list:
 
 def repeated_lines(docs: DataFrame, least_words: int = LEAST_WORDS, rare: int = RARE) -> DataFrame:
     """(id, text_hash, gone): line numbers to delete from each document that loses any."""
-    shared = stored(shared_lines(docs, least_words), "shared-lines")
-    earlier = Window.partitionBy("hash").orderBy("id").rangeBetween(Window.unboundedPreceding, -1)
+    lists = stored(shared_lines(docs, least_words).groupBy("id", "text_hash").agg(
+        F.sort_array(F.collect_set(F.struct("place", "line", "hash", "words"))).alias("lines")), "line-lists")
+
+    @F.pandas_udf("array<bigint>")
+    def hashed(place: pd.Series, hashes: pd.Series, words: pd.Series) -> pd.Series:
+        return pd.Series([shortest_runs(p, h, w, least_words) for p, h, w in zip(place, hashes, words)])
+
+    runs = stored(lists.select("id", "text_hash", F.explode(hashed("lines.place", "lines.hash", "lines.words")).alias("run")), "line-runs")
+    held = runs.groupBy("run").agg(F.min("id").alias("first"), F.max("id").alias("last"), F.count("*").alias("n")).where("first < last").drop("last")
+    shared = stored(runs.join(stored(held, "shared-runs").hint("merge"), "run"), "held-runs")
+    earlier = Window.partitionBy("run").orderBy("id").rangeBetween(Window.unboundedPreceding, -1)
     before = shared.where(F.col("n") <= rare).select("id", "text_hash", F.max("id").over(earlier).alias("other")).where("other is not null")
     links = shared.where("id > first").select("id", "text_hash", F.col("first").alias("other")).unionByName(before).distinct()
-    lists = stored(shared.groupBy("id", "text_hash").agg(F.sort_array(F.collect_set(F.struct("place", "line", "hash", "words"))).alias("lines")), "line-lists")
     pairs = links.join(lists.select(F.col("id").alias("other"), F.col("lines").alias("theirs")), "other").join(lists, ["id", "text_hash"])
 
     @F.pandas_udf("array<int>")

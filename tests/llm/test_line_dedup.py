@@ -78,3 +78,26 @@ def test_awkward_rows(awkward, docs):
 def test_common_passage_in_very_many_documents(docs):
     got = texts(docs(*[(i, f"start {i}\n{LONG[3]}\n{LONG[4]}\nend {i}") for i in range(300)]))
     assert sum(v[1] == 2 for v in got.values()) == 299 and got[0][1] == 0
+
+
+def test_passage_in_very_many_documents_whose_first_holder_has_its_lines_apart(docs):
+    four = [" ".join(f"p{i}x{k}" for k in range(15)) for i in range(4)]
+    rows = [(0, "\n".join(x for i, s in enumerate(four) for x in (s, f"own zero {i}")))]
+    rows += [(i, "\n".join([f"start {i}", *four, f"end {i}"])) for i in range(1, 100)]
+    got = texts(docs(*rows))
+    assert got[0] == (rows[0][1], 0) and got[1] == (rows[1][1], 0)
+    assert all(got[i] == (f"start {i}\nend {i}", 4) for i in range(2, 100))
+
+
+def test_runs_against_all_pairs_with_over_64_holders(docs):
+    rng = random.Random(4)
+    short = [" ".join(f"s{i}x{k}" for k in range(rng.choice([3, 7, 12]))) for i in range(12)]
+    key = lambda t: [(k, k, s, len(s.split())) for k, s in enumerate(t.split("\n"))]
+    rows = []
+    for i in range(150):
+        a = rng.randrange(9)
+        held = short[a:a + rng.randrange(2, 9)] if i % 3 else [x for k, s in enumerate(short) for x in (s, f"own {i} {k}")]
+        rows.append((i, "\n".join([f"start {i}", *held, f"end {i}"])))
+    want = {i: {n for _, u in rows[:i] for n in d.common_lines(key(u), key(t))} for i, t in rows}
+    got = texts(docs(*rows))
+    assert {i: v[0] for i, v in got.items()} == {i: "\n".join(s for n, s in enumerate(t.split("\n")) if n not in want[i]) for i, t in rows}
