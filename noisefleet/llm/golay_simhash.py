@@ -17,6 +17,12 @@ compared with the key's smallest and largest one only (links of the key's size),
 are formed, and then only fingerprints of different components are compared, where one of the two stands
 outside the key's largest component. Links inside a component add nothing, so no component is lost.
 
+``keep_one`` (a stage) asks for more than those 3 bits hold: exact similarity (Jaccard) of ``similarity`` or more over
+sets of ``shingle``-word shingles. A fingerprint's radius misses most such pairs, so beside the components of the
+fingerprints, bands of smallest hashes (min-hash) are keys, as many as leave ``MOST_MISSED`` of the pairs right at the
+bound unseen, fewer above it. Every link is verified on the texts; the same two steps as above keep groups from meeting
+as all pairs.
+
 Defined cases: null and empty texts and texts without a word have fingerprint 0, which links like any other;
 repeated rows share their class; a null doc_id belongs to a component like any other but never names it; an
 empty table gives no rows; other columns are ignored.
@@ -24,6 +30,7 @@ empty table gives no rows; other columns are ignored.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -37,23 +44,33 @@ from noisefleet.llm.common import stored
 MOST_BITS = 3
 SHINGLE = 3
 SEED = 42
+# Of the stage: words a shingle, least similarity, smallest hashes a band, and the share of pairs at the bound no band holds.
+NEAR_SHINGLE, SIMILARITY, BAND, MOST_MISSED = 5, 0.8, 5, 0.0005
 # Fixed value: generator polynomial of the binary Golay code of length 23.
 GENERATOR = 0b101011100011
 LENGTH, DATA = 23, 12
 
 
-def fingerprint_of(text: str | None, shingle: int = SHINGLE, seed: int = SEED) -> int:
-    """SimHash of a text: a bit is set if it is in over half the hashes of its word shingles."""
+def shingle_hashes(text: str | None, shingle: int = SHINGLE, seed: int = SEED) -> np.ndarray:
+    """A hash of each word shingle, in order; of a text of fewer words one of them all, of none none."""
     words = (text or "").encode().lower().split()  # of bytes: A-Z only, and the ASCII white space
     if not words:
-        return 0
+        return np.empty(0, np.uint64)
     if len(words) < shingle:
         shingles = [b" ".join(words)]
     else:
         shingles = map(b" ".join, zip(*(words[i:] for i in range(shingle))))
-    digest, n = xxhash.xxh64_intdigest, max(1, len(words) - shingle + 1)
-    ones = np.zeros(64, np.int64)
-    hashes = np.fromiter((digest(s, seed) for s in shingles), np.uint64, n)
+    digest = xxhash.xxh64_intdigest
+    return np.fromiter((digest(s, seed) for s in shingles), np.uint64, max(1, len(words) - shingle + 1))
+
+
+def fingerprint_of(text: str | None, shingle: int = SHINGLE, seed: int = SEED) -> int:
+    """SimHash of a text: a bit is set if it is in over half the hashes of its word shingles."""
+    return _print(shingle_hashes(text, shingle, seed))
+
+
+def _print(hashes: np.ndarray) -> int:
+    ones, n = np.zeros(64, np.int64), len(hashes)
     for start in range(0, n, 65536):
         part = hashes[start:start + 65536]
         ones += np.unpackbits(part.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
@@ -203,12 +220,89 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     return known.join(by_print, "fp").select("doc_id", "fp", "component_id")
 
 
-def keep_one(docs: DataFrame) -> DataFrame:
-    """``docs`` with one document of each component: the smallest doc_id (null last); of repeated rows one."""
+def band_keys(hashes: np.ndarray, bands: int) -> np.ndarray:
+    """A key per band of the smallest hashes of a set under ``BAND`` orders each."""
+    rng = np.random.default_rng(SEED)
+    by, plus = (rng.integers(0, 1 << 64, bands * BAND, np.uint64) for _ in range(2))
+    least = np.full(bands * BAND, np.iinfo(np.uint64).max)
+    with np.errstate(over="ignore"):
+        for start in range(0, len(hashes), 4096):
+            x = hashes[start:start + 4096, None] * (by | np.uint64(1)) + plus
+            least = np.minimum(least, ((x ^ (x >> np.uint64(32))) * np.uint64(0xBF58476D1CE4E5B9)).min(axis=0))
+    return np.array([xxhash.xxh64_intdigest(k.tobytes(), i) for i, k in enumerate(least.reshape(bands, BAND))], np.uint64)
+
+
+def similarity_of(a: np.ndarray, b: np.ndarray) -> float:
+    """Jaccard of two sets, as sorted arrays; of empty sets 1."""
+    common = len(np.intersect1d(a, b, assume_unique=True))
+    return common / (len(a) + len(b) - common) if len(a) + len(b) else 1.0
+
+
+def sketches(text: Column, shingle: int, bands: int) -> Column:
+    """(node, fp, bands): a hash of the set of shingles, its fingerprint, and the keys of its bands."""
+    @F.pandas_udf("node bigint, fp bigint, bands array<bigint>")
+    def sketched(texts: pd.Series) -> pd.DataFrame:
+        out = []
+        for t in texts:
+            hashes = shingle_hashes(t, shingle)
+            once = np.unique(hashes)
+            keys = band_keys(once, bands) if len(once) else np.empty(0, np.uint64)
+            out.append((np.uint64(xxhash.xxh64_intdigest(once.tobytes())).view(np.int64), np.uint64(_print(hashes)).view(np.int64), keys.view(np.int64)))
+        return pd.DataFrame(out, columns=["node", "fp", "bands"])
+    return sketched(text)
+
+
+def similar(pairs: DataFrame, texts: DataFrame, shingle: int, similarity: float) -> DataFrame:
+    """Of pairs (a, b) of nodes those whose ``texts`` (node, text) have the similarity; each pair once."""
+    @F.pandas_udf("boolean")
+    def enough(left: pd.Series, right: pd.Series) -> pd.Series:
+        last: dict[str, np.ndarray] = {}
+
+        def held(t: str) -> np.ndarray:
+            if t not in last:
+                if len(last) > 8:
+                    last.clear()
+                last[t] = np.unique(shingle_hashes(t, shingle))
+            return last[t]
+        return pd.Series([similarity_of(held(a), held(b)) >= similarity for a, b in zip(left, right)], dtype=bool)
+
+    once = stored(pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "near-pairs")
+    side = lambda n, t: texts.select(F.col("node").alias(n), F.col("text").alias(t)).hint("merge")
+    return once.join(side("a", "left"), "a").join(side("b", "right"), "b").where(enough("left", "right")).select("a", "b")
+
+
+def near_components(rows: DataFrame, docs: DataFrame, shingle: int, similarity: float) -> DataFrame:
+    """(node, root) of ``rows`` (key, node): components of similar nodes that share a key; ``docs`` is (node, text), one per node."""
+    ends = rows.groupBy("key").agg(F.min("node").alias("low"), F.max("node").alias("high")).where("low <> high")
+    shared = stored(rows.join(stored(ends, "near-ends").hint("merge"), "key"), "near-keys")
+    texts = stored(docs.join(stored(shared.select("node").distinct(), "near-shared").hint("merge"), "node"), "near-texts")
+    stars = shared.where("node <> low").select(F.col("node").alias("a"), F.col("low").alias("b")).unionByName(
+        shared.where("node <> high and node <> low").select(F.col("node").alias("a"), F.col("high").alias("b")))
+    first = components(similar(stars, texts, shingle, similarity), "near-stars")
+    placed = stored(shared.select("key", "node").join(first, "node", "left").select("key", "node", F.coalesce("root", "node").alias("part")), "near-placed")
+    sizes = placed.groupBy("key", "part").agg(F.count("*").alias("n"))
+    main = sizes.groupBy("key").agg(F.max(F.struct("n", "part"))["part"].alias("main"), F.count("*").alias("parts")).where("parts > 1")
+    left = stored(placed.join(stored(main, "near-main").hint("merge"), "key"), "near-open")
+    right = left.select("key", F.col("node").alias("b"), F.col("part").alias("pb"))
+    rest = left.where("part <> main").select("key", F.col("node").alias("a"), F.col("part").alias("pa")).join(right, "key").where("pa <> pb")
+    links = similar(rest.select("a", "b"), texts, shingle, similarity).unionByName(first.select(F.col("node").alias("a"), F.col("root").alias("b")))
+    return components(links, "near-links")
+
+
+def keep_one(docs: DataFrame, shingle: int = NEAR_SHINGLE, similarity: float = SIMILARITY) -> DataFrame:
+    """``docs`` with one document of each component of near copies (0 < ``similarity`` <= 1 over sets of ``shingle`` words):
+    the smallest doc_id (null last); of repeated rows one."""
+    bands = 1 if similarity >= 1 else math.ceil(math.log(MOST_MISSED) / math.log(1 - similarity ** BAND))
     keys = [F.coalesce(docs["doc_id"].cast("bigint"), F.lit((1 << 63) - 1)).alias("id"), F.xxhash64(docs["text"]).alias("text_hash")]
-    known = stored(docs.select(*keys, fingerprints(docs["text"]).alias("fp")), "simhash")
-    roots = print_components(known.select("fp").distinct())
-    placed = known.join(roots, "fp", "left").select("id", "text_hash", F.coalesce("root", "fp").alias("root"))
-    keepers = placed.groupBy("root").agg(F.min(F.struct("id", "text_hash")).alias("k")).select("k.*")
-    rows = docs.select(*keys, F.struct(*[docs[f"`{c}`"] for c in docs.columns]).alias("row"))
-    return rows.join(keepers, ["id", "text_hash"], "left_semi").dropDuplicates(["id", "text_hash"]).select("row.*")
+    known = stored(docs.select(*keys, sketches(docs["text"], shingle, bands).alias("s")).select("id", "text_hash", "s.*"), "near-sketches")
+    nodes = stored(known.groupBy("node").agg(F.min(F.struct("id", "text_hash")).alias("k"), F.min("fp").alias("fp"), F.first("bands").alias("bands"))
+                   .select("node", "k.*", "fp", "bands"), "near-nodes")
+    prints = nodes.join(print_components(nodes.select("fp").distinct()).hint("merge"), "fp", "left").select(
+        F.coalesce("root", "fp").alias("key"), "node")
+    rows = prints.unionByName(nodes.select(F.explode("bands").alias("key"), "node"))
+    texts = docs.select(*keys, docs["text"].alias("text")).join(nodes.select("node", "id", "text_hash").hint("merge"), ["id", "text_hash"])
+    texts = texts.dropDuplicates(["node"]).select("node", "text")
+    placed = known.select("id", "text_hash", "node").join(near_components(rows, texts, shingle, similarity).hint("merge"), "node", "left")
+    keepers = placed.groupBy(F.coalesce("root", "node").alias("root")).agg(F.min(F.struct("id", "text_hash")).alias("k")).select("k.*")
+    out = docs.select(*keys, F.struct(*[docs[f"`{c}`"] for c in docs.columns]).alias("row"))
+    return out.join(keepers, ["id", "text_hash"], "left_semi").dropDuplicates(["id", "text_hash"]).select("row.*")

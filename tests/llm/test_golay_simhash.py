@@ -102,3 +102,17 @@ def test_against_brute_force_on_documents(spark):
     docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
     want = plain_components([(r.doc_id, plain_fingerprint(r.text)) for r in docs.collect()])
     assert {r.doc_id: r.component_id for r in g.near_duplicates(docs).collect()} == want
+
+
+def test_keep_one_finds_every_copy_of_similarity_080_and_no_other(docs):
+    rng = random.Random(8)
+    rows, want = [], set()
+    for i in range(0, 400, 2):
+        words = [f"w{rng.randrange(10**6)}" for _ in range(200)]
+        copy = list(words)
+        for at in rng.sample(range(0, 200, 6), rng.randrange(1, 9)):
+            copy[at] = "changed"
+        rows += [(i, " ".join(words)), (i + 1, " ".join(copy))]
+        a, b = ({tuple(w[k:k + 5]) for k in range(196)} for w in (words, copy))
+        want |= {i} if len(a & b) / len(a | b) >= 0.8 else {i, i + 1}
+    assert 220 < len(want) < 380 and {r.doc_id for r in g.keep_one(docs(*rows)).collect()} == want
