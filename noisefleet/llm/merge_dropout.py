@@ -3,11 +3,13 @@
 A merge-type (BPE) model merges, again and again, the neighbouring pieces whose union has the best score, the
 leftmost first. Here each candidate merge is skipped for good with probability ``dropout``, by a keyed hash of
 (seed, variant, chunk, where the merge lies), so a run can be repeated exactly. Each occurrence of a chunk (a word with the
-spaces before it) draws one of ``variants`` segmentations by a hash of the seed, the document and its place in it;
-with dropout 0 the result is the model's own segmentation.
+spaces before it) has a variant of its own, a hash of the seed, the document and its place in it (one of ``variants``,
+2^62), so it draws for itself; with dropout 0 the result is the model's own segmentation.
 
 A vocabulary whose pieces hold spaces only at their front never merges across chunks, so chunks are encoded by
-themselves, each distinct (chunk, variant) of a batch once. Short chunks go together as matrices, one merge per
+themselves. Of the merges that make a chunk's segmentation an occurrence either skips none, then it is its own too, or some;
+then the chunk is encoded without those, and so on. Each distinct (chunk, merges left out) of a batch is encoded once, which
+gives every occurrence exactly what encoding it alone would. Short chunks go together as matrices, one merge per
 chunk and round; long ones through an agenda (a heap of candidate merges). Both give the same pieces.
 
 Characters outside the vocabulary become byte pieces, and so does a literal U+2581, the model's sign for space;
@@ -34,7 +36,7 @@ from pyspark.sql import functions as F
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 MOST_BYTES = 64 << 20
-DROPOUT, VARIANTS, SEED = 0.1, 8, 42
+DROPOUT, VARIANTS, SEED = 0.1, 1 << 62, 42
 CHUNK = re.compile(" +[^ ]*")
 SHORT = 48
 TEXT_AT_ONCE = 1 << 21
@@ -150,9 +152,16 @@ def _keys(codes: np.ndarray, variants: np.ndarray, seed: int) -> np.ndarray:
     return key
 
 
+def _place(start: np.ndarray, middle: np.ndarray, end: np.ndarray) -> np.ndarray:
+    return start.astype(np.uint64) << np.uint64(42) | middle.astype(np.uint64) << np.uint64(21) | end.astype(np.uint64)
+
+
 def _skipped(key: np.ndarray, start: np.ndarray, middle: np.ndarray, end: np.ndarray, dropout: float) -> np.ndarray:
     """Whether the merge of [start, middle) and [middle, end) of a chunk is skipped."""
-    place = start.astype(np.uint64) << np.uint64(42) | middle.astype(np.uint64) << np.uint64(21) | end.astype(np.uint64)
+    return _skipped_at(key, _place(start, middle, end), dropout)
+
+
+def _skipped_at(key: np.ndarray, place: np.ndarray, dropout: float) -> np.ndarray:
     return (mixed(key ^ mixed(place + np.uint64(1))) >> np.uint64(11)).astype(np.float64) * 2.0**-53 < dropout
 
 
@@ -188,8 +197,10 @@ def encode_long(pieces: Pieces, chunk: str, key: int, dropout: float) -> list[tu
     return [(piece[i], start[i]) for i in range(n) if not gone[i]]
 
 
-def encode_short(pieces: Pieces, codes: np.ndarray, key: np.ndarray, dropout: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(piece, start, count) of chunks of one length as rows of code points.
+def encode_short(pieces: Pieces, codes: np.ndarray, key: np.ndarray, dropout: float, left_out: np.ndarray | None = None
+                 ) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(piece, start, count, places of the merges made) of chunks of one length as rows of code points. With ``left_out``
+    (a row of places each, 0 for none) those merges are skipped and no others.
 
     Each round merges in every row what the agenda would take next. All rows still at work have had the same number of
     merges, so the matrices lose a column each round; rows without a merge left are set aside.
@@ -198,13 +209,19 @@ def encode_short(pieces: Pieces, codes: np.ndarray, key: np.ndarray, dropout: fl
     piece = pieces.letter[np.minimum(codes, len(pieces.letter) - 1)]
     start = np.broadcast_to(np.arange(width + 1, dtype=np.int32), (n, width + 1))
     done_piece, done_start, count = np.full((n, width), -1, np.int32), np.zeros((n, width), np.int32), np.zeros(n, np.int64)
+    made = np.zeros((n, max(0, width - 1)), np.uint64)
     live = np.arange(n)
 
     def offers(rows: np.ndarray, left: np.ndarray, right: np.ndarray, s: np.ndarray, m: np.ndarray, e: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Rank and union of candidate merges, one per element; no rank for those that cannot be or are skipped."""
         union = pieces.unions(left, right)
         rank = np.where(union >= 0, pieces.rank[union], NONE)
-        if dropout > 0:
+        if left_out is not None:
+            if left_out.shape[1]:
+                some = np.nonzero(union >= 0)[0]
+                place = _place(s[some], m[some], e[some])
+                rank[some[(left_out[rows[some]] == place[:, None]).any(axis=1)]] = NONE
+        elif dropout > 0:
             some = np.nonzero(union >= 0)[0]
             rank[some[_skipped(key[rows[some]], s[some], m[some], e[some], dropout)]] = NONE
         return rank, union
@@ -225,6 +242,7 @@ def encode_short(pieces: Pieces, codes: np.ndarray, key: np.ndarray, dropout: fl
             rank, union = rank[more], union[more]
         row, here = np.arange(len(live)), at[:, None]
         merged = union[row, at]
+        made[live, width - w] = _place(start[row, at], start[row, at + 1], start[row, at + 2])
         # close the gap behind the merge
         piece = np.where(np.arange(w - 1) <= here, piece[:, :-1], piece[:, 1:])
         piece[row, at] = merged
@@ -235,38 +253,106 @@ def encode_short(pieces: Pieces, codes: np.ndarray, key: np.ndarray, dropout: fl
             ok = np.nonzero((side >= 0) & (side < w - 2))[0]
             k = side[ok]
             rank[ok, k], union[ok, k] = offers(live[ok], piece[ok, k], piece[ok, k + 1], start[ok, k], start[ok, k + 1], start[ok, k + 2])
-    return done_piece, done_start, count
+    return done_piece, done_start, count, made
 
 
-def encode_chunks(pieces: Pieces, chunks: Sequence[str], variants: np.ndarray, seed: int, dropout: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(ids, begin, count): where the ids of each (chunk, variant) lie; characters without a piece are byte pieces."""
-    n = len(chunks)
-    length = np.fromiter(map(len, chunks), np.int64, n)
-    flat, begin, count, filled = [], np.zeros(n, np.int64), np.zeros(n, np.int64), 0
+class Spelled:
+    """Ids of ``n`` chunks, one behind the other; characters without a piece are byte pieces."""
 
-    def add(rows: np.ndarray, ids: np.ndarray, counts: np.ndarray) -> None:
-        nonlocal filled
-        flat.append(ids)
-        begin[rows], count[rows] = filled + counts.cumsum() - counts, counts
-        filled += len(ids)
+    def __init__(self, pieces: Pieces, n: int) -> None:
+        self.pieces, self.flat, self.filled = pieces, [], 0
+        self.begin, self.count = np.zeros(n, np.int64), np.zeros(n, np.int64)
 
-    def spelled(chunk: str, found: list[tuple[int, int]]) -> np.ndarray:
-        return np.array([i for p, s in found for i in ([p] if p >= 0 else [pieces.byte[b] for b in chunk[s].encode()])], np.int32)
+    def add(self, rows: np.ndarray, ids: np.ndarray, counts: np.ndarray) -> None:
+        self.flat.append(ids)
+        self.begin[rows], self.count[rows] = self.filled + counts.cumsum() - counts, counts
+        self.filled += len(ids)
 
-    for width in np.unique(length[length <= SHORT]).tolist():
-        some = np.nonzero(length == width)[0]
-        codes = np.frombuffer("".join([chunks[i] for i in some.tolist()]).encode("utf-32-le"), np.uint32).reshape(-1, width).astype(np.int64)
-        piece, start, counts = encode_short(pieces, codes, _keys(codes.astype(np.uint64), variants[some], seed), dropout)
-        within = np.arange(width) < counts[:, None]
+    def add_one(self, row: int, chunk: str, found: list[tuple[int, int]]) -> None:
+        ids = np.array([i for p, s in found for i in ([p] if p >= 0 else [self.pieces.byte[b] for b in chunk[s].encode()])], np.int32)
+        self.add(np.array([row]), ids, np.array([len(ids)]))
+
+    def add_short(self, rows: np.ndarray, chunks: Sequence[str], piece: np.ndarray, start: np.ndarray, counts: np.ndarray) -> None:
+        within = np.arange(piece.shape[1]) < counts[:, None]
         plain = ((piece >= 0) | ~within).all(axis=1)
-        add(some[plain], piece[plain][within[plain]], counts[plain])
+        self.add(rows[plain], piece[plain][within[plain]], counts[plain])
         for k in np.nonzero(~plain)[0].tolist():
-            ids = spelled(chunks[some[k]], list(zip(piece[k, :counts[k]].tolist(), start[k].tolist())))
-            add(some[k:k + 1], ids, np.array([len(ids)]))
+            self.add_one(int(rows[k]), chunks[k], list(zip(piece[k, :counts[k]].tolist(), start[k].tolist())))
+
+    def ids(self) -> np.ndarray:
+        return np.concatenate([*self.flat, np.empty(0, np.int32)])
+
+
+def _codes(chunks: Sequence[str], width: int) -> np.ndarray:
+    return np.frombuffer("".join(chunks).encode("utf-32-le"), np.uint32).reshape(-1, width).astype(np.int64)
+
+
+def encode_chunks(pieces: Pieces, chunks: Sequence[str], variants: np.ndarray, seed: int, dropout: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(ids, begin, count): where the ids of each (chunk, variant) lie; each is encoded by itself."""
+    length = np.fromiter(map(len, chunks), np.int64, len(chunks))
+    out = Spelled(pieces, len(chunks))
+    for width in np.unique(length[length <= SHORT]).tolist():
+        some = np.nonzero(length == width)[0]
+        here = [chunks[i] for i in some.tolist()]
+        codes = _codes(here, width)
+        out.add_short(some, here, *encode_short(pieces, codes, _keys(codes.astype(np.uint64), variants[some], seed), dropout)[:3])
     for i in np.nonzero(length > SHORT)[0].tolist():
-        ids = spelled(chunks[i], encode_long(pieces, chunks[i], chunk_key(chunks[i], int(variants[i]), seed), dropout))
-        add(np.array([i]), ids, np.array([len(ids)]))
-    return np.concatenate([*flat, np.empty(0, np.int32)]), begin, count
+        out.add_one(i, chunks[i], encode_long(pieces, chunks[i], chunk_key(chunks[i], int(variants[i]), seed), dropout))
+    return out.ids(), out.begin, out.count
+
+
+def _ragged(begin: np.ndarray, count: np.ndarray) -> np.ndarray:
+    """Positions begin, begin + 1, ... of every row, ``count`` each, row after row."""
+    stop = count.cumsum()
+    return np.repeat(begin - (stop - count), count) + np.arange(stop[-1] if len(stop) else 0)
+
+
+def encode_occurrences(pieces: Pieces, chunks: Sequence[str], code: np.ndarray, variants: np.ndarray, seed: int, dropout: float
+                       ) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """What ``encode_chunks`` gives for chunk ``code`` and variant of every occurrence, with the work shared among equals."""
+    length = np.fromiter(map(len, chunks), np.int64, len(chunks))
+    begin, count, flat, filled = np.zeros(len(code), np.int64), np.zeros(len(code), np.int64), [], 0
+    of_length = length[code]
+    for width in np.unique(length[length <= SHORT]).tolist():
+        held = np.nonzero(length == width)[0]
+        codes = _codes([chunks[i] for i in held.tolist()], width)
+        todo = np.nonzero(of_length == width)[0]  # occurrences still without ids
+        row = np.searchsorted(held, code[todo])  # the chunk of each, as a row of codes
+        key = _keys(codes[row].astype(np.uint64), variants[todo], seed)
+        node, first = row, np.arange(len(held))  # chunks with merges left out; of each one its chunk
+        left_out = np.zeros((len(held), 0), np.uint64)
+        while len(todo):
+            piece, start, counts, made = encode_short(pieces, codes[first], None, 0.0, left_out)
+            out = Spelled(pieces, len(first))
+            out.add_short(np.arange(len(first)), [chunks[i] for i in held[first].tolist()], piece, start, counts)
+            merges = width - counts
+            each = merges[node]
+            place = made.ravel()[_ragged(node * made.shape[1], each)]
+            skip = _skipped_at(key.repeat(each), place, dropout) if dropout > 0 else np.zeros(len(place), bool)
+            who = np.repeat(np.arange(len(todo)), each)[skip]
+            again = np.bincount(who, minlength=len(todo))
+            done = again == 0
+            begin[todo[done]], count[todo[done]] = filled + out.begin[node[done]], out.count[node[done]]
+            flat.append(out.ids())
+            filled += out.filled
+            # the others leave out what they skip; who leaves out the same is one node
+            more = np.zeros((len(todo), int(again.max(initial=0))), np.uint64)
+            more[who, np.arange(len(who)) - np.repeat(again.cumsum() - again, again)] = place[skip]
+            todo, row, key, more, node = todo[~done], row[~done], key[~done], more[~done], node[~done]
+            if len(todo):
+                name = mixed(node.astype(np.uint64) + np.uint64(1))
+                for k in range(more.shape[1]):
+                    name = mixed(name ^ more[:, k])
+                _, one, inverse = np.unique(name, return_index=True, return_inverse=True)
+                left_out = np.concatenate([left_out[node[one]], more[one]], axis=1)
+                first, node = row[one], inverse
+    long = np.nonzero(of_length > SHORT)[0]
+    out = Spelled(pieces, len(long))
+    for k, i in enumerate(long.tolist()):
+        chunk = chunks[code[i]]
+        out.add_one(k, chunk, encode_long(pieces, chunk, chunk_key(chunk, int(variants[i]), seed), dropout))
+    begin[long], count[long] = filled + out.begin, out.count
+    return np.concatenate([*flat, out.ids()]), begin, count
 
 
 def encode_texts(pieces: Pieces, texts: Sequence[str | None], names: np.ndarray, dropout: float = DROPOUT, variants: int = VARIANTS,
@@ -285,11 +371,9 @@ def encode_texts(pieces: Pieces, texts: Sequence[str | None], names: np.ndarray,
     place = np.arange(ends[-1]) - np.repeat(ends - sizes, sizes)
     draw = mixed(mixed(names.astype(np.int64).view(np.uint64) ^ np.uint64(seed)).repeat(sizes) ^ place.astype(np.uint64))
     variant = (draw % np.uint64(variants)).astype(np.int64) if dropout > 0 else np.zeros(len(draw), np.int64)
-    which, pairs = pd.factorize(code * variants + variant)
-    flat, begin, count = encode_chunks(pieces, [distinct[p] for p in (pairs // variants).tolist()], pairs % variants, seed, dropout)
-    each = count[which]
+    flat, begin, each = encode_occurrences(pieces, distinct, code, variant, seed, dropout)
     stop = each.cumsum()
-    ids = flat[np.repeat(begin[which] - (stop - each), each) + np.arange(stop[-1])]
+    ids = flat[_ragged(begin, each)]
     bounds = np.concatenate([[0], stop])[np.concatenate([[0], ends])]
     return [ids[a:b] for a, b in zip(bounds, bounds[1:])]
 

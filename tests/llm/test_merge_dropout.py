@@ -86,3 +86,23 @@ def test_awkward_rows(awkward, docs, model):
     back = {r.doc_id: r.text for r in m.decode(got, model).collect() if r.doc_id is not None}
     assert back == {r.doc_id: r.text or "" for r in awkward.collect() if r.doc_id is not None}
     assert m.encode(docs().where("false"), model).count() == 0
+
+
+@pytest.mark.parametrize("dropout", [0.1, 0.5, 1.0])
+def test_every_occurrence_draws_for_itself_as_if_encoded_alone(pieces, corpus, dropout):
+    chunks = [c for t in corpus[:20] for c in m.CHUNK.findall(" " + t)][:3000]
+    distinct = list(dict.fromkeys(chunks))
+    code = np.array([distinct.index(c) for c in chunks])
+    variants = (m.mixed(np.arange(len(chunks)).astype(np.uint64)) >> np.uint64(2)).astype(np.int64)
+    got, want = m.encode_occurrences(pieces, distinct, code, variants, 7, dropout), m.encode_chunks(pieces, chunks, variants, 7, dropout)
+    for (a, n), (b, k) in zip(zip(*got[1:]), zip(*want[1:])):
+        assert got[0][a:a + n].tolist() == want[0][b:b + k].tolist()
+
+
+def test_a_frequent_word_has_far_more_than_eight_segmentations(pieces):
+    ids = m.encode_texts(pieces, ["internationalisation"] * 4000, np.arange(4000), dropout=0.3)
+    assert len({tuple(i.tolist()) for i in ids}) > 40
+    # the only merge of a pair is skipped by one occurrence in ten, not by a fixed share of 8 variants
+    word = next(t for t, i in pieces.id.items() if len(t) == 2 and t[0] == m.MARK and t[1].isalpha() and t[1].isascii())
+    split = [len(i) == 2 for i in m.encode_texts(pieces, [word[1]] * 20000, np.arange(20000))]
+    assert abs(sum(split) / 20000 - 0.1) < 0.01
