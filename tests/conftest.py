@@ -28,8 +28,3 @@ def readings(spark):
         return spark.createDataFrame(rows, "site_id string, file_seq int, seq bigint, ts timestamp_ntz, fold tinyint, "
                                            "leq double, lmax double, lmin double")
     return make
-
-
-def steps(start: str, n: int, seconds: float):
-    a = dt.datetime.fromisoformat(start)
-    return [a + dt.timedelta(seconds=seconds * i) for i in range(n)]

@@ -4,7 +4,7 @@ import datetime as dt
 from zoneinfo import ZoneInfo
 
 import pytest
-from conftest import steps
+from helpers import steps
 from pyspark.sql import functions as F
 
 from noisefleet.functions import clock as ck

@@ -4,7 +4,7 @@ import datetime as dt
 
 import numpy as np
 import pytest
-from conftest import steps
+from helpers import steps
 
 from noisefleet.operators import continuity as con
 from noisefleet.operators import filters as flt

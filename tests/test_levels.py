@@ -4,7 +4,7 @@ import math
 
 import numpy as np
 import pytest
-from conftest import steps
+from helpers import steps
 from pyspark.sql import functions as F
 
 from noisefleet.operators import aggregates as agg

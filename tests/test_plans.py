@@ -2,7 +2,7 @@ from __future__ import annotations
 
 import numpy as np
 import pytest
-from conftest import steps
+from helpers import steps
 
 from noisefleet.operators import compare
 from noisefleet.plans import analyse
