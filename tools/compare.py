@@ -11,6 +11,7 @@ import sys
 import time
 
 import duckdb
+import numpy as np
 import pandas as pd
 
 sys.path.insert(0, str(pathlib.Path(__file__).resolve().parent.parent))
@@ -23,6 +24,8 @@ def normal(df: pd.DataFrame) -> list[tuple]:
     for r in df.itertuples(index=False):
         out = []
         for v in r:
+            v = v.item() if isinstance(v, np.generic) else v
+            v = float(v) if isinstance(v, int) and not isinstance(v, bool) and abs(v) < 1 << 53 else v
             if v is None or v is pd.NaT or v is pd.NA or (isinstance(v, float) and v != v):
                 out.append(None)
             elif hasattr(v, "tolist") and not isinstance(v, pd.Timestamp):
