@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from noisefleet.llm import boilerplate_crf, chat_format, golay_simhash, license_scan, line_dedup, merge_dropout, mixing, onebit_search, quality_trees, warc
+from noisefleet.llm import boilerplate_crf, chat_format, golay_simhash, license_scan, line_dedup, merge_dropout, mixing, onebit_search, prefix_trie, quality_trees, warc
 from noisefleet.llm.common import table
 
 # Where the tokenizer model lies; read on the driver.
@@ -138,6 +138,42 @@ SELECT page_id, payload_bytes, payload_digest, CASE WHEN payload_bytes >= 1000 A
        CASE WHEN payload_bytes >= 1000 AND kept <> page_id THEN kept END AS refers_to FROM m"""
 
 
+def op11_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return prefix_trie.trie(*prefix_trie.branched(table(spark, sf_dir, "conversations")))
+
+
+# CRC-32 of the decimal digits, by half bytes; the table is made by the polynomial.
+OP11_SQL = r"""
+WITH ids AS (SELECT DISTINCT conv_id, conv_id - conv_id % 100 AS base FROM conversations WHERE conv_id IS NOT NULL),
+b AS (SELECT unnest(range(16)) AS i),
+b1 AS (SELECT i, CASE WHEN i & 1 = 1 THEN xor(i >> 1, 3988292384) ELSE i >> 1 END AS x FROM b),
+b2 AS (SELECT i, CASE WHEN x & 1 = 1 THEN xor(x >> 1, 3988292384) ELSE x >> 1 END AS x FROM b1),
+b3 AS (SELECT i, CASE WHEN x & 1 = 1 THEN xor(x >> 1, 3988292384) ELSE x >> 1 END AS x FROM b2),
+b4 AS (SELECT i, CASE WHEN x & 1 = 1 THEN xor(x >> 1, 3988292384) ELSE x >> 1 END AS x FROM b3),
+t AS (SELECT list(x ORDER BY i) AS t FROM b4),
+c AS (SELECT conv_id, base, xor(list_reduce(list_prepend(4294967295, flatten([[ord(d) & 15, ord(d) >> 4] FOR d IN string_split(conv_id::VARCHAR, '')])),
+             lambda a, n: xor(a >> 4, t[(xor(a, n) & 15) + 1])), 4294967295) % 6 AS h FROM ids, t),
+o AS (SELECT conv_id, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, coalesce(role, ''), coalesce(text, '')) - 1 AS pos,
+             coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations),
+g AS (SELECT c.conv_id, o.pos, o.role, o.text FROM c JOIN o ON o.conv_id = c.base WHERE o.pos < c.h),
+m AS (SELECT c.conv_id, c.h, count(g.pos) AS taken FROM c LEFT JOIN g USING (conv_id) GROUP BY ALL),
+s AS (SELECT * FROM g UNION ALL SELECT o.conv_id, m.taken + o.pos - m.h, o.role, o.text FROM o JOIN m USING (conv_id) WHERE o.pos >= m.h),
+k AS (SELECT conv_id, pos + 1 AS depth, length(text) AS chars,
+             md5(string_agg(md5(length(role)::VARCHAR || ':' || role || text), '') OVER (PARTITION BY conv_id ORDER BY pos)) AS k FROM s
+      UNION ALL SELECT conv_id, 0, 0, '' FROM m),
+e AS (SELECT conv_id, max(depth) AS depth FROM k GROUP BY conv_id),
+n AS (SELECT k, depth, min(conv_id) AS conv_id, count(*) AS n_convs, any_value(chars) AS chars FROM k GROUP BY k, depth),
+x AS (SELECT k.k, sha256(string_agg(conv_id::VARCHAR, ',' ORDER BY conv_id)) AS ends FROM k JOIN e USING (conv_id, depth) GROUP BY k.k),
+p AS (SELECT n.k, up.k AS parent_k, upn.conv_id AS parent_conv_id FROM n JOIN k up ON up.conv_id = n.conv_id AND up.depth = n.depth - 1
+      JOIN n upn ON upn.k = up.k),
+q AS (SELECT parent_k AS k, count(*) AS n_children FROM p GROUP BY ALL),
+w AS (SELECT a.k, sum((n.n_convs - 1) * n.chars) AS saved, count(*) FILTER (q.k IS NULL) AS leaves
+      FROM n JOIN k a ON a.conv_id = n.conv_id AND a.depth <= n.depth LEFT JOIN q ON q.k = n.k GROUP BY a.k)
+SELECT n.conv_id, n.depth::BIGINT AS depth, p.parent_conv_id, n.n_convs::BIGINT AS n_convs, coalesce(q.n_children, 0)::BIGINT AS n_children,
+       w.leaves::BIGINT AS n_leaves, w.saved::BIGINT AS saved_tokens, coalesce(x.ends, sha256('')) AS ends_sha256
+FROM n JOIN w USING (k) LEFT JOIN p USING (k) LEFT JOIN q USING (k) LEFT JOIN x USING (k)"""
+
+
 def queries() -> dict[str, Query]:
     found: dict[str, Query] = {n: f for n, f in globals().items() if n.startswith("op") and callable(f)}
     return dict(sorted(found.items(), key=lambda x: int(x[0][2:].split("_")[0])))
