@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from noisefleet.llm import boilerplate_crf, chat_format, golay_simhash, license_scan, line_dedup, merge_dropout, mixing, onebit_search, prefix_trie, quality_trees, warc
+from noisefleet.llm import backoff_langid, boilerplate_crf, chat_format, golay_simhash, license_scan, line_dedup, merge_dropout, mixing, onebit_search, prefix_trie, quality_trees, warc
 from noisefleet.llm.common import table
 
 # Where the tokenizer model lies; read on the driver.
@@ -174,6 +174,11 @@ SELECT n.conv_id, n.depth::BIGINT AS depth, p.parent_conv_id, n.n_convs::BIGINT
 FROM n JOIN w USING (k) LEFT JOIN p USING (k) LEFT JOIN q USING (k) LEFT JOIN x USING (k)"""
 
 
+def op12_backoff_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return backoff_langid.predict(docs, backoff_langid.train(docs))
+
+
 def queries() -> dict[str, Query]:
     found: dict[str, Query] = {n: f for n, f in globals().items() if n.startswith("op") and callable(f)}
     return dict(sorted(found.items(), key=lambda x: int(x[0][2:].split("_")[0])))
