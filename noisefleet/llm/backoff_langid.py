@@ -6,7 +6,7 @@ mean over its words.
 
 Counts are taken over every learning document: batches count for themselves, and their counts are summed by
 (language, word). n-grams are counted from the word counts, so text is read once. The model holds the most
-frequent words and n-grams of each language, ``ENTRIES`` in all, with their counts in every language; it alone
+frequent words and n-grams of each language, about ``ENTRIES`` in all, with their counts in every language; it alone
 reaches the driver and, in a closure, the tasks.
 
 Defined cases: a null text, and one without a letter, is ``und`` with score 0; one of which nothing is known
@@ -53,22 +53,23 @@ def grams_of(word: str, n: int) -> list[str]:
 
 
 class Model:
-    """Log frequencies: ``scores[n]`` maps the words (n = 0) or n-grams to a row per language."""
+    """Log frequencies: ``at[n]`` maps the words (n = 0) or n-grams to their row of ``logs``, which has a column per language."""
 
-    def __init__(self, langs: Sequence[str], words: Sequence[int], scores: dict[int, dict[str, np.ndarray]]) -> None:
-        self.langs, self.scores = list(langs), scores
+    def __init__(self, langs: Sequence[str], words: Sequence[int], at: dict[int, dict[str, int]], logs: np.ndarray) -> None:
+        self.langs, self.at, self.logs = list(langs), at, logs
         self.commonest = int(np.argmax(words)) if len(langs) else -1
 
-    def word(self, word: str) -> np.ndarray | None:
-        """Score of a word by language, None if nothing of it is known."""
-        known = self.scores[0].get(word)
+    def rows_of(self, word: str) -> list[int]:
+        """Rows whose mean is the word's score; none if nothing of it is known."""
+        known = self.at[0].get(word)
         if known is not None:
-            return known
+            return [known]
         for n in range(LONGEST, 0, -1):
-            found = [s for s in map(self.scores[n].get, grams_of(word, n)) if s is not None]
+            at = self.at[n]
+            found = [at[g] for g in grams_of(word, n) if g in at]
             if found:
-                return np.mean(found, axis=0)
-        return None
+                return found
+        return []
 
     def decide(self, total: np.ndarray, n: int, known: int) -> tuple[str, float]:
         """Language and probability from the sum of the scores of ``known`` of a text's ``n`` words."""
@@ -82,38 +83,43 @@ class Model:
         return self.langs[best], float(odds[best] / odds.sum())
 
 
-class Scorer(dict):
-    """Row numbers of words in ``rows``; a word met for the first time is scored and kept."""
+class Scorer:
+    """Scores of the words met so far, a row each; row 0 stands for words of which nothing is known."""
 
     def __init__(self, model: Model) -> None:
         self.model, self.width = model, len(model.langs)
         self.start()
 
     def start(self) -> None:
-        self.clear()
-        # row 0 stands for words of which nothing is known
+        self.at: dict[str, int] = {}
         self.rows, self.used = np.zeros((4096, self.width)), 1
 
-    def __missing__(self, word: str) -> int:
-        score = self.model.word(word)
-        if score is None:
-            self[word] = 0
-            return 0
-        if self.used == len(self.rows):
-            self.rows = np.concatenate([self.rows, np.zeros_like(self.rows)])
-        self.rows[self.used] = score
-        self[word] = self.used
-        self.used += 1
-        return self.used - 1
+    def meet(self, words: list[str]) -> None:
+        found = [self.model.rows_of(w) for w in words]
+        known = [(w, f) for w, f in zip(words, found) if f]
+        self.at.update((w, 0) for w, f in zip(words, found) if not f)
+        if not known:
+            return
+        sizes = np.array([len(f) for _, f in known])
+        sums = np.add.reduceat(self.model.logs[np.concatenate([f for _, f in known])], np.cumsum(sizes) - sizes)
+        end = self.used + len(known)
+        if end > len(self.rows):
+            self.rows = np.concatenate([self.rows, np.zeros((max(end, len(self.rows)), self.width))])
+        self.rows[self.used:end] = sums / sizes[:, None]
+        self.at.update((w, i) for i, (w, _) in enumerate(known, self.used))
+        self.used = end
 
     def of(self, text: str | None) -> tuple[str, float]:
         words = words_of(text) if self.width else []
-        if len(self) > HELD:
+        if len(self.at) > HELD:
             self.start()
         total, known = np.zeros(self.width), 0
-        for start in range(0, len(words), 65536):
-            at = np.fromiter(map(self.__getitem__, words[start:start + 65536]), np.int64)
-            # equal words add up in one order, whatever was met before them
+        for start in range(0, len(words), 4096):
+            part = words[start:start + 4096]
+            new = [w for w in dict.fromkeys(part) if w not in self.at]
+            if new:
+                self.meet(new)
+            at = np.fromiter(map(self.at.__getitem__, part), np.int64, len(part))
             total += self.rows[at].sum(axis=0)
             known += int(np.count_nonzero(at))
         return self.model.decide(total, len(words), known)
@@ -152,15 +158,23 @@ def train(docs: DataFrame) -> Model:
     """Learn from the rows of ``docs`` (doc_id, text, lang) that are not held out and have a language."""
     known = docs.where(docs["lang"].isNotNull() & docs["text"].isNotNull() & docs["doc_id"].isNotNull() & ~held_out(docs["doc_id"]))
     every = stored(entries(stored(counts(known.select(docs["text"].alias("text"), docs["lang"].alias("lang"))), "lang-words")), "lang-entries")
-    totals = every.groupBy("kind", "lang").agg(F.sum("n").alias("total"), F.count("*").alias("distinct")).toPandas()
+    # entries by how often they occur: few rows, from which the totals and the counts to cut at follow
+    often = stored(every.groupBy("kind", "lang", "n").agg(F.count("*").alias("m")), "lang-often")
+    totals = often.groupBy("kind", "lang").agg(F.sum(F.col("n") * F.col("m")).alias("total"), F.sum("m").alias("distinct")).toPandas()
     langs = sorted(totals["lang"].unique())
     if not langs:
-        return Model([], [], {})
+        return Model([], [], {}, np.zeros((0, 0)))
     share = max(1, ENTRIES // (len(langs) * (LONGEST + 1)))
-    rank = F.row_number().over(Window.partitionBy("kind", "lang").orderBy(F.desc("n"), "entry"))
-    top = every.withColumn("rank", rank).where(F.col("rank") <= share).select("kind", "entry").distinct()
-    table = every.join(top, ["kind", "entry"]).toPandas()
-    scores: dict[int, dict[str, np.ndarray]] = {}
+    above = F.coalesce(F.sum("m").over(Window.partitionBy("kind", "lang").orderBy(F.desc("n")).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    cuts = often.withColumn("above", above).where((F.col("above") < share) & (F.col("above") + F.col("m") >= share)).select(
+        "kind", "lang", F.col("n").alias("cut"), ((share - F.col("above")) / F.col("m")).alias("part"))
+    # of equally frequent entries at the cut, those of the smallest hashes; one row a kind and language is sent
+    chance = F.pmod(F.xxhash64("entry"), F.lit(1 << 30)) / F.lit(1 << 30)
+    top = every.join(F.broadcast(cuts), ["kind", "lang"], "left").where(
+        F.col("cut").isNull() | (F.col("n") > F.col("cut")) | (F.col("n") == F.col("cut")) & (chance < F.col("part")))
+    table = every.join(top.select("kind", "entry").distinct(), ["kind", "entry"]).toPandas()
+    at: dict[int, dict[str, int]] = {}
+    logs, rows = [], 0
     column = {lang: i for i, lang in enumerate(langs)}
     for kind in range(LONGEST + 1):
         total, distinct = np.zeros(len(langs)), totals.loc[totals["kind"] == kind, "distinct"].max()
@@ -170,10 +184,11 @@ def train(docs: DataFrame) -> Model:
         entry, names = pd.factorize(part["entry"], sort=True)
         n = np.zeros((len(names), len(langs)))
         n[entry, part["lang"].map(column).to_numpy(int)] = part["n"]
-        logs = np.log(n + PLUS) - np.log(total + PLUS * (0 if np.isnan(distinct) else distinct))
-        scores[kind] = dict(zip(names, logs))
+        logs.append(np.log(n + PLUS) - np.log(total + PLUS * (0 if np.isnan(distinct) else distinct)))
+        at[kind] = dict(zip(names, range(rows, rows + len(names))))
+        rows += len(names)
     words = [float(totals.loc[(totals["kind"] == 0) & (totals["lang"] == lang), "total"].sum()) for lang in langs]
-    return Model(langs, words, scores)
+    return Model(langs, words, at, np.concatenate(logs))
 
 
 def predict(docs: DataFrame, model: Model, columns: Sequence[str] = ("doc_id",)) -> DataFrame:
