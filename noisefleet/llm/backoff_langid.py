@@ -65,8 +65,7 @@ class Model:
         if known is not None:
             return [known]
         for n in range(LONGEST, 0, -1):
-            at = self.at[n]
-            found = [at[g] for g in grams_of(word, n) if g in at]
+            found = list(filter(None, map(self.at[n].get, grams_of(word, n))))
             if found:
                 return found
         return []
@@ -174,7 +173,7 @@ def train(docs: DataFrame) -> Model:
         F.col("cut").isNull() | (F.col("n") > F.col("cut")) | (F.col("n") == F.col("cut")) & (chance < F.col("part")))
     table = every.join(top.select("kind", "entry").distinct(), ["kind", "entry"]).toPandas()
     at: dict[int, dict[str, int]] = {}
-    logs, rows = [], 0
+    logs, rows = [np.zeros((1, len(langs)))], 1  # row 0 is no entry's
     column = {lang: i for i, lang in enumerate(langs)}
     for kind in range(LONGEST + 1):
         total, distinct = np.zeros(len(langs)), totals.loc[totals["kind"] == kind, "distinct"].max()
