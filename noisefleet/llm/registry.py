@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from noisefleet.llm import backoff_langid, boilerplate_crf, chat_format, golay_simhash, license_scan, line_dedup, merge_dropout, mixing, onebit_search, prefix_trie, quality_trees, warc
+from noisefleet.llm import backoff_langid, boilerplate_crf, chat_format, fptree_search, golay_simhash, license_scan, line_dedup, merge_dropout, mixing, onebit_search, prefix_trie, quality_trees, warc
 from noisefleet.llm.common import table
 
 # Where the tokenizer model lies; read on the driver.
@@ -179,6 +179,27 @@ def op12_backoff_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
     return backoff_langid.predict(docs, backoff_langid.train(docs))
 
 
+def op13_fptree_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fptree_search.search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+OP13_SQL = r"""
+WITH d AS (SELECT doc_id, row_number() OVER () AS k, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                  '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+') AS t FROM documents WHERE text IS NOT NULL),
+i AS (SELECT item_id, row_number() OVER () AS q, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+             '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS t FROM benchmark),
+s AS (SELECT count(*)::BIGINT AS nn, sum(len(t))::BIGINT AS ll FROM d WHERE len(t) > 0),
+f AS (SELECT k, any_value(doc_id) AS doc_id, any_value(n) AS n, t, count(*)::BIGINT AS tf
+      FROM (SELECT k, doc_id, len(t)::BIGINT AS n, unnest(t) AS t FROM d) GROUP BY k, t),
+w AS (SELECT t, floor(1000::DOUBLE * ln((2 * any_value(nn) + 2)::DOUBLE / (2 * count(*) + 1)::DOUBLE))::BIGINT AS w FROM f, s GROUP BY t),
+a AS (SELECT q, any_value(item_id) AS item_id, t, count(*)::BIGINT AS times FROM i GROUP BY q, t),
+r AS (SELECT q, any_value(item_id) AS item_id, any_value(doc_id) AS doc_id,
+             sum(times * w * ((1000000000 * tf) // (1000 * tf + 12 * (75 + (25 * n * nn) // ll))))::BIGINT AS score
+      FROM a JOIN w USING (t) JOIN f USING (t), s GROUP BY q, k)
+SELECT item_id, row_number() OVER (PARTITION BY q ORDER BY score DESC, doc_id)::INTEGER AS rank, doc_id, score FROM r WHERE score > 0
+QUALIFY rank <= 20"""
+
+
 def queries() -> dict[str, Query]:
     found: dict[str, Query] = {n: f for n, f in globals().items() if n.startswith("op") and callable(f)}
     return dict(sorted(found.items(), key=lambda x: int(x[0][2:].split("_")[0])))
