@@ -163,12 +163,22 @@ def choose_snow_source(candidates: DataFrame, daily: DataFrame, period: DataFram
 
 def locate(places: DataFrame, centroids: DataFrame, text: str = "location") -> DataFrame:
     """Coordinates from 'lat, lon' text or a ZIP code; ``basis`` says which, or what is wrong."""
-    raw = F.trim(F.col(text))
-    lat = F.regexp_extract(raw, wx.LATLON, 1).try_cast("double")
-    lon = F.regexp_extract(raw, wx.LATLON, 2).try_cast("double")
-    pair = raw.rlike(wx.LATLON)
+    words = F.filter(F.split(F.trim(F.col(text)), "[, ]+"), lambda w: F.length(w) > 0)
+    commas = F.length(F.col(text)) - F.length(F.replace(F.col(text), F.lit(",")))
+
+    def without_digits(w: Column) -> Column:
+        return F.translate(w, "0123456789", "")
+
+    def degrees(i: int) -> Column:
+        w = F.get(words, F.lit(i))
+        return F.when(without_digits(w).isin("", "-", ".", "-."), w.try_cast("double"))
+
+    lat, lon = degrees(0), degrees(1)
+    pair = F.coalesce((F.size(words) == 2) & (commas <= 1) & lat.isNotNull() & lon.isNotNull(), F.lit(False))
     ok = pair & lat.between(-90, 90) & lon.between(-180, 180)
-    zip_code = F.when(~pair & raw.rlike(wx.ZIP), F.regexp_extract(raw, wx.ZIP, 1))
+    code, more = F.substring(F.get(words, F.lit(0)), 1, 5), F.substring(F.get(words, F.lit(0)), 6, 99)
+    zipped = (F.length(code) == 5) & (without_digits(code) == "") & ((more == "") | (F.length(more) == 5) & (without_digits(more) == "-") & more.startswith("-"))
+    zip_code = F.when(~pair & (F.size(words) == 1) & zipped, code)
     c = centroids.select(F.col("zip").alias("_zip"), F.col("lat").alias("_zlat"), F.col("lon").alias("_zlon"))
     j = places.withColumn("_zip", zip_code).join(c, "_zip", "left")
     basis = (F.when(ok, "coordinates").when(pair, "outside the globe").when(F.col("_zlat").isNotNull(), "ZIP code centroid")

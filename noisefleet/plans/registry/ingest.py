@@ -14,7 +14,7 @@ from noisefleet.plans.registry.levels import LDEN, LDN, RATING_WINDOWS
 from noisefleet.plans.registry.sqlviews import oracle
 from noisefleet.plans.views import table, view
 from noisefleet.session import new_folder
-from noisefleet.sources import files, loggers, sinks, timestamps, weather
+from noisefleet.sources import delimited, files, loggers, sinks, timestamps, weather
 
 NOW = dt.date(2026, 1, 1)
 
@@ -124,15 +124,68 @@ def _offset(s, d):
     return timestamps.parse_times(_events(s, d).select("site_id", "seq", raw.alias("raw"))).select("site_id", "seq", "ts")
 
 
+def _exported(df, folder, header, preamble, cells):
+    """``df`` (site, day, ts, seq, leq) as text files, one a site and day, in time order under a preamble and a header."""
+    row = F.concat_ws(",", *[c.cast("string") for c in cells])
+    heads = df.groupBy("site", "day").agg(F.min("ts").alias("_t")).select("site", "day", F.lit(None).cast("timestamp_ntz").alias("ts"), F.lit(-1).cast("bigint").alias("seq"),
+                                                                          F.concat(preamble, F.lit(header)).alias("value"))
+    body = df.select("site", "day", "ts", F.col("seq").cast("bigint").alias("seq"), row.alias("value"))
+    both = heads.unionByName(body).repartition("site", "day").sortWithinPartitions("site", "day", F.asc_nulls_first("ts"), "seq")
+    both.select("site", "day", "value").write.partitionBy("site", "day").text(folder)
+
+
+def _to_export(s, d):
+    leq = 35 + F.col("value") / 8
+    return _events(s, d).select(F.concat(F.lit("SITE-"), F.length("site_id")).alias("site"), F.date_format("ts", "yyyyMMdd").alias("day"),
+                                F.date_trunc("SECOND", "ts").cast("timestamp_ntz").alias("ts"), "seq", leq.alias("leq"), (leq + F.col("k") % 10 / 2).alias("lmax"))
+
+
+def _read_back(s, folder):
+    raw, _ = delimited.read_delimited(s, f"{folder}/*/*/*.txt")
+    return raw.select(F.regexp_extract("path", r"site=([^/]+)", 1).alias("site"), "ts", "leq", "lmax")
+
+
+def _two_columns(s, d):
+    """Readings written with a date and a clock column, and read back."""
+    folder = new_folder(s, "two-columns")
+    _exported(_to_export(s, d), folder, "Date,LAeq,Time,LAFmax", F.lit(""),
+              [F.date_format("ts", "dd/MM/yyyy"), F.col("leq"), F.date_format("ts", "H:mm:ss"), F.col("lmax")])
+    return _read_back(s, folder)
+
+
+def _start_line():
+    return F.concat(F.lit("Trial "), F.date_format("_t", "yyyy_MM_dd__H'h'mm'm'ss's'"), F.lit("\n"))
+
+
+def _mmss_files(s, d):
+    """Readings written with minutes and seconds only, under a preamble that says when the file starts, and read back."""
+    folder = new_folder(s, "mmss")
+    _exported(_to_export(s, d), folder, "Time,LAeq,LAFmax", _start_line(), [F.date_format("ts", "mm:ss"), F.col("leq"), F.col("lmax")])
+    return _read_back(s, folder)
+
+
+def _elapsed_files(s, d):
+    """Readings written with the time since the start of the file, and read back."""
+    folder = new_folder(s, "elapsed")
+    df = _to_export(s, d)
+    starts = df.groupBy("site", "day").agg(F.min("ts").alias("_start"))
+    n = F.timestamp_diff("SECOND", F.col("_start"), F.col("ts"))
+    since = F.format_string("%d:%02d:%02d", F.floor(n / 3600), F.floor(n / 60) % 60, n % 60)
+    _exported(df.join(starts, ["site", "day"]), folder, "Time,LAeq,LAFmax", _start_line(), [since, F.col("leq"), F.col("lmax")])
+    return _read_back(s, folder)
+
+
 def _delimited(s, d):
-    """Readings written as delimited text, a folder per site, and read back by the file readers."""
+    """Readings written as delimited text, a folder per site, and read back by the file readers; the notes hold line breaks."""
     folder = new_folder(s, "delimited")
     t = F.date_format("ts", "yyyy-MM-dd HH:mm:ss")
-    view(s, d, "reading").select(F.concat(F.lit("SITE-"), F.length("site_id")).alias("site"), t.alias("Date Time"), F.col("leq").alias("LAeq"),
-                                 F.col("lmax").alias("LAFmax"), F.col("lmin").alias("LAFmin")).write.partitionBy("site").option("header", True).csv(folder)
-    raw, _ = files.read_delimited(s, f"{folder}/*/*.csv")
+    note = F.when(F.col("seq") % 5 == 0, F.lit('said "stop",\nthen went')).when(F.col("seq") % 7 == 0, F.lit("a;b"))
+    view(s, d, "reading").select(F.concat(F.lit("SITE-"), F.length("site_id")).alias("site"), note.alias("Remark"), t.alias("Date Time"), F.col("leq").alias("LAeq"),
+                                 F.col("lmax").alias("LAFmax"), F.col("lmin").alias("LAFmin")).write.partitionBy("site").option("header", True).option(
+        "escape", '"').csv(folder)
+    raw, _ = delimited.read_delimited(s, f"{folder}/*/*.csv")
     site = F.regexp_extract("path", r"site=([^/]+)", 1)
-    return timestamps.parse_times(raw, ("path",)).select(site.alias("site"), "ts", "leq", "lmax", "lmin")
+    return raw.select(site.alias("site"), "ts", "leq", "lmax", "lmin")
 
 
 def _written(s, d):
@@ -150,6 +203,9 @@ def _parsed(s, d):
 
 QUERIES: dict[str, Query] = {
     "delimited_round_trip": _delimited,
+    "ingest_two_columns": _two_columns,
+    "ingest_mmss": _mmss_files,
+    "ingest_elapsed": _elapsed_files,
     "record_round_trip": _written,
     "ts_parse_named": _spelled,
     "ts_parse_offset": _offset,
@@ -192,7 +248,17 @@ INTEGRITY = f"""{MIXED}, it AS (SELECT site_id, CASE site_id WHEN 'click' THEN '
         - epoch(min(CASE WHEN site_id = 'view' THEN date_trunc('second', ts) ELSE date_trunc('millisecond', ts) END) FILTER (WHERE NOT lost)))/86400,6) END AS span_days,
     CASE site_id WHEN 'click' THEN 'time-only' WHEN 'view' THEN 'epoch:s' ELSE 'inferred-yearfirst' END AS method, site_id NOT IN ('click', 'signup') AS time_metrics_valid FROM mt GROUP BY site_id)"""
 
+EXPORT = f"""{E}, x AS (SELECT concat('SITE-', length(site_id)) AS site, strftime(ts, '%Y%m%d') AS day, date_trunc('second', ts) AS ts, seq,
+    35 + value/8 AS leq, 35 + value/8 + k % 10 / 2::DOUBLE AS lmax FROM e)"""
+
 ORACLES = {
+    "ingest_two_columns": oracle(f"WITH {EXPORT} SELECT site, ts, leq, lmax FROM x"),
+    "ingest_elapsed": oracle(f"WITH {EXPORT} SELECT site, ts, leq, lmax FROM x"),
+    # what minutes and seconds still tell: an hour is counted where they step back
+    "ingest_mmss": oracle(f"""WITH {EXPORT}, w AS (SELECT *, minute(ts) * 60 + second(ts) AS w, row_number() OVER (PARTITION BY site, day ORDER BY ts, seq) AS n FROM x),
+        p AS (SELECT *, lag(w) OVER f > w AS back, first_value(ts) OVER f AS start, first_value(w) OVER f AS w0 FROM w WINDOW f AS (PARTITION BY site, day ORDER BY n)),
+        c AS (SELECT *, sum(CASE WHEN back THEN 1 ELSE 0 END) OVER (PARTITION BY site, day ORDER BY n) AS hours FROM p)
+        SELECT site, start + to_seconds(CAST(hours * 3600 + w - w0 AS BIGINT)) AS ts, leq, lmax FROM c"""),
     "ts_parse_named": oracle(f"WITH {E} SELECT site_id, seq, date_trunc(CASE site_id WHEN 'purchase' THEN 'minute' ELSE 'second' END, ts) AS ts FROM e"),
     "ts_parse_offset": oracle(f"WITH {E} SELECT site_id, seq, date_trunc('millisecond', ts) AS ts FROM e"),
     "delimited_round_trip": oracle("SELECT concat('SITE-', length(site_id)) AS site, ts, leq, lmax, lmin FROM reading", "reading"),

@@ -1,10 +1,9 @@
-"""What a file is, whether it is whole, and readers for delimited text and Parquet exports."""
+"""What a file is, whether it is whole, and the reader of Parquet exports."""
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterator, Sequence
-from functools import reduce
+from urllib.parse import quote
 
 import pandas as pd
 from pyarrow import fs
@@ -15,7 +14,6 @@ from pyspark.sql import functions as F
 from noisefleet.functions import levels as lv
 from noisefleet.functions import roles, text
 from noisefleet.operators.scans import SITE
-from noisefleet.session import cut_lineage
 
 # Leading bytes of the formats, in hex, and their names.
 MAGIC = [("50415231", "parquet"), ("D0CF11E0A1B11AE1", "xls"), ("504B0304", "xlsx")]
@@ -29,7 +27,7 @@ ROW_LIMIT_SLACK = 6
 COMMA_SHARE = 0.95
 
 
-def _store_path(path: str) -> str:
+def store_path(path: str) -> str:
     """A path as Spark lists it, as Arrow opens it."""
     scheme, colon, rest = path.partition(":")
     if colon and scheme == "dbfs":
@@ -39,20 +37,30 @@ def _store_path(path: str) -> str:
     return STORES.get(scheme, scheme) + colon + rest
 
 
+def open_store(path: str) -> tuple[fs.FileSystem, str]:
+    """The file system of a path as Spark lists it, and the path in it."""
+    found = store_path(path)
+    if found.startswith("file:///"):
+        return fs.LocalFileSystem(), found.removeprefix("file://")
+    scheme, mark, rest = found.partition("://")
+    place, slash, name = rest.partition("/")
+    return fs.FileSystem.from_uri(scheme + mark + place + slash + quote(name) if mark else found)
+
+
 def _read_heads(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for batch in batches:
         heads = []
         for path in batch["path"]:
-            store, at = fs.FileSystem.from_uri(_store_path(path))
+            store, at = open_store(path)
             with store.open_input_stream(at, compression=None) as stream:
                 heads.append(stream.read(HEAD_BYTES))
         yield batch.assign(head=heads)
 
 
 def heads(spark: SparkSession, paths: str | list[str]) -> DataFrame:
-    """Path, length and the first 64 KB of every file: the listing comes from Spark, no file is read whole."""
-    listed = spark.read.format("binaryFile").load(paths).select("path", "length")
-    return listed.mapInPandas(_read_heads, "path string, length bigint, head binary")
+    """Path, length, time of change and the first 64 KB of every file: the listing comes from Spark, no file is read whole."""
+    listed = spark.read.format("binaryFile").load(paths).select("path", "length", F.col("modificationTime").alias("modified"))
+    return listed.mapInPandas(_read_heads, "path string, length bigint, modified timestamp, head binary")
 
 
 def formats(spark: SparkSession, paths: str | list[str]) -> DataFrame:
@@ -78,44 +86,6 @@ def refuse(found: DataFrame) -> None:
                                 + ", ".join(r["path"] for r in bad))
 
 
-def lines(spark: SparkSession, paths: str | list[str]) -> DataFrame:
-    """Text lines with the file they are from and a position that rises along the file.
-
-    A position is the byte offset of the line's split plus its number within the split: no split has
-    more lines than bytes, so positions never meet, and nothing has to sort or number a whole file.
-    """
-    raw = spark.read.text(paths).select("value", F.col("_metadata.file_path").alias("path"),
-                                        F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("_id"))
-    first = raw.groupBy("path", "block").agg(F.min("_id").alias("_first"))
-    return raw.join(first, ["path", "block"]).select(
-        F.regexp_replace("value", "^\ufeff|\r$", "").alias("value"), "path", "block",
-        (F.col("block") + F.col("_id") - F.col("_first")).alias("at"))
-
-
-def find_header(head: bytes) -> tuple[int, str, str] | None:
-    """Number, text and separator of the first line whose cells name a time and, in another cell, a level; or two levels."""
-    for at, line in enumerate(re.split(r"\r\n|\n|\r", head.decode("utf-8-sig", "replace"))):
-        sep = max(SEPARATORS, key=line.count)
-        cells = [c.strip().strip('"') for c in line.split(sep)]
-        times = [c for c in cells if c and roles.time_column([(c, "string")])]
-        levels = [c for c in cells if c not in times[:1] and (roles.level_role(c) or roles.names_a_level(c))]
-        if len(levels) > (not times):
-            return at, line, sep
-    return None
-
-
-def _layouts(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    for batch in batches:
-        found = [find_header(bytes(h)) or (None, None, None) for h in batch["head"]]
-        yield pd.DataFrame({"path": batch["path"], "header_at": pd.array([f[0] for f in found], "Int64"),
-                            "header": [f[1] for f in found], "sep": [f[2] for f in found]})
-
-
-def layouts(spark: SparkSession, paths: str | list[str]) -> DataFrame:
-    """Header line, its number and the separator of every file; NULL where the first 64 KB hold no header."""
-    return heads(spark, paths).mapInPandas(_layouts, "path string, header_at bigint, header string, sep string")
-
-
 def fix_decimal_commas(df: DataFrame, columns: Sequence[str], keys: Sequence[str] = ("path",)) -> DataFrame:
     """Text columns with a decimal comma as numbers, where at least 95 % of a record's values are written so."""
     def written(c: str) -> Column:
@@ -133,41 +103,6 @@ def numeric_share(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     return g.unpivot([], list(columns), "column", "share")
 
 
-def read_delimited(spark: SparkSession, paths: str | list[str]) -> tuple[DataFrame, DataFrame]:
-    """Readings of delimited exports, with notes: path, seq, raw time text and the level channels.
-
-    Files are grouped by layout (header and separator); each group is one scan. Only the layouts and
-    file names pass through the driver.
-    """
-    found = cut_lineage(layouts(spark, paths))
-    groups: dict[tuple[str, str], list[str]] = {}
-    for r in found.where("header is not null").select("path", "header", "sep").toLocalIterator():
-        groups.setdefault((r["header"], r["sep"]), []).append(r["path"])
-    parts, notes = [], []
-    for (header, sep), members in groups.items():
-        names = [c.strip().strip('"') for c in header.split(sep)]
-        chosen, said = roles.plan_levels([c for c in names if c])
-        time = roles.time_column([(c, "string") for c in names if c]) or names[0]
-        ddl = ", ".join(f"c{i} string" for i in range(len(names)))
-        body = (lines(spark, members).join(found.select("path", "header_at"), "path")
-                .where((F.col("block") > 0) | (F.col("at") > F.col("header_at"))).where(F.trim("value") != ""))
-        parsed = body.select("path", F.col("at").alias("seq"), F.from_csv("value", ddl, {"sep": sep}).alias("r"))
-        level = {role: f"c{names.index(c)}" for role, c in chosen.items()}
-        flat = parsed.select("path", "seq", F.trim(F.col(f"r.c{names.index(time)}")).alias("raw"),
-                             *[F.col(f"r.{c}").alias(role) for role, c in level.items()])
-        if sep != "," and level:
-            flat = fix_decimal_commas(flat, list(level))
-        parts.append(flat.select("path", "seq", "raw", *[
-            (lv.finite(F.trim(F.col(role)).try_cast("double")) if role in level else F.lit(None).cast("double")).alias(role)
-            for role in ("leq", "lmax", "lmin")]))
-        here = found.where((F.col("header") == header) & (F.col("sep") == sep))
-        notes += [here.select("path", F.lit(code).alias("code"), F.lit(words).alias("text")) for code, words in said]
-    refused = found.where("header is null").select("path", F.lit("no_header").alias("code"), F.lit(
-        f"not read: no line of the first {HEAD_BYTES} bytes names a time and a level, or two levels").alias("text"))
-    nothing = spark.createDataFrame([], "path string, seq bigint, raw string, leq double, lmax double, lmin double")
-    return reduce(DataFrame.unionByName, parts or [nothing]), reduce(DataFrame.unionByName, notes, refused)
-
-
 def read_parquet(spark: SparkSession, paths: str | list[str]) -> tuple[DataFrame, list[tuple[str, str]]]:
     """Readings of Parquet exports that share a schema; the row index of each file is the recorded order."""
     paths = [paths] if isinstance(paths, str) else paths

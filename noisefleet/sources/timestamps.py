@@ -14,7 +14,8 @@ from noisefleet.session import cut_lineage
 
 # Fixed values of the decision.
 YEAR_FIRST = r"^\d{4}[-/]\d{1,2}[-/]\d{1,2}"
-TIME_ONLY = r"^\s*\d{1,3}:\d{2}(:\d{2})?(\.\d+)?\s*$"
+# what is left of a clock time without its digits
+CLOCK_MARKS = (":", "::", ":.", "::.")
 YEAR_SHARE, TIME_ONLY_SHARE = 0.5, 0.8
 WEAK, GOOD_ENOUGH, USABLE, OK_PCT = 0.95, 0.99, 0.60, 99.5
 EPOCH_MS_OVER = 1e11
@@ -30,7 +31,7 @@ EXPLICIT = [
     ("%d-%m-%Y %H:%M:%S", r"^\d{1,2}-\d{1,2}-\d{4} \d{1,2}:\d{1,2}:\d{1,2}$", "day"),
     ("%d.%m.%Y %H:%M:%S", r"^\d{1,2}\.\d{1,2}\.\d{4} \d{1,2}:\d{1,2}:\d{1,2}$", "day"),
 ]
-MONTHS = ("jan", "feb", "mar", "apr", "may", "jun", "jul", "aug", "sep", "oct", "nov", "dec")
+MONTHS = ("january", "february", "march", "april", "may", "june", "july", "august", "september", "october", "november", "december")
 
 
 def _read(text: Column, pattern: str, guard: str) -> Column:
@@ -43,7 +44,7 @@ def _spelled(t: Column) -> Column:
     day_first = r"^(\d{1,2})[ -]([A-Za-z]{3})[a-z]*\.?[ ,-]+(\d{4})(.*)$"
     month_first = r"^([A-Za-z]{3})[a-z]*\.? (\d{1,2}),? (\d{4})(.*)$"
     compact = r"^((?:19|20)\d{2})(\d{2})(\d{2})(?:[ _]?(\d{2})(\d{2})(\d{2})?)?$"
-    numbers = F.create_map(*[x for i, m in enumerate(MONTHS, 1) for x in (F.lit(m), F.lit(i))])
+    numbers = F.create_map(*[x for i, m in enumerate(MONTHS, 1) for x in (F.lit(m[:3]), F.lit(i))])
 
     def dated(pattern: str, year: int, month: int, day: int) -> Column:
         part = [F.regexp_extract(t, pattern, i) for i in range(5)]
@@ -94,12 +95,19 @@ def _epoch(raw: Column, unit: str) -> Column:
     return F.when(F.abs(seconds) < 1e11, F.timestamp_seconds(seconds).cast("timestamp_ntz"))
 
 
-def choose_method(df: DataFrame, keys: Sequence[str] = SITE, raw: str = "raw") -> DataFrame:
+def bare_clock(value: Column) -> Column:
+    """The text is a clock time without a date."""
+    t = F.trim(value)
+    return F.translate(t, "0123456789", "").isin(*CLOCK_MARKS) & t.rlike("^[0-9].*[0-9]$")
+
+
+def choose_method(df: DataFrame, keys: Sequence[str] = SITE, raw: str = "raw", more: dict[str, Column] | None = None) -> DataFrame:
     """How each record is read, decided by all its values in one aggregate.
 
     ``method`` is the strategy and ``share`` what it reads; ``time_only`` says that the values are clock times
     without a date, ``has_year`` that they hold a year. Year-first wins where most values look so; otherwise
-    day-first, month-first only if it reads more; explicit formats only when that is weak.
+    day-first, month-first only if it reads more; explicit formats only when that is weak. ``more`` are aggregates
+    to be counted along.
     """
     k, text = list(keys), F.col(raw)
     # read once, then counted under every strategy
@@ -109,13 +117,17 @@ def choose_method(df: DataFrame, keys: Sequence[str] = SITE, raw: str = "raw") -
     n = F.count(F.lit(1))
     num, big = text.try_cast("double"), text.try_cast("double") > EPOCH_MS_OVER
 
-    def looks(pattern: str, share: float) -> Column:
-        return F.coalesce(F.avg(F.trim(text).rlike(pattern).cast("double")) >= share, F.lit(False))
+    def looks(like: Column, share: float) -> Column:
+        return F.coalesce(F.avg(like.cast("double")) >= share, F.lit(False))
+
+    def shaped(pattern: str) -> Column:
+        return F.trim(text).rlike(pattern)
 
     counts = df.groupBy(*k).agg(
         n.alias("n"), *[(F.count(c) / n).alias(f"c{i}") for i, c in enumerate(named.values())], F.count(num).alias("_num"),
         F.count_if(big).alias("_big"), F.max(F.when(~big, num)).alias("_below"), F.min(F.when(big, num)).alias("_above"),
-        looks(YEAR_FIRST, YEAR_SHARE).alias("_yf"), looks(TIME_ONLY, TIME_ONLY_SHARE).alias("time_only"), looks(r"\d{4}", YEAR_SHARE).alias("has_year"))
+        looks(shaped(YEAR_FIRST), YEAR_SHARE).alias("_yf"), looks(bare_clock(text), TIME_ONLY_SHARE).alias("time_only"),
+        looks(shaped(r"\d{4}"), YEAR_SHARE).alias("has_year"), *[c.alias(name) for name, c in (more or {}).items()])
     # the median passes the limit if most values do; at exactly half it lies between the two nearest ones
     half = 2 * F.col("_big") - F.col("_num")
     in_ms = F.when(half == 0, (F.col("_below") + F.col("_above")) / 2 > EPOCH_MS_OVER).otherwise(half > 0)
@@ -137,7 +149,7 @@ def choose_method(df: DataFrame, keys: Sequence[str] = SITE, raw: str = "raw") -
     by_number = (F.col("_b.f") < USABLE) & (F.col("c_num") >= USABLE) & (F.col("c_num") > F.col("_b.f"))
     unit = F.when(in_ms, "epoch:ms").otherwise("epoch:s")
     return j.select(*k, "n", F.when(by_number, unit).otherwise(F.col("_b.m")).alias("method"),
-                    F.when(by_number, F.col("c_num")).otherwise(F.col("_b.f")).alias("share"), "time_only", "has_year")
+                    F.when(by_number, F.col("c_num")).otherwise(F.col("_b.f")).alias("share"), "time_only", "has_year", *(more or {}))
 
 
 def parse_with(raw: Column, method: Column, normal: Column | None = None) -> Column:
@@ -275,61 +287,88 @@ def unwrap_minutes(df: DataFrame, base: DataFrame, keys: Sequence[str] = SITE, r
     return (counted.join(first, k).join(base, k).withColumn("ts", ck.plus_seconds("base_ts", since)).select(*df.columns, "ts"))
 
 
+def let(value: Column, use) -> Column:
+    """``use`` of a value that is worked out once, however often it is used."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
 def trial_start(line: Column) -> Column:
-    """Start from a preamble line such as '2024_03_05__9h04m07s'."""
-    p = r"(\d{4})_(\d{2})_(\d{2})__(\d{1,2})h(\d{2})m(\d{2})s"
-    part = [F.regexp_extract(line, p, i) for i in range(1, 7)]
-    text = F.concat(part[0], F.lit("-"), part[1], F.lit("-"), part[2], F.lit(" "), F.concat_ws(":", *part[3:]))
-    return F.try_to_timestamp(F.when(line.rlike(p), text), F.lit("yyyy-MM-dd H:mm:ss")).cast("timestamp_ntz")
+    """Start from a preamble line such as '2024_03_05__9h04m07s': the first word that reads so."""
+    words = F.split(line, "[^0-9_hms]+")
+    read = F.transform(words, lambda w: F.try_to_timestamp(w, F.lit("yyyy_MM_dd__H'h'mm'm'ss's'")))
+    return F.try_element_at(F.filter(read, lambda t: t.isNotNull()), F.lit(1)).cast("timestamp_ntz")
 
 
 def dates_from_name(stem: Column, modified: Column) -> tuple[Column, Column]:
-    """First and last date named in a file: '21_feb-_12_march' or '3.12-3.16' (month.day).
+    """First and last date named in a file: two days each with its month's name, or two of the form month.day.
 
-    The year is the one in the name, else the year of ``modified``, or the one before if the start lies ahead of it.
+    A name is cut into its numbers and words. Of a month any beginning of three letters or more will do. The year is the
+    one in the name, else the year of ``modified``, or the one before if the start lies ahead of it.
     """
-    low = F.lower(stem)
-    month = r"(jan(?:uary)?|feb(?:ruary)?|mar(?:ch)?|apr(?:il)?|may|june?|july?|aug(?:ust)?|sep(?:t|tember)?|oct(?:ober)?|nov(?:ember)?|dec(?:ember)?)"
-    words = r"(\d{1,2})\s*[_\-\. ]*" + month + r"\s*[_\- ]*[_\-]?\s*(\d{1,2})\s*[_\-\. ]*" + month
-    dots = r"(\d{1,2})\.(\d{1,2})\s*[-_ ]\s*(\d{1,2})\.(\d{1,2})"
-    names = F.array(*[F.lit(m) for m in MONTHS])
+    parts = F.regexp_extract_all(F.lower(stem), F.lit("([0-9]+|[a-z]+)"), F.lit(1))
+    dotted = F.filter(F.split(stem, "[^0-9.]+"), lambda w: F.length(w) > 0)
+
+    def at(array: Column, i: Column) -> Column:
+        return F.try_element_at(array, i.cast("int"))
+
+    def number(w: Column) -> Column:
+        return F.when(F.length(w) <= 2, w.try_cast("int"))
 
-    def group(pattern: str, i: int) -> Column:
-        return F.regexp_extract(low, pattern, i)
+    def month(w: Column) -> Column:
+        return F.coalesce(*[F.when((F.length(w) >= 3) & F.lit(m).startswith(w), i) for i, m in enumerate(MONTHS, 1)])
 
-    def number(c: Column) -> Column:
-        return c.try_cast("int")
+    def month_and_day(w: Column) -> Column:
+        two = F.split(w, "[.]")
+        return F.when(F.size(two) == 2, F.struct(number(two[0]).alias("m"), number(two[1]).alias("d")))
 
-    def month_number(c: Column) -> Column:
-        return F.array_position(names, F.substring(c, 1, 3)).cast("int")
+    def pairs(array: Column, step: int, first, second) -> Column:
+        """What ``first`` and ``second`` read at the earliest place where both read something."""
+        found = F.transform(F.sequence(F.lit(1), F.greatest(F.size(array), F.lit(1))), lambda i: F.struct(
+            first(i).alias("a"), second(i + step).alias("b")))
+        whole = lambda x: x["m"].isNotNull() & x["d"].isNotNull()
+        return at(F.filter(found, lambda x: whole(x["a"]) & whole(x["b"])), F.lit(1))
 
-    worded = low.rlike(words)
-    m1 = F.when(worded, month_number(group(words, 2))).otherwise(number(group(dots, 1)))
-    d1 = F.when(worded, number(group(words, 1))).otherwise(number(group(dots, 2)))
-    m2 = F.when(worded, month_number(group(words, 4))).otherwise(number(group(dots, 3)))
-    d2 = F.when(worded, number(group(words, 3))).otherwise(number(group(dots, 4)))
-    stated = number(F.regexp_extract(stem, r"(?<!\d)((?:19|20)\d{2})(?!\d)", 1))
+    def spelled(i: Column) -> Column:
+        return F.struct(month(at(parts, i + 1)).alias("m"), number(at(parts, i)).alias("d"))
 
-    def date(y: Column, m: Column, d: Column) -> Column:
-        text = F.format_string("%04d-%02d-%02d", y, m, d)
-        return F.when(y.isNotNull() & m.isNotNull() & d.isNotNull(), F.try_to_timestamp(text, F.lit("yyyy-MM-dd")).cast("date"))
+    named = pairs(parts, 2, spelled, spelled)
+    plain = pairs(dotted, 1, lambda i: month_and_day(at(dotted, i)), lambda i: month_and_day(at(dotted, i)))
+    years = F.filter(parts, lambda w: (F.length(w) == 4) & (w.startswith("19") | w.startswith("20")) & w.try_cast("int").isNotNull())
 
-    this_year = F.year(modified)
-    ahead = date(this_year, m1, d1) > F.to_date(modified)
-    year = F.coalesce(stated, F.when(ahead, this_year - 1).otherwise(this_year))
-    first, last = date(year, m1, d1), date(year, m2, d2)
-    both = first.isNotNull() & last.isNotNull()
-    return F.when(both, first), F.when(both, last)
+    def date(y: Column, md: Column) -> Column:
+        return F.try_to_timestamp(F.format_string("%04d-%02d-%02d", y, md["m"], md["d"]), F.lit("yyyy-MM-dd")).cast("date")
+
+    def dated(x: Column) -> Column:
+        ahead = date(F.year(x["now"]), x["p"]["a"]) > x["now"]
+        year = F.coalesce(x["y"], F.year(x["now"]) - F.when(ahead, 1).otherwise(0))
+        return let(year, lambda y: F.struct(date(y, x["p"]["a"]).alias("a"), date(y, x["p"]["b"]).alias("b")))
+
+    said = F.struct(F.coalesce(named, plain).alias("p"), at(years, F.lit(1)).cast("int").alias("y"), F.to_date(modified).alias("now"))
+    found = F.when(let(said, lambda x: x["p"].isNotNull() & F.coalesce(x["y"], F.year(x["now"])).isNotNull()), let(said, dated))
+    known = let(found, lambda x: F.when(x["a"].isNotNull() & x["b"].isNotNull(), x))
+    return known["a"], known["b"]
 
 
 def start_time_from_name(stem: Column) -> Column:
-    """'HH:MM' of the first window in a file name that runs forwards within a day, such as '9.00-17.30'."""
-    found = F.regexp_extract_all(stem, F.lit(r"(?<!\d)(\d{1,2}\.\d{2}\s*[-–]\s*\d{1,2}\.\d{2})(?!\d)"), F.lit(1))
+    """'HH:MM' of the first window in a file name that runs forwards within a day, such as '9.00-17.30'.
+
+    A window is two clock times on the two sides of a dash; a clock time is an hour, a dot and two digits.
+    """
+    sides = F.split(stem, " *[-–] *")
+
+    def minutes(word: Column) -> Column:
+        two = F.split(word, "[.]")
+        h, m = two[0].try_cast("int"), F.get(two, F.lit(1)).try_cast("int")
+        fits = (F.size(two) == 2) & (F.length(two[0]) <= 2) & (F.length(F.get(two, F.lit(1))) == 2)
+        return F.when(fits & h.between(0, 23) & m.between(0, 59), h * 60 + m)
+
+    def last_word(side: Column) -> Column:
+        return F.try_element_at(F.split(side, "[^0-9.]+"), F.lit(-1))
 
-    def minutes(x: Column, i: int) -> Column:
-        h, m = (F.regexp_extract(x, r"^(\d+)\.(\d+)\s*[-–]\s*(\d+)\.(\d+)$", j).cast("int") for j in (i, i + 1))
-        return F.when((h <= 23) & (m <= 59), h * 60 + m)
+    def first_word(side: Column) -> Column:
+        return F.try_element_at(F.split(side, "[^0-9.]+"), F.lit(1))
 
-    ok = F.filter(found, lambda x: F.coalesce(minutes(x, 3) > minutes(x, 1), F.lit(False)))
-    at = minutes(F.try_element_at(ok, F.lit(1)), 1)
-    return F.when(at.isNotNull(), F.format_string("%02d:%02d", F.floor(at / 60), at % 60))
+    windows = F.transform(F.sequence(F.lit(1), F.size(sides)), lambda i: F.struct(
+        minutes(last_word(F.try_element_at(sides, i))).alias("a"), minutes(first_word(F.try_element_at(sides, i + 1))).alias("b")))
+    start = F.try_element_at(F.filter(windows, lambda w: w["b"] > w["a"]), F.lit(1))["a"]
+    return F.when(start.isNotNull(), F.format_string("%02d:%02d", F.floor(start / 60), start % 60))
