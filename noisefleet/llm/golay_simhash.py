@@ -45,7 +45,7 @@ MOST_BITS = 3
 SHINGLE = 3
 SEED = 42
 # Of the stage: words a shingle, least similarity, smallest hashes a band, and the share of pairs at the bound no band holds.
-NEAR_SHINGLE, SIMILARITY, BAND, MOST_MISSED = 5, 0.8, 5, 0.0005
+NEAR_SHINGLE, SIMILARITY, BAND, MOST_MISSED = 5, 0.8, 10, 0.01
 # Fixed value: generator polynomial of the binary Golay code of length 23.
 GENERATOR = 0b101011100011
 LENGTH, DATA = 23, 12
@@ -239,16 +239,16 @@ def similarity_of(a: np.ndarray, b: np.ndarray) -> float:
 
 
 def sketches(text: Column, shingle: int, bands: int) -> Column:
-    """(node, fp, bands): a hash of the set of shingles, its fingerprint, and the keys of its bands."""
-    @F.pandas_udf("node bigint, fp bigint, bands array<bigint>")
+    """(node, size, fp, bands): a hash of the set of shingles, their number, its fingerprint, and the keys of its bands."""
+    @F.pandas_udf("node bigint, size bigint, fp bigint, bands array<bigint>")
     def sketched(texts: pd.Series) -> pd.DataFrame:
         out = []
         for t in texts:
             hashes = shingle_hashes(t, shingle)
             once = np.unique(hashes)
             keys = band_keys(once, bands) if len(once) else np.empty(0, np.uint64)
-            out.append((np.uint64(xxhash.xxh64_intdigest(once.tobytes())).view(np.int64), np.uint64(_print(hashes)).view(np.int64), keys.view(np.int64)))
-        return pd.DataFrame(out, columns=["node", "fp", "bands"])
+            out.append((np.uint64(xxhash.xxh64_intdigest(once.tobytes())).view(np.int64), len(once), np.uint64(_print(hashes)).view(np.int64), keys.view(np.int64)))
+        return pd.DataFrame(out, columns=["node", "size", "fp", "bands"])
     return sketched(text)
 
 
@@ -272,19 +272,27 @@ def similar(pairs: DataFrame, texts: DataFrame, shingle: int, similarity: float)
 
 
 def near_components(rows: DataFrame, docs: DataFrame, shingle: int, similarity: float) -> DataFrame:
-    """(node, root) of ``rows`` (key, node): components of similar nodes that share a key; ``docs`` is (node, text), one per node."""
-    ends = rows.groupBy("key").agg(F.min("node").alias("low"), F.max("node").alias("high")).where("low <> high")
+    """(node, root) of ``rows`` (key, node, size): components of similar nodes that share a key; ``docs`` is (node, text), one per node.
+
+    Similar sets are of similar size, which is asked before any text is fetched.
+    """
+    def sized(a: str, b: str) -> Column:
+        return F.least(a, b) >= F.greatest(a, b) * similarity
+
+    one = F.struct("node", "size")
+    ends = rows.groupBy("key").agg(F.min(one).alias("low"), F.max(one).alias("high")).where("low.node <> high.node")
     shared = stored(rows.join(stored(ends, "near-ends").hint("merge"), "key"), "near-keys")
     texts = stored(docs.join(stored(shared.select("node").distinct(), "near-shared").hint("merge"), "node"), "near-texts")
-    stars = shared.where("node <> low").select(F.col("node").alias("a"), F.col("low").alias("b")).unionByName(
-        shared.where("node <> high and node <> low").select(F.col("node").alias("a"), F.col("high").alias("b")))
+    stars = shared.where("node <> low.node").where(sized("size", "low.size")).select(F.col("node").alias("a"), F.col("low.node").alias("b")).unionByName(
+        shared.where("node <> high.node and node <> low.node").where(sized("size", "high.size")).select(F.col("node").alias("a"), F.col("high.node").alias("b")))
     first = components(similar(stars, texts, shingle, similarity), "near-stars")
-    placed = stored(shared.select("key", "node").join(first, "node", "left").select("key", "node", F.coalesce("root", "node").alias("part")), "near-placed")
+    placed = stored(shared.select("key", "node", "size").join(first, "node", "left").select("key", "node", "size", F.coalesce("root", "node").alias("part")), "near-placed")
     sizes = placed.groupBy("key", "part").agg(F.count("*").alias("n"))
     main = sizes.groupBy("key").agg(F.max(F.struct("n", "part"))["part"].alias("main"), F.count("*").alias("parts")).where("parts > 1")
     left = stored(placed.join(stored(main, "near-main").hint("merge"), "key"), "near-open")
-    right = left.select("key", F.col("node").alias("b"), F.col("part").alias("pb"))
-    rest = left.where("part <> main").select("key", F.col("node").alias("a"), F.col("part").alias("pa")).join(right, "key").where("pa <> pb")
+    right = left.select("key", F.col("node").alias("b"), F.col("part").alias("pb"), F.col("size").alias("sb"))
+    rest = left.where("part <> main").select("key", F.col("node").alias("a"), F.col("part").alias("pa"), F.col("size").alias("sa")).join(right, "key")
+    rest = rest.where("pa <> pb").where(sized("sa", "sb"))
     links = similar(rest.select("a", "b"), texts, shingle, similarity).unionByName(first.select(F.col("node").alias("a"), F.col("root").alias("b")))
     return components(links, "near-links")
 
@@ -295,11 +303,11 @@ def keep_one(docs: DataFrame, shingle: int = NEAR_SHINGLE, similarity: float = S
     bands = 1 if similarity >= 1 else math.ceil(math.log(MOST_MISSED) / math.log(1 - similarity ** BAND))
     keys = [F.coalesce(docs["doc_id"].cast("bigint"), F.lit((1 << 63) - 1)).alias("id"), F.xxhash64(docs["text"]).alias("text_hash")]
     known = stored(docs.select(*keys, sketches(docs["text"], shingle, bands).alias("s")).select("id", "text_hash", "s.*"), "near-sketches")
-    nodes = stored(known.groupBy("node").agg(F.min(F.struct("id", "text_hash")).alias("k"), F.min("fp").alias("fp"), F.first("bands").alias("bands"))
-                   .select("node", "k.*", "fp", "bands"), "near-nodes")
+    nodes = stored(known.groupBy("node").agg(F.min(F.struct("id", "text_hash")).alias("k"), F.min("fp").alias("fp"), F.first("size").alias("size"),
+                                                F.first("bands").alias("bands")).select("node", "k.*", "fp", "size", "bands"), "near-nodes")
     prints = nodes.join(print_components(nodes.select("fp").distinct()).hint("merge"), "fp", "left").select(
-        F.coalesce("root", "fp").alias("key"), "node")
-    rows = prints.unionByName(nodes.select(F.explode("bands").alias("key"), "node"))
+        F.coalesce("root", "fp").alias("key"), "node", "size")
+    rows = prints.unionByName(nodes.select(F.explode("bands").alias("key"), "node", "size"))
     texts = docs.select(*keys, docs["text"].alias("text")).join(nodes.select("node", "id", "text_hash").hint("merge"), ["id", "text_hash"])
     texts = texts.dropDuplicates(["node"]).select("node", "text")
     placed = known.select("id", "text_hash", "node").join(near_components(rows, texts, shingle, similarity).hint("merge"), "node", "left")
