@@ -202,15 +202,13 @@ def encode_short(pieces: Pieces, codes: np.ndarray, key: np.ndarray, dropout: fl
     """(piece, start, count, places of the merges made) of chunks of one length as rows of code points. With ``left_out``
     (a row of places each, 0 for none) those merges are skipped and no others.
 
-    Each round merges in every row what the agenda would take next. All rows still at work have had the same number of
-    merges, so the matrices lose a column each round; rows without a merge left are set aside.
+    Each round merges in every row what the agenda would take next. A piece stands at its first character's place and
+    knows its neighbours, so that a round writes only where it merges; rows without a merge left are set aside in time.
     """
     n, width = codes.shape
     piece = pieces.letter[np.minimum(codes, len(pieces.letter) - 1)]
-    start = np.broadcast_to(np.arange(width + 1, dtype=np.int32), (n, width + 1))
-    done_piece, done_start, count = np.full((n, width), -1, np.int32), np.zeros((n, width), np.int32), np.zeros(n, np.int64)
+    gone, merges = np.zeros((n, width), bool), np.zeros(n, np.int64)
     made = np.zeros((n, max(0, width - 1)), np.uint64)
-    live = np.arange(n)
 
     def offers(rows: np.ndarray, left: np.ndarray, right: np.ndarray, s: np.ndarray, m: np.ndarray, e: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Rank and union of candidate merges, one per element; no rank for those that cannot be or are skipped."""
@@ -226,33 +224,47 @@ def encode_short(pieces: Pieces, codes: np.ndarray, key: np.ndarray, dropout: fl
             rank[some[_skipped(key[rows[some]], s[some], m[some], e[some], dropout)]] = NONE
         return rank, union
 
+    live = np.arange(n)
     if width > 1:
+        column = np.tile(np.arange(width - 1), n)
         rank, union = (x.reshape(n, width - 1) for x in offers(np.repeat(live, width - 1), piece[:, :-1].ravel(), piece[:, 1:].ravel(),
-                                                               start[:, :-2].ravel(), start[:, 1:-1].ravel(), start[:, 2:].ravel()))
-    while len(live):
-        w = piece.shape[1]
-        at = rank.argmin(axis=1) if w > 1 else np.zeros(len(live), np.int64)
-        more = rank[np.arange(len(live)), at] < NONE if w > 1 else np.zeros(len(live), bool)
-        if not more.all():
-            ended = live[~more]
-            done_piece[ended, :w], done_start[ended, :w], count[ended] = piece[~more], start[~more, :w], w
-            live, piece, start, at = live[more], piece[more], start[more], at[more]
-            if not len(live):
+                                                               column, column + 1, column + 2))
+        now, after, before = piece.copy(), np.tile(np.arange(1, width + 1, dtype=np.int16), (n, 1)), np.tile(np.arange(-1, width - 1, dtype=np.int16), (n, 1))
+        dead = gone.copy()
+    while width > 1 and len(live):
+        at = rank.argmin(axis=1)
+        row = np.nonzero(rank[np.arange(len(live)), at] < NONE)[0]
+        if 2 * len(row) < len(live) or not len(row):
+            ended = np.ones(len(live), bool)
+            ended[row] = False
+            piece[live[ended]], gone[live[ended]] = now[ended], dead[ended]
+            live, now, after, before, dead, rank, union, at = (x[row] for x in (live, now, after, before, dead, rank, union, at))
+            row = np.arange(len(live))
+            if not len(row):
                 break
-            rank, union = rank[more], union[more]
-        row, here = np.arange(len(live)), at[:, None]
-        merged = union[row, at]
-        made[live, width - w] = _place(start[row, at], start[row, at + 1], start[row, at + 2])
-        # close the gap behind the merge
-        piece = np.where(np.arange(w - 1) <= here, piece[:, :-1], piece[:, 1:])
-        piece[row, at] = merged
-        start = np.where(np.arange(w) <= here, start[:, :-1], start[:, 1:])
-        rank = np.where(np.arange(w - 2) < here, rank[:, :-1], rank[:, 1:])
-        union = np.where(np.arange(w - 2) < here, union[:, :-1], union[:, 1:])
-        for side in (at - 1, at):
-            ok = np.nonzero((side >= 0) & (side < w - 2))[0]
-            k = side[ok]
-            rank[ok, k], union[ok, k] = offers(live[ok], piece[ok, k], piece[ok, k + 1], start[ok, k], start[ok, k + 1], start[ok, k + 2])
+        i = at[row]
+        k = after[row, i].astype(np.int64)
+        e = after[row, k].astype(np.int64)
+        who = live[row]
+        made[who, merges[who]] = _place(i, k, e)
+        merges[who] += 1
+        now[row, i], after[row, i], dead[row, k], rank[row, i] = union[row, i], e, True, NONE
+        inner = k < width - 1
+        rank[row[inner], k[inner]] = NONE
+        right = np.nonzero(e < width)[0]
+        before[row[right], e[right]] = i[right]
+        b = before[row, i].astype(np.int64)
+        left = np.nonzero(b >= 0)[0]
+        # the merged piece with the one behind it, and the one before it with the merged piece
+        r = np.concatenate([row[right], row[left]])
+        first, second = np.concatenate([i[right], b[left]]), np.concatenate([e[right], i[left]])
+        stop = np.concatenate([after[row[right], e[right]], e[left]]).astype(np.int64)
+        rank[r, first], union[r, first] = offers(live[r], now[r, first], now[r, second], first, second, stop)
+    where, start = np.nonzero(~gone)
+    count = width - merges
+    column = np.arange(len(where)) - np.repeat(count.cumsum() - count, count)
+    done_piece, done_start = np.full((n, width), -1, np.int32), np.zeros((n, width), np.int32)
+    done_piece[where, column], done_start[where, column] = piece[where, start], start
     return done_piece, done_start, count, made
 
 
