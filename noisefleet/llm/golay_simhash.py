@@ -221,14 +221,19 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
 
 
 def band_keys(hashes: np.ndarray, bands: int) -> np.ndarray:
-    """A key per band of the smallest hashes of a set under ``BAND`` orders each."""
+    """A key per band of the smallest hashes of a set under ``BAND`` orders each.
+
+    The hashes are even already, so that a product and a sum in 32 bits give each order.
+    """
     rng = np.random.default_rng(SEED)
-    by, plus = (rng.integers(0, 1 << 64, bands * BAND, np.uint64) for _ in range(2))
-    least = np.full(bands * BAND, np.iinfo(np.uint64).max)
-    with np.errstate(over="ignore"):
-        for start in range(0, len(hashes), 4096):
-            x = hashes[start:start + 4096, None] * (by | np.uint64(1)) + plus
-            least = np.minimum(least, ((x ^ (x >> np.uint64(32))) * np.uint64(0xBF58476D1CE4E5B9)).min(axis=0))
+    by, plus = (rng.integers(0, 1 << 32, bands * BAND, np.uint32) for _ in range(2))
+    by |= np.uint32(1)
+    least = np.full(bands * BAND, np.iinfo(np.uint32).max, np.uint32)
+    x = (hashes >> np.uint64(32)).astype(np.uint32)
+    for start in range(0, len(x), 512):
+        order = x[start:start + 512, None] * by
+        order += plus
+        np.minimum(least, order.min(axis=0), out=least)
     return np.array([xxhash.xxh64_intdigest(k.tobytes(), i) for i, k in enumerate(least.reshape(bands, BAND))], np.uint64)
 
 
