@@ -128,17 +128,12 @@ def curriculum(docs: DataFrame, weights: Sequence[int] = WEIGHTS, share: float =
                curves: Sequence[Curve] = CURVES, seed: int = 42) -> DataFrame:
     """The mixed documents in training order: one row per pass over a document, the columns of ``docs``.
 
-    A document of which only a part is needed comes with the leading words of that part; n_chars follows.
+    Documents come whole. One of which only a part is needed comes if that is half of it or more: whichever is nearer to the
+    target. An input column ``__at`` is kept like any other.
     """
     plan = mix(docs, weights, share, most, curves, seed)
-    passes = F.filter(F.transform(F.sequence(F.lit(0), F.lit(most - 1)),
-                                  lambda k: F.struct(position(k, curves).alias("at"), _part(k).alias("words"))), lambda p: p["words"] > 0)
-    copies = plan.select("row", "size", F.explode(passes).alias("pass"))
-    # a cut before each run of space keeps the text as it is
-    lead = F.array_join(F.slice(F.split(F.col("row.text"), r"(?<=[^\x20\x09-\x0D])(?=[\x20\x09-\x0D])"), F.lit(1), F.col("pass.words").cast("int")), "")
-    text = F.when(F.col("pass.words") < F.col("size"), lead).otherwise(F.col("row.text"))
-    columns = [text.alias(c) if c == "text" else F.col(f"row.`{c}`") for c in docs.columns if c != "n_chars"]
-    out = copies.select(F.col("pass.at").alias("__at"), *columns)
-    if "n_chars" in docs.columns:
-        out = out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
-    return out.repartitionByRange(F.col("__at"), F.xxhash64("doc_id")).sortWithinPartitions("__at", "doc_id").select(*[f"`{c}`" for c in docs.columns])
+    passes = F.filter(F.transform(F.sequence(F.lit(0), F.lit(most - 1)), lambda k: F.struct(position(k, curves).alias("at"), _part(k).alias("words"))),
+                      lambda p: (p["words"] > 0) & (2 * p["words"] >= F.col("size")))
+    copies = plan.select("row", F.explode(passes).alias("pass"))
+    out = copies.repartitionByRange(F.col("pass.at"), F.xxhash64("row.doc_id")).sortWithinPartitions("pass.at", "row.doc_id")
+    return out.select(*[F.col(f"row.`{c}`") for c in docs.columns])

@@ -3,7 +3,7 @@
 Each vector, scaled to length 1, is turned by one seeded random rotation; the index keeps the signs of its
 coordinates as packed bits and one correction scalar, the inner product of the vector with its code. A query's
 inner product with a code, divided by that scalar, estimates its cosine with the vector, and the error stays
-within ``spread`` * sqrt((1 - c^2) / c^2) / sqrt(dim - 1) with a probability that ``spread`` sets (1.9: over 99 in
+within ``spread`` * sqrt((1 - c^2) / c^2) / sqrt(dim - 1) with a probability that ``spread`` sets (1.9: about 97 in
 100). A query first scores its best estimates exactly; every vector whose estimate plus bound reaches the
 worst of those is then scored exactly too, in double precision on the original vectors.
 
@@ -97,8 +97,10 @@ def answer_block(queries: pd.DataFrame, vectors: pd.DataFrame, k: int, spread: f
         row = np.repeat(np.arange(len(best)), best.shape[1])
         exact = cosines(q[some][row], x[best.ravel()]).reshape(best.shape)
         worst = np.where(np.take_along_axis(own, best, axis=1), np.inf, exact).min(axis=1)
-        # estimates are rounded to single precision; the margin covers that
-        row, column = np.nonzero(~own & (guess + error + 1e-5 >= worst[:, None]))
+        # the vectors that set the bar stay, whatever their own bound; estimates are rounded to single precision, which the margin covers
+        chosen = guess + error + 1e-5 >= worst[:, None]
+        np.put_along_axis(chosen, best, True, axis=1)
+        row, column = np.nonzero(~own & chosen)
         scores = cosines(q[some][row], x[column])
         order = np.lexsort((ids[column], -scores, row))
         row, column, scores = row[order], column[order], scores[order]
