@@ -46,6 +46,8 @@ SHINGLE = 3
 SEED = 42
 # Of the stage: words a shingle, least similarity, smallest hashes a band, and the share of pairs at the bound no band holds.
 NEAR_SHINGLE, SIMILARITY, BAND, MOST_MISSED = 5, 0.8, 10, 0.01
+# Of the stage: nodes of a key that all its nodes are compared with first.
+PIVOTS = 4
 # Fixed value: generator polynomial of the binary Golay code of length 23.
 GENERATOR = 0b101011100011
 LENGTH, DATA = 23, 12
@@ -284,12 +286,13 @@ def near_components(rows: DataFrame, docs: DataFrame, shingle: int, similarity:
     def sized(a: str, b: str) -> Column:
         return F.least(a, b) >= F.greatest(a, b) * similarity
 
-    one = F.struct("node", "size")
-    ends = rows.groupBy("key").agg(F.min(one).alias("low"), F.max(one).alias("high")).where("low.node <> high.node")
-    shared = stored(rows.join(stored(ends, "near-ends").hint("merge"), "key"), "near-keys")
+    # of each key, the first nodes under some orders by hash, the same orders for all keys
+    pivots = [F.min(F.struct(F.xxhash64("node", F.lit(j)).alias("at"), "node", "size")) for j in range(PIVOTS)]
+    ends = rows.groupBy("key").agg(F.array(*pivots).alias("pivots"), F.min("node").alias("low"), F.max("node").alias("high")).where("low <> high")
+    shared = stored(rows.join(stored(ends.drop("low", "high"), "near-ends").hint("merge"), "key"), "near-keys")
     texts = stored(docs.join(stored(shared.select("node").distinct(), "near-shared").hint("merge"), "node"), "near-texts")
-    stars = shared.where("node <> low.node").where(sized("size", "low.size")).select(F.col("node").alias("a"), F.col("low.node").alias("b")).unionByName(
-        shared.where("node <> high.node and node <> low.node").where(sized("size", "high.size")).select(F.col("node").alias("a"), F.col("high.node").alias("b")))
+    stars = shared.select("node", "size", F.explode(F.array_distinct("pivots")).alias("p")).where("node <> p.node").where(sized("size", "p.size")).select(
+        F.col("node").alias("a"), F.col("p.node").alias("b"))
     first = components(similar(stars, texts, shingle, similarity), "near-stars")
     placed = stored(shared.select("key", "node", "size").join(first, "node", "left").select("key", "node", "size", F.coalesce("root", "node").alias("part")), "near-placed")
     sizes = placed.groupBy("key", "part").agg(F.count("*").alias("n"))
