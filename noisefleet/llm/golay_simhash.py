@@ -20,8 +20,8 @@ outside the key's largest component. Links inside a component add nothing, so no
 ``keep_one`` (a stage) asks for more than those 3 bits hold: exact similarity (Jaccard) of ``similarity`` or more over
 sets of ``shingle``-word shingles. A fingerprint's radius misses most such pairs, so beside the components of the
 fingerprints, bands of smallest hashes (min-hash) are keys, as many as leave ``MOST_MISSED`` of the pairs right at the
-bound unseen, fewer above it. Every link is verified on the texts; the same two steps as above keep groups from meeting
-as all pairs.
+bound unseen, fewer above it. Every link is verified on the texts. Nodes of a key meet ``PIVOTS`` of its nodes first; what
+is left unlinked there meets again only where it shares one of its rarest shingles early enough to be similar.
 
 Defined cases: null and empty texts and texts without a word have fingerprint 0, which links like any other;
 repeated rows share their class; a null doc_id belongs to a component like any other but never names it; an
@@ -36,7 +36,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from noisefleet.llm.common import stored
@@ -278,29 +278,59 @@ def similar(pairs: DataFrame, texts: DataFrame, shingle: int, similarity: float)
     return once.join(side("a", "left"), "a").join(side("b", "right"), "b").where(enough("left", "right")).select("a", "b")
 
 
+def _sized(a: str, b: str, similarity: float) -> Column:
+    return F.least(a, b) >= F.greatest(a, b) * similarity
+
+
+def rare_keys(nodes: DataFrame, texts: DataFrame, shingle: int, similarity: float) -> DataFrame:
+    """(key, node, size, part, tail): the rarest shingles of ``nodes`` (node, size, part), as many as two similar sets must share one of.
+
+    Sets of n shingles share ceil(similarity * n) of them at least, so one stands among the first n - ceil(similarity * n) + 1
+    of each in any common order; here the one by number of holders. Shingles of one holder lead to nobody, but take their places.
+    ``tail`` counts a node's shingles from this one on, itself included.
+    """
+    @F.pandas_udf("array<bigint>")
+    def hashes(text: pd.Series) -> pd.Series:
+        return pd.Series([np.unique(shingle_hashes(t, shingle)).view(np.int64) for t in text])
+
+    held = stored(texts.join(nodes.hint("merge"), "node").select("node", F.explode(hashes("text")).alias("key")), "near-shingles")
+    several = stored(held.groupBy("key").agg(F.count("*").alias("holders")).where("holders > 1"), "near-holders")
+    common = stored(held.join(several.hint("merge"), "key"), "near-common")
+    room = common.groupBy("node").agg(F.count("*").alias("n")).join(nodes, "node").withColumn(
+        "room", F.col("n") - F.ceil(F.col("size") * F.lit(similarity) - F.lit(1e-6)) + 1).where("room > 0")
+    place = F.row_number().over(Window.partitionBy("node").orderBy("holders", "key"))
+    first = common.join(room.hint("merge"), "node").withColumn("place", place).where("place <= room")
+    return stored(first.select("key", "node", "size", "part", (F.col("n") - F.col("place") + 1).alias("tail")), "near-rare")
+
+
 def near_components(rows: DataFrame, docs: DataFrame, shingle: int, similarity: float) -> DataFrame:
     """(node, root) of ``rows`` (key, node, size): components of similar nodes that share a key; ``docs`` is (node, text), one per node.
 
-    Similar sets are of similar size, which is asked before any text is fetched.
+    Every row of a key is compared with the key's ``PIVOTS`` first, which settles most groups. What lies in a key and outside
+    its largest component then gets finer keys, its rarest shingles (``rare_keys``): sets that share a common passage but
+    not enough else no longer meet, and no similar pair is lost. Similar sets are of similar size, which is asked
+    before any text is fetched.
     """
-    def sized(a: str, b: str) -> Column:
-        return F.least(a, b) >= F.greatest(a, b) * similarity
-
     # of each key, the first nodes under some orders by hash, the same orders for all keys
     pivots = [F.min(F.struct(F.xxhash64("node", F.lit(j)).alias("at"), "node", "size")) for j in range(PIVOTS)]
     ends = rows.groupBy("key").agg(F.array(*pivots).alias("pivots"), F.min("node").alias("low"), F.max("node").alias("high")).where("low <> high")
     shared = stored(rows.join(stored(ends.drop("low", "high"), "near-ends").hint("merge"), "key"), "near-keys")
     texts = stored(docs.join(stored(shared.select("node").distinct(), "near-shared").hint("merge"), "node"), "near-texts")
-    stars = shared.select("node", "size", F.explode(F.array_distinct("pivots")).alias("p")).where("node <> p.node").where(sized("size", "p.size")).select(
-        F.col("node").alias("a"), F.col("p.node").alias("b"))
+    stars = shared.select("node", "size", F.explode(F.array_distinct("pivots")).alias("p")).where("node <> p.node").where(
+        _sized("size", "p.size", similarity)).select(F.col("node").alias("a"), F.col("p.node").alias("b"))
     first = components(similar(stars, texts, shingle, similarity), "near-stars")
     placed = stored(shared.select("key", "node", "size").join(first, "node", "left").select("key", "node", "size", F.coalesce("root", "node").alias("part")), "near-placed")
-    sizes = placed.groupBy("key", "part").agg(F.count("*").alias("n"))
+    unsettled = placed.groupBy("key").agg(F.min("part").alias("low"), F.max("part").alias("high")).where("low <> high").select("key")
+    nodes = stored(placed.join(stored(unsettled, "near-unsettled").hint("merge"), "key").select("node", "size", "part").distinct(), "near-open")
+    rare = rare_keys(nodes, texts, shingle, similarity)
+    sizes = rare.groupBy("key", "part").agg(F.count("*").alias("n"))
     main = sizes.groupBy("key").agg(F.max(F.struct("n", "part"))["part"].alias("main"), F.count("*").alias("parts")).where("parts > 1")
-    left = stored(placed.join(stored(main, "near-main").hint("merge"), "key"), "near-open")
-    right = left.select("key", F.col("node").alias("b"), F.col("part").alias("pb"), F.col("size").alias("sb"))
-    rest = left.where("part <> main").select("key", F.col("node").alias("a"), F.col("part").alias("pa"), F.col("size").alias("sa")).join(right, "key")
-    rest = rest.where("pa <> pb").where(sized("sa", "sb"))
+    left = stored(rare.join(stored(main.drop("parts"), "near-main").hint("merge"), "key"), "near-left")
+    side = lambda n: [F.col("node").alias(n), F.col("part").alias(f"p{n}"), F.col("size").alias(f"s{n}"), F.col("tail").alias(f"t{n}")]
+    rest = left.where("part <> main").select("key", *side("a")).join(left.select("key", *side("b")), "key")
+    # at their first common shingle the tails of two similar sets hold all that they share
+    share = (F.col("sa") + F.col("sb")) * F.lit(similarity / (1 + similarity)) - F.lit(1e-6)
+    rest = rest.where("pa <> pb").where(_sized("sa", "sb", similarity)).where(F.least("ta", "tb") >= share)
     links = similar(rest.select("a", "b"), texts, shingle, similarity).unionByName(first.select(F.col("node").alias("a"), F.col("root").alias("b")))
     return components(links, "near-links")
 
