@@ -121,32 +121,23 @@ def channel_ranks(df: DataFrame, keys: Sequence[str] = SITE, channels: Sequence[
 
 
 def channel_stats(df: DataFrame, keys: Sequence[str] = SITE, channels: Sequence[str] = CHANNELS) -> DataFrame:
-    """Mean, spread and shape of every channel, from one scan of the readings.
+    """Mean, spread and shape of every channel.
 
-    Moments are taken about the mean from counted levels: first the mean per key, then its powers.
+    Moments merge in one pass over the readings; quartiles come from counted levels.
     """
     by = [*keys, "channel"]
-    r = channel_ranks(df, keys, channels)
-    n, v = F.col("n"), F.col("v")
-    base = r.groupBy(*by).agg(
-        F.sum("n").alias("n_total"), (F.sum(v * n) / F.sum("n")).alias("mean_arithmetic"),
-        lv.to_db(F.sum(lv.energy(v) * n) / F.sum("n")).alias("laeq"),
-        F.min("v").alias("min"), F.max("v").alias("max"),
-        ranks.percentile_of_ranked(0.25).alias("_q1"), ranks.percentile_of_ranked(0.5).alias("median"),
-        ranks.percentile_of_ranked(0.75).alias("_q3"))
-    d = v - F.col("mean_arithmetic")
-    moments = (r.drop("n_total").join(base, by).groupBy(*by)
-               .agg(F.sum(n * d * d).alias("_m2"), F.sum(n * d * d * d).alias("_m3"),
-                    F.sum(n * d * d * d * d).alias("_m4")))
-    s = base.join(moments, by)
-    size = F.col("n_total")
-    variance = F.when(size > 1, F.col("_m2") / (size - 1))
-    spread = F.col("_m2") > 0
-    return s.select(
-        *by, size.alias("n"), "laeq", "mean_arithmetic", "median", F.sqrt(variance).alias("std_dev"), "min", "max",
+    found = by_channel(df, keys, channels).where(F.col("level").isNotNull())
+    moments = found.groupBy(*by).agg(
+        F.count("level").alias("n"), lv.laeq("level").alias("laeq"), F.avg("level").alias("mean_arithmetic"),
+        F.min("level").alias("min"), F.max("level").alias("max"), F.var_samp("level").alias("_var"),
+        F.skewness("level").alias("_skew"), F.kurtosis("level").alias("_kurt"))
+    quartiles = ranks.percentiles(found, by, "level", {"_q1": 0.25, "median": 0.5, "_q3": 0.75})
+    variance = F.when(F.col("n") > 1, F.col("_var"))
+    spread = variance > 0
+    return moments.join(quartiles, by).select(
+        *by, "n", "laeq", "mean_arithmetic", "median", F.sqrt(variance).alias("std_dev"), "min", "max",
         (F.col("max") - F.col("min")).alias("range"), variance.alias("variance"),
-        F.when(spread, (F.col("_m3") / size) / F.pow(F.col("_m2") / size, F.lit(1.5))).alias("skewness"),
-        F.when(spread, (F.col("_m4") / size) / F.pow(F.col("_m2") / size, F.lit(2.0)) - 3.0).alias("kurtosis"),
+        F.when(spread, F.col("_skew")).alias("skewness"), F.when(spread, F.col("_kurt")).alias("kurtosis"),
         (F.try_divide(F.sqrt(variance), "mean_arithmetic") * 100.0).alias("cv"),
         (F.col("_q3") - F.col("_q1")).alias("iqr"))
 

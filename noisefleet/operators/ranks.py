@@ -2,8 +2,9 @@
 
 Readings are first reduced to ``(keys, value, n)`` with a map-side partial count, so copies of one
 level collapse before the shuffle and a hot site spreads over its distinct levels. Ranks come from
-a prefix sum over level bins (a bounded number per key) plus a prefix sum inside each bin; nothing
-holds a whole site. Interpolation is linear between neighbouring ranks.
+prefix sums in three steps: over the level bins of a key (a bounded number), over the cells of a bin
+(``FINE_BINS`` at most) and inside a cell, a four-thousandth of a decibel wide. So levels that are not
+rounded spread too, and nothing holds a whole site. Interpolation is linear between neighbouring ranks.
 """
 
 from __future__ import annotations
@@ -17,6 +18,7 @@ from noisefleet.session import cut_lineage
 
 BIN_WIDTH = 0.25
 MAX_BIN = 4096
+FINE_BINS = 1024
 
 
 def value_counts(df: DataFrame, keys: Sequence[str], value: str = "leq") -> DataFrame:
@@ -34,18 +36,23 @@ def kept_counts(df: DataFrame, keys: Sequence[str], value: str = "leq") -> DataF
 
 def ranked(counts: DataFrame, keys: Sequence[str], bin_width: float = BIN_WIDTH) -> DataFrame:
     """Add to every distinct value its 0-based rank range ``[rank0, rank1)`` and the group size."""
-    b = counts.withColumn("_bin", F.greatest(F.lit(-MAX_BIN), F.least(
-        F.lit(MAX_BIN), F.floor(F.col("v") / F.lit(bin_width)))).cast("int"))
-    per_key = Window.partitionBy(*keys)
-    bins = b.groupBy(*keys, "_bin").agg(F.sum("n").alias("_bn")).select(
+    at = F.col("v") / F.lit(bin_width)
+    coarse = F.greatest(F.lit(-MAX_BIN), F.least(F.lit(MAX_BIN), F.floor(at)))
+    fine = F.greatest(F.lit(0), F.least(F.lit(FINE_BINS - 1), F.floor((at - coarse) * FINE_BINS)))
+    b = counts.withColumn("_bin", coarse.cast("int")).withColumn("_fine", fine.cast("int"))
+    cells = b.groupBy(*keys, "_bin", "_fine").agg(F.sum("n").alias("_fn"))
+    per_key, per_bin = Window.partitionBy(*keys), Window.partitionBy(*keys, "_bin")
+    bins = cells.groupBy(*keys, "_bin").agg(F.sum("_fn").alias("_bn")).select(
         *keys, "_bin",
         (F.sum("_bn").over(per_key.orderBy("_bin")) - F.col("_bn")).alias("_before"),
         F.sum("_bn").over(per_key).alias("n_total"))
-    inside = Window.partitionBy(*keys, "_bin").orderBy("v").rowsBetween(Window.unboundedPreceding, 0)
-    return (b.join(bins, [*keys, "_bin"])
-            .withColumn("rank1", F.col("_before") + F.sum("n").over(inside))
+    cells = cells.select(*keys, "_bin", "_fine", (F.sum("_fn").over(per_bin.orderBy("_fine")) - F.col("_fn")).alias("_above")).join(
+        bins, [*keys, "_bin"])
+    inside = Window.partitionBy(*keys, "_bin", "_fine").orderBy("v").rowsBetween(Window.unboundedPreceding, 0)
+    return (b.join(cells, [*keys, "_bin", "_fine"])
+            .withColumn("rank1", F.col("_before") + F.col("_above") + F.sum("n").over(inside))
             .withColumn("rank0", F.col("rank1") - F.col("n"))
-            .drop("_before", "_bin"))
+            .drop("_before", "_above", "_bin", "_fine"))
 
 
 def value_at(rank: Column) -> Column:

@@ -95,3 +95,27 @@ def test_peaks_equal_the_definition(spark, seed, width):
     want = [v for _, v in brute_peaks(x, sd)]
     assert s["number_of_peaks"] == len(want) and s["top5_by_level"] == sorted(want, reverse=True)[:5]
     assert s["last5_in_time"] == want[-5:]
+
+
+def test_ranks_of_levels_that_are_not_rounded(spark):
+    """One site in a quarter of a decibel, levels below zero and beyond the bins, ties: every rank as in a plain sort."""
+    rng = np.random.default_rng(6)
+    v = np.concatenate([50 + rng.random(4000) / 4, -rng.random(300), rng.choice([49.999999, 50.0, 50.25], 300), rng.normal(0, 4000, 200)])
+    sites = np.where(rng.random(len(v)) < 0.9, "A", "B")
+    df = spark.createDataFrame(pd.DataFrame({"site_id": sites, "leq": v}))
+    got = ranks.ranked(ranks.value_counts(df, ["site_id"]), ["site_id"]).toPandas()
+    for site, g in got.groupby("site_id"):
+        held = np.sort(v[sites == site])
+        assert (g["n_total"] == len(held)).all() and len(g) == len(np.unique(held))
+        np.testing.assert_array_equal(g["rank0"], np.searchsorted(held, g["v"], "left"))
+        np.testing.assert_array_equal(g["rank1"], np.searchsorted(held, g["v"], "right"))
+
+
+def test_hot_quarter_decibel_spreads_over_cells(spark):
+    """No window partition holds the readings of a level bin: the rows of a bin stand in hundreds of cells."""
+    df = spark.range(20000).select(F.lit("A").alias("site_id"), (50 + F.rand(3) / 4).alias("leq"))
+    at = F.col("leq") / ranks.BIN_WIDTH
+    cells = df.groupBy(F.floor(at).alias("b"), F.floor((at - F.floor(at)) * ranks.FINE_BINS).alias("f")).count()
+    assert cells.agg(F.max("count")).first()[0] < 60 and cells.count() == ranks.FINE_BINS
+    r = ranks.percentiles(df, ["site_id"], "leq", {"a": 0.5}).first()
+    assert r["a"] == pytest.approx(np.percentile(df.toPandas()["leq"], 50), abs=1e-12)
