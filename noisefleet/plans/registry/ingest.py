@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 import datetime as dt
+import struct
 
+import numpy as np
 from pyspark.sql import functions as F
 
 from noisefleet.functions import clock as ck
@@ -197,6 +199,33 @@ def _written(s, d):
     return s.read.parquet(folder).select("site_id", "file_seq", "seq", "ts", "leq", "lmax", "lmin")
 
 
+def _cil_logs(s, d):
+    """15-minute levels written as one .cil log per site and day, missing ones as NaN, and read back."""
+    folder = new_folder(s, "cil")
+    at = F.transform(F.sequence(F.lit(0), F.lit(95)), lambda i: F.try_element_at(F.col("held"), i))
+    slot = ((F.unix_seconds(F.col("ts").cast("timestamp")) % 86400) / 900).cast("int")
+    days = view(s, d, "reading_15m").groupBy("site_id", F.to_date("ts").alias("day")).agg(
+        F.map_from_entries(F.collect_list(F.struct(slot, F.struct("leq", "lmax", "lmin")))).alias("held"))
+    days = days.select(F.concat(F.lit(folder + "/"), "site_id", F.lit("_"), F.col("day").cast("string"), F.lit(".cil")).alias("path"),
+                       F.unix_seconds(F.col("day").cast("timestamp")).cast("double").alias("start"), *[at[c].alias(c) for c in loggers.CIL_BLOCKS])
+
+    def written(batches):
+        for batch in batches:
+            for r in batch.itertuples():
+                out = b"".join(struct.pack(">i", len(t)) + t for t in (b"NSRTW_mk4_Audio", b"1.70", b"DEVICE", b"")) + struct.pack(">i", 1)
+                for c in loggers.CIL_BLOCKS:
+                    values = np.array([np.nan if x is None else x for x in getattr(r, c)], ">f8")
+                    out += struct.pack(loggers.CIL_HEADER, r.start + loggers.CIL_EPOCH_OFFSET_S, 900.0, len(values)) + values.tobytes()
+                store, name = files.open_store(r.path)
+                store.create_dir(name.rpartition("/")[0], recursive=True)
+                with store.open_output_stream(name) as file:
+                    file.write(out)
+            yield batch[["path"]]
+    days.mapInPandas(written, "path string").count()
+    back = loggers.read_cil(s, folder, "UTC").where(F.col("leq").isNotNull())
+    return rounded(back.select(F.regexp_extract("path", r"([a-z]+)_[0-9-]+\.cil$", 1).alias("site"), F.col("ts_utc").alias("ts"), "leq", "lmax", "lmin"), 6)
+
+
 def _parsed(s, d):
     return timestamps.parse_times(_mixed_text(s, d)).select("site_id", "seq", "ts", "method")
 
@@ -207,6 +236,7 @@ QUERIES: dict[str, Query] = {
     "ingest_mmss": _mmss_files,
     "ingest_elapsed": _elapsed_files,
     "record_round_trip": _written,
+    "cil_round_trip": _cil_logs,
     "ts_parse_named": _spelled,
     "ts_parse_offset": _offset,
     "ts_parse_vote": lambda s, d: rounded(timestamps.choose_method(view(s, d, "raw_text")).drop("time_only", "has_year"), 6),
@@ -263,6 +293,8 @@ ORACLES = {
     "ts_parse_offset": oracle(f"WITH {E} SELECT site_id, seq, date_trunc('millisecond', ts) AS ts FROM e"),
     "delimited_round_trip": oracle("SELECT concat('SITE-', length(site_id)) AS site, ts, leq, lmax, lmin FROM reading", "reading"),
     "record_round_trip": oracle("SELECT site_id, file_seq, seq, ts, CASE WHEN site_id = 'click' THEN leq + 1 ELSE leq END AS leq, lmax, lmin FROM reading", "reading"),
+    "cil_round_trip": oracle("""SELECT site_id AS site, ts, round(leq,6) AS leq, round(lmax,6) AS lmax, round(lmin,6) AS lmin
+        FROM reading_15m WHERE leq IS NOT NULL""", "reading_15m"),
     "ts_parse_vote": oracle("""SELECT site_id, count(*) AS n, CASE site_id WHEN 'view' THEN 'inferred-dayfirst' ELSE 'inferred-yearfirst' END AS method,
         round(count(*) FILTER (WHERE raw <> 'not a time')::DOUBLE/count(*),6) AS share FROM raw_text GROUP BY ALL""", "raw_text"),
     "ts_parse": oracle("""SELECT t.site_id, seq, CASE WHEN raw <> 'not a time' THEN date_trunc('second', ts) END AS ts,

@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import math
 import struct
 from collections.abc import Iterator, Sequence
+from typing import BinaryIO
 
 import numpy as np
 import pandas as pd
@@ -13,14 +15,16 @@ from pyspark.sql import functions as F
 from noisefleet.functions import clock as ck
 from noisefleet.functions import levels as lv
 from noisefleet.functions import roles
+from noisefleet.session import stored
+from noisefleet.sources.files import open_store
 
 # Flag texts that mean "not flagged", flag columns, and the .cil layout.
 NOT_FLAGGED = ("", "nan", "no", "false", "0")
 FLAG_COLUMNS = ("Overload", "Invalid")
 CIL_EPOCH_OFFSET_S = 2082844800          # 1904-01-01 to 1970-01-01
-CIL_TEXTS, CIL_BLOCKS = 4, ("lmax", "leq", "lmin")
+CIL_TEXTS, CIL_BLOCKS, CIL_HEADER = 4, ("lmax", "leq", "lmin"), ">ddi"
 CIL_LOWEST_DB, CIL_HIGHEST_DB = -10.0, 200.0
-CIL_CHUNK = 500_000
+CIL_RANGE = 1 << 20
 
 
 def larson_davis(sheet: DataFrame, keep: Sequence[str] = ()) -> DataFrame:
@@ -56,51 +60,81 @@ def flagged_note(readings: DataFrame, keys: Sequence[str] = ("site_id",)) -> Dat
         F.format_number("n", 0), F.lit(" readings flagged by the instrument were treated as missing.")).alias("text"))
 
 
-def decode_cil(content: bytes) -> pd.DataFrame:
-    """Seconds since 1970 (UTC) and the three levels of one .cil file."""
+def cil_layout(file: BinaryIO, length: int) -> tuple[int, float, float, int]:
+    """Where the first block of a .cil log begins, and the start (seconds since 1970), step and length of its three blocks."""
+    def read(form: str, at: int) -> tuple:
+        file.seek(at)
+        return struct.unpack(form, file.read(struct.calcsize(form)))
     try:
         at = 0
         for _ in range(CIL_TEXTS):
-            at += 4 + struct.unpack_from(">i", content, at)[0]
+            at += 4 + read(">i", at)[0]
         at += 4
-        lines, values = [], {}
-        for name in CIL_BLOCKS:
-            start, step, count = struct.unpack_from(">ddi", content, at)
-            at += 20
-            if count <= 0 or step <= 0 or at + 8 * count > len(content):
-                raise roles.IngestError("block header out of range")
-            values[name] = np.round(np.frombuffer(content, ">f8", count, at).astype(float), 6)
-            lines.append((start, step, count))
-            at += 8 * count
-    except (struct.error, roles.IngestError) as exc:
+        first = start, step, count = read(CIL_HEADER, at)
+        if count <= 0 or step <= 0 or not math.isfinite(start) or at + len(CIL_BLOCKS) * cil_block(count) > length:
+            raise roles.IngestError("block header out of range")
+        others = [read(CIL_HEADER, at + i * cil_block(count)) for i in range(1, len(CIL_BLOCKS))]
+    except (struct.error, ValueError, OSError, roles.IngestError) as exc:
         raise roles.IngestError(f"not a readable .cil log: {exc}") from exc
-    if len(set(lines)) > 1:
+    if any(o != first for o in others):
         raise roles.IngestError("the level blocks of this .cil log differ in start, step or length")
-    leq = values["leq"][np.isfinite(values["leq"])]
-    if not len(leq) or leq.min() <= CIL_LOWEST_DB or leq.max() >= CIL_HIGHEST_DB:
-        raise roles.IngestError("the levels of this .cil log are not plausible")
-    start, step, count = lines[0]
-    return pd.DataFrame({"epoch_s": start - CIL_EPOCH_OFFSET_S + step * np.arange(count), **values})
+    return at, start - CIL_EPOCH_OFFSET_S, step, count
 
 
-def _decode(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    for batch in batches:
-        for path, content in zip(batch["path"], batch["content"]):
-            rows = decode_cil(bytes(content))
-            for a in range(0, len(rows), CIL_CHUNK):
-                part = rows.iloc[a:a + CIL_CHUNK]
-                yield pd.DataFrame({"path": path, "seq": part.index.astype("int64"), "epoch_s": part["epoch_s"],
-                                    "leq": part["leq"], "lmax": part["lmax"], "lmin": part["lmin"]})
+def cil_block(count: int) -> int:
+    """Bytes of a block: its header and its values."""
+    return struct.calcsize(CIL_HEADER) + 8 * count
+
 
+def cil_values(file: BinaryIO, at: int, count: int, block: str, first: int, n: int) -> np.ndarray:
+    """``n`` values of a block, from ``first`` on."""
+    file.seek(at + CIL_BLOCKS.index(block) * cil_block(count) + cil_block(first))
+    return np.round(np.frombuffer(file.read(8 * n), ">f8").astype(float), 6)
 
-def read_cil(spark: SparkSession, paths: str | list[str], zone: str = ck.DEFAULT_ZONE) -> DataFrame:
-    """Readings of .cil logs in the wall clock of ``zone``, files decoded in parallel.
 
+def _layouts(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    for batch in batches:
+        rows = []
+        for path, length in zip(batch["path"], batch["length"]):
+            store, name = open_store(path)
+            with store.open_input_file(name) as file:
+                at, start, step, count = cil_layout(file, length)
+                # as far as the first level: a log without any is refused
+                if not any(np.isfinite(cil_values(file, at, count, "leq", i, min(CIL_RANGE, count - i))).any() for i in range(0, count, CIL_RANGE)):
+                    raise roles.IngestError("the levels of this .cil log are not plausible")
+            rows.append((path, at, start, step, count))
+        yield pd.DataFrame(rows, columns=["path", "at", "start", "step", "count"])
+
+
+def _ranges(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    for batch in batches:
+        for r in batch.itertuples():
+            store, name = open_store(r.path)
+            n = r.stop - r.first
+            with store.open_input_file(name) as file:
+                values = {block: cil_values(file, r.at, r.count_, block, r.first, n) for block in CIL_BLOCKS}
+            leq = values["leq"][np.isfinite(values["leq"])]
+            if len(leq) and (leq.min() <= CIL_LOWEST_DB or leq.max() >= CIL_HIGHEST_DB):
+                raise roles.IngestError("the levels of this .cil log are not plausible")
+            seq = np.arange(r.first, r.first + n)
+            yield pd.DataFrame({"path": r.path, "seq": seq, "epoch_s": r.start + r.step * seq, "leq": values["leq"], "lmax": values["lmax"],
+                                "lmin": values["lmin"]})
+
+
+def read_cil(spark: SparkSession, paths: str | list[str], zone: str = ck.DEFAULT_ZONE, size: int = CIL_RANGE) -> DataFrame:
+    """Readings of .cil logs in the wall clock of ``zone``.
+
+    A log is read in ranges of ``size`` readings, each by a task that seeks to its part of the three blocks.
     Times are stored in UTC, so ``fold`` is exact: the wall time had been shown already.
     """
     ck.check_zone(zone)
-    files = spark.read.format("binaryFile").load(paths).select("path", "content")
-    rows = files.mapInPandas(_decode, "path string, seq bigint, epoch_s double, leq double, lmax double, lmin double")
+    files = spark.read.format("binaryFile").load(paths).select("path", "length")
+    found = stored(files.mapInPandas(_layouts, "path string, at bigint, start double, step double, count bigint"), "cil-layouts")
+    n = found.agg(F.sum(F.ceil(F.col("count") / size))).first()[0] or 1
+    cut = found.select("path", "at", "start", "step", F.col("count").alias("count_"), F.explode(F.sequence(F.lit(0), F.col("count") - 1, F.lit(size))).alias("first"))
+    cut = cut.withColumn("stop", F.least(F.col("first") + size, "count_"))
+    rows = cut.repartition(min(int(n), 100_000), "path", "first").mapInPandas(
+        _ranges, "path string, seq bigint, epoch_s double, leq double, lmax double, lmin double")
     utc = F.timestamp_micros(F.rint(F.col("epoch_s") * 1e6).cast("long")).cast("timestamp_ntz")
     t = rows.withColumn("ts_utc", utc).withColumn("ts", ck.utc_to_wall("ts_utc", zone))
     again = ck.shown_before("ts_utc", zone)
