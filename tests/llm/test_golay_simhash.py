@@ -116,3 +116,49 @@ def test_keep_one_finds_every_copy_of_similarity_080_and_no_other(docs):
         a, b = ({tuple(w[k:k + 5]) for k in range(196)} for w in (words, copy))
         want |= {i} if len(a & b) / len(a | b) >= 0.8 else {i, i + 1}
     assert 220 < len(want) < 380 and {r.doc_id for r in g.keep_one(docs(*rows)).collect()} == want
+
+
+def templated(rng, n):
+    """Texts from one template, each with a few words changed to others of a small list, so that most are less than 0.8 alike."""
+    base, other = [f"t{rng.randrange(10**6)}" for _ in range(150)], [f"o{i}" for i in range(12)]
+    texts = []
+    for _ in range(n):
+        words = list(base)
+        for at in rng.sample(range(150), rng.randrange(1, 14)):
+            words[at] = rng.choice(other)
+        texts.append(" ".join(words))
+    return texts
+
+
+def test_rare_keys_meet_every_similar_pair(spark):
+    texts = templated(random.Random(3), 120)
+    sets = [np.unique(g.shingle_hashes(t, 5)) for t in texts]
+    nodes = spark.createDataFrame([(i, len(s), i) for i, s in enumerate(sets)], "node bigint, size bigint, part bigint")
+    rare = g.rare_keys(nodes, spark.createDataFrame(list(enumerate(texts)), "node bigint, text string"), 5, 0.8)
+    by: dict = {}
+    for r in rare.collect():
+        by.setdefault(r.key, []).append(r)
+    met = {(a.node, b.node) for rows in by.values() for a in rows for b in rows if a.node < b.node
+           and min(a.tail, b.tail) >= (a.size + b.size) * 0.8 / 1.8 - 1e-6}
+    want = {(i, j) for j in range(120) for i in range(j) if g.similarity_of(sets[i], sets[j]) >= 0.8}
+    assert len(want) > 100 and want <= met and len(met) < 0.5 * 120 * 119 / 2
+
+
+def test_keep_one_in_a_group_that_shares_most_words(docs):
+    """Components of a group in which every pair shares keys, against all pairs."""
+    texts = templated(random.Random(5), 250)
+    sets = [np.unique(g.shingle_hashes(t, 5)) for t in texts]
+    root = list(range(len(texts)))
+
+    def find(i):
+        while root[i] != i:
+            i = root[i]
+        return i
+    for j in range(len(texts)):
+        for i in range(j):
+            if g.similarity_of(sets[i], sets[j]) >= 0.8:
+                a, b = sorted((find(i), find(j)))
+                root[b] = a
+    want = {find(i) for i in range(len(texts))}
+    assert 20 < len(want) < 230
+    assert {r.doc_id for r in g.keep_one(docs(*enumerate(texts))).collect()} == want
