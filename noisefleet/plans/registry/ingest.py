@@ -199,9 +199,39 @@ def _written(s, d):
     return s.read.parquet(folder).select("site_id", "file_seq", "seq", "ts", "leq", "lmax", "lmin")
 
 
-def _cil_logs(s, d):
-    """15-minute levels written as one .cil log per site and day, missing ones as NaN, and read back."""
-    folder = new_folder(s, "cil")
+def _column_roles(s, d):
+    """Readings under headers that name several levels, other at each site: the A-weighted, fast ones are read, whatever their place."""
+    folder = new_folder(s, "roles")
+    headers = F.create_map(*[F.lit(x) for x in (
+        "SITE-4", "Time,LAeq,LCeq,LAFmax,LASmax", "SITE-5", "Timestamp,LCeq,LAeq,LASmax,LAFmax", "SITE-6", "Date/Time,LAIeq,LAeq,LCFmax,LAFmax",
+        "SITE-8", "Start Time,LAeq,LZeq,LCpeak,LASmax")])
+    _exported(_to_export(s, d), folder, headers[F.col("site")], F.lit(""),
+              [F.date_format("ts", "yyyy-MM-dd HH:mm:ss"), F.col("leq"), F.col("leq") + 10, F.col("lmax"), F.col("lmax") + 1])
+    return _read_back(s, folder)
+
+
+def _provenance(s, d):
+    """Length, SHA-256 and format by content of text files, one a site and day."""
+    folder = new_folder(s, "provenance")
+    _exported(_to_export(s, d), folder, "Time,Record", F.lit(""), [F.date_format("ts", "yyyy-MM-dd HH:mm:ss"), F.col("seq")])
+    found = files.provenance(s, f"{folder}/*/*/*.txt").join(files.formats(s, f"{folder}/*/*/*.txt").drop("length"), "path")
+    return found.select(F.regexp_extract("path", r"site=([^/]+)", 1).alias("site"), F.regexp_extract("path", r"day=([^/]+)", 1).alias("day"),
+                        "length", "sha256", "format")
+
+
+def _formats(s, d):
+    """Text, Parquet and .cil files of the sites, told apart by their content; how many sites have each."""
+    folder = new_folder(s, "formats")
+    _exported(_to_export(s, d), folder + "/text", "Time,LAeq", F.lit(""), [F.col("ts"), F.col("leq")])
+    view(s, d, "reading").select(F.col("site_id").alias("site"), "ts", "leq").write.partitionBy("site").parquet(folder + "/parquet")
+    _write_cil(s, d, folder + "/cil")
+    found = files.formats(s, [f"{folder}/text/*/*/*.txt", f"{folder}/parquet/*/*.parquet", f"{folder}/cil/*"])
+    site = F.regexp_extract("path", r"(?:site=|cil/)([A-Za-z0-9-]+)", 1)
+    return found.groupBy(F.regexp_extract("path", r"/(text|parquet|cil)/", 1).alias("written"), "format").agg(F.countDistinct(site).alias("n_sites"))
+
+
+def _write_cil(s, d, folder):
+    """15-minute levels as one .cil log per site and day, missing ones as NaN."""
     at = F.transform(F.sequence(F.lit(0), F.lit(95)), lambda i: F.try_element_at(F.col("held"), i))
     slot = ((F.unix_seconds(F.col("ts").cast("timestamp")) % 86400) / 900).cast("int")
     days = view(s, d, "reading_15m").groupBy("site_id", F.to_date("ts").alias("day")).agg(
@@ -222,6 +252,12 @@ def _cil_logs(s, d):
                     file.write(out)
             yield batch[["path"]]
     days.mapInPandas(written, "path string").count()
+
+
+def _cil_logs(s, d):
+    """Levels written as .cil logs and read back."""
+    folder = new_folder(s, "cil")
+    _write_cil(s, d, folder)
     back = loggers.read_cil(s, folder, "UTC").where(F.col("leq").isNotNull())
     return rounded(back.select(F.regexp_extract("path", r"([a-z]+)_[0-9-]+\.cil$", 1).alias("site"), F.col("ts_utc").alias("ts"), "leq", "lmax", "lmin"), 6)
 
@@ -237,6 +273,9 @@ QUERIES: dict[str, Query] = {
     "ingest_elapsed": _elapsed_files,
     "record_round_trip": _written,
     "cil_round_trip": _cil_logs,
+    "column_roles": _column_roles,
+    "source_provenance": _provenance,
+    "source_formats": _formats,
     "ts_parse_named": _spelled,
     "ts_parse_offset": _offset,
     "ts_parse_vote": lambda s, d: rounded(timestamps.choose_method(view(s, d, "raw_text")).drop("time_only", "has_year"), 6),
@@ -293,6 +332,12 @@ ORACLES = {
     "ts_parse_offset": oracle(f"WITH {E} SELECT site_id, seq, date_trunc('millisecond', ts) AS ts FROM e"),
     "delimited_round_trip": oracle("SELECT concat('SITE-', length(site_id)) AS site, ts, leq, lmax, lmin FROM reading", "reading"),
     "record_round_trip": oracle("SELECT site_id, file_seq, seq, ts, CASE WHEN site_id = 'click' THEN leq + 1 ELSE leq END AS leq, lmax, lmin FROM reading", "reading"),
+    "column_roles": oracle(f"""WITH {EXPORT} SELECT site, ts, CASE WHEN site IN ('SITE-4', 'SITE-8') THEN leq ELSE leq + 10 END AS leq,
+        CASE site WHEN 'SITE-4' THEN lmax ELSE lmax + 1 END AS lmax FROM x"""),
+    "source_provenance": oracle(f"""WITH {EXPORT}, c AS (SELECT site, day, concat('Time,Record', chr(10), string_agg(strftime(ts, '%Y-%m-%d %H:%M:%S,') || seq, chr(10) ORDER BY ts, seq), chr(10)) AS content
+        FROM x GROUP BY ALL) SELECT site, day, strlen(content) AS length, sha256(content) AS sha256, 'text' AS format FROM c"""),
+    "source_formats": oracle(f"""WITH {E} SELECT 'text' AS written, 'text' AS format, count(DISTINCT length(site_id)) AS n_sites FROM e
+        UNION ALL SELECT f, f, count(DISTINCT site_id) FROM e, (VALUES ('parquet'), ('cil')) v(f) GROUP BY f"""),
     "cil_round_trip": oracle("""SELECT site_id AS site, ts, round(leq,6) AS leq, round(lmax,6) AS lmax, round(lmin,6) AS lmin
         FROM reading_15m WHERE leq IS NOT NULL""", "reading_15m"),
     "ts_parse_vote": oracle("""SELECT site_id, count(*) AS n, CASE site_id WHEN 'view' THEN 'inferred-dayfirst' ELSE 'inferred-yearfirst' END AS method,
