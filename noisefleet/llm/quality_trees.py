@@ -159,7 +159,7 @@ def labelled_sample(labels: DataFrame, label: str = "quality", bound: int = SAMP
 
 
 def train(docs: DataFrame, labels: DataFrame, label: str = "quality", bound: int = SAMPLE) -> Trees:
-    """Fit on the statistics of the sampled documents; only those numbers reach the driver."""
+    """Fit on the statistics of the sampled documents, the least of a repeated doc_id; only those numbers reach the driver."""
     sample = labelled_sample(labels, label, bound)
 
     def rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -168,7 +168,9 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "quality", bound: int
 
     # the sample is bounded, so it is sent to every task and no text is shuffled
     picked = docs.select("doc_id", "text").join(F.broadcast(sample), "doc_id")
-    table = picked.mapInPandas(rows, "doc_id bigint, y int, x array<double>").toPandas()
+    found = picked.mapInPandas(rows, "doc_id bigint, y int, x array<double>")
+    # of a doc_id on many rows one, so that the bound holds for rows too
+    table = found.groupBy("doc_id", "y").agg(F.min("x").alias("x")).toPandas()
     if not len(table):
         return fit(np.zeros((0, len(STATISTICS))), np.zeros(0))
     x = np.stack(table["x"].to_numpy())

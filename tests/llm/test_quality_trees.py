@@ -67,3 +67,16 @@ def test_sample_is_bounded_and_leaves_held_out_rows_alone(spark):
     labels = spark.range(20000).selectExpr("id AS doc_id", "CAST(id % 2 AS int) AS quality")
     some = q.labelled_sample(labels, bound=2000)
     assert 1500 < some.count() < 2500 and some.where(q.held_out(some["doc_id"])).count() == 0
+
+
+def test_a_repeated_doc_id_trains_once(spark, monkeypatch):
+    texts = ["a b c\n" * 4, "x, y z. " * 5, "one two three four. " * 9, ""]
+    labels = spark.createDataFrame([(i, i % 2) for i in range(12)], "doc_id bigint, quality int")
+    often = labels.where(~q.held_out(labels["doc_id"])).first().doc_id
+    docs = spark.createDataFrame([(often, t) for t in texts * 300] + [(i, texts[i % 4]) for i in range(12)], "doc_id bigint, text string")
+    learnt = q.labelled_sample(labels).count()
+    seen = []
+    monkeypatch.setattr(q, "fit", lambda x, y: seen.append((x, y)))
+    q.train(docs, labels)
+    (x, y), = seen
+    assert 0 < len(x) == len(y) == learnt
