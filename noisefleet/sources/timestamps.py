@@ -305,6 +305,7 @@ def dates_from_name(stem: Column, modified: Column) -> tuple[Column, Column]:
     A name is cut into its numbers and words. Of a month any beginning of three letters or more will do. The year is the
     one in the name, else the year of ``modified``, or the one before if the start lies ahead of it.
     """
+    # each is cut and read once: the places compared below only look up what was read
     parts = F.regexp_extract_all(F.lower(stem), F.lit("([0-9]+|[a-z]+)"), F.lit(1))
     dotted = F.filter(F.split(stem, "[^0-9.]+"), lambda w: F.length(w) > 0)
 
@@ -315,11 +316,14 @@ def dates_from_name(stem: Column, modified: Column) -> tuple[Column, Column]:
         return F.when(F.length(w) <= 2, w.try_cast("int"))
 
     def month(w: Column) -> Column:
-        return F.coalesce(*[F.when((F.length(w) >= 3) & F.lit(m).startswith(w), i) for i, m in enumerate(MONTHS, 1)])
+        return F.when(F.length(w) >= 3, F.coalesce(*[F.when(F.lit(m).startswith(w), i) for i, m in enumerate(MONTHS, 1)]))
+
+    def word(w: Column) -> Column:
+        return F.struct(number(w).alias("d"), month(w).alias("m"))
 
     def month_and_day(w: Column) -> Column:
         two = F.split(w, "[.]")
-        return F.when(F.size(two) == 2, F.struct(number(two[0]).alias("m"), number(two[1]).alias("d")))
+        return let(two, lambda t: F.when(F.size(t) == 2, F.struct(number(F.get(t, F.lit(0))).alias("m"), number(F.get(t, F.lit(1))).alias("d"))))
 
     def pairs(array: Column, step: int, first, second) -> Column:
         """What ``first`` and ``second`` read at the earliest place where both read something."""
@@ -328,12 +332,16 @@ def dates_from_name(stem: Column, modified: Column) -> tuple[Column, Column]:
         whole = lambda x: x["m"].isNotNull() & x["d"].isNotNull()
         return at(F.filter(found, lambda x: whole(x["a"]) & whole(x["b"])), F.lit(1))
 
-    def spelled(i: Column) -> Column:
-        return F.struct(month(at(parts, i + 1)).alias("m"), number(at(parts, i)).alias("d"))
+    def named(words: Column) -> Column:
+        def spelled(i: Column) -> Column:
+            return F.struct(at(words, i + 1)["m"].alias("m"), at(words, i)["d"].alias("d"))
+        return pairs(words, 2, spelled, spelled)
+
+    def plain(marked: Column) -> Column:
+        return pairs(marked, 1, lambda i: at(marked, i), lambda i: at(marked, i))
 
-    named = pairs(parts, 2, spelled, spelled)
-    plain = pairs(dotted, 1, lambda i: month_and_day(at(dotted, i)), lambda i: month_and_day(at(dotted, i)))
-    years = F.filter(parts, lambda w: (F.length(w) == 4) & (w.startswith("19") | w.startswith("20")) & w.try_cast("int").isNotNull())
+    def years(words: Column) -> Column:
+        return F.filter(words, lambda w: (F.length(w) == 4) & (w.startswith("19") | w.startswith("20")) & w.try_cast("int").isNotNull())
 
     def date(y: Column, md: Column) -> Column:
         return F.try_to_timestamp(F.format_string("%04d-%02d-%02d", y, md["m"], md["d"]), F.lit("yyyy-MM-dd")).cast("date")
@@ -343,8 +351,14 @@ def dates_from_name(stem: Column, modified: Column) -> tuple[Column, Column]:
         year = F.coalesce(x["y"], F.year(x["now"]) - F.when(ahead, 1).otherwise(0))
         return let(year, lambda y: F.struct(date(y, x["p"]["a"]).alias("a"), date(y, x["p"]["b"]).alias("b")))
 
-    said = F.struct(F.coalesce(named, plain).alias("p"), at(years, F.lit(1)).cast("int").alias("y"), F.to_date(modified).alias("now"))
-    found = F.when(let(said, lambda x: x["p"].isNotNull() & F.coalesce(x["y"], F.year(x["now"])).isNotNull()), let(said, dated))
+    def dates(x: Column) -> Column:
+        return F.when(x["p"].isNotNull() & F.coalesce(x["y"], F.year(x["now"])).isNotNull(), dated(x))
+
+    def said(words: Column) -> Column:
+        found = F.coalesce(let(F.transform(words, word), named), let(F.transform(dotted, month_and_day), plain))
+        return F.struct(found.alias("p"), at(years(words), F.lit(1)).cast("int").alias("y"), F.to_date(modified).alias("now"))
+
+    found = let(let(parts, said), dates)
     known = let(found, lambda x: F.when(x["a"].isNotNull() & x["b"].isNotNull(), x))
     return known["a"], known["b"]
 
@@ -354,21 +368,23 @@ def start_time_from_name(stem: Column) -> Column:
 
     A window is two clock times on the two sides of a dash; a clock time is an hour, a dot and two digits.
     """
-    sides = F.split(stem, " *[-–] *")
-
     def minutes(word: Column) -> Column:
-        two = F.split(word, "[.]")
-        h, m = two[0].try_cast("int"), F.get(two, F.lit(1)).try_cast("int")
-        fits = (F.size(two) == 2) & (F.length(two[0]) <= 2) & (F.length(F.get(two, F.lit(1))) == 2)
-        return F.when(fits & h.between(0, 23) & m.between(0, 59), h * 60 + m)
-
-    def last_word(side: Column) -> Column:
-        return F.try_element_at(F.split(side, "[^0-9.]+"), F.lit(-1))
-
-    def first_word(side: Column) -> Column:
-        return F.try_element_at(F.split(side, "[^0-9.]+"), F.lit(1))
-
-    windows = F.transform(F.sequence(F.lit(1), F.size(sides)), lambda i: F.struct(
-        minutes(last_word(F.try_element_at(sides, i))).alias("a"), minutes(first_word(F.try_element_at(sides, i + 1))).alias("b")))
-    start = F.try_element_at(F.filter(windows, lambda w: w["b"] > w["a"]), F.lit(1))["a"]
-    return F.when(start.isNotNull(), F.format_string("%02d:%02d", F.floor(start / 60), start % 60))
+        def read(two: Column) -> Column:
+            hour, minute = F.get(two, F.lit(0)), F.get(two, F.lit(1))
+            h, m = hour.try_cast("int"), minute.try_cast("int")
+            fits = (F.size(two) == 2) & (F.length(hour) <= 2) & (F.length(minute) == 2)
+            return F.when(fits & h.between(0, 23) & m.between(0, 59), h * 60 + m)
+        return let(F.split(word, "[.]"), read)
+
+    def ends(side: Column) -> Column:
+        """The first and the last word of a side, as minutes."""
+        return let(F.split(side, "[^0-9.]+"), lambda words: F.struct(
+            minutes(F.try_element_at(words, F.lit(1))).alias("first"), minutes(F.try_element_at(words, F.lit(-1))).alias("last")))
+
+    def windows(sides: Column) -> Column:
+        return F.transform(F.sequence(F.lit(1), F.size(sides)), lambda i: F.struct(
+            F.try_element_at(sides, i)["last"].alias("a"), F.try_element_at(sides, i + 1)["first"].alias("b")))
+
+    found = let(F.transform(F.split(stem, " *[-–] *"), ends), windows)
+    start = F.try_element_at(F.filter(found, lambda w: w["b"] > w["a"]), F.lit(1))["a"]
+    return let(start, lambda s: F.when(s.isNotNull(), F.format_string("%02d:%02d", F.floor(s / 60), s % 60)))
