@@ -21,6 +21,7 @@ import sys
 from collections.abc import Iterator, Sequence
 from functools import reduce
 
+import numpy as np
 import pandas as pd
 import pyarrow as pa
 from pyarrow import csv as pacsv
@@ -32,9 +33,11 @@ from noisefleet.functions import levels as lv
 from noisefleet.functions import roles, text
 from noisefleet.session import cut_lineage, stored
 from noisefleet.sources import timestamps
-from noisefleet.sources.files import COMMA_SHARE, HEAD_BYTES, SEPARATORS, heads, open_store
+from noisefleet.sources.files import COMMA_SHARE, HEAD_BYTES, SEPARATORS, head_of, listed, open_store
 
 RANGE_BYTES = 32 << 20
+# what a task holds of its range at a time
+PIECE_BYTES = 1 << 20
 STEP_BYTES = 64 << 10
 # Fixed value: share of values that must be of a kind for a file to be of that kind.
 CLOCK_SHARE = 0.8
@@ -116,11 +119,11 @@ def layouts(spark: SparkSession, paths: str | list[str]) -> DataFrame:
         for batch in batches:
             rows = []
             for r in batch.to_pylist():
-                one = layout_of(r["head"])
+                one = layout_of(head_of(r["path"]))
                 one["notes"] = [{"code": c, "text": t} for c, t in one["notes"]]
                 rows.append(dict.fromkeys(names) | one | {n: r[n] for n in ("path", "length", "modified")})
             yield pa.RecordBatch.from_pylist(rows, types)
-    return heads(spark, paths).mapInArrow(found, LAYOUT)
+    return listed(spark, paths).mapInArrow(found, LAYOUT)
 
 
 def ranges(found: DataFrame, size: int) -> tuple[DataFrame, int]:
@@ -152,27 +155,51 @@ def open_after(line: bytes, sep: bytes, opened: bool) -> bool:
 
 
 def open_after_all(data: bytes, sep: bytes, eol: bytes, opened: bool) -> bool:
-    if QUOTE in data:
-        for line in data.split(eol):
-            if QUOTE in line:
-                opened = open_after(line, sep, opened)
-    return opened
+    return closed_until(data, sep, eol, opened)[0]
+
+
+def closed_until(data: bytes, sep: bytes, eol: bytes, opened: bool) -> tuple[bool, int]:
+    """Whether a quoted field is open after whole lines, and the end of the last line after which none is."""
+    if QUOTE not in data:
+        return opened, 0 if opened else len(data)
+    at = end = 0
+    for line in data.split(eol):
+        at += len(line) + 1
+        if QUOTE in line:
+            opened = open_after(line, sep, opened)
+        if not opened:
+            end = at
+    return opened, min(end, len(data))
 
 
 class Range:
-    """The whole lines that begin in a range of a file."""
+    """The whole lines that begin in a range of a file, read a piece at a time."""
 
     def __init__(self, r: dict) -> None:
         store, at = open_store(r["path"])
         self.file, self.length, self.eol, self.sep = store.open_input_file(at), r["length"], r["eol"].encode(), r["sep"].encode()
-        first = r["first"]
-        self.file.seek(first - (first > r["body_at"]))
-        data = self.file.read(r["stop"] - self.file.tell())
-        if first > r["body_at"]:
-            # the line before ends at the first line end from one byte before the range
-            start = data.find(self.eol) + 1
-            data = data[start:] if start else b""
-        self.data = data if not data or data.endswith(self.eol) else data + self.line()
+        self.first, self.stop, self.inside = r["first"], r["stop"], r["first"] > r["body_at"]
+
+    def pieces(self) -> Iterator[bytes]:
+        """The lines, about ``PIECE_BYTES`` of them at a time."""
+        # the line before ends at the first line end from one byte before the range
+        before, left = self.inside, b""
+        self.file.seek(self.first - before)
+        while self.file.tell() < self.stop:
+            data = self.file.read(min(PIECE_BYTES, self.stop - self.file.tell()))
+            if not data:
+                break
+            if before:
+                start = data.find(self.eol) + 1
+                if not start:
+                    continue
+                before, data = False, data[start:]
+            end = data.rfind(self.eol) + 1
+            if end:
+                yield left + data[:end]
+            left = data[end:] if end else left + data
+        if left:
+            yield left + self.line()
 
     def line(self) -> bytes:
         """What follows, to the end of the line."""
@@ -184,33 +211,38 @@ class Range:
             self.file.seek(self.file.tell() - len(out) + end)
         return out[:end] if end else out
 
-    def records(self, opened: bool, quoted: bool) -> bytes:
-        """The records that begin here, whole."""
+    def records(self, opened: bool, quoted: bool) -> Iterator[bytes]:
+        """The records that begin here, whole, some at a time."""
         if not quoted:
-            return self.data
-        start = 0
-        while opened and start < len(self.data):
-            end = self.data.find(self.eol, start) + 1 or len(self.data)
-            opened = open_after(self.data[start:end], self.sep, True)
-            start = end
-        data = self.data[start:]
-        opened = opened or open_after_all(data, self.sep, self.eol, False)
-        while data and opened:
+            yield from self.pieces()
+            return
+        before, held = opened, b""
+        for data in self.pieces():
+            start = 0
+            while before and start < len(data):
+                end = data.find(self.eol, start) + 1 or len(data)
+                before = opened = open_after(data[start:end], self.sep, True)
+                start = end
+            if start == len(data):
+                continue
+            data = data[start:]
+            opened, end = closed_until(data, self.sep, self.eol, opened)
+            if end:
+                yield held + data[:end]
+            held = data[end:] if end else held + data
+        while held and opened:
             line = self.line()
             if not line:
                 break
-            opened, data = open_after(line, self.sep, True), data + line
-        return data
+            opened, held = open_after(line, self.sep, True), held + line
+        if held:
+            yield held
 
 
-def cells(data: bytes, r: dict, quoted: bool) -> list[pa.Array]:
-    """The columns of ``ROWS`` from ``raw`` on; short records have empty cells, long ones lose what no column names."""
+def even_cells(data: bytes, r: dict, quoted: bool) -> list[pa.Array] | None:
+    """The columns of ``ROWS`` from ``raw`` on; None where a record is short or long."""
     names = [f"c{i}" for i in range(r["width"])]
     wanted = [r[c] for c in ("raw", "day", *CHANNELS)]
-    try:
-        data.decode()
-    except UnicodeDecodeError:
-        data = data.decode("utf-8", "replace").encode()
     uneven = []
     parsed = pacsv.read_csv(
         io.BytesIO(data), pacsv.ReadOptions(use_threads=False, column_names=names, block_size=len(data) + 1),
@@ -218,35 +250,59 @@ def cells(data: bytes, r: dict, quoted: bool) -> list[pa.Array]:
                            invalid_row_handler=lambda row: uneven.append(row.number) or "skip"),
         pacsv.ConvertOptions(column_types=dict.fromkeys(names, pa.string()), include_columns=[names[i] for i in set(wanted) - {None}],
                              null_values=[""], strings_can_be_null=True, quoted_strings_can_be_null=True))
-    if not uneven:
-        n = parsed.num_rows
-        return [pa.nulls(n, pa.string()) if i is None else parsed.column(names[i]).combine_chunks() for i in wanted]
+    n = parsed.num_rows
+    return None if uneven else [pa.nulls(n, pa.string()) if i is None else parsed.column(names[i]).combine_chunks() for i in wanted]
+
+
+def uneven_cells(data: bytes, r: dict, quoted: bool) -> list[pa.Array]:
+    """The same where records are uneven: short ones have empty cells, long ones lose what no column names, empty ones are left out."""
     csv.field_size_limit(sys.maxsize)
     rows = [x for x in csv.reader(io.StringIO(data.decode(), newline=""), delimiter=r["sep"], quoting=csv.QUOTE_MINIMAL if quoted else csv.QUOTE_NONE)
             if any(c.strip() for c in x)]
-    return [pa.array([(x[i] or None) if i is not None and i < len(x) else None for x in rows], pa.string()) for i in wanted]
+    return [pa.array([(x[i] or None) if i is not None and i < len(x) else None for x in rows], pa.string())
+            for i in (r[c] for c in ("raw", "day", *CHANNELS))]
 
 
 def quote_states(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for batch in batches:
         out = []
         for r in batch.to_dict("records"):
-            x = Range(r)
-            out.append((r["path"], r["first"], *[int(open_after_all(x.data, x.sep, x.eol, before)) for before in (False, True)]))
+            x, after = Range(r), [False, True]
+            for data in x.pieces():
+                after = [open_after_all(data, x.sep, x.eol, before) for before in after]
+            out.append((r["path"], r["first"], *map(int, after)))
         yield pd.DataFrame(out, columns=["path", "first", "closed", "opened"])
 
 
+def text_pieces(r: dict) -> Iterator[bytes]:
+    """The records of a range as UTF-8, some at a time, without what holds line ends only."""
+    for data in Range(r).records(r["opened"] == 1, r["quoted"]):
+        try:
+            data.decode()
+        except UnicodeDecodeError:
+            data = data.decode("utf-8", "replace").encode()
+        if data.strip(b"\r\n"):
+            yield data
+
+
 def read_ranges(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     names = [c.split()[0] for c in ROWS.split(", ")]
     for batch in batches:
         for r in batch.to_pylist():
-            data = Range(r).records(r["opened"] == 1, r["quoted"])
-            if not data.strip():
-                continue
-            columns = cells(data, r, r["quoted"])
-            n = len(columns[0])
-            table = pa.table([pa.array([r["path"]] * n, pa.string()), pa.array(range(r["first"], r["first"] + n), pa.int64()), *columns], names)
-            yield from table.to_batches(max_chunksize=1 << 16)
+            # one record that is short or long settles how the range is read, so it is looked for first
+            blank, even = True, True
+            for data in text_pieces(r):
+                blank = blank and not data.strip()
+                even = even and even_cells(data, r, r["quoted"]) is not None
+                if not (blank or even):
+                    break
+            at = r["first"]
+            for data in () if blank else text_pieces(r):
+                columns = (even_cells if even else uneven_cells)(data, r, r["quoted"])
+                n = len(columns[0])
+                seq = pa.array(np.arange(at, at + n, dtype=np.int64))
+                yield from pa.table([pa.repeat(pa.scalar(r["path"], pa.string()), n), seq, *columns], names).to_batches(max_chunksize=1 << 16)
+                at += n
 
 
 def rows_of(found: DataFrame, size: int = RANGE_BYTES) -> DataFrame:

@@ -20,6 +20,7 @@ MAGIC = [("50415231", "parquet"), ("D0CF11E0A1B11AE1", "xls"), ("504B0304", "xls
 CIL_MARK, CIL_MARK_AT = "4E535254", 5
 SEPARATORS = ("\t", ";", ",", "|")
 HEAD_BYTES = 64 * 1024
+HEADS_AT_ONCE = 64
 # Schemes of Hadoop's connectors and what the same stores are called elsewhere.
 STORES = {"s3a": "s3", "s3n": "s3", "gcs": "gs", "wasbs": "abfs", "wasb": "abfs", "abfss": "abfs"}
 ROW_LIMITS = {"xlsx": 1_048_576, "xls": 65_536}
@@ -47,20 +48,29 @@ def open_store(path: str) -> tuple[fs.FileSystem, str]:
     return fs.FileSystem.from_uri(scheme + mark + place + slash + quote(name) if mark else found)
 
 
+def head_of(path: str) -> bytes:
+    """The first bytes of a file."""
+    store, at = open_store(path)
+    with store.open_input_stream(at, compression=None) as stream:
+        return stream.read(HEAD_BYTES)
+
+
 def _read_heads(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for batch in batches:
-        heads = []
-        for path in batch["path"]:
-            store, at = open_store(path)
-            with store.open_input_stream(at, compression=None) as stream:
-                heads.append(stream.read(HEAD_BYTES))
-        yield batch.assign(head=heads)
+        # some files at a time: a batch may list thousands
+        for start in range(0, len(batch), HEADS_AT_ONCE):
+            part = batch.iloc[start:start + HEADS_AT_ONCE]
+            yield part.assign(head=[head_of(p) for p in part["path"]])
+
+
+def listed(spark: SparkSession, paths: str | list[str]) -> DataFrame:
+    """Path, length and time of change of every file: the listing comes from Spark."""
+    return spark.read.format("binaryFile").load(paths).select("path", "length", F.col("modificationTime").alias("modified"))
 
 
 def heads(spark: SparkSession, paths: str | list[str]) -> DataFrame:
-    """Path, length, time of change and the first 64 KB of every file: the listing comes from Spark, no file is read whole."""
-    listed = spark.read.format("binaryFile").load(paths).select("path", "length", F.col("modificationTime").alias("modified"))
-    return listed.mapInPandas(_read_heads, "path string, length bigint, modified timestamp, head binary")
+    """Path, length, time of change and the first 64 KB of every file, none of which is read whole."""
+    return listed(spark, paths).mapInPandas(_read_heads, "path string, length bigint, modified timestamp, head binary")
 
 
 def formats(spark: SparkSession, paths: str | list[str]) -> DataFrame:
