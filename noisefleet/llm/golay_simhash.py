@@ -39,7 +39,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from noisefleet.llm.common import stored
+from noisefleet.llm.common import stored, text_batches
 
 MOST_BITS = 3
 SHINGLE = 3
@@ -340,15 +340,18 @@ def keep_one(docs: DataFrame, shingle: int = NEAR_SHINGLE, similarity: float = S
     the smallest doc_id (null last); of repeated rows one."""
     bands = 1 if similarity >= 1 else math.ceil(math.log(MOST_MISSED) / math.log(1 - similarity ** BAND))
     keys = [F.coalesce(docs["doc_id"].cast("bigint"), F.lit((1 << 63) - 1)).alias("id"), F.xxhash64(docs["text"]).alias("text_hash")]
-    known = stored(docs.select(*keys, sketches(docs["text"], shingle, bands).alias("s")).select("id", "text_hash", "s.*"), "near-sketches")
-    nodes = stored(known.groupBy("node").agg(F.min(F.struct("id", "text_hash")).alias("k"), F.min("fp").alias("fp"), F.first("size").alias("size"),
-                                                F.first("bands").alias("bands")).select("node", "k.*", "fp", "size", "bands"), "near-nodes")
-    prints = nodes.join(print_components(nodes.select("fp").distinct()).hint("merge"), "fp", "left").select(
-        F.coalesce("root", "fp").alias("key"), "node", "size")
-    rows = prints.unionByName(nodes.select(F.explode("bands").alias("key"), "node", "size"))
-    texts = docs.select(*keys, docs["text"].alias("text")).join(nodes.select("node", "id", "text_hash").hint("merge"), ["id", "text_hash"])
-    texts = texts.dropDuplicates(["node"]).select("node", "text")
-    placed = known.select("id", "text_hash", "node").join(near_components(rows, texts, shingle, similarity).hint("merge"), "node", "left")
+    # all that Python reads is stored inside
+    with text_batches(docs.sparkSession):
+        known = stored(docs.select(*keys, sketches(docs["text"], shingle, bands).alias("s")).select("id", "text_hash", "s.*"), "near-sketches")
+        nodes = stored(known.groupBy("node").agg(F.min(F.struct("id", "text_hash")).alias("k"), F.min("fp").alias("fp"), F.first("size").alias("size"),
+                                                    F.first("bands").alias("bands")).select("node", "k.*", "fp", "size", "bands"), "near-nodes")
+        prints = nodes.join(print_components(nodes.select("fp").distinct()).hint("merge"), "fp", "left").select(
+            F.coalesce("root", "fp").alias("key"), "node", "size")
+        rows = prints.unionByName(nodes.select(F.explode("bands").alias("key"), "node", "size"))
+        texts = docs.select(*keys, docs["text"].alias("text")).join(nodes.select("node", "id", "text_hash").hint("merge"), ["id", "text_hash"])
+        texts = texts.dropDuplicates(["node"]).select("node", "text")
+        roots = near_components(rows, texts, shingle, similarity)
+    placed = known.select("id", "text_hash", "node").join(roots.hint("merge"), "node", "left")
     keepers = placed.groupBy(F.coalesce("root", "node").alias("root")).agg(F.min(F.struct("id", "text_hash")).alias("k")).select("k.*")
     out = docs.select(*keys, F.struct(*[docs[f"`{c}`"] for c in docs.columns]).alias("row"))
     return out.join(keepers, ["id", "text_hash"], "left_semi").dropDuplicates(["id", "text_hash"]).select("row.*")

@@ -162,3 +162,18 @@ def test_keep_one_in_a_group_that_shares_most_words(docs):
     want = {find(i) for i in range(len(texts))}
     assert 20 < len(want) < 230
     assert {r.doc_id for r in g.keep_one(docs(*enumerate(texts))).collect()} == want
+
+
+def test_texts_reach_python_in_small_batches(spark, docs, monkeypatch):
+    option, seen, store = "spark.sql.execution.arrow.maxRecordsPerBatch", {}, g.stored
+    before = spark.conf.get(option)
+
+    def watched(df, name):
+        seen[name] = int(spark.conf.get(option))
+        return store(df, name)
+    monkeypatch.setattr(g, "stored", watched)
+    one = " ".join(f"word{i}" for i in range(60))
+    assert sorted(r["doc_id"] for r in g.keep_one(docs((1, one), (2, one + " more"), (3, "other"))).collect()) == [1, 3]
+    # of what holds texts, both sides of a pair, or their shingles
+    assert all(seen[name] <= 1000 for name in ("near-sketches", "near-shingles", "near-pairs", "near-stars", "near-links"))
+    assert spark.conf.get(option) == before
