@@ -37,7 +37,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from noisefleet.llm.common import WORD, stored
+from noisefleet.llm.common import WORD, stored, text_batches
 
 LEAST_WORDS = 20
 RARE = 64
@@ -172,13 +172,15 @@ def repeated_lines(docs: DataFrame, least_words: int = LEAST_WORDS, rare: int =
         tuples = lambda xs: [(x["place"], x["line"], x["hash"], x["words"]) for x in xs]
         return pd.Series([common_lines(tuples(a), tuples(b), least_words) for a, b in zip(theirs, lines)])
 
-    found = pairs.select("id", "text_hash", aligned("theirs", "lines").alias("gone"))
-    return found.select("id", "text_hash", F.explode("gone").alias("line")).groupBy("id", "text_hash").agg(F.collect_set("line").alias("gone"))
+    # exploded at once: of a column of its own Spark asks first whether it is empty, which would align every pair twice, in two Python workers a task
+    found = pairs.select("id", "text_hash", F.explode(aligned("theirs", "lines")).alias("line"))
+    return found.groupBy("id", "text_hash").agg(F.collect_set("line").alias("gone"))
 
 
 def dedup_lines(docs: DataFrame, least_words: int = LEAST_WORDS, rare: int = RARE) -> DataFrame:
     """The columns of ``docs`` with shortened texts, beside ``lines_removed``."""
-    gone = stored(repeated_lines(docs, least_words, rare), "gone-lines")
+    with text_batches(docs.sparkSession):
+        gone = stored(repeated_lines(docs, least_words, rare), "gone-lines")
     row = docs.select(F.struct(*[docs[f"`{c}`"] for c in docs.columns]).alias("row"), docs["text"].alias("text"), *_keys(docs))
     # one plan at every size: both sides are shuffled by document, whatever the size of the smaller
     joined = row.join(gone.hint("merge"), ["id", "text_hash"], "left")

@@ -25,6 +25,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from noisefleet.llm.common import text_batches
+
 SAMPLE = 20000
 TREES, DEPTH, BINS = 60, 4, 64
 RATE, RIDGE, LEAST_HESSIAN = 0.2, 1.0, 4.0
@@ -170,7 +172,8 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "quality", bound: int
     picked = docs.select("doc_id", "text").join(F.broadcast(sample), "doc_id")
     found = picked.mapInPandas(rows, "doc_id bigint, y int, x array<double>")
     # of a doc_id on many rows one, so that the bound holds for rows too
-    table = found.groupBy("doc_id", "y").agg(F.min("x").alias("x")).toPandas()
+    with text_batches(docs.sparkSession):
+        table = found.groupBy("doc_id", "y").agg(F.min("x").alias("x")).toPandas()
     if not len(table):
         return fit(np.zeros((0, len(STATISTICS))), np.zeros(0))
     x = np.stack(table["x"].to_numpy())

@@ -101,3 +101,23 @@ def test_runs_against_all_pairs_with_over_64_holders(docs):
     want = {i: {n for _, u in rows[:i] for n in d.common_lines(key(u), key(t))} for i, t in rows}
     got = texts(docs(*rows))
     assert {i: v[0] for i, v in got.items()} == {i: "\n".join(s for n, s in enumerate(t.split("\n")) if n not in want[i]) for i, t in rows}
+
+
+def test_a_pair_is_aligned_once(docs):
+    # a second evaluation in the plan takes a second Python worker for each task
+    gone = d.repeated_lines(docs((1, LONG[0]), (2, LONG[0])))
+    assert gone._jdf.queryExecution().executedPlan().toString().count("ArrowEvalPython") == 1
+    assert [(r.id, r.gone) for r in gone.collect()] == [(2, [0])]
+
+
+def test_lists_of_lines_reach_python_in_small_batches(spark, docs, monkeypatch):
+    option, seen, store = "spark.sql.execution.arrow.maxRecordsPerBatch", {}, d.stored
+    before = spark.conf.get(option)
+
+    def watched(df, name):
+        seen[name] = int(spark.conf.get(option))
+        return store(df, name)
+    monkeypatch.setattr(d, "stored", watched)
+    assert texts(docs((1, LONG[0]), (2, LONG[0]), (3, LONG[1]))) == {1: (LONG[0], 0), 2: ("", 1), 3: (LONG[1], 0)}
+    assert seen["line-runs"] <= 1000 and seen["gone-lines"] <= 1000
+    assert spark.conf.get(option) == before
